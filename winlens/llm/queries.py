@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from winlens.llm import chat_format, exact_dedup
+from winlens.llm import chat_format, exact_dedup, prefix_bpe, sharding
 
 QUERIES = {
+    "op4_sharding": sharding.op4_sharding,
+    "op7_bpe": prefix_bpe.op7_bpe,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_chat_format": chat_format.op10_chat_format,
 }
