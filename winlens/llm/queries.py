@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from winlens.llm import chat_format, exact_dedup, prefix_bpe, sharding
+from winlens.llm import chat_format, exact_dedup, prefix_bpe, quality, sharding
 
 QUERIES = {
+    "op3_quality": quality.op3_quality,
     "op4_sharding": sharding.op4_sharding,
     "op7_bpe": prefix_bpe.op7_bpe,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
