@@ -95,6 +95,18 @@ def weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(np.abs(z) <= L1, 0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
 
+def trainer(start, seed: int):
+    """applyInArrow function: one task's rows, from the weights in the broadcast start."""
+
+    def train(batch):
+        rows = batch.sort_by("doc_id").to_pylist()
+        z, n = (x.copy() for x in start.value)
+        ftrl([(np.frombuffer(r["slots"], np.int32).astype(np.int64), np.frombuffer(r["values"], np.float32), r["label"]) for r in rows], z, n, PASSES, seed)
+        return pa.table({"n": [len(rows)], "model": pa.array([np.stack([z, n]).astype(np.float32).tobytes()], pa.binary())})
+
+    return train
+
+
 def fit(labelled: DataFrame) -> np.ndarray:
     """Weights (and the bias, last) from rows (doc_id, text, label). Only models of fixed size reach the driver, one per task."""
     spark = labelled.sparkSession
@@ -111,13 +123,7 @@ def fit(labelled: DataFrame) -> np.ndarray:
     for k in range(ROUNDS):
         start = spark.sparkContext.broadcast(state)
 
-        def train(key, batch: pa.Table, start=start, k=k) -> pa.Table:
-            part = batch.sort_by("doc_id").to_pylist()
-            z, n = (x.copy() for x in start.value)
-            ftrl([(np.frombuffer(r["slots"], np.int32).astype(np.int64), np.frombuffer(r["values"], np.float32), r["label"]) for r in part], z, n, PASSES, k)
-            return pa.table({"n": [len(part)], "model": pa.array([np.stack([z, n]).astype(np.float32).tobytes()], pa.binary())})
-
-        models = rows.groupBy("part").applyInArrow(train, "n long, model binary").collect()
+        models = rows.groupBy("part").applyInArrow(trainer(start, k), "n long, model binary").collect()
         seen = sum(m["n"] for m in models)
         if not seen:
             break
