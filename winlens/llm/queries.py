@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from winlens.llm import chat_format, exact_dedup, prefix_bpe, quality, sharding
+from winlens.llm import chat_format, exact_dedup, language_id, prefix_bpe, quality, sharding
 
 QUERIES = {
+    "op6_language_id": language_id.op6_language_id,
     "op3_quality": quality.op3_quality,
     "op4_sharding": sharding.op4_sharding,
     "op7_bpe": prefix_bpe.op7_bpe,
