@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from winlens.llm import chat_format, exact_dedup, language_id, prefix_bpe, quality, sharding
+from winlens.llm import chat_format, exact_dedup, language_id, pii, prefix_bpe, quality, sharding
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op6_language_id": language_id.op6_language_id,
     "op3_quality": quality.op3_quality,
     "op4_sharding": sharding.op4_sharding,
