@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from winlens.llm import chat_format, decontamination, exact_dedup, language_id, pii, prefix_bpe, quality, sharding
+from winlens.llm import chat_format, decontamination, exact_dedup, language_id, near_dedup, pii, prefix_bpe, quality, sharding
 
 QUERIES = {
+    "op2_near_dedup": near_dedup.op2_near_dedup,
     "op8_decontamination": decontamination.op8_decontamination,
     "op1_pii": pii.op1_pii,
     "op6_language_id": language_id.op6_language_id,
