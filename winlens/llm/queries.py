@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from winlens.llm import chat_format, decontamination, exact_dedup, language_id, near_dedup, pii, prefix_bpe, quality, sharding
+from winlens.llm import chat_format, decontamination, exact_dedup, language_id, lm_scoring, near_dedup, pii, prefix_bpe, quality, sharding
 
 QUERIES = {
+    "op5_lm_scoring": lm_scoring.op5_lm_scoring,
     "op2_near_dedup": near_dedup.op2_near_dedup,
     "op8_decontamination": decontamination.op8_decontamination,
     "op1_pii": pii.op1_pii,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op5_lm_scoring": lm_scoring.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
     "op10_chat_format": chat_format.SQL,
 }
