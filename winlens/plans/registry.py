@@ -1,21 +1,21 @@
-"""All queries of the reference's own operators, by name, and their SQL."""
+"""All queries of the engine's own operators, by name, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from winlens.plans import q_windows
 
-def modules() -> list:
-    return []
+MODULES = [q_windows]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return q_windows.flagship(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {k: v for m in modules() for k, v in m.QUERIES.items()}
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracles() -> dict:
-    return {k: v for m in modules() for k, v in m.ORACLES.items()}
+    return {k: v for m in MODULES for k, v in m.ORACLES.items()}
