@@ -7,7 +7,7 @@
    pair must meet in; the long rest is skipped. (Links at the threshold are missed with a chance of about 1e-6.)
 3. Within a short list all pairs are candidates. In a long one every node is paired with a few central hubs only.
    Candidates are confirmed on full sets; confirmed links give components.
-4. What hubs did not connect is settled exactly: the members of long lists are joined on the prefix of their own
+4. What hubs did not connect is settled exactly: the members of long lists with several components are joined on the prefix of their own
    shingles, those found in no hub first, with length and position filters, for pairs not yet in one component.
    Copies of one text are so linked through hubs, without all of their pairs, and yet no link between components is lost.
 
@@ -32,7 +32,7 @@ from winlens.llm.common import materialize, table, text_rows
 
 COORDINATES, MATCHES = 32, 14
 #: Lists up to this length give all of their pairs; hubs are the most central node of each of so many parts of a longer list.
-SHORT_LIST, HUB_PARTS = 12, 3
+SHORT_LIST, HUB_PARTS = 3, 2
 HUBS, HUB_SHINGLES = 500, 5000
 CACHED_WORDS = 500_000
 _RNG = np.random.default_rng(20240)
@@ -192,7 +192,9 @@ def near_components(docs: DataFrame, words: int = 5, threshold: int = 80, id_col
     links = confirmed(pairs, sets, threshold, "links")
     labels = components(links)
 
-    rest = residual_pairs(long.select("node").distinct(), hubs, sets, labels, threshold)
+    own = long.select("key", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_lists = own.groupBy("key").agg((F.min("component") < F.max("component")).alias("open")).filter("open").select("key")
+    rest = residual_pairs(own.join(open_lists, "key", "left_semi").select("node").distinct(), hubs, sets, labels, threshold)
     more = confirmed(rest, sets, threshold, "more-links")
     if more.limit(1).count():
         labels = components(links.unionByName(more))
