@@ -115,10 +115,11 @@ def with_run_totals(costs: DataFrame, by: list[str]) -> DataFrame:
 
 
 def verdict(text: Column) -> Column:
-    """true, false or uncertain as a triage answer states it: the word after `veredito:` without regard to case and accents."""
-    plain = F.translate(F.lower(text), "íéáãâêóç", "ieaaaeoc")
-    word = F.regexp_extract(plain, r"veredito:\s*\**\s*(verdadeiro|falso|duvidoso)", 1)
-    return F.when(word == "verdadeiro", "true").when(word == "falso", "false").when(word == "duvidoso", "uncertain")
+    """coerente, duvidoso or ruido as a triage answer states it, without regard to case and accents; null without one."""
+    # fixed value: how an answer states its label; a table of the choices does not count
+    pattern = r"rotulo da triagem\**\s*:\s*\**\s*(coerente|duvidoso|ruido)\b(?!\s*\|)"
+    word = F.regexp_extract(F.translate(F.lower(text), "óí", "oi"), pattern, 1)
+    return F.when(word != "", word)
 
 
 def triage_correct(is_true: Column, label: Column) -> Column:

@@ -55,7 +55,7 @@ def natural_key(file_name: Column) -> Column:
     """(base in lower case, numeric suffix or 0, name): orders file names as people do."""
     name = F.regexp_replace(F.regexp_extract(file_name, r"([^/]*)$", 1), r"\.[A-Za-z]+$", "")
     digits = F.regexp_extract(name, r"([0-9]{1,15})$", 1)
-    return F.struct(F.lower(F.regexp_replace(name, r"[0-9]{1,15}$", "")).alias("base"), F.coalesce(F.try_to_number(F.when(digits != "", digits), F.lit("999999999999999")).cast("long"), F.lit(0)).alias("suffix"), name.alias("name"))
+    return F.struct(F.regexp_replace(F.lower(F.regexp_replace(name, r"[0-9]{1,15}$", "")), "[-_]+$", "").alias("base"), F.coalesce(F.try_to_number(F.when(digits != "", digits), F.lit("999999999999999")).cast("long"), F.lit(0)).alias("suffix"), name.alias("name"))
 
 
 def window_side(benign_capture: Column, has_attacker: Column) -> Column:
