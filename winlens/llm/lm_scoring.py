@@ -7,7 +7,7 @@ counts, otherwise no n-gram would ever be unseen. With c' for such counts and B
 
 and a document's score is the sum of log S over its words. The relations:
 
-    blocks   (block, documents, words as numbers into the block's vocabulary)          narrow, written once
+    blocks   (block, documents, words as numbers into the block's vocabulary)          narrow
     grams    (block, bucket, n-gram hashes, counts)    blocks exploded, pre-aggregated, partitioned by hash
     totals   (block, bucket, corpus counts)            grams grouped by bucket, joined back to each block's rows
     scores   (document, sum)                           totals joined to blocks, summed per document
@@ -27,31 +27,38 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winlens.llm.common import materialize, table, text_rows
 
 ORDER, BACKOFF = 2, 0.4
-#: Words after which a block ends, and bytes of text for each bucket.
-BLOCK_WORDS, BUCKET_BYTES = 300_000, 8 << 20
+#: A block ends after so many words or different words (two bytes number these), and bytes of text for each bucket.
+BLOCK_WORDS, BLOCK_VOCABULARY, BUCKET_BYTES = 300_000, 60_000, 8 << 20
 CACHED_WORDS = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def cut_blocks(block_words: int):
-    """(doc_id, text) to blocks: doc_ids, words of each, the vocabulary's hashes, the words as numbers."""
+    """(doc_id, text) to blocks: block, doc_ids, words of each, the vocabulary's hashes, the words as numbers.
 
-    def pack(ids: list, sizes: list, hashes: list[np.ndarray]) -> pa.RecordBatch:
-        all_ = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        vocab, words = np.unique(all_, return_inverse=True)
+    A block's id is made of its task, its place in it and its contents, so that blocks cut twice from one scan are the same.
+    """
+
+    def pack(place: int, ids: list, sizes: list, hashes: list[np.ndarray]) -> pa.RecordBatch:
+        vocab, words = np.unique(np.concatenate(hashes), return_inverse=True)
         words = words.astype(np.uint16 if len(vocab) <= 1 << 16 else np.uint32)
-        columns = (pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), pa.array([vocab.tobytes()], pa.binary()), pa.array([words.tobytes()], pa.binary()))
-        return pa.RecordBatch.from_arrays(list(columns), ["doc_ids", "sizes", "vocab", "words"])
+        task = TaskContext.get()
+        name = xxhash.xxh3_64(f"{task.partitionId() if task else 0}:{place}:{ids}:{sizes}".encode())
+        name.update(vocab.tobytes())
+        name.update(words.tobytes())
+        columns = [pa.array([name.intdigest() - (1 << 63)], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), pa.array([vocab.tobytes()], pa.binary()), pa.array([words.tobytes()], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["block", "doc_ids", "sizes", "vocab", "words"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
-        ids, sizes, hashes, n = [], [], [], 0
+        ids, sizes, hashes, n, seen, place = [], [], [], 0, set(), 0
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 row = []
@@ -65,12 +72,13 @@ def cut_blocks(block_words: int):
                 ids.append(doc_id)
                 sizes.append(len(row))
                 hashes.append(np.array(row, np.uint64))
+                seen.update(row)
                 n += len(row)
-                if n >= block_words or len(ids) >= block_words:
-                    yield pack(ids, sizes, hashes)
-                    ids, sizes, hashes, n = [], [], [], 0
+                if n >= block_words or len(seen) >= BLOCK_VOCABULARY or len(ids) >= block_words:
+                    yield pack(place, ids, sizes, hashes)
+                    ids, sizes, hashes, n, seen, place = [], [], [], 0, set(), place + 1
         if ids:
-            yield pack(ids, sizes, hashes)
+            yield pack(place, ids, sizes, hashes)
 
     return run
 
@@ -130,13 +138,14 @@ def total_counts(rows):
     return pa.table({"block": rows.column("block"), "bucket": rows.column("bucket"), "n": pa.array([len(g) for g in grams], pa.int32()), "totals": pa.array([p.tobytes() for p in parts], pa.binary())})
 
 
-def score_block(row: dict, order: int, corpus: int, backoff: float) -> tuple[np.ndarray, np.ndarray]:
-    """Words and sum of log scores of each document of a block that has its totals."""
+def score_block(row: dict, order: int, backoff: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each document of a block that has its totals: words, sum of log scores without the sizes N', and how many scores have a size."""
     block = Block(row, order)
     parts = sorted((t["bucket"], t["n"], t["totals"]) for t in row["totals"])
     totals = np.concatenate([np.frombuffer(t, np.int32 if len(t) == 4 * n else np.int64).astype(np.float64) for _, n, t in parts]) if parts else np.zeros(0)
     words, docs = len(block.doc), len(block.sizes)
-    rest = np.maximum(1, corpus - block.sizes)[block.doc] if words else np.zeros(0)
+    if words and not parts:
+        raise ValueError("a block has no totals: its documents were not cut the same way twice")
     others = []  # for each order, counts in other documents of the n-gram that ends at a word; -1 where there is none
     for n in range(order):
         end, index = block.ends[n], block.index[n]
@@ -144,23 +153,25 @@ def score_block(row: dict, order: int, corpus: int, backoff: float) -> tuple[np.
         found = np.full(words, -1.0)
         found[end] = totals[index] - own[inverse]
         others.append(found)
-    score = np.where(others[0] > 0, others[0], backoff) / rest
+    score, sized = np.where(others[0] > 0, others[0], backoff), np.ones(words, bool)
     for n in range(1, order):
         history = np.concatenate([[-1.0], others[n - 1][:-1]]) if words else np.zeros(0)
         has = others[n] >= 0
         seen = others[n] > 0
         score = np.where(seen, others[n] / np.where(seen, np.maximum(history, 1), 1), np.where(has, backoff * score, score))
-    return block.sizes, np.bincount(block.doc, np.log(score), docs) if words else np.zeros(docs)
+        sized = sized & ~seen
+    if not words:
+        return block.sizes, np.zeros(docs), np.zeros(docs, np.int64)
+    return block.sizes, np.bincount(block.doc, np.log(score), docs), np.bincount(block.doc, sized, docs).astype(np.int64)
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, backoff: float = BACKOFF, block_words: int = BLOCK_WORDS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(doc_id, n_words, log_score) of every row; order is that of the longest n-gram."""
     texts = text_rows(docs, id_col, text_col)
-    cut = texts.mapInArrow(cut_blocks(block_words), "doc_ids array<long>, sizes array<int>, vocab binary, words binary")
-    blocks = materialize(cut.withColumn("block", F.monotonically_increasing_id()), "lm-blocks")
-    size = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("words")).first()
-    corpus = size["words"] or 0
-    bits = max(4, int(np.ceil(np.log2(max(1, order * corpus * 3 / bucket_bytes)))))
+    size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    bits = max(4, int(np.ceil(np.log2(max(1, size / bucket_bytes)))))
+    # cut where it is needed, once for the counts and once for the scores: words are not written anywhere in between
+    blocks = texts.mapInArrow(cut_blocks(block_words), "block long, doc_ids array<long>, sizes array<int>, vocab binary, words binary")
     grams = blocks.mapInArrow(explode_grams(order, bits), "block long, bucket long, grams binary, counts binary")
     totals = grams.groupBy("bucket").applyInArrow(total_counts, "block long, bucket long, n int, totals binary")
     back = totals.groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "totals")).alias("totals"))
@@ -170,10 +181,13 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
             for at in range(b.num_rows):
                 row = b.slice(at, 1).to_pylist()[0]
                 row["totals"] = row["totals"] or []
-                words, score = score_block(row, order, corpus, backoff)
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(words, pa.int64()), pa.array(score, pa.float64())], ["doc_id", "n_words", "log_score"])
+                words, score, sized = score_block(row, order, backoff)
+                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(words, pa.int64()), pa.array(score, pa.float64()), pa.array(sized, pa.int64())], ["doc_id", "n_words", "score", "sized"])
 
-    return blocks.join(back, "block", "left").mapInArrow(run, "doc_id long, n_words long, log_score double")
+    parts = materialize(blocks.join(back, "block", "left").mapInArrow(run, "doc_id long, n_words long, score double, sized long"), "lm-scores")
+    corpus = parts.agg(F.sum("n_words")).first()[0] or 0
+    rest = F.greatest(F.lit(1), F.lit(corpus) - F.col("n_words"))
+    return parts.select("doc_id", "n_words", (F.col("score") - F.col("sized") * F.log(rest)).alias("log_score"))
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
