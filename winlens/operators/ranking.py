@@ -21,3 +21,12 @@ def top_addresses(frames: DataFrame, listed: Column, k: int, cite_from: float =
     w = Window.partitionBy("capture", "listed").orderBy(both.desc(), "addr")
     out = n.withColumn("_r", F.row_number().over(w)).filter(F.col("listed") | (F.col("_r") <= k))
     return out.select("capture", "addr", "as_src", "as_dst", "listed", F.round(both / F.col("_frames"), 6).alias("share"), (both / F.col("_frames") >= cite_from).alias("cited"))
+
+
+def main_features(own: DataFrame, reference: DataFrame, columns: list[str], order: DataFrame, by: list[str], k: int) -> DataFrame:
+    """(by, feature, value, reference, place): the first k features by importance rank (feature, rank) with a value and a reference."""
+    long = own.unpivot(by, columns, "feature", "value").filter("value is not null")
+    ref = reference.unpivot([], columns, "feature", "reference").filter("reference is not null")
+    rows = long.join(F.broadcast(ref), "feature").join(F.broadcast(order), "feature")
+    w = Window.partitionBy(*by).orderBy("rank")
+    return rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).select(*by, "feature", F.round("value", 4).alias("value"), F.round("reference", 4).alias("reference"), "place")
