@@ -31,9 +31,11 @@ from pyspark.sql import functions as F
 from winlens.llm.common import materialize, table, text_rows
 
 COORDINATES, MATCHES = 32, 14
+#: Which shingles are called popular matters to the order of prefixes and so to speed alone: those of the hubs of lists over
+#: HUB_LIST members, of the HUBS that serve most of these and have at most HUB_SHINGLES.
 #: Lists up to this length give all of their pairs; hubs are the most central node of each of so many parts of a longer list.
 SHORT_LIST, HUB_PARTS = 3, 2
-HUBS, HUB_SHINGLES = 500, 5000
+HUBS, HUB_SHINGLES, HUB_LIST = 500, 5000, 100
 CACHED_WORDS = 500_000
 _RNG = np.random.default_rng(20240)
 _FLIP = _RNG.integers(0, 1 << 64, COORDINATES, np.uint64)
@@ -181,9 +183,9 @@ def near_components(docs: DataFrame, words: int = 5, threshold: int = 80, id_col
     short = listed.filter(F.col("n") <= SHORT_LIST)
     pairs = short.withColumnRenamed("node", "a").join(other(short), "key").filter((F.col("a") < F.col("b")) & fits).select("a", "b")
     long = listed.filter(F.col("n") > SHORT_LIST)
-    hubs = long.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(HUB_PARTS)).alias("part")).agg(F.max(F.struct("central", "node", "size")).alias("hub"))
-    hubs = materialize(hubs.select("key", F.col("hub.node").alias("b"), F.col("hub.size").alias("other")), "hubs")
-    stars = long.withColumnRenamed("node", "a").join(hubs, "key").filter((F.col("a") != F.col("b")) & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    hubs = long.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(HUB_PARTS)).alias("part")).agg(F.max(F.struct("central", "node", "size")).alias("hub"), F.max("n").alias("n"))
+    hubs = materialize(hubs.select("key", "n", F.col("hub.node").alias("b"), F.col("hub.size").alias("other")), "hubs")
+    stars = long.withColumnRenamed("node", "a").join(hubs.drop("n"), "key").filter((F.col("a") != F.col("b")) & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = materialize(pairs.unionByName(stars).distinct(), "pairs")
 
     wanted = prefix.select(F.col("node").alias("doc_id")).distinct()
@@ -208,7 +210,7 @@ def near_components(docs: DataFrame, words: int = 5, threshold: int = 80, id_col
 
 def residual_pairs(members: DataFrame, hubs: DataFrame, sets: DataFrame, labels: DataFrame, threshold: int) -> DataFrame:
     """Pairs of long lists' members in different components that may reach the threshold: exact, by prefixes of their shingles."""
-    top = hubs.filter(F.col("other") <= HUB_SHINGLES).groupBy(F.col("b").alias("node")).agg(F.count("*").alias("uses")).orderBy(F.desc("uses"), "node").limit(HUBS)
+    top = hubs.filter((F.col("n") > HUB_LIST) & (F.col("other") <= HUB_SHINGLES)).groupBy(F.col("b").alias("node")).agg(F.sum("n").alias("uses")).orderBy(F.desc("uses"), "node").limit(HUBS)
     popular = [np.frombuffer(r["shingles"], np.uint64) for r in sets.join(F.broadcast(top), "node").select("shingles").collect()]  # HUBS sets of bounded size
     shared = sets.sparkSession.sparkContext.broadcast(np.unique(np.concatenate([np.zeros(1, np.uint64), *popular])))
 
