@@ -40,6 +40,15 @@ CACHED_WORDS = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def packed(values: np.ndarray) -> bytes:
+    """The values' bytes plane by plane: of sorted hashes and small counts the high planes hardly vary, and shuffles compress them."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def unpacked(data, dtype) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(np.dtype(dtype).itemsize, -1).T.copy().view(dtype).ravel()
+
+
 def cut_blocks(block_words: int):
     """(doc_id, text) to blocks: block, doc_ids, words of each, the vocabulary's hashes, the words as numbers.
 
@@ -53,7 +62,7 @@ def cut_blocks(block_words: int):
         name = xxhash.xxh3_64(f"{task.partitionId() if task else 0}:{place}:{ids}:{sizes}".encode())
         name.update(vocab.tobytes())
         name.update(words.tobytes())
-        columns = [pa.array([name.intdigest() - (1 << 63)], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), pa.array([vocab.tobytes()], pa.binary()), pa.array([words.tobytes()], pa.binary())]
+        columns = [pa.array([name.intdigest() - (1 << 63)], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), pa.array([packed(vocab)], pa.binary()), pa.array([packed(words)], pa.binary())]
         return pa.RecordBatch.from_arrays(columns, ["block", "doc_ids", "sizes", "vocab", "words"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,11 +96,11 @@ class Block:
     """A block's n-grams of all orders."""
 
     def __init__(self, row: dict, order: int):
-        vocab = np.frombuffer(row["vocab"], np.uint64)
+        vocab = unpacked(row["vocab"], np.uint64)
         self.sizes = np.array(row["sizes"], np.int64)
         total = int(self.sizes.sum())
         wide = np.uint16 if len(row["words"]) == 2 * total else np.uint32
-        hashes = vocab[np.frombuffer(row["words"], wide)]
+        hashes = vocab[unpacked(row["words"], wide)]
         self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
         place = np.arange(total) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
         #: for each order, where its n-grams end and their hashes
@@ -121,7 +130,7 @@ def explode_grams(order: int, bits: int):
                 starts = np.flatnonzero(np.diff(bucket, prepend=-1))
                 ends = np.append(starts[1:], len(bucket))
                 counts = block.counts.astype(np.int32)
-                cut = [(int(bucket[s]), block.unique[s:e].tobytes(), counts[s:e].tobytes()) for s, e in zip(starts, ends, strict=True)]
+                cut = [(int(bucket[s]), packed(block.unique[s:e]), packed(counts[s:e])) for s, e in zip(starts, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([row["block"]] * len(cut), pa.int64()), pa.array([c[0] for c in cut], pa.int64()), pa.array([c[1] for c in cut], pa.binary()), pa.array([c[2] for c in cut], pa.binary())], ["block", "bucket", "grams", "counts"])
 
     return run
@@ -129,20 +138,20 @@ def explode_grams(order: int, bits: int):
 
 def total_counts(rows):
     """All blocks' rows of one bucket: the same rows with corpus counts (as int32, or int64 beyond) in place of the block's."""
-    grams = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("grams")]
-    counts = np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in rows.column("counts")])
+    grams = [unpacked(x.as_buffer(), np.uint64) for x in rows.column("grams")]
+    counts = np.concatenate([unpacked(x.as_buffer(), np.int32) for x in rows.column("counts")])
     unique, inverse = np.unique(np.concatenate(grams), return_inverse=True)
     totals = np.bincount(inverse, counts, len(unique)).astype(np.int64)
     totals = totals.astype(np.int32) if totals.max() < 1 << 31 else totals
     parts = np.split(totals[inverse], np.cumsum([len(g) for g in grams])[:-1])
-    return pa.table({"block": rows.column("block"), "bucket": rows.column("bucket"), "n": pa.array([len(g) for g in grams], pa.int32()), "totals": pa.array([p.tobytes() for p in parts], pa.binary())})
+    return pa.table({"block": rows.column("block"), "bucket": rows.column("bucket"), "n": pa.array([len(g) for g in grams], pa.int32()), "totals": pa.array([packed(p) for p in parts], pa.binary())})
 
 
 def score_block(row: dict, order: int, backoff: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each document of a block that has its totals: words, sum of log scores without the sizes N', and how many scores have a size."""
     block = Block(row, order)
     parts = sorted((t["bucket"], t["n"], t["totals"]) for t in row["totals"])
-    totals = np.concatenate([np.frombuffer(t, np.int32 if len(t) == 4 * n else np.int64).astype(np.float64) for _, n, t in parts]) if parts else np.zeros(0)
+    totals = np.concatenate([unpacked(t, np.int32 if len(t) == 4 * n else np.int64).astype(np.float64) for _, n, t in parts]) if parts else np.zeros(0)
     words, docs = len(block.doc), len(block.sizes)
     if words and not parts:
         raise ValueError("a block has no totals: its documents were not cut the same way twice")
