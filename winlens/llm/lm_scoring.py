@@ -126,6 +126,8 @@ def explode_grams(order: int, bits: int):
         for b in batches:
             for row in b.to_pylist():
                 block = Block(row, order)
+                if not len(block.unique):
+                    continue
                 bucket = (block.unique >> np.uint64(64 - bits)).astype(np.int64)
                 starts = np.flatnonzero(np.diff(bucket, prepend=-1))
                 ends = np.append(starts[1:], len(bucket))
