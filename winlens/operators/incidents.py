@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from winlens.sources.scratch import materialize
+
 INC = ["capture", "incident"]
 LEAST_OPENED, RELATIVE, TOP_SHARE, CANDIDATE_FROM, CANDIDATE_WINDOWS = 3, 0.5, 0.8, 0.1, 2
 TRANSPORT = {6: "tcp", 17: "udp"}
@@ -69,17 +71,19 @@ def roles(links: DataFrame, members: DataFrame, background: DataFrame, scan: Dat
 
     allowed gives the condition (unicast and not protected) on a column; scan marks incidents (capture, incident, is_scan).
     """
-    pair = pairs(links, members)
+    pair = materialize(pairs(links, members), "pairs")  # these three have many users below
     flow = flows(pair)
     source = prominence(links, "src", members, background)
     target = prominence(links, "dst", members, background).select(*INC, F.col("addr").alias("dst"), F.col("prominence").alias("target_prominence"))
     cand = source.join(flow, [*INC, "addr"]).filter((F.col("prominence") > 0) & (F.col("sent") > 0) & allowed("addr"))
     best = F.max("prominence").over(Window.partitionBy(*INC))
     strong = cand.withColumn("strong", F.col("prominence") >= RELATIVE * best).filter("strong").withColumns({"net_opened": F.col("opened") - F.col("was_opened"), "net": F.col("sent") - F.col("received")})
+    strong = materialize(strong, "strong")
     starts = F.col("net_opened") >= LEAST_OPENED
     attacker = first_by(strong, INC, [starts.desc(), F.when(starts, F.col("net_opened")).desc_nulls_last(), F.when(~starts, F.col("net")).desc_nulls_last(), F.when(~starts, F.col("prominence")).desc_nulls_last(), F.col("seen")]).select(*INC, F.col("addr").alias("attacker"))
     dst_ok = allowed("dst")
     hits = pair.join(attacker, INC).filter((F.col("src") == F.col("attacker")) & (F.col("dst") != F.col("attacker")) & dst_ok).join(target, [*INC, "dst"], "left").na.fill(0.0, ["target_prominence"])
+    hits = materialize(hits, "hits")
     main = first_by(hits, INC, [F.col("target_prominence").desc(), F.col("frames").desc(), F.col("seen")]).select(*INC, F.col("dst").alias("target"))
 
     of_scan = attacker.join(main, INC).join(scan.filter("is_scan"), INC).select(*INC, "attacker")

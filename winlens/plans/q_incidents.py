@@ -53,6 +53,10 @@ def scans(w, members):
     return main.select(*inc.INC, (F.col("category") == "Recon").alias("is_scan"))
 
 
+def stored_roles(links, members, back, w):
+    return tuple(materialize(x, "roles") for x in inc.roles(links, members, back, scans(w, members), allowed))
+
+
 @query("r4_policy_decisions")
 def r4(spark, d):
     return replay(spark, d)[2]
@@ -101,21 +105,21 @@ def j15(spark, d):
 @query("i1_i2_roles")
 def i1(spark, d):
     w, links, _, members, back = replay(spark, d)
-    o, t = inc.roles(links, members, back, scans(w, members), allowed)
+    o, t = stored_roles(links, members, back, w)
     return o.select(*inc.INC, "addr", "frames", F.lit("origin").alias("role")).unionByName(t.select(*inc.INC, "addr", "frames", F.lit("destination").alias("role")))
 
 
 @query("i3_k4_k5_candidates")
 def i3(spark, d):
     w, links, _, members, back = replay(spark, d)
-    o, _ = inc.roles(links, members, back, scans(w, members), allowed)
+    o, _ = stored_roles(links, members, back, w)
     return inc.candidates(links, members, back, o, allowed)
 
 
 @query("i4_x8_incident_records")
 def i4(spark, d):
     w, links, _, members, back = replay(spark, d)
-    o, t = inc.roles(links, members, back, scans(w, members), allowed)
+    o, t = stored_roles(links, members, back, w)
     rec = inc.records(w, members, o, t)
     return rec.join(inc.contract_defects(rec, inc.ports(links, members, t)), inc.INC)
 
@@ -135,14 +139,14 @@ def i6(spark, d):
 @query("i7_j14_truth_flags")
 def i7(spark, d):
     w, links, _, members, back = replay(spark, d)
-    o, t = inc.roles(links, members, back, scans(w, members), allowed)
+    o, t = stored_roles(links, members, back, w)
     return inc.truth_flags(w, members, o, t, F.col("addr") % 97 == 0, POLICY.silence)
 
 
 @query("a38_evaluation_summary")
 def a38(spark, d):
     w, links, decisions, members, back = replay(spark, d)
-    o, t = inc.roles(links, members, back, scans(w, members), allowed)
+    o, t = stored_roles(links, members, back, w)
     flags = inc.truth_flags(w, members, o, t, F.col("addr") % 97 == 0, POLICY.silence)
     hours = w.groupBy("capture").agg(((F.max("end_ts") - F.min("start_ts")) / 3600).alias("hours"))
     per = flags.join(hours, "capture", "right").groupBy("capture").agg(F.count("incident").alias("n_incidents"), F.count_if("is_true").alias("n_true"), F.count_if("first_origin_is_attacker").alias("n_origin"), F.max("hours").alias("hours"))
@@ -153,7 +157,7 @@ def a38(spark, d):
 @query("k2_incident_ports")
 def k2(spark, d):
     w, links, _, members, back = replay(spark, d)
-    _, t = inc.roles(links, members, back, scans(w, members), allowed)
+    _, t = stored_roles(links, members, back, w)
     return inc.ports(links, members, t)
 
 
