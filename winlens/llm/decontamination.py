@@ -29,7 +29,7 @@ WORDS, LITERALS = 6, 4
 LEAST_WINDOWS, LEAST_SHARE = 3, 0.25
 #: Up to so many window hashes (8 bytes each) are broadcast to sift the documents' windows; beyond, all of these are shuffled.
 BROADCAST_WINDOWS = 2_000_000
-CACHED_WORDS = 500_000
+CACHED_WORDS = 250_000
 
 NUMBER = re.compile(r"[+-]?[$€£]?[0-9][0-9.,:/]*%?")
 NUMBER_UNIT = re.compile(r"([+-]?[$€£]?[0-9][0-9.,]*)([a-z°µ]{1,4}[0-9²³]?)")

@@ -36,7 +36,7 @@ COORDINATES, MATCHES = 32, 14
 #: Lists up to this length give all of their pairs; hubs are the most central node of each of so many parts of a longer list.
 SHORT_LIST, HUB_PARTS = 3, 2
 HUBS, HUB_SHINGLES, HUB_LIST = 500, 5000, 100
-CACHED_WORDS = 500_000
+CACHED_WORDS = 150_000
 _RNG = np.random.default_rng(20240)
 _FLIP = _RNG.integers(0, 1 << 64, COORDINATES, np.uint64)
 _TIMES = _RNG.integers(0, 1 << 64, COORDINATES, np.uint64) | np.uint64(1)
