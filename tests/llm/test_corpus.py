@@ -206,6 +206,31 @@ def test_decontamination(spark, odd, empty):
     assert decontamination.find_leaks(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_decontamination_drops_windows_not_passages(spark):
+    items = [
+        (1, "the farmer has 5 apples and gives 5 pears to the neighbour"),
+        (2, "yesterday the baker met Anna near the old mill and later the baker asked Anna about the price of bread for the feast"),
+        (3, "The Great Wall Of China Is Visible"),
+        (4, "while the pilot told Karl that the engine failed the tower told Otto that the runway was closed for repair"),
+        (5, "the teacher said that Alice wrote a letter and that Alice posted a letter before the others knew that Alice had left")]
+    rows = [
+        (1, "x y the farmer has 7 apples and gives 2 pears to the neighbour z"),
+        (2, "x y the farmer has 5 apples and gives 6 pears to the neighbour z"),
+        (3, items[1][1].replace("asked Anna", "asked Berta")),
+        (4, "some say the great wall of china is visible"),
+        (5, items[3][1].replace("Karl", "Hugo").replace("Otto", "Hugo")),
+        (6, "The Great Fire Of London Was Visible"),
+        (7, "yesterday the baker met Berta near the old mill"),
+        (8, "x y " + items[4][1].replace("Alice", "Carol", 2).replace("Alice", "Erin"))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for limit in (decontamination.BROADCAST_WINDOWS, 0):
+        got = {(r["doc_id"], r["item_id"]): r for r in decontamination.find_leaks(spark.createDataFrame(rows, DOCS), bench, broadcast_windows=limit).collect()}
+        assert [(*k, r["reparameterised"]) for k, r in sorted(got.items())] == [(1, 1, True), (2, 1, True), (3, 2, False), (4, 3, False), (5, 4, False), (8, 5, True)]
+        assert got[1, 1]["coverage"] == got[4, 3]["coverage"] == 1
+        assert 0 < got[3, 2]["n_windows"] < got[3, 2]["item_windows"] and 0 < got[5, 4]["n_windows"] < got[5, 4]["item_windows"]
+        assert 0 < got[8, 5]["n_windows"] < got[8, 5]["item_windows"]
+
+
 def test_chat_round_trip(spark):
     from pyspark.sql import functions as F
 

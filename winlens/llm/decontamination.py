@@ -2,12 +2,14 @@
 
 Words become a template: numbers, units after numbers and names inside a sentence turn into typed placeholders, other
 words are lower-cased and lose the marks at their edges. Windows of WORDS template words, with LITERALS real words at
-least, are hashed and joined with those of the benchmark items. The values behind placeholders must then be consistent
-over a matched passage: one value of the item always stands for one value of the document, and different names stay
-different. A document that matches enough consistent windows of an item carries it, verbatim or re-parameterised.
+least, are hashed and joined with those of the benchmark items; an item without such a window is joined on windows of its
+words as they are. Numbers may take any values. Changed names and units must be consistent over a matched passage: most of its
+places decide which value of the document stands for one of the item, and different names stay different. A window that holds
+another changed name or unit is dropped, as is every window with a changed one where places are tied. A document that matches
+enough other windows of an item carries it, verbatim or re-parameterised.
 
 Defined cases: null texts count as empty; texts and items under WORDS words are compared as a whole; an item without
-enough real words in any window is never matched; repeated document rows count once; empty tables give an empty result;
+words is never matched; repeated document rows count once; empty tables give an empty result;
 other columns are ignored.
 """
 
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +45,8 @@ UNITS = frozenset(
     "gallon gallons dollar dollars cent cents euro euros percent degree degrees celsius fahrenheit kelvin watt watts volt volts joule joules newton newtons".split())
 EDGE = ".,;:!?\"'()[]{}<>*#$%&|“”«»…"
 LITERAL, NUM, UNIT, NAMED, GLUED = range(5)
+#: Added to the length of a window of words as they are before it is hashed.
+EXACT = 64
 _TYPED = np.array([xxhash.xxh3_64_intdigest(f"<{k}>", 3) for k in range(5)], np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -71,14 +76,14 @@ class Canon:
         self.known[w] = found
         return found
 
-    def template(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Words, their template hashes, their types."""
+    def template(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Words, their own hashes, their template hashes, their types."""
         words, starts = [], []
         for line in text.split("\n"):
             starts.append(len(words))
             words += line.split()
         if not words:
-            return words, np.zeros(0, np.uint64), np.zeros(0, np.int8)
+            return words, np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int8)
         get, word = self.known.get, self.word
         both = np.array([get(w) or word(w) for w in words], np.uint64)
         hashes, flags = both[:, 0].copy(), both[:, 1].astype(np.int64)
@@ -93,24 +98,37 @@ class Canon:
         kinds[(flags & 4 > 0) & ~opens[:-1]] = NAMED
         kinds[flags & 8 > 0] = GLUED
         hashes[kinds > 0] = _TYPED[kinds[kinds > 0]]
-        return words, hashes, kinds
+        return words, both[:, 0], hashes, kinds
 
-    def windows(self, text: str, lengths: list[int]) -> tuple[list[str], np.ndarray, list[tuple[int, np.ndarray, np.ndarray]]]:
-        """Words, types, and for each length the places and hashes of windows with enough real words."""
-        words, hashes, kinds = self.template(text)
-        out = []
+    def windows(self, text: str, lengths: list[int] | None, exact: list[int]) -> tuple[list[str], np.ndarray, list[tuple[int, bool, np.ndarray, np.ndarray]]]:
+        """Words, types, and (length, exact, places, hashes) of windows with enough real words and of all windows of words as they are.
+
+        lengths None: WORDS, or all words of a shorter text, and as they are if no window has enough real words."""
+        words, own, hashes, kinds = self.template(text)
         literal = np.concatenate([[0], np.cumsum(kinds == LITERAL)])
-        for n in lengths:
-            if len(words) < n:
-                continue
-            with np.errstate(over="ignore"):
-                acc = np.full(len(words) - n + 1, n, np.uint64)
-                for k in range(n):
-                    acc = (acc ^ hashes[k : len(words) - n + 1 + k]) * _MIX
-                    acc ^= acc >> np.uint64(31)
+
+        def real(n: int) -> tuple[int, bool, np.ndarray, np.ndarray]:
             at = np.flatnonzero(literal[n:] - literal[: len(words) - n + 1] >= min(n, LITERALS))
-            out.append((n, at, acc[at]))
-        return words, kinds, out
+            return n, False, at, mixed(hashes, n, n)[at]
+
+        def plain(n: int) -> tuple[int, bool, np.ndarray, np.ndarray]:
+            return n, True, np.arange(len(words) - n + 1), mixed(own, n, n + EXACT)
+
+        if lengths is None:
+            n = min(WORDS, len(words))
+            found = real(n) if n else None
+            return words, kinds, [] if found is None else [found if len(found[2]) else plain(n)]
+        return words, kinds, [real(n) for n in lengths if len(words) >= n] + [plain(n) for n in exact if len(words) >= n]
+
+
+def mixed(hashes: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """Hashes of all windows of n words."""
+    with np.errstate(over="ignore"):
+        acc = np.full(len(hashes) - n + 1, seed, np.uint64)
+        for k in range(n):
+            acc = (acc ^ hashes[k : len(hashes) - n + 1 + k]) * _MIX
+            acc ^= acc >> np.uint64(31)
+    return acc
 
 
 def slot(words: list[str], kinds: np.ndarray, at: int, n: int) -> list[dict]:
@@ -118,62 +136,90 @@ def slot(words: list[str], kinds: np.ndarray, at: int, n: int) -> list[dict]:
 
 
 _SLOTS = pa.list_(pa.struct([("kind", pa.int32()), ("at", pa.int32()), ("value", pa.string())]))
-_WINDOWS = "id long, n int, at int, hash long, slots array<struct<kind:int,at:int,value:string>>"
+_WINDOWS = "id long, n int, exact boolean, at int, hash long, slots array<struct<kind:int,at:int,value:string>>"
 
 
-def all_windows(rows: DataFrame, lengths: list[int] | None, sift=None) -> DataFrame:
-    """rows(id, text) to windows; lengths None: WORDS, or all words of a shorter text; sift: a broadcast sorted array of hashes to keep."""
+def all_windows(rows: DataFrame, lengths: list[int] | None, exact: list[int], sift=None) -> DataFrame:
+    """rows(id, text) to windows of Canon; sift: a broadcast sorted array of hashes to keep."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canon = Canon()
         wanted = None if sift is None else sift.value
         for b in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for row_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = lengths or [min(WORDS, max(1, len(text.split())))]
-                words, kinds, found = canon.windows(text, own)
-                for n, at, hashes in found:
+                words, kinds, found = canon.windows(text, lengths, exact)
+                for n, as_is, at, hashes in found:
                     if wanted is not None:
                         near = np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)
                         hit = wanted[near] == hashes
                         at, hashes = at[hit], hashes[hit]
                     for i, h in zip(at.tolist(), hashes.view(np.int64).tolist(), strict=True):
-                        for column, v in zip(out, (row_id, n, i, h, slot(words, kinds, i, n)), strict=True):
+                        for column, v in zip(out, (row_id, n, as_is, i, h, [] if as_is else slot(words, kinds, i, n)), strict=True):
                             column.append(v)
-            types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), _SLOTS)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["id", "n", "at", "hash", "slots"])
+            types = (pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), _SLOTS)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["id", "n", "exact", "at", "hash", "slots"])
 
     return rows.mapInArrow(run, _WINDOWS)
 
 
+def settled(votes: list[dict]) -> list[dict]:
+    """The pairs of values that most places agree on, unchanged ones first: one document value for an item value, one item value for a name; none if places are tied."""
+    rank = lambda v: (-v["places"], v["item_value"] != v["doc_value"])
+    ends = lambda v: [(v["kind"], 0, v["item_value"])] + [(NAMED, 1, v["doc_value"])] * (v["kind"] == NAMED)
+    taken: set[tuple] = set()
+    found = []
+    for _, level in groupby(sorted(votes, key=rank), rank):
+        free = [v for v in level if taken.isdisjoint(ends(v))]
+        new = [e for v in free for e in ends(v)]
+        if len(new) > len(set(new)):
+            return []
+        taken.update(new)
+        found += free
+    return found
+
+
+def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    voted = pa.list_(pa.struct([("kind", pa.int32()), ("item_value", pa.string()), ("doc_value", pa.string())]))
+    for b in batches:
+        found = [[{k: v[k] for k in ("kind", "item_value", "doc_value")} for v in settled(votes)] for votes in b.column(3).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(found, voted)], ["doc_id", "item_id", "diagonal", "voted"])
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """(doc_id, item_id, n_windows matched, item_windows, coverage, reparameterised) of each document that carries an item."""
     spark = docs.sparkSession
     rows = lambda df, i, t: df.filter(F.col(i).isNotNull()).select(F.col(i).cast("long").alias("id"), F.coalesce(F.col(t), F.lit("")).alias("text"))
-    items = materialize(all_windows(rows(benchmark, item_col, item_text), None), "bench-windows")
-    lengths = sorted(r["n"] for r in items.select("n").distinct().collect())  # 1 to WORDS
+    items = materialize(all_windows(rows(benchmark, item_col, item_text), None, []), "bench-windows")
+    kinds = items.select("n", "exact").distinct().collect()
+    lengths, exact = (sorted(r["n"] for r in kinds if r["exact"] == e) for e in (False, True))  # 1 to WORDS
     distinct = items.select("hash").distinct()
     n_hashes = distinct.count()
     sift = None
     if 0 < n_hashes <= broadcast_windows:
         hashes = np.sort(distinct.toPandas()["hash"].to_numpy(np.int64).view(np.uint64))
         sift = spark.sparkContext.broadcast(hashes)
-    found = all_windows(rows(docs, id_col, text_col), lengths or [WORDS], sift)
+    found = all_windows(rows(docs, id_col, text_col), lengths, exact, sift)
     item = items.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "n", "hash", F.col("slots").alias("item_slots"))
     totals = items.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("at").alias("item_windows"))
     pairs = found.withColumnRenamed("id", "doc_id").join(item, ["hash", "n"])
     pairs = pairs.select("doc_id", "item_id", "at", "item_at", (F.col("at") - F.col("item_at")).alias("diagonal"), "slots", "item_slots").distinct()
     pairs = materialize(pairs, "leak-pairs")
 
-    # values on one diagonal: a row for each placeholder of the item's passage
-    values = pairs.withColumn("v", F.explode(F.arrays_zip("slots", "item_slots"))).select(
-        "doc_id", "item_id", "diagonal", F.col("v.slots.kind").alias("kind"), F.col("v.slots.value").alias("doc_value"), F.col("v.item_slots.value").alias("item_value")).distinct()
-    by = ["doc_id", "item_id", "diagonal", "kind"]
-    kinds = values.groupBy(*by).agg(F.count("*").alias("pairs"), F.countDistinct("item_value").alias("item_values"), F.countDistinct("doc_value").alias("doc_values"), F.max((F.col("doc_value") != F.col("item_value")).cast("int")).alias("changed"))
-    bad = (F.col("pairs") > F.col("item_values")) | (F.col("kind") == NAMED) & (F.col("pairs") > F.col("doc_values"))
-    sound = kinds.groupBy(*by[:3]).agg(F.max(bad.cast("int")).alias("bad"), F.max("changed").alias("changed"))
-    kept = pairs.join(sound, by[:3], "left").filter("coalesce(bad, 0) = 0")
-    leaks = kept.groupBy("doc_id", "item_id").agg(F.countDistinct("item_at").alias("n_windows"), F.max(F.coalesce("changed", F.lit(0))).cast("boolean").alias("reparameterised")).join(totals, "item_id")
+    # names and units on one diagonal
+    zipped = F.transform(F.arrays_zip("slots", "item_slots"), lambda v: F.struct(v["slots"]["at"].alias("at"), v["slots"]["kind"].alias("kind"), v["item_slots"]["value"].alias("item_value"), v["slots"]["value"].alias("doc_value")))
+    pairs = pairs.withColumn("values", zipped)
+    on = ["doc_id", "item_id", "diagonal"]
+    bound = F.filter("values", lambda v: v["kind"].isin(UNIT, NAMED))
+    votes = pairs.withColumn("v", F.explode(bound)).groupBy(*on, "v.kind", "v.item_value", "v.doc_value").agg(F.countDistinct("v.at").alias("places"))
+    votes = votes.groupBy(*on).agg(F.collect_list(F.struct("kind", "item_value", "doc_value", "places")).alias("votes"))
+    voted = votes.mapInArrow(settle, "doc_id long, item_id long, diagonal int, voted array<struct<kind:int,item_value:string,doc_value:string>>")
+
+    pair = lambda v: F.struct(v["kind"].alias("kind"), v["item_value"].alias("item_value"), v["doc_value"].alias("doc_value"))
+    changed = F.exists("values", lambda v: v["doc_value"] != v["item_value"])
+    stray = F.exists(bound, lambda v: (v["doc_value"] != v["item_value"]) & ~F.array_contains(F.coalesce("voted", F.array()), pair(v)))
+    kept = pairs.join(voted, on, "left").filter(~stray).withColumn("changed", changed)
+    leaks = kept.groupBy("doc_id", "item_id").agg(F.countDistinct("item_at").alias("n_windows"), F.max("changed").alias("reparameterised")).join(totals, "item_id")
     leaks = leaks.withColumn("coverage", F.col("n_windows") / F.col("item_windows"))
     enough = (F.col("n_windows") >= F.least(F.lit(LEAST_WINDOWS), F.col("item_windows"))) & (F.col("coverage") >= LEAST_SHARE)
     return leaks.filter(enough).select("doc_id", "item_id", "n_windows", "item_windows", "coverage", "reparameterised")
