@@ -61,6 +61,18 @@ def test_pii_discovers_by_context(spark, odd, empty):
     assert pii.find_personal_data(odd).count() == len(ODD) and pii.find_personal_data(empty).count() == 0
 
 
+def test_pii_goes_beyond_seeds_and_single_tokens(spark):
+    say = lambda x: f"please ring me at {x} today ok"
+    rows = [(i, say(f"+1 (234) 555-{i:04d}")) for i in range(60)]
+    rows += [(100 + i, say(f"9{i}-555-77{i}")) for i in range(6)] + [(200 + i, f"my cell number 9{i}-555-77{i} works fine") for i in range(6)]
+    rows += [(300, "my cell number 71-222-33 works fine"), (301, say("(974) 555-3436")), (302, say("974 555 3436")), (303, say("frontdesk"))]
+    rows += [(400 + i, f"the code x{i}99y went off") for i in range(6)]
+    rows += [(500 + i, f"they speak of +1 (300) 555-{i:04d} now") for i in range(5)] + [(600 + i, f"they speak of {w} now") for i, w in enumerate(("rain", "lunch", "school"))]  # words in a context of seeds
+    out = pii.find_personal_data(spark.createDataFrame(rows, DOCS)).toPandas().set_index("doc_id")
+    assert set(out.index[out.n_added > 0]) == {*range(100, 106), *range(200, 206), *range(300, 304)}
+    assert list(out.loc[[300, 301, 302, 303], "spans"]) == ["phone:15:24", "phone:18:32", "phone:18:30", "phone:18:27"]
+
+
 def brute_components(rows, words):
     sets = []
     for _, t in rows:

@@ -1,11 +1,14 @@
 """Personal data by bootstrapped contextual extraction.
 
-One pass over the texts finds base entities (e-mail, IP, card, phone) and other identifier-like tokens, each with the
-lexical patterns around it: the two words before it, the word before and the word after it, and the part of its token in
-front of `=` or `:`. The base entities are seeds. Patterns and instances form a graph that Spark scores in rounds: a
-pattern's confidence in a kind is the mean score of its instances, if enough different seeds of the kind stand in it; an
-unknown instance scores the noisy-or of its confident patterns. Unknown instances with a high score, at places where a
-confident pattern holds, are added to the base spans.
+A pass over the texts finds base entities (e-mail, IP, card, phone), other tokens with digits and groups of digits joined by
+blanks and marks, each with the lexical patterns around it: the two words before it, the word before and the word after it,
+and the part of its token in front of `=` or `:`. The base entities are seeds. Patterns and instances form a graph that Spark
+scores in rounds: a pattern's confidence in a kind is the mean score of its instances, if enough different seeds or accepted
+instances of the kind stand in it; an unknown instance scores the noisy-or of its confident patterns. Rounds end when no
+score rises. Then all other tokens (without digits, short or long) that stand where a confident pattern holds, or were
+accepted, join the graph, and rounds begin anew, until every confident pattern has been looked up so. These tokens are judged
+by the confidence over all instances of a pattern, tokens with digits by that over tokens with digits. Unknown instances with
+a high score, at places where a confident pattern holds, are added to the base spans, the longest where they overlap.
 
 Defined cases: a null text counts as empty; rows that repeat are extracted each on its own; spans are in code points,
 end exclusive; an empty table gives an empty result; other columns are ignored.
@@ -15,7 +18,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import accumulate, islice, takewhile
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,9 +28,11 @@ from pyspark.sql import functions as F
 from winlens.llm.common import materialize, table, text_rows
 
 KINDS = ("email", "ip", "card", "phone")
-#: A pattern counts from so many different seeds and this confidence; an instance is accepted from this score.
-MIN_SEEDS, CONFIDENT, ACCEPT, ROUNDS = 5, 0.8, 0.9, 2
-#: Tokens of other lengths are not taken for identifiers.
+#: A pattern counts from so many different seeds or accepted instances and this confidence; an instance is accepted from this score.
+#: Scores that rise by no more are the same.
+MIN_SEEDS, CONFIDENT, ACCEPT = 5, 0.8, 0.9
+SAME = 1e-6
+#: Tokens with digits of other lengths are candidates only where a confident pattern holds.
 TOKEN_CHARS = (5, 64)
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -35,6 +41,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]++")
+_GROUPS = re.compile(r"\(?[0-9]++(?:[ .()-]{1,3}[0-9]++)+")
+_TOKEN = re.compile(r"\S+")
 _PREFIX = re.compile(r"^[A-Za-z_]+[=:]")
 _EDGE = ".,;:!?\"'()[]{}<>"
 _SPACE = re.compile(r"\s")
@@ -100,6 +108,46 @@ def other_tokens(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int
     return found
 
 
+def overlaps(spans: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[bool]:
+    """Whether each span touches a taken one; both in order."""
+    out, k = [], 0
+    reach = list(accumulate((e for _, e in taken), max))
+    for start, end in spans:
+        while k < len(taken) and reach[k] <= start:
+            k += 1
+        out.append(any(e > start for _, e in takewhile(lambda t: t[0] < end, islice(taken, k, None))))
+    return out
+
+
+def digit_groups(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Spans of two or more groups of digits, joined by blanks, dots, brackets or dashes, that hold a blank or bracket and touch none of the taken spans."""
+    found = [m.span() for m in _GROUPS.finditer(text) if TOKEN_CHARS[0] <= m.end() - m.start() <= TOKEN_CHARS[1] and any(c in m[0] for c in " (")]
+    return [x for x, hit in zip(found, overlaps(found, sorted((s, e) for s, _, e in taken)), strict=True) if not hit]
+
+
+def plain(word: str) -> str:
+    return re.sub("[0-9]", "0", word.lower())
+
+
+def rare_tokens(text: str, mentions: list[dict], wanted: tuple[frozenset, frozenset, frozenset]) -> list[tuple[int, int]]:
+    """Spans of tokens that touch no mention of a base entity and are no mention, but stand where a wanted pattern holds or are wanted."""
+    holds, heads, instances = wanted
+    known = {(m["start"], m["end"]) for m in mentions}
+    found, prior = [], ""
+    for m in _TOKEN.finditer(text):
+        word = m[0]
+        bare = word.strip(_EDGE)
+        lead = word[: len(word) - len(word.lstrip(_EDGE))]
+        before, prior = plain(lead) if lead else prior, plain(word)
+        if bare and (before in heads or "=" in bare or ":" in bare or bare.lower() in instances):
+            start = m.start() + len(lead)
+            span = (start, start + len(bare))
+            if span not in known and (bare.lower() in instances or not holds.isdisjoint(patterns(text, *span))):
+                found.append(span)
+    taken = sorted((m["start"], m["end"]) for m in mentions if m["kind"] is not None)
+    return [x for x, hit in zip(found, overlaps(found, taken), strict=True) if not hit]
+
+
 def patterns(text: str, start: int, end: int) -> list[str]:
     before = re.sub("[0-9]", "0", text[max(0, start - 80) : start].lower()).split()[-2:]
     after = re.sub("[0-9]", "0", text[end : end + 60].lower().lstrip(_EDGE)).split()[:1]
@@ -118,12 +166,16 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-_FOUND = "array<struct<kind:int,start:int,end:int,instance:string,patterns:array<string>>>"
+_FOUND = "array<struct<kind:int,start:int,end:int,instance:string,patterns:array<string>,rare:boolean>>"
+_MENTION = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("instance", pa.string()), ("patterns", pa.list_(pa.string())), ("rare", pa.bool_())])
+
+
+def mention(text: str, kind: int | None, start: int, end: int, rare: bool) -> dict:
+    return {"kind": kind, "start": start, "end": end, "instance": text[start:end].lower(), "patterns": patterns(text, start, end), "rare": rare}
 
 
 def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to doc_id, counts by kind, base spans, digest, and all mentions with their patterns (kind null: unknown)."""
-    mention = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))])
+    """(doc_id, text) to doc_id, counts by kind, base spans, digest, text, and all mentions with their patterns (kind null: unknown)."""
     for b in batches:
         counts: list[list[int]] = [[] for _ in KINDS]
         spans, digests, mentions = [], [], []
@@ -133,42 +185,75 @@ def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 column.append(sum(x[1] == k for x in base))
             spans.append(joined(base))
             digests.append(hashlib.sha256(spans[-1].encode()).hexdigest())
-            of = [(k, s, e) for s, k, e in base] + [(None, s, e) for s, e in other_tokens(text, base)]
-            mentions.append([{"kind": k, "start": s, "end": e, "instance": text[s:e].lower(), "patterns": patterns(text, s, e)} for k, s, e in of])
-        arrays = [b.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(mentions, pa.list_(mention))]
-        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "mentions"])
+            tokens = other_tokens(text, base)
+            starts = {s for s, _ in tokens}
+            of = [(k, s, e, False) for s, k, e in base] + [(None, s, e, False) for s, e in tokens] + [(None, s, e, s in starts) for s, e in digit_groups(text, base)]
+            mentions.append([mention(text, *x) for x in of])
+        arrays = [b.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(spans, pa.string()), b.column(1), pa.array(mentions, pa.list_(_MENTION))]
+        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "text", "mentions"])
+
+
+def look_up(wanted) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(row, text, mentions) to row and the mentions of rare_tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [[mention(t, None, s, e, True) for s, e in rare_tokens(t, m, wanted.value)] for t, m in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(_MENTION))], ["row", "mentions"])
+
+    return run
 
 
 def bootstrap(mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """mentions(kind, instance, pattern): confident patterns (pattern, kind) and accepted unknown instances (instance, kind)."""
-    edges = mentions.groupBy("pattern", "instance").agg(*(F.max((F.col("kind") == k).cast("int")).alias(f"seed{k}") for k in range(len(KINDS))))
+    """mentions(kind, instance, pattern, rare): confident patterns (pattern, kind, rare) and accepted unknown instances (instance, kind)."""
+    ks = range(len(KINDS))
+    edges = mentions.groupBy("pattern", "instance").agg(F.min("rare").alias("rare"), *(F.max((F.col("kind") == k).cast("int")).alias(f"seed{k}") for k in ks))
     edges = materialize(edges.na.fill(0), "pii-edges")
-    seeds = edges.groupBy("instance").agg(*(F.max(f"seed{k}").cast("double").alias(f"s{k}") for k in range(len(KINDS))))
-    known = sum(F.col(f"s{k}") for k in range(len(KINDS))) > 0
-    scores, confident = materialize(seeds, "pii-seeds"), None
-    for _ in range(ROUNDS):
-        conf = edges.join(scores, "instance").groupBy("pattern").agg(*(F.avg(f"s{k}").alias(f"c{k}") for k in range(len(KINDS))), *(F.sum(f"seed{k}").alias(f"n{k}") for k in range(len(KINDS))))
-        sure = [F.when((F.col(f"n{k}") >= MIN_SEEDS) & (F.col(f"c{k}") >= CONFIDENT), F.col(f"c{k}")).otherwise(0.0).alias(f"c{k}") for k in range(len(KINDS))]
-        confident = materialize(conf.select("pattern", *sure).filter(" or ".join(f"c{k} > 0" for k in range(len(KINDS)))), "pii-patterns")
-        noisy_or = [1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col(f"c{k}"))))) for k in range(len(KINDS))]
+    seeds = edges.groupBy("instance").agg(*(F.max(f"seed{k}").cast("double").alias(f"s{k}") for k in ks))
+    scores = materialize(seeds.withColumn("known", sum(F.col(f"s{k}") for k in ks) > 0), "pii-seeds")
+    while True:
+        support = lambda k: F.greatest(f"seed{k}", (~F.col("known") & (F.col(f"s{k}") >= ACCEPT)).cast("int"))
+        conf = edges.join(scores, "instance").groupBy("pattern").agg(
+            *(F.avg(F.when(~F.col("rare"), F.col(f"s{k}"))).alias(f"c{k}") for k in ks), *(F.avg(f"s{k}").alias(f"a{k}") for k in ks), *(F.sum(support(k)).alias(f"n{k}") for k in ks))
+        sure = [F.when((F.col(f"n{k}") >= MIN_SEEDS) & (F.col(f"{c}{k}") >= CONFIDENT), F.col(f"{c}{k}")).otherwise(0.0).alias(f"{c}{k}") for c in "ca" for k in ks]
+        confident = materialize(conf.select("pattern", *sure).filter(" or ".join(f"{c}{k} > 0" for c in "ca" for k in ks)), "pii-patterns")
+        noisy_or = [1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.when(F.col("rare"), F.col(f"a{k}")).otherwise(F.col(f"c{k}")))))) for k in ks]
         unknown = edges.join(confident, "pattern").groupBy("instance").agg(*(x.alias(f"u{k}") for k, x in enumerate(noisy_or)))
         both = scores.join(unknown, "instance", "left")
-        scores = materialize(both.select("instance", *(F.when(known, F.col(f"s{k}")).otherwise(F.coalesce(f"u{k}", F.lit(0.0))).alias(f"s{k}") for k in range(len(KINDS)))), "pii-scores")
-    best = lambda c: F.array_max(F.array(*(F.struct(F.col(f"{c}{k}").alias("score"), F.lit(-k).alias("kind")) for k in range(len(KINDS)))))
-    accepted = scores.join(seeds.filter(known).select("instance"), "instance", "left_anti").select("instance", best("s").alias("b")).filter(F.col("b.score") >= ACCEPT)
-    return confident.select("pattern", (-best("c")["kind"]).alias("kind")), accepted.select("instance", (-F.col("b.kind")).alias("kind"))
+        new = [F.when(F.col("known"), F.col(f"s{k}")).otherwise(F.coalesce(f"u{k}", F.lit(0.0))) for k in ks]
+        rise = F.greatest(*(x - F.col(f"s{k}") for k, x in enumerate(new)))
+        scores = materialize(both.select("instance", "known", *(x.alias(f"s{k}") for k, x in enumerate(new)), rise.alias("rise")), "pii-scores")
+        # scores only rise: they are means and noisy-ors of what rose before
+        if (scores.agg(F.max("rise")).first()[0] or 0) <= SAME:
+            break
+    best = lambda c: F.array_max(F.array(*(F.struct(F.col(f"{c}{k}").alias("score"), F.lit(-k).alias("kind")) for k in ks)))
+    accepted = scores.filter(~F.col("known")).select("instance", best("s").alias("b")).filter(F.col("b.score") >= ACCEPT)
+    sides = [confident.select("pattern", best(c).alias("b"), F.lit(c == "a").alias("rare")).filter("b.score > 0") for c in "ca"]
+    return sides[0].union(sides[1]).select("pattern", (-F.col("b.kind")).alias("kind"), "rare"), accepted.select("instance", (-F.col("b.kind")).alias("kind"))
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, counts of base entities, base_sha256, spans (base and added, `kind:start:end`), n_added."""
     fields = ", ".join(f"n_{k} long" for k in KINDS)
-    found = text_rows(docs, id_col, text_col).mapInArrow(extract, f"doc_id long, {fields}, base_sha256 string, base string, mentions {_FOUND}")
+    found = text_rows(docs, id_col, text_col).mapInArrow(extract, f"doc_id long, {fields}, base_sha256 string, base string, text string, mentions {_FOUND}")
     found = materialize(found.withColumn("row", F.monotonically_increasing_id()), "pii-found")
-    each = found.filter(F.size("mentions") > 0).select("row", F.explode("mentions").alias("m")).select("row", "m.*")
-    each = each.withColumn("pattern", F.explode("patterns"))
-    confident, accepted = bootstrap(each.select("kind", "instance", "pattern"))
-    added = each.filter("kind is null").drop("kind").join(accepted, "instance").join(confident, ["pattern", "kind"], "left_semi")
+    flat = lambda df: df.filter(F.size("mentions") > 0).select("row", F.explode("mentions").alias("m")).select("row", "m.*").withColumn("pattern", F.explode("patterns"))
+    each, looked = flat(found), (frozenset(), frozenset())
+    while True:
+        confident, accepted = bootstrap(each.select("kind", "instance", "pattern", "rare"))
+        rare = each.filter("rare").join(accepted, "instance", "left_semi").select("instance").distinct()
+        now = tuple(frozenset(r[0] for r in df.toLocalIterator()) for df in (confident.select("pattern").distinct(), rare))
+        if all(a <= b for a, b in zip(now, looked, strict=True)):
+            break
+        looked = tuple(a | b for a, b in zip(now, looked, strict=True))
+        heads = frozenset(p[2:].split(" ")[1 if p[0] == "L" else 0] for p in looked[0] if p[0] != "P")
+        wanted = docs.sparkSession.sparkContext.broadcast((looked[0], heads, looked[1]))
+        rows = found.select("row", "text", "mentions").mapInArrow(look_up(wanted), f"row long, mentions {_FOUND}")
+        each = flat(found).unionByName(materialize(flat(rows), "pii-rare"))
+    added = each.filter("kind is null").drop("kind").join(accepted, "instance").join(confident, ["pattern", "kind", "rare"], "left_semi")
     added = added.select("row", "kind", "start", "end").distinct().groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("added"))
+    inner = lambda x, y: (y["start"] <= x["start"]) & (x["end"] <= y["end"]) & (x["end"] - x["start"] < y["end"] - y["start"])
+    added = added.withColumn("added", F.filter("added", lambda x: ~F.exists("added", lambda y: inner(x, y))))
     return merged(found.join(added, "row", "left"))
 
 
