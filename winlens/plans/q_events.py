@@ -388,9 +388,18 @@ def x7(spark, d):
 
 @query("x9_incident_facts", f"{E}, t AS (SELECT incident, seq, CASE type WHEN 'windows' THEN 'classified ' || k || ' windows' WHEN 'proposed' THEN 'proposed ' || action WHEN 'executed' THEN 'executed ' || action END AS line FROM log WHERE seq % 10 = 0 AND type IN ('windows', 'proposed', 'executed')) SELECT incident, string_agg(line, chr(10) ORDER BY seq) || CASE WHEN bool_or(line LIKE 'executed%') THEN '' ELSE chr(10) || 'nothing was executed' END AS facts FROM t GROUP BY 1")
 def x9(spark, d):
+    return incident_facts(log(spark, d).filter("seq % 10 = 0"))
+
+
+@query("x9_incident_facts_all", f"{E}, t AS (SELECT incident, seq, CASE type WHEN 'windows' THEN 'classified ' || k || ' windows' WHEN 'proposed' THEN 'proposed ' || action WHEN 'executed' THEN 'executed ' || action END AS line FROM log WHERE type IN ('windows', 'proposed', 'executed')) SELECT incident, string_agg(line, chr(10) ORDER BY seq) || CASE WHEN bool_or(line LIKE 'executed%') THEN '' ELSE chr(10) || 'nothing was executed' END AS facts FROM t GROUP BY 1")
+def x9_all(spark, d):
+    return incident_facts(log(spark, d))
+
+
+def incident_facts(rows):
     t = F.col("type")
     line = F.when(t == "windows", F.concat(F.lit("classified "), F.col("k"), F.lit(" windows"))).when(t == "proposed", F.concat(F.lit("proposed "), F.col("action"))).when(t == "executed", F.concat(F.lit("executed "), F.col("action")))
-    rows = log(spark, d).filter("seq % 10 = 0").withColumn("line", line).filter("line is not null")
+    rows = rows.withColumn("line", line).filter("line is not null")
     g = rows.groupBy("incident").agg(F.sort_array(F.collect_list(F.struct("seq", "line"))).alias("l"), F.bool_or(t == "executed").alias("done"))
     return g.select("incident", F.concat_ws("\n", F.transform("l", lambda x: x["line"]), F.when(~F.col("done"), F.lit("nothing was executed"))).alias("facts"))
 
