@@ -20,3 +20,9 @@ def test_incident_facts_of_the_whole_log(spark, duck):
             lines[r.incident].append(says[r.type](r))
             done |= {r.incident} if r.type == "executed" else set()
     assert dict(zip(ours.incident, ours.facts, strict=True)) == {i: "\n".join(x + ["nothing was executed"] * (i not in done)) for i, x in lines.items()}
+
+
+def test_all_blocks_are_placed(spark, duck):
+    ours = matches_sql(spark, duck, "j11_block_placement_all")
+    n = spark.read.parquet(f"{DATA}/embeddings.parquet").count()
+    assert ours.votes.sum() == n and sorted(ours.block) == list(range(-(-n // 50)))

@@ -347,6 +347,15 @@ def j11(spark, d):
     return ma.place_blocks(ours, official, "block", "row", "position", ["f0", "f1"])
 
 
+@query("j11_block_placement_all", "WITH b AS (SELECT CAST(vec_id // 50 AS BIGINT) AS block, count(*) AS votes FROM embeddings GROUP BY 1) SELECT block, (max(block) OVER () - block) * 50 AS at, votes FROM b")
+def j11_all(spark, d):
+    # the official file has all blocks in reversed order
+    v = vectors(spark, d).select("vec_id", "f0", "f1").withColumn("block", F.floor(F.col("vec_id") / 50)).withColumn("row", F.col("vec_id") % 50)
+    last = F.broadcast(v.agg(F.max("block").alias("last")))
+    official = v.join(last).select("f0", "f1", ((F.col("last") - F.col("block")) * 50 + F.col("row")).alias("position"))
+    return ma.place_blocks(v.select("block", "row", "f0", "f1"), official, "block", "row", "position", ["f0", "f1"])
+
+
 @query("a22_match_report", f"""{V}, {_AB}, x AS (SELECT q0, q1, q2, count(*) AS n FROM a GROUP BY ALL), y AS (SELECT q0, q1, q2, count(*) AS m FROM b GROUP BY ALL) SELECT CAST(sum(n) AS BIGINT) AS n_ours, CAST(sum(least(n, coalesce(m, 0))) AS BIGINT) AS matched, CAST(sum(n - least(n, coalesce(m, 0))) AS BIGINT) AS unmatched, count(*) FILTER (n = 1) AS unique_rows, count(*) FILTER (n = 1 AND m >= 1) AS unique_matched FROM x LEFT JOIN y USING (q0, q1, q2)""")
 def a22(spark, d):
     m = ma.multiset_match(*halves(spark, d), KEY).filter("n_ours > 0")
