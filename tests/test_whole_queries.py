@@ -1,7 +1,10 @@
 import collections
+import hashlib
+import re
 
 import __spark_entry__ as entry
 from tests.conftest import DATA, normal
+from winlens.functions import text as tx
 from winlens.plans import q_events
 
 
@@ -26,3 +29,16 @@ def test_all_blocks_are_placed(spark, duck):
     ours = matches_sql(spark, duck, "j11_block_placement_all")
     n = spark.read.parquet(f"{DATA}/embeddings.parquet").count()
     assert ours.votes.sum() == n and sorted(ours.block) == list(range(-(-n // 50)))
+
+
+def test_texts_with_digits_are_masked(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()
+
+    def mask(t):
+        for rx in (tx.MAC, tx.IPV6, tx.IPV4):
+            t = re.sub(rx, tx.MARK, t.translate(str.maketrans(tx._WIDE, "0123456789.:")))
+        return len(t), t.count(tx.MARK), hashlib.sha256(t.encode()).hexdigest()
+
+    for name, first in (("x1_x11_masked_texts", str), ("x2_labels_in_all_texts", lambda t: t.replace("the", "<A>").replace("de", "<B>"))):
+        got = {r["doc_id"]: (r["n"], r["n_marks"], r["digest"]) for r in entry.queries()[name](spark, DATA).collect()}
+        assert got == {r["doc_id"]: mask(first(r["text"])) for r in docs} and any(n for _, n, _ in got.values())

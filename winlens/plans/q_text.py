@@ -50,6 +50,21 @@ def x2(spark, d):
     return docs.select("doc_id", F.length(tx.replace_addresses(F.col("text"), pairs)).cast("long").alias("n"))
 
 
+def marked(spark, d, text):
+    n = F.regexp_count("masked", F.lit(r"\[address\]"))
+    return ad.table(spark, d, "documents").select("doc_id", text.alias("masked")).select("doc_id", F.length("masked").cast("long").alias("n"), n.cast("long").alias("n_marks"), F.sha2("masked", 256).alias("digest"))
+
+
+@query("x1_x11_masked_texts")
+def x1_all(spark, d):
+    return marked(spark, d, tx.mask_addresses(F.col("text")))
+
+
+@query("x2_labels_in_all_texts")
+def x2_all(spark, d):
+    return marked(spark, d, tx.replace_addresses(F.col("text"), F.array(*(F.struct(F.lit(a).alias("address"), F.lit(b).alias("label")) for a, b in (("de", "<B>"), ("the", "<A>"))))))
+
+
 @query("x3_invisible", "SELECT doc_id, doc_id % 10 = 0 AS hidden, length(text) + CASE WHEN doc_id % 10 = 0 THEN 1 ELSE 0 END AS n FROM documents")
 def x3(spark, d):
     t = F.when(F.col("doc_id") % 10 == 0, F.concat(F.col("text"), F.lit("​"))).otherwise(F.col("text"))
