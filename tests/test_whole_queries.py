@@ -42,3 +42,8 @@ def test_texts_with_digits_are_masked(spark):
     for name, first in (("x1_x11_masked_texts", str), ("x2_labels_in_all_texts", lambda t: t.replace("the", "<A>").replace("de", "<B>"))):
         got = {r["doc_id"]: (r["n"], r["n_marks"], r["digest"]) for r in entry.queries()[name](spark, DATA).collect()}
         assert got == {r["doc_id"]: mask(first(r["text"])) for r in docs} and any(n for _, n, _ in got.values())
+
+
+def test_all_of_a_half_is_searched(spark, duck):
+    ours = matches_sql(spark, duck, "j6_nearest_all")
+    assert len(ours) > 4 * entry.queries()["j6_nearest"](spark, DATA).count()

@@ -312,6 +312,16 @@ def j6(spark, d):
     return out.select("vec_id", "outcome", F.col("n_differ").cast("long").alias("n_differ"))
 
 
+@query("j6_nearest_all", f"""{V}, {_AB}, s AS (SELECT * FROM a), r AS (SELECT DISTINCT q0, q1, q2, q3, q4, q5 FROM b),
+ d AS (SELECT s.vec_id, 1 AS k, min((s.q2 <> r.q2)::INT + (s.q3 <> r.q3)::INT + (s.q4 <> r.q4)::INT + (s.q5 <> r.q5)::INT) AS n FROM s JOIN r USING (q0, q1) GROUP BY 1 UNION ALL
+  SELECT s.vec_id, 2, min((s.q0 <> r.q0)::INT + (s.q1 <> r.q1)::INT + (s.q4 <> r.q4)::INT + (s.q5 <> r.q5)::INT) FROM s JOIN r USING (q2, q3) GROUP BY 1)
+SELECT s.vec_id, CASE min(k) WHEN 1 THEN 'key1' WHEN 2 THEN 'key2' ELSE 'none' END AS outcome, CAST(arg_min(n, k) AS BIGINT) AS n_differ FROM s LEFT JOIN d USING (vec_id) GROUP BY 1""")
+def j6_all(spark, d):
+    a, b = halves(spark, d)
+    out = ma.nearest(a, b, "vec_id", [["q0", "q1"], ["q2", "q3"]], [f"q{i}" for i in range(6)])
+    return out.select("vec_id", "outcome", F.col("n_differ").cast("long").alias("n_differ"))
+
+
 @query("j7_coverage", f"""{V}, {_AB}, x AS (SELECT q0, q1, q2, count(*) AS n_ours FROM a GROUP BY ALL), y AS (SELECT q0, q1, q2, truth, count(*) AS n FROM b GROUP BY ALL), z AS (SELECT *, n + 0 AS m, coalesce(sum(n) OVER (PARTITION BY q0, q1, q2 ORDER BY truth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM y)
 SELECT CAST(truth AS BIGINT) AS truth, CAST(sum(n) AS BIGINT) AS n_rows, CAST(sum(greatest(0, least(n, coalesce(n_ours, 0) - before))) AS BIGINT) AS covered FROM z LEFT JOIN x USING (q0, q1, q2) GROUP BY 1""")
 def j7(spark, d):
