@@ -1,7 +1,14 @@
 """From raw documents to token ids: quality, exact copies, near copies, benchmark leaks, encoding.
 
 Each stage takes (spark, docs, sf_dir), decides over all that its predecessor kept, and returns the columns of documents;
-the last one returns token ids.
+the last one returns token ids. Near copies are judged on five-word shingles, the size that holds for stages (four words are what
+the contract of the query op2 asks for).
+
+Defined cases: a null text counts as empty; an empty text has the classifier's bias as its score, equals other empty texts, has
+no shingle and no benchmark item, and no ids; very long texts pass all stages whole; rows without id are kept unless their text has
+a copy with an id or is of low quality, as they can be neither near copies nor leaks of a known document; rows repeated with their
+id are one document and share its fate; an empty table of documents gives no rows, and without labels every score is 0.5, so
+nothing is kept; tables may have more columns, which stages carry to the last one.
 """
 
 from __future__ import annotations
@@ -22,8 +29,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the largest id."""
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    return exact_dedup.exact_dedup(docs, carry=others).filter("kept").select(docs.columns)
+    return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -130,7 +130,9 @@ def test_exact_dedup(spark, odd, empty):
         groups[t].append(d)
     assert sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got) == sorted((d, max(g), len(g), d == max(g)) for g in groups.values() for d in g)
     assert exact_dedup.exact_dedup(odd).count() == len(ODD) and exact_dedup.exact_dedup(empty).count() == 0
-    assert {r["keep_id"] for r in exact_dedup.exact_dedup(odd, carry=("size",)).collect() if r["doc_id"] in (1, 2)} == {2}
+    assert {r["keep_id"] for r in exact_dedup.exact_dedup(odd).collect() if r["doc_id"] in (1, 2)} == {2}
+    kept = exact_dedup.drop_copies(odd)
+    assert kept.columns == odd.columns and sorted((r["doc_id"], r["text"]) for r in kept.collect() if r["doc_id"]) == sorted(x for x in ODD if x[0] and x[0] != 1)
 
 
 def test_quality_learns_and_handles_odd_rows(spark, odd, empty):
@@ -211,8 +213,8 @@ def test_decontamination(spark, odd, empty):
         (1, "Quiz: we know that Carol has 9 apples and gives 2 apples to Dave, so how many apples does Carol have left now? ok"),
         (2, "we know that Carol has 9 apples and gives 2 apples to Dave, so how many apples does Erin have left now?"),
         (3, "nothing of the kind is in here at all, so how many"), (4, None), (4, "")], DOCS)
-    for limit in (0, 1000):  # with and without the broadcast sieve
-        got = decontamination.find_leaks(docs, bench, broadcast_windows=limit).collect()
+    for bits in (4, 20):  # with a sieve that lets all pass, and one that does not
+        got = decontamination.find_leaks(docs, bench, sieve_bits=bits).collect()
         assert [(r["doc_id"], r["item_id"], r["reparameterised"]) for r in got] == [(1, 1, True)]
     assert decontamination.find_leaks(odd, bench).count() == 0 and decontamination.find_leaks(empty, bench).count() == 0
     assert decontamination.find_leaks(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
@@ -235,8 +237,8 @@ def test_decontamination_drops_windows_not_passages(spark):
         (7, "yesterday the baker met Berta near the old mill"),
         (8, "x y " + items[4][1].replace("Alice", "Carol", 2).replace("Alice", "Erin"))]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for limit in (decontamination.BROADCAST_WINDOWS, 0):
-        got = {(r["doc_id"], r["item_id"]): r for r in decontamination.find_leaks(spark.createDataFrame(rows, DOCS), bench, broadcast_windows=limit).collect()}
+    for bits in (decontamination.SIEVE_BITS, 4):
+        got = {(r["doc_id"], r["item_id"]): r for r in decontamination.find_leaks(spark.createDataFrame(rows, DOCS), bench, sieve_bits=bits).collect()}
         assert [(*k, r["reparameterised"]) for k, r in sorted(got.items())] == [(1, 1, True), (2, 1, True), (3, 2, False), (4, 3, False), (5, 4, False), (8, 5, True)]
         assert got[1, 1]["coverage"] == got[4, 3]["coverage"] == 1
         assert 0 < got[3, 2]["n_windows"] < got[3, 2]["item_windows"] and 0 < got[5, 4]["n_windows"] < got[5, 4]["item_windows"]

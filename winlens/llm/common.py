@@ -2,28 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from winlens.sources.scratch import discard, materialize
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, named by spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("winlens.scratch.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="spark-winlens-")
-        spark.conf.set("winlens.scratch.dir", path)
-    return path.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/winlens-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["discard", "fold", "materialize", "table", "text_rows"]
 
 
 def text_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -33,3 +17,8 @@ def text_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def fold(doc_id: Column, n: int) -> Column:
+    """crc32 of the id as text, mod n; a row without id is in none of the folds (-1)."""
+    return F.coalesce(F.pmod(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")), F.lit(n)), F.lit(-1))
