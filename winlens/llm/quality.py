@@ -6,9 +6,10 @@ texts weigh alike. Training: labelled rows (at most MAX_TRAIN, those with the le
 tasks; each runs FTRL-proximal over its rows and returns its weights, which are averaged and handed out again, ROUNDS
 times. Scoring is one sparse dot product per text.
 
-Defined cases: null texts count as empty, and an empty text has the model's bias as its score; a document with several
-labels counts as good only if all of them are; labels without a document and null labels are ignored; with no labels at
-all every score is 0.5; other columns are ignored.
+Defined cases: null texts count as empty, and an empty text has the model's bias as its score; a very long text is read whole,
+words of any length included; a document with several labels counts as good only if all of them are; labels without a document
+and null labels are ignored; with no labels at all every score is 0.5; repeated rows are scored each, and equally; a row without
+id is never held out; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winlens.llm.common import materialize, table, text_rows
+from winlens.llm.common import fold, materialize, table, text_rows
 
 BUCKETS = 1 << 17
 MAX_TRAIN, TRAIN_TASKS, ROUNDS, PASSES = 20_000, 6, 3, 2
@@ -35,7 +36,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 def shape(word: str) -> str:
     """The word with runs of capitals, small letters and digits as A, a and 0; other characters stay."""
     out, last = [], ""
-    for c in word[:24]:
+    for c in word:
         k = "0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c
         if k != last:
             out.append(k)
@@ -150,10 +151,6 @@ def score(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col:
     return rows.mapInArrow(run, f"doc_id long, score double{extra}").select("doc_id", "score", *(F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)))
 
 
-def fold(doc_id: Column, n: int) -> Column:
-    return F.pmod(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")), F.lit(n))
-
-
 def train_on(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> np.ndarray:
     """A model from the labelled documents whose fold is not 2: at most max_train, a documented bound on the fit alone."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)").filter(fold(F.col("doc_id"), 4) != 2)
