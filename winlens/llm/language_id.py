@@ -3,11 +3,13 @@
 Texts are lower-cased, ASCII characters other than letters become blanks, and the UTF-8 bytes are cut into windows of
 WINDOW bytes. Bytes are embedded; filters of several widths slide over a window, the largest response of each is kept,
 and a softmax over these gives the window's languages. A text's prediction is the mean over all its windows, weighted by
-their bytes. The fit uses a bounded sample (PER_LANG documents for each language, documented here); prediction covers
-every window of every text.
+their bytes. The fit uses a bounded sample, documented here: about PER_LANG documents for each language, and of each of them at
+most WINDOWS_PER_DOC windows, evenly spaced over the whole text. Prediction covers every window of every text.
 
-Defined cases: a null text, or one without any letter, is `und` with score 0; null languages are not learned; with no
-labelled text at all everything is `und`; repeated rows get equal results; other columns are ignored.
+Defined cases: a null text, or one without any letter, is `und` with score 0; a very long text is predicted from all of its
+windows; null languages are not learned; with no labelled text at all everything is `und`; between equal probabilities the
+language first in order wins; repeated rows get equal results; a row without id is never held out; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,13 +18,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winlens.llm.common import materialize, table, text_rows
+from winlens.llm.common import fold, materialize, table, text_rows
 
 WINDOW, EMBED, WIDTHS, FILTERS = 128, 8, (2, 3, 4), 12
-PER_LANG, WINDOWS_PER_DOC, EPOCHS, BATCH, RATE = 600, 4, 6, 64, 0.01
+#: Bounds of the fit (documents a language, windows of each of these), and its steps.
+PER_LANG, WINDOWS_PER_DOC = 600, 4
+EPOCHS, BATCH, RATE = 6, 64, 0.01
 BLANKS = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 WIDEST = max(WIDTHS)
 
@@ -64,6 +68,22 @@ class ByteCnn:
         out = np.exp(out - out.max(1, keepdims=True))
         return x, h, top, out / out.sum(1, keepdims=True)
 
+    def gradients(self, batch: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean cross entropy, by parameter."""
+        x, h, top, prob = self.forward(batch)
+        n = len(batch)
+        prob[np.arange(n), labels] -= 1
+        prob /= n
+        act = np.maximum(top, 0)
+        d_top = (prob @ self.p["v"].T) * (top > 0)
+        best = h.argmax(1)
+        used = x[np.arange(n)[:, None], best]  # n, hidden, patch
+        grads = {"v": act.T @ prob, "c": prob.sum(0), "b": d_top.sum(0), "w": np.einsum("nhp,nh->ph", used, d_top) * self.mask, "e": np.zeros_like(self.p["e"])}
+        d_patch = (self.p["w"].T[None] * d_top[:, :, None]).reshape(n, -1, WIDEST, EMBED)
+        where = best[:, :, None] + np.arange(WIDEST)
+        np.add.at(grads["e"], batch[np.arange(n)[:, None, None], where], d_patch)
+        return grads
+
     def fit(self, data: np.ndarray, labels: np.ndarray, seed: int = 6) -> None:
         rng = np.random.default_rng(seed)
         moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
@@ -75,20 +95,8 @@ class ByteCnn:
                 batch = data[pick].copy()
                 for row in batch[: len(batch) // 3]:  # short texts are learned as well
                     row[int(rng.integers(8, WINDOW)) :] = 0
-                x, h, top, prob = self.forward(batch)
-                n = len(batch)
-                prob[np.arange(n), labels[pick]] -= 1
-                prob /= n
-                act = np.maximum(top, 0)
-                d_top = (prob @ self.p["v"].T) * (top > 0)
-                best = h.argmax(1)
-                used = x[np.arange(n)[:, None], best]  # n, hidden, patch
-                grads = {"v": act.T @ prob, "c": prob.sum(0), "b": d_top.sum(0), "w": np.einsum("nhp,nh->ph", used, d_top) * self.mask, "e": np.zeros_like(self.p["e"])}
-                d_patch = (self.p["w"].T[None] * d_top[:, :, None]).reshape(n, -1, WIDEST, EMBED)
-                where = best[:, :, None] + np.arange(WIDEST)
-                np.add.at(grads["e"], batch[np.arange(n)[:, None, None], where], d_patch)
                 step += 1
-                for k, g in grads.items():
+                for k, g in self.gradients(batch, labels[pick]).items():
                     m, v = moments[k]
                     m += 0.1 * (g - m)
                     v += 0.001 * (g * g - v)
@@ -157,10 +165,6 @@ def identify(docs: DataFrame, model: ByteCnn, id_col: str = "doc_id", text_col:
     return text_rows(docs, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def fold(doc_id: Column, n: int) -> Column:
-    return F.pmod(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")), F.lit(n))
-
-
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "lang").filter(fold(F.col("doc_id"), 3) != 1)
