@@ -3,12 +3,14 @@
 For every prefix of a piece there is exactly one token that can end its encoding. It is the one vocabulary match ending
 there whose start is either 0 or a prefix whose own last token is compatible with it: two tokens are compatible if
 merging the bytes of both by rank leaves exactly these two. Matches ending at each position come from the suffix links
-of an automaton over the vocabulary; following the stored last tokens back from the end gives the ids. The work is
-linear in the piece, however long it is.
+of an automaton over the vocabulary (that of Aho and Corasick, whose links lead to the longest suffix that the vocabulary
+still knows); following the stored last tokens back from the end gives the ids. The work is linear in the piece, however
+long it is.
 
 Defined cases: a null text counts as empty and has no ids; a special token's string in a text becomes its id, as the
-tokenizers library does by default; every row is encoded on its own, so repeated rows give equal results; other columns
-are ignored.
+tokenizers library does by default; a very long text, even one without blanks, is encoded whole; a vocabulary that lacks a byte
+of the text is an error; every row is encoded on its own, so repeated rows give equal results; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -106,6 +108,8 @@ class PrefixBpe:
             end += 1
             if last[end] < 0 and (size == end or last[end - size] >= 0 and self.compatible(last[end - size], token)):
                 last[end], width[end] = token, size
+        if last[len(raw)] < 0 and raw:
+            raise ValueError("the vocabulary has no token for some byte of the text")
         ids, at = [], len(raw)
         while at:
             ids.append(last[at])
