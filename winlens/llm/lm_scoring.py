@@ -14,10 +14,12 @@ and a document's score is the sum of log S over its words. The relations:
 
 Hashes of one bucket travel as one packed column instead of a row each. An n-gram gives one entry for each block it is
 in, however often it occurs, and the number of buckets follows the input, so no task holds a share of the corpus.
+`relational_scores` is the same with one row for each n-gram of a document, in DataFrame functions alone; the README has the
+figures of both.
 
 Defined cases: words are runs of non-blank characters with A-Z lower-cased; a null or blank text has no words and score
-0 (mean null); repeated rows count as documents of their own; an empty table gives an empty result; other columns are
-ignored.
+0 (mean null); a very long text is scored whole, and ends its block; repeated rows count as documents of their own; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,14 +30,14 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from winlens.llm.common import materialize, table, text_rows
 
 ORDER, BACKOFF = 2, 0.4
 #: A block ends after so many words or different words (two bytes number these), and bytes of text for each bucket.
-BLOCK_WORDS, BLOCK_VOCABULARY, BUCKET_BYTES = 300_000, 60_000, 8 << 20
+BLOCK_WORDS, BLOCK_VOCABULARY, BUCKET_BYTES = 300_000, 60_000, 2 << 20
 CACHED_WORDS = 150_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -176,9 +178,14 @@ def score_block(row: dict, order: int, backoff: float) -> tuple[np.ndarray, np.n
     return block.sizes, np.bincount(block.doc, np.log(score), docs), np.bincount(block.doc, sized, docs).astype(np.int64)
 
 
+def stable(df: DataFrame) -> DataFrame:
+    """df, stored first if it comes out of a shuffle: read twice, the rows of a task must come in one order."""
+    return materialize(df, "lm-texts") if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
+
+
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, backoff: float = BACKOFF, block_words: int = BLOCK_WORDS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(doc_id, n_words, log_score) of every row; order is that of the longest n-gram."""
-    texts = text_rows(docs, id_col, text_col)
+    texts = stable(text_rows(docs, id_col, text_col))
     size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     bits = max(4, int(np.ceil(np.log2(max(1, size / bucket_bytes)))))
     # cut where it is needed, once for the counts and once for the scores: words are not written anywhere in between
@@ -201,6 +208,30 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     return parts.select("doc_id", "n_words", (F.col("score") - F.col("sized") * F.log(rest)).alias("log_score"))
 
 
+def relational_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, backoff: float = BACKOFF) -> DataFrame:
+    """lm_scores with a row for each n-gram: counts by n-gram joined to exploded n-grams, summed per document. Joins are on 64-bit hashes."""
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    texts = materialize(text_rows(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.regexp_extract_all(lower, F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0)).alias("words")), "lm-words")
+    place = texts.filter(F.size("words") > 0).select("row", "words", F.explode(F.sequence(F.lit(1), F.size("words"))).alias("i"))
+    hashed = lambda n: F.xxhash64(F.lit(n), F.array_join(F.slice("words", F.col("i") - n + 1, F.lit(n)), " "))
+    grams = F.array(*(F.when(F.col("i") >= n, hashed(n)) for n in range(1, order + 1)))
+    seen = place.select("row", "i", F.posexplode(grams).alias("n", "gram")).filter("gram is not null")
+    own = seen.groupBy("row", "n", "gram").agg(F.count("*").alias("own"))
+    total = own.groupBy("n", "gram").agg(F.sum("own").alias("total"))
+    other = own.join(total, ["n", "gram"]).select("row", "n", "gram", (F.col("total") - F.col("own")).alias("other"))
+    counts = seen.join(other, ["row", "n", "gram"]).groupBy("row", "i").agg(F.map_from_entries(F.collect_list(F.struct("n", "other"))).alias("c"))
+    history = F.lag("c").over(Window.partitionBy("row").orderBy("i"))
+    size = texts.agg(F.sum(F.size("words")).alias("size"))
+    rows = counts.withColumn("h", history).join(texts.select("row", F.size("words").alias("n_words")), "row").crossJoin(F.broadcast(size))
+    score = F.element_at("c", 0).cast("double")
+    score = F.when(score > 0, score).otherwise(backoff) / F.greatest(F.lit(1), F.col("size") - F.col("n_words"))
+    for n in range(1, order):
+        c = F.try_element_at("c", F.lit(n))
+        score = F.when(c > 0, c / F.greatest(F.lit(1), F.try_element_at("h", F.lit(n - 1)))).when(c.isNotNull(), backoff * score).otherwise(score)
+    sums = rows.groupBy("row").agg(F.sum(F.log(score)).alias("log_score"))
+    return texts.join(sums, "row", "left").select("doc_id", F.size("words").cast("long").alias("n_words"), F.coalesce("log_score", F.lit(0.0)).alias("log_score"))
+
+
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = lm_scores(table(spark, sf_dir, "documents"))
     mean = F.when(F.col("n_words") > 0, F.round(F.col("log_score") / F.col("n_words"), 6))
