@@ -14,7 +14,7 @@
 Nothing but the hubs' shingles (at most HUBS sets of HUB_SHINGLES) is sent to the driver or broadcast.
 
 Defined cases: null and blank texts have an empty set and are linked with nothing; a text with fewer words than a shingle
-is one shingle; rows that share an id are one document; rows without id are linked with nothing and have a null
+is one shingle; a very long text's set is whole, its signature taken in parts; rows that share an id are one document; rows without id are linked with nothing and have a null
 component; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winlens.llm.common import materialize, table, text_rows
+from winlens.llm.common import discard, materialize, table, text_rows
 
 COORDINATES, MATCHES = 32, 14
 #: Which shingles are called popular matters to the order of prefixes and so to speed alone: those of the hubs of lists over
@@ -36,6 +36,8 @@ COORDINATES, MATCHES = 32, 14
 #: Lists up to this length give all of their pairs; hubs are the most central node of each of so many parts of a longer list.
 SHORT_LIST, HUB_PARTS = 3, 2
 HUBS, HUB_SHINGLES, HUB_LIST = 500, 5000, 100
+#: Members of a long list that one task pairs with the hubs.
+SALTED = 400
 CACHED_WORDS = 150_000
 _RNG = np.random.default_rng(20240)
 _FLIP = _RNG.integers(0, 1 << 64, COORDINATES, np.uint64)
@@ -139,13 +141,14 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int, name: str) -> D
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the least node reachable over links (a, b), for every node with a link. Labels spread and jump until none changes."""
     edges = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
-    labels = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "cc-labels")
+    stored = labels = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "cc-labels")
     while True:
         near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         spread = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         jump = labels.select(F.col("node").alias("component"), F.col("component").alias("next"))
         now = materialize(spread.join(jump, "component").select("node", "old", F.least("component", "next").alias("component")), "cc-labels")
-        labels = now.select("node", "component")
+        discard(stored)
+        stored, labels = now, now.select("node", "component")
         if not now.filter("component <> old").limit(1).count():
             return labels
 
@@ -177,7 +180,7 @@ def near_components(docs: DataFrame, words: int = 5, threshold: int = 80, id_col
     prefix = materialize(candidate_lists(nodes), "prefix")
 
     lists = materialize(prefix.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "lists")
-    listed = prefix.join(lists, "key")
+    listed = materialize(prefix.join(lists, "key"), "listed")
     other = lambda df: df.select("key", F.col("node").alias("b"), F.col("size").alias("other"))
     fits = compatible(threshold)
     short = listed.filter(F.col("n") <= SHORT_LIST)
@@ -185,7 +188,10 @@ def near_components(docs: DataFrame, words: int = 5, threshold: int = 80, id_col
     long = listed.filter(F.col("n") > SHORT_LIST)
     hubs = long.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(HUB_PARTS)).alias("part")).agg(F.max(F.struct("central", "node", "size")).alias("hub"), F.max("n").alias("n"))
     hubs = materialize(hubs.select("key", "n", F.col("hub.node").alias("b"), F.col("hub.size").alias("other")), "hubs")
-    stars = long.withColumnRenamed("node", "a").join(hubs.drop("n"), "key").filter((F.col("a") != F.col("b")) & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    # a list of any length is dealt to as many tasks as it has SALTED members; its hubs go to all of them
+    parts = F.ceil(F.col("n") / SALTED)
+    dealt = long.withColumnRenamed("node", "a").withColumn("salt", F.pmod(F.xxhash64("a"), parts))
+    stars = dealt.join(hubs.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("n"), ["key", "salt"]).filter((F.col("a") != F.col("b")) & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = materialize(pairs.unionByName(stars).distinct(), "pairs")
 
     wanted = prefix.select(F.col("node").alias("doc_id")).distinct()
