@@ -3,14 +3,16 @@
 Words become a template: numbers, units after numbers and names inside a sentence turn into typed placeholders, other
 words are lower-cased and lose the marks at their edges. Windows of WORDS template words, with LITERALS real words at
 least, are hashed and joined with those of the benchmark items; an item without such a window is joined on windows of its
-words as they are. Numbers may take any values. Changed names and units must be consistent over a matched passage: most of its
+words as they are. A bit map of the items' hashes, of one size whatever their number, is broadcast, so that of the documents'
+windows only those that may match are written and shuffled. Numbers may take any values. Changed names and units must be consistent over a matched passage: most of its
 places decide which value of the document stands for one of the item, and different names stay different. A window that holds
 another changed name or unit is dropped, as is every window with a changed one where places are tied. A document that matches
 enough other windows of an item carries it, verbatim or re-parameterised.
 
-Defined cases: null texts count as empty; texts and items under WORDS words are compared as a whole; an item without
-words is never matched; repeated document rows count once; empty tables give an empty result;
-other columns are ignored.
+Defined cases: null texts count as empty; items under WORDS words are matched by windows of their own length; an item without
+words is never matched; very long texts are read whole; repeated document rows count once, as do a document's repeats of a
+window; rows without id are left out; places that are tied decide nothing; empty tables give an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -30,19 +32,26 @@ from winlens.llm.common import materialize, table
 WORDS, LITERALS = 6, 4
 #: A document carries an item from so many of its windows (all, if it has fewer) and this share of them.
 LEAST_WINDOWS, LEAST_SHARE = 3, 0.25
-#: Up to so many window hashes (8 bytes each) are broadcast to sift the documents' windows; beyond, all of these are shuffled.
-BROADCAST_WINDOWS = 2_000_000
+#: Leading bits of a hash that number its bit in the map (16 MB); with more items more windows pass the map, and the join drops these.
+SIEVE_BITS = 27
+#: Hashes of items that reach the driver at once, to be put into the map.
+SLICE = 4_000_000
 CACHED_WORDS = 250_000
 
 NUMBER = re.compile(r"[+-]?[$€£]?[0-9][0-9.,:/]*%?")
 NUMBER_UNIT = re.compile(r"([+-]?[$€£]?[0-9][0-9.,]*)([a-z°µ]{1,4}[0-9²³]?)")
 NAME = re.compile(r"[^\W\d_a-z][^\W\d_A-Z]+(?:['’-][^\W\d_]+)*")
-#: Words that stand for numbers, and units.
-NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
+#: Words that stand for numbers in English, German, French and Spanish (but for articles), and units.
+NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion "
+    "null eins zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn fünfzehn zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend "
+    "deux trois quatre cinq sept huit neuf dix onze douze treize quatorze quinze vingt trente quarante cinquante soixante cent mille "
+    "cero dos tres cuatro cinco seis siete ocho nueve diez doce trece catorce veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien mil".split())
 UNITS = frozenset(
     "km m cm mm mi ft in yd kg g mg lb lbs oz l ml h hr hrs min mins s sec secs ms hour hours minute minutes second seconds day days week weeks month months year years meter meters metre metres "
     "kilometer kilometers kilometre kilometres centimeter centimeters mile miles foot feet inch inches yard yards gram grams kilogram kilograms pound pounds ounce ounces liter liters litre litres "
-    "gallon gallons dollar dollars cent cents euro euros percent degree degrees celsius fahrenheit kelvin watt watts volt volts joule joules newton newtons".split())
+    "gallon gallons dollar dollars cent cents euro euros percent degree degrees celsius fahrenheit kelvin watt watts volt volts joule joules newton newtons "
+    "stunde stunden minuten sekunde sekunden tag tage woche wochen monat monate jahr jahre gramm prozent grad heure heures jour jours semaine semaines mois an ans litre litres "
+    "mètre mètres kilomètre kilomètres gramme grammes hora horas minuto minutos segundo segundos día días semana semanas mes meses año años metro metros kilómetro kilómetros gramo gramos litro litros".split())
 EDGE = ".,;:!?\"'()[]{}<>*#$%&|“”«»…"
 LITERAL, NUM, UNIT, NAMED, GLUED = range(5)
 #: Added to the length of a window of words as they are before it is hashed.
@@ -140,7 +149,7 @@ _WINDOWS = "id long, n int, exact boolean, at int, hash long, slots array<struct
 
 
 def all_windows(rows: DataFrame, lengths: list[int] | None, exact: list[int], sift=None) -> DataFrame:
-    """rows(id, text) to windows of Canon; sift: a broadcast sorted array of hashes to keep."""
+    """rows(id, text) to windows of Canon; sift: a broadcast bit map of the hashes to keep."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canon = Canon()
@@ -151,8 +160,7 @@ def all_windows(rows: DataFrame, lengths: list[int] | None, exact: list[int], si
                 words, kinds, found = canon.windows(text, lengths, exact)
                 for n, as_is, at, hashes in found:
                     if wanted is not None:
-                        near = np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)
-                        hit = wanted[near] == hashes
+                        hit = marked(wanted, hashes)
                         at, hashes = at[hit], hashes[hit]
                     for i, h in zip(at.tolist(), hashes.view(np.int64).tolist(), strict=True):
                         for column, v in zip(out, (row_id, n, as_is, i, h, [] if as_is else slot(words, kinds, i, n)), strict=True):
@@ -163,6 +171,23 @@ def all_windows(rows: DataFrame, lengths: list[int] | None, exact: list[int], si
     return rows.mapInArrow(run, _WINDOWS)
 
 
+def marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the map has the bit of each hash."""
+    at = hashes >> np.uint64(64 - (len(bits) * 8).bit_length() + 1)
+    return bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
+
+
+def sieve(items: DataFrame, bits: int) -> np.ndarray:
+    """The bit map of the hashes of items. These come to the driver in slices of at most about SLICE."""
+    distinct = items.select("hash").distinct()
+    slices = max(1, -(-distinct.count() // SLICE))
+    found = np.zeros(1 << (bits - 3), np.uint8)
+    for k in range(slices):
+        at = distinct.filter(F.pmod("hash", F.lit(slices)) == k).toPandas()["hash"].to_numpy(np.int64).view(np.uint64) >> np.uint64(64 - bits)
+        np.bitwise_or.at(found, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+    return found
+
+
 def settled(votes: list[dict]) -> list[dict]:
     """The pairs of values that most places agree on, unchanged ones first: one document value for an item value, one item value for a name; none if places are tied."""
     rank = lambda v: (-v["places"], v["item_value"] != v["doc_value"])
@@ -186,19 +211,14 @@ def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(found, voted)], ["doc_id", "item_id", "diagonal", "voted"])
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", sieve_bits: int = SIEVE_BITS) -> DataFrame:
     """(doc_id, item_id, n_windows matched, item_windows, coverage, reparameterised) of each document that carries an item."""
     spark = docs.sparkSession
     rows = lambda df, i, t: df.filter(F.col(i).isNotNull()).select(F.col(i).cast("long").alias("id"), F.coalesce(F.col(t), F.lit("")).alias("text"))
     items = materialize(all_windows(rows(benchmark, item_col, item_text), None, []), "bench-windows")
     kinds = items.select("n", "exact").distinct().collect()
     lengths, exact = (sorted(r["n"] for r in kinds if r["exact"] == e) for e in (False, True))  # 1 to WORDS
-    distinct = items.select("hash").distinct()
-    n_hashes = distinct.count()
-    sift = None
-    if 0 < n_hashes <= broadcast_windows:
-        hashes = np.sort(distinct.toPandas()["hash"].to_numpy(np.int64).view(np.uint64))
-        sift = spark.sparkContext.broadcast(hashes)
+    sift = spark.sparkContext.broadcast(sieve(items, sieve_bits))
     found = all_windows(rows(docs, id_col, text_col), lengths, exact, sift)
     item = items.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "n", "hash", F.col("slots").alias("item_slots"))
     totals = items.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("at").alias("item_windows"))
