@@ -1,8 +1,10 @@
+import random
 import struct
 
 from pyspark.sql import functions as F
 
 from winlens.operators import frames as fr
+from winlens.operators import windows as wi
 from winlens.sources import pcap
 
 
@@ -55,8 +57,44 @@ def test_captures(spark, tmp_path):
     assert {r["capture"]: r["n_short"] for r in pcap.short_records(pcap.read_pcap(spark, str(tmp_path))).collect()} == {"a.pcap": 1, "b.pcap": 1}
 
 
+def test_large_captures_are_read_in_ranges(spark, tmp_path):
+    rng = random.Random(4)
+    many = [(i, i % 7, bytes([i % 251]) * rng.randint(0, 300), 300) for i in range(400)]
+    (tmp_path / "a.pcap").write_bytes(capture(many))
+    (tmp_path / "b.pcap").write_bytes(capture(many[:50], tail=b"\0" * 20 + b"x"))
+    (tmp_path / "c.pcap").write_bytes(capture([]))
+    key = lambda df: sorted(map(str, df.collect()))
+    want = key(pcap.read_pcap(spark, str(tmp_path)))
+    assert len(want) == 452
+    for size in (1, 5000, 1 << 20):
+        assert key(pcap.read_large_pcap(spark, str(tmp_path), range_bytes=size)) == want
+    assert list(pcap.ranges(str(tmp_path / "a.pcap"), 5000, 64)) == list(pcap.ranges(str(tmp_path / "a.pcap"), 5000))
+    assert {len(r["frame"]) for r in pcap.read_pcap(spark, str(tmp_path / "a.pcap"), 14).filter("length >= 14").collect()} == {14}
+
+
+def test_pieces(spark):
+    rng = random.Random(9)
+    rows = [(c, i, rng.randint(1, 90)) for c in range(4) for i in range(0 if c == 3 else 700)]
+    want = []
+    for c in range(3):
+        size, piece, n = 24, 0, 0
+        for _, i, length in (r for r in rows if r[0] == c):
+            if size > 1000:
+                size, piece, n = 24, piece + 1, 0
+            want.append((c, i, piece, n))
+            size, n = size + 16 + length, n + 1
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 97)
+    try:
+        got = wi.pieces(spark.createDataFrame(rows, "capture long, frame_no long, length long").repartition(5), 1000).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(tuple, got)) == want
+
+
 def test_numbering_in_two_levels_is_the_same(spark):
     rows = spark.range(500).select((F.col("id") % 3).alias("capture"), (F.col("id") * 7 % 101).alias("ts"), "id")
     one = fr.number_frames(rows, "capture", ("ts", "id")).orderBy("id").collect()
     for parts in (1, 7):
+        chunked = fr.number_frames(rows.repartition(parts), "capture", ("ts", "id"), F.floor(F.col("ts") / 10), "ts").orderBy("id").collect()
+        assert chunked == fr.number_frames(rows, "capture", ("ts", "id"), ts="ts").orderBy("id").select(*chunked[0].__fields__).collect()
         assert fr.number_frames(rows.repartition(parts), "capture", ("ts", "id"), F.floor(F.col("ts") / 10)).orderBy("id").select(*one[0].__fields__).collect() == one

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -64,14 +65,14 @@ def test_an_incident_opens_after_enough_windows_and_closes():
     assert [d[1] for d in got if d[3] == "background"] == [2, 10, 11]
 
 
-def stream(spark, df, f, parts, order, tmp_path):
+def stream(spark, df, f, parts, order, tmp_path, mode="append"):
     """Rows of a stream that gets df in several files, cut by place in `order`."""
     src = str(tmp_path / "in")
-    n = df.count()
+    n = df.agg(F.max(order)).first()[0] + 1
     for k in range(parts):
-        df.orderBy("capture", order).filter((F.col(order) >= k * n / parts / 2) & (F.col(order) < (k + 1) * n / parts / 2)).coalesce(1).write.mode("append").parquet(src)
+        df.orderBy("capture", order).filter((F.col(order) >= k * n / parts) & (F.col(order) < (k + 1) * n / parts)).coalesce(1).write.mode("append").parquet(src)
     s = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    q = f(s).writeStream.format("memory").queryName("t").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q = f(s).writeStream.format("memory").queryName("t").outputMode(mode).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(180)
     return spark.sql("select * from t").collect()
 
@@ -94,5 +95,60 @@ def test_count_windows_stream_equals_batch(spark, tmp_path):
         assert r["start_ts"] == min(x[2] for x in part) and r["protocol_type"] == 6
 
 
-def test_queues_take_turns():
-    assert inc.interleave_queues([[1, 2, 3], [1, 4], [2, 5]], 5) == [1, 4, 2, 3, 5]
+def test_count_windows_flush_at_the_end(spark, tmp_path):
+    rows = [(1, i, float(i), 40 + i, 6, 1.0, False) for i in range(7)] + [(1, 7, None, None, None, None, True)] + [(2, i, float(i), 50, 17, 0.0, False) for i in range(3)]
+    df = spark.createDataFrame(rows, "capture bigint, o bigint, ts double, size bigint, protocol bigint, syn double, over boolean")
+    got = stream(spark, df, lambda s: st.count_windows(s, (5,), ["syn"], "over"), 2, "o", tmp_path)
+    assert sorted((r["capture"], r["win"], r["number"], r["tot_sum"]) for r in got) == [(1, 0, 5, 210), (1, 1, 2, 91)]
+
+
+def test_scores_in_the_stream(spark, tmp_path):
+    rows = [(c, i, float(i % 3), float(i % 5)) for c in (1, 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "capture bigint, win bigint, x double, y double")
+
+    def predict(a):
+        p = np.stack([a[:, 0] + 1, a[:, 1], a[:, 0] * 0 + 1], 1)
+        return p / p.sum(1, keepdims=True)
+
+    for limit in (None, 0.5):
+        got = stream(spark, df, lambda s: st.score_stream(s, predict, ("Benign", "DDoS", "Recon"), ["x", "y"], limit, 7), 3, "win", tmp_path / str(limit))  # noqa: B023
+        p = {(c, i): predict(np.array([[x, y]]))[0] for c, i, x, y in rows}
+        for r in got:
+            q = p[r["capture"], r["win"]]
+            best = q.argmax() if limit is None else 1 + q[1:].argmax() if 1 - q[0] >= limit - 1e-12 else 0
+            assert r["category"] == ("Benign", "DDoS", "Recon")[best] and r["confidence"] == pytest.approx(q[best])
+        assert len(got) == len(rows)
+
+
+def test_incident_queue(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(k % 2, rng.randrange(4), k, rng.choice(["windows", "call", "proposed", "executed"]), rng.randrange(5), rng.randrange(9)) for k in range(80)]
+    df = spark.createDataFrame(rows, "capture bigint, incident bigint, seq bigint, type string, windows bigint, tokens bigint")
+    got = stream(spark, df, lambda s: st.incident_queue(s.withColumnRenamed("capture", "log")), 3, "seq", tmp_path, "update")
+    last = {}
+    for r in got:
+        last[r["log"], r["incident"]] = max(last.get((r["log"], r["incident"]), (-1,)), (r["last_seq"], r["first_seq"], r["state"], r["windows"], r["tokens"], r["waiting"]))
+    for (log, incident), found in last.items():
+        own = [r for r in rows if r[:2] == (log, incident)]
+        waiting = 0
+        for r in own:
+            waiting = max(0, waiting + (r[3] == "proposed") - (r[3] == "executed"))
+        assert found == (own[-1][2], own[0][2], own[-1][3], sum(r[4] for r in own), sum(r[5] for r in own), waiting)
+    assert len(last) == 8
+
+
+def test_a_stream_watches_for_runs(spark, tmp_path):
+    rows = [(c, i, "Benign" if (i + c) % 6 == 0 else "DDoS") for c in (1, 2) for i in range(30)]
+    got = stream(spark, spark.createDataFrame(rows, "capture bigint, win bigint, category string"), lambda s: st.watch(s, 3), 3, "win", tmp_path)
+    want, length = [], 0
+    for c, i, category in rows:
+        length = 0 if category == "Benign" or i == 0 else length
+        length += category != "Benign"
+        want += [(c, i)] if length == 3 and category != "Benign" else []
+    assert sorted((r["capture"], r["win"]) for r in got if r["opens"]) == want and len(got) == len(rows)
+
+
+def test_queues_take_turns(spark):
+    rows = [([[1, 2, 3], [1, 4], [2, 5]], [1, 4, 2, 3, 5]), ([[], [7], []], [7]), ([[1, 2, 3, 4, 5, 6], [], []], [1, 2, 3, 4, 5]), ([[], [], []], [])]
+    got = spark.createDataFrame(rows, "q array<array<bigint>>, want array<bigint>").select("want", inc.take_turns(F.col("q"), 5).alias("got")).collect()
+    assert [r["got"] for r in got] == [r["want"] for r in got]

@@ -1,3 +1,8 @@
+import hashlib
+
+import pytest
+from pyspark.sql import functions as F
+
 from winlens.functions.text import mask_addresses
 from winlens.sources import logs, tables
 
@@ -10,12 +15,69 @@ def test_labelled_csv_is_audited(spark, tmp_path):
     head = ",".join([*tables.COLUMNS, "Label"])
     (tmp_path / "a.csv").write_text("\n".join([head, line(), "", line("XSS"), line(first="x"), "1,2,3", line("cut off")]))
     (tmp_path / "b.csv").write_text("\n".join(["wrong,header", line(), ""]))
-    rows, bad = tables.read_labelled(spark, str(tmp_path))
+    rows, bad = tables.read_labelled(spark, str(tmp_path), strict_end=True)
     got = rows.orderBy("line").collect()
     assert [(r["Label"], r["Header_Length"], r["Protocol Type"]) for r in got] == [("DDoS-SYN_Flood", 1.5, None), ("XSS", 1.5, None)]
     assert sorted((r["file"], r["reason"]) for r in bad.collect()) == [("a.csv", "columns"), ("a.csv", "number"), ("a.csv", "unterminated"), ("b.csv", "header")]
 
 
+def test_labelled_csv_of_other_systems(spark, tmp_path):
+    head = ",".join([*tables.COLUMNS, "Label"])
+    (tmp_path / "dos.csv").write_text("\ufeff" + "\r\n".join([head, line(), "", line("XSS"), ""]), newline="")
+    (tmp_path / "open.csv").write_text("\n".join([head, line("benign"), line("NotALabel"), line("XSS")]))
+    (tmp_path / "broken.csv").write_text("\n".join([head, line("xss"), "1,2"]))
+    rows, bad = tables.read_labelled(spark, str(tmp_path))
+    got = sorted((r["file"], r["line"], r["Label"], r["Header_Length"]) for r in rows.collect())
+    assert got == [("broken.csv", 1, "xss", 1.5), ("dos.csv", 1, "DDoS-SYN_Flood", 1.5), ("dos.csv", 3, "XSS", 1.5), ("open.csv", 1, "benign", 1.5), ("open.csv", 3, "XSS", 1.5)]
+    assert sorted((r["file"], r["line"], r["reason"]) for r in bad.collect()) == [("broken.csv", 2, "unterminated"), ("open.csv", 2, "label")]
+    rows, files = tables.read_complete(spark, str(tmp_path))
+    assert sorted((r["file"], r["line"]) for r in rows.collect()) == [("broken.csv", 1), ("dos.csv", 1), ("dos.csv", 3), ("open.csv", 1)]
+    assert {r["file"]: (r["truncated"], r["sha256"]) for r in files.collect()} == {f.name: (f.name != "dos.csv", hashlib.sha256(f.read_bytes()).hexdigest()) for f in tmp_path.iterdir()}
+
+
+def test_feature_csv_with_other_columns(spark, tmp_path):
+    names = [*tables.COLUMNS[::-1], "source"]
+    (tmp_path / "f.csv").write_text("\ufeff" + ",".join(names) + "\n" + ",".join(["inf", "", *["2.5"] * 37, "here"]) + "\n")
+    row = tables.read_features(spark, str(tmp_path), "XSS").collect()[0]
+    assert (row["Variance"], row["Number"], row["Header_Length"], row["source"], row["Label"]) == (float("inf"), None, 2.5, "here", "XSS")
+    with pytest.raises(ValueError, match="Label"):
+        tables.read_features(spark, str(tmp_path))
+
+
+def test_official_csv(spark, tmp_path):
+    (tmp_path / "c.csv").write_text("\n".join([",".join(["extra", *tables.COLUMNS]), *(",".join(["x", str(i), "", *["1"] * 37]) for i in range(3)), ""]))
+    rows = tables.read_official(spark, str(tmp_path)).orderBy("row").collect()
+    assert [(r["file"], r["row"], r["Header_Length"], r["Protocol Type"], r["Variance"]) for r in rows] == [("c.csv", i, float(i), None, 1.0) for i in range(3)]
+    (tmp_path / "c.csv").write_text("a,b\n1,2\n")
+    with pytest.raises(Exception, match="missing"):
+        tables.read_official(spark, str(tmp_path)).collect()
+
+
+def test_window_stream_is_written(spark, tmp_path):
+    value = F.when(F.col("value") % 2 == 0, F.lit(float("nan"))).otherwise(F.col("value") / 3)
+    rows = spark.range(6).withColumnRenamed("id", "value").select(*(value.alias(c) for c in tables.COLUMNS))
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    q = tables.stream_windows(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
+    q.processAllAvailable()
+    q.stop()
+    text = [x for f in (tmp_path / "out").glob("*.csv") for x in f.read_text().splitlines()]
+    body = sorted(x for x in text if not x.startswith("Header"))
+    assert len(body) == 6 and body[0] == "," * 38 and body[-1].split(",")[0] == repr(5 / 3)
+
+
+def test_live_tail(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.jsonl").write_text('{"id": "1", "tipo": "x"}\n{"id": "2", "ti')
+    q = logs.tail_event_log(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("tail").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    (tmp_path / "in" / "b.jsonl").write_text('{"id": "2", "tipo": "y"}\n')
+    q.processAllAvailable()
+    q.stop()
+    got = sorted((r["log"], r["id"] or "", r["tipo"] or "", r["complete"]) for r in spark.sql("select * from tail").collect())
+    assert got == [("a.jsonl", "", "", False), ("a.jsonl", "1", "x", True), ("b.jsonl", "2", "y", True)]
+
+
 def test_windows_written_and_read(spark, tmp_path):
     rows = spark.createDataFrame([tuple([None if i == 34 else i / 3 for i in range(39)])], tables.FEATURES)
     tables.write_windows(rows, str(tmp_path / "w"))

@@ -1,10 +1,14 @@
 """Frames: decoding of headers from bytes, filters, sizes on the wire, numbering and inter-arrival times.
 
-All column expressions; nothing here leaves the JVM.
+Headers are decoded batch by batch with numpy, the one place where frames leave the JVM; all else is column expressions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,24 +46,30 @@ def wire_size(length: str, cut: str, pad: bool = True, clamp: bool = True) -> Co
     return F.least(size, F.lit(LARGEST)) if clamp else size
 
 
-def number_frames(frames: DataFrame, capture: str, order: tuple[str, ...], chunk: Column | None = None) -> DataFrame:
-    """frame_no from 0 in each capture.
+def number_frames(frames: DataFrame, capture: str, order: tuple[str, ...], chunk: Column | None = None, ts: str | None = None) -> DataFrame:
+    """frame_no from 0 in each capture, and with ts also iat: seconds since the capture's previous frame, 0 for the first; may be negative.
 
-    With a chunk column (coarser than the order, for example an hour of the capture), numbers are given in two levels: counts
-    of the earlier chunks plus the place within the chunk, so a capture of any length is spread over many tasks.
+    With a chunk column (coarser than the order, for example an hour of the capture), both are found in two levels: counts and
+    the last instant of earlier chunks, and the place within the chunk. So a capture of any length is spread over many tasks.
     """
     if chunk is None:
-        return frames.withColumn("frame_no", F.row_number().over(Window.partitionBy(capture).orderBy(*order)).cast("long") - 1)
+        w = Window.partitionBy(capture).orderBy(*order)
+        out = frames.withColumn("frame_no", F.row_number().over(w).cast("long") - 1)
+        return out if ts is None else out.withColumn("iat", F.coalesce(F.col(ts) - F.lag(ts).over(w), F.lit(0.0)))
     parts = frames.withColumn("_chunk", chunk)
-    counts = parts.groupBy(capture, "_chunk").agg(F.count("*").alias("_n"))
-    earlier = F.coalesce(F.sum("_n").over(Window.partitionBy(capture).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = parts.join(counts.select(capture, "_chunk", earlier.alias("_before")), [capture, "_chunk"])
-    local = F.row_number().over(Window.partitionBy(capture, "_chunk").orderBy(*order))
-    return placed.withColumn("frame_no", F.col("_before") + local - 1).drop("_chunk", "_before")
+    last = F.max_by(F.col(ts) if ts else F.lit(0.0), F.struct(*order))
+    chunks = Window.partitionBy(capture).orderBy("_chunk")
+    earlier = parts.groupBy(capture, "_chunk").agg(F.count("*").alias("_n"), last.alias("_last")).select(
+        capture, "_chunk", F.coalesce(F.sum("_n").over(chunks.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.lag("_last").over(chunks).alias("_previous"))
+    w = Window.partitionBy(capture, "_chunk").orderBy(*order)
+    placed = parts.join(earlier, [capture, "_chunk"]).withColumn("frame_no", F.col("_before") + F.row_number().over(w) - 1)
+    if ts is not None:
+        placed = placed.withColumn("iat", F.coalesce(F.col(ts) - F.coalesce(F.lag(ts).over(w), "_previous"), F.lit(0.0)))
+    return placed.drop("_chunk", "_before", "_previous")
 
 
 def inter_arrival(frames: DataFrame, capture: str, ts: str) -> DataFrame:
-    """iat: seconds since the previous kept frame of the capture, 0 for the first; may be negative."""
+    """iat of frames that have their numbers: seconds since the previous kept frame of the capture, 0 for the first; may be negative."""
     return frames.withColumn("iat", F.coalesce(F.col(ts) - F.lag(ts).over(Window.partitionBy(capture).orderBy("frame_no")), F.lit(0.0)))
 
 
@@ -83,44 +93,74 @@ def is_unicast(value: Column) -> Column:
     return (F.shiftright(value, 24).bitwiseAND(F.lit(255)) < 224) & (last != 0) & (last != 255)
 
 
-def _number(frame: Column, at: Column | int, size: int) -> Column:
-    """Unsigned big-endian number of size bytes from offset at (0-based); null past the end."""
-    start = (at + 1) if isinstance(at, int) else at + 1
-    part = F.substring(frame, start, size) if isinstance(at, int) else F.substr(frame, start, F.lit(size))
-    return F.when(F.octet_length(part) == size, F.conv(F.hex(part), 16, 10).cast("long"))
+#: Columns that decoding adds.
+DECODED = {
+    "ethertype": "long", "decoded": "boolean", "protocol": "long", "ttl": "long", "src": "long", "dst": "long", "arp_ip": "long", "dst_mac": "string", "src_mac": "string",
+    "is_udp": "boolean", "is_tcp": "boolean", "sport": "long", "dport": "long", "flags": "long", "header_len": "long"}
+_HEX_DIGITS = np.frombuffer(b"0123456789abcdef", np.uint8)
+
+
+class Headers:
+    """Numbers at offsets of all frames of a batch; past a frame's end they are of no meaning."""
+
+    def __init__(self, frames: pa.Array):
+        frames = frames.cast(pa.binary())
+        ends = np.frombuffer(frames.buffers()[1], np.int32)[frames.offset : frames.offset + len(frames) + 1].astype(np.int64)
+        body = frames.buffers()[2]
+        self.start, self.length = ends[:-1], np.diff(ends)
+        self.data = np.concatenate([np.frombuffer(body, np.uint8) if body else np.zeros(0, np.uint8), np.zeros(160, np.uint8)])
+
+    def number(self, at: np.ndarray | int, size: int) -> np.ndarray:
+        """Unsigned, big-endian."""
+        found = np.zeros(len(self.start), np.int64)
+        for k in range(size):
+            found = found << 8 | self.data[np.minimum(self.start + at + k, len(self.data) - 1)]
+        return found
+
+    def mac(self, at: int) -> pa.Array:
+        """Colon-separated text; null if the frame ends before."""
+        text = np.full((len(self.start), 17), ord(":"), np.uint8)
+        for k in range(6):
+            byte = self.number(at + k, 1)
+            text[:, 3 * k], text[:, 3 * k + 1] = _HEX_DIGITS[byte >> 4], _HEX_DIGITS[byte & 15]
+        there = pa.array(self.length >= at + 6).buffers()[1]
+        return pa.StringArray.from_buffers(len(text), pa.py_buffer(np.arange(len(text) + 1, dtype=np.int32) * 17), pa.py_buffer(text), there)
+
+
+def decode_batch(frames: pa.Array) -> list[pa.Array]:
+    """The columns of DECODED."""
+    h = Headers(frames)
+    kind = np.where(h.length >= 14, h.number(12, 2), -1)
+    ihl = (h.number(14, 1) & 15) * 4
+    ip, arp = (kind == IPV4) & (h.length >= 34) & (ihl >= 20), kind == ARP
+    protocol, over = h.number(23, 1), 14 + ihl
+    whole = ip & (h.number(20, 2) & 0x1FFF == 0)
+    udp = whole & (protocol == 17) & (h.length >= over + 8)
+    offset = (h.number(over + 12, 1) >> 4) * 4
+    tcp = whole & (protocol == 6) & (h.length >= over + 20) & (offset >= 20)
+    asks = arp & (h.length >= 32) & (h.number(16, 2) == IPV4) & (h.number(18, 2) == 0x0604)
+    known = lambda values, where: pa.array(values, pa.int64(), mask=~where)
+    return [
+        pa.array(kind), pa.array(ip | arp), known(np.where(ip, protocol, 0), ip | arp), known(np.where(ip, h.number(22, 1), 0), ip | arp), known(h.number(26, 4), ip), known(h.number(30, 4), ip),
+        known(h.number(28, 4), asks), h.mac(0), h.mac(6), pa.array(udp), pa.array(tcp), known(h.number(over, 2), udp | tcp), known(h.number(over + 2, 2), udp | tcp),
+        pa.array(np.where(tcp, h.number(over + 13, 1), 0)), pa.array(np.where(udp, 8, np.where(tcp, np.minimum(offset, h.length - over), 0)))]
 
 
 def decode_frames(frames: DataFrame, frame: str = "frame") -> DataFrame:
     """Header fields of Ethernet frames in a binary column: keeps all columns and adds ethertype, protocol, ttl, addresses,
     ports, flags, header_len, arp_ip and decoded (false: not IPv4 or ARP, or not readable).
 
-    A fragment other than the first has no transport header; transport headers that are cut short are not read.
+    A fragment other than the first has no transport header; transport headers that are cut short are not read. A null frame
+    is an empty one. Columns that are not needed should be left out before, as all of them go through the batches.
     """
-    f = F.col(frame)
-    mac = lambda at: F.lower(F.concat_ws(":", *(F.hex(F.substring(f, at + 1 + k, 1)) for k in range(6))))
-    df = frames.withColumn("ethertype", F.when(F.octet_length(f) >= 14, _number(f, 12, 2)).otherwise(F.lit(-1)))
-    ihl = (_number(f, 14, 1).bitwiseAND(F.lit(15)) * 4).cast("int")
-    df = df.withColumn("_ihl", F.when(F.col("ethertype") == IPV4, ihl))
-    ip_ok = (F.col("ethertype") == IPV4) & (F.octet_length(f) >= 34) & (F.col("_ihl") >= 20)
-    df = df.withColumns({"_ip": F.coalesce(ip_ok, F.lit(False)), "_arp": F.col("ethertype") == ARP})
-    on_ip = lambda c: F.when(F.col("_ip"), c)
-    df = df.withColumns({
-        "decoded": F.col("_ip") | F.col("_arp"),
-        "protocol": F.when(F.col("_ip"), _number(f, 23, 1)).when(F.col("_arp"), F.lit(0)),
-        "ttl": F.when(F.col("_ip"), _number(f, 22, 1)).when(F.col("_arp"), F.lit(0)),
-        "src": on_ip(_number(f, 26, 4)), "dst": on_ip(_number(f, 30, 4)),
-        "arp_ip": F.when(F.col("_arp") & (_number(f, 16, 2) == IPV4) & (_number(f, 18, 1) == 6) & (_number(f, 19, 1) == 4), _number(f, 28, 4)),
-        "dst_mac": mac(0), "src_mac": mac(6),
-        "_first": _number(f, 20, 2).bitwiseAND(F.lit(0x1FFF)) == 0, "_l4": F.col("_ihl") + 14})
-    udp = F.col("_ip") & F.col("_first") & (F.col("protocol") == 17) & (F.octet_length(f) >= F.col("_l4") + 8)
-    tcp_off = F.shiftright(_number(f, F.col("_l4") + 12, 1), 4) * 4
-    tcp = F.col("_ip") & F.col("_first") & (F.col("protocol") == 6) & (F.octet_length(f) >= F.col("_l4") + 20) & (tcp_off >= 20)
-    df = df.withColumns({"is_udp": F.coalesce(udp, F.lit(False)), "is_tcp": F.coalesce(tcp, F.lit(False))})
-    l4 = F.col("is_udp") | F.col("is_tcp")
-    return df.withColumns({
-        "sport": F.when(l4, _number(f, F.col("_l4"), 2)), "dport": F.when(l4, _number(f, F.col("_l4") + 2, 2)),
-        "flags": F.when(F.col("is_tcp"), _number(f, F.col("_l4") + 13, 1)).otherwise(F.lit(0)),
-        "header_len": F.when(F.col("is_udp"), F.lit(8)).when(F.col("is_tcp"), F.least(tcp_off, F.octet_length(f) - F.col("_l4"))).otherwise(F.lit(0))}).drop("_ihl", "_ip", "_arp", "_first", "_l4")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = b.schema.names
+            yield pa.RecordBatch.from_arrays([*b.columns, *decode_batch(b.column(names.index(frame)))], [*names, *DECODED])
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frames.schema)
+    return frames.mapInArrow(run, f"{kept}, " + ", ".join(f"{k} {v}" for k, v in DECODED.items()))
 
 
 def measures(decoded: DataFrame) -> DataFrame:

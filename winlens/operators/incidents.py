@@ -80,11 +80,11 @@ def roles(links: DataFrame, members: DataFrame, background: DataFrame, scan: Dat
     strong = cand.withColumn("strong", F.col("prominence") >= RELATIVE * best).filter("strong").withColumns({"net_opened": F.col("opened") - F.col("was_opened"), "net": F.col("sent") - F.col("received")})
     strong = materialize(strong, "strong")
     starts = F.col("net_opened") >= LEAST_OPENED
-    attacker = first_by(strong, INC, [starts.desc(), F.when(starts, F.col("net_opened")).desc_nulls_last(), F.when(~starts, F.col("net")).desc_nulls_last(), F.when(~starts, F.col("prominence")).desc_nulls_last(), F.col("seen")]).select(*INC, F.col("addr").alias("attacker"))
+    attacker = first_by(strong, INC, [starts.desc(), F.when(starts, F.col("net_opened")).desc_nulls_last(), F.when(~starts, F.col("net")).desc_nulls_last(), F.when(~starts, F.col("prominence")).desc_nulls_last(), F.col("seen"), F.col("addr")]).select(*INC, F.col("addr").alias("attacker"))
     dst_ok = allowed("dst")
     hits = pair.join(attacker, INC).filter((F.col("src") == F.col("attacker")) & (F.col("dst") != F.col("attacker")) & dst_ok).join(target, [*INC, "dst"], "left").na.fill(0.0, ["target_prominence"])
     hits = materialize(hits, "hits")
-    main = first_by(hits, INC, [F.col("target_prominence").desc(), F.col("frames").desc(), F.col("seen")]).select(*INC, F.col("dst").alias("target"))
+    main = first_by(hits, INC, [F.col("target_prominence").desc(), F.col("frames").desc(), F.col("seen"), F.col("dst")]).select(*INC, F.col("dst").alias("target"))
 
     of_scan = attacker.join(main, INC).join(scan.filter("is_scan"), INC).select(*INC, "attacker")
     scan_origins = of_scan.join(flow.select(*INC, F.col("addr").alias("attacker"), F.col("sent").alias("frames"), "seen"), [*INC, "attacker"]).select(*INC, F.col("attacker").alias("addr"), "frames", "seen")
@@ -115,14 +115,14 @@ def unicast(column: str) -> Column:
 def roles_by_volume(pair: DataFrame, dst_ok: Column) -> tuple[DataFrame, DataFrame]:
     """Target: receives most frames, then most senders; all its senders are origins."""
     per = pair.filter(dst_ok).groupBy(*INC, "dst").agg(F.sum("frames").alias("frames"), F.count("*").alias("fan"), F.min("seen").alias("seen"))
-    main = first_by(per, INC, [F.col("frames").desc(), F.col("fan").desc(), F.col("seen")])
+    main = first_by(per, INC, [F.col("frames").desc(), F.col("fan").desc(), F.col("seen"), F.col("dst")])
     origins = pair.join(main.select(*INC, "dst"), [*INC, "dst"]).select(*INC, F.col("src").alias("addr"), "frames", "seen")
     return origins, main.select(*INC, F.col("dst").alias("addr"), "frames", "seen")
 
 
 def listed(addresses: DataFrame, k: int = 10) -> DataFrame:
-    """The k busiest addresses of each incident, ties by first seen, with their place."""
-    w = Window.partitionBy(*INC).orderBy(F.col("frames").desc(), "seen")
+    """The k busiest addresses (or ports) of each incident, ties by first seen and then by the address or port, with their place."""
+    w = Window.partitionBy(*INC).orderBy(F.col("frames").desc(), "seen", *(c for c in ("addr", "dst", "dport", "protocol") if c in addresses.columns))
     return addresses.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
 
 
@@ -134,17 +134,16 @@ def ports(links: DataFrame, members: DataFrame, destinations: DataFrame, k: int
     return listed(used, k).drop("seen")
 
 
-def interleave_queues(queues: list[list], places: int) -> list:
-    """Each queue in turn gives its first entry that is not in yet, until the places are taken."""
-    chosen: list = []
-    left = [list(q) for q in queues]
-    while len(chosen) < places and any(left):
-        for q in left:
-            while q and q[0] in chosen:
-                q.pop(0)
-            if q and len(chosen) < places:
-                chosen.append(q.pop(0))
-    return chosen
+def take_turns(queues: Column, places: int) -> Column:
+    """Entries of an array of queues in the order they are taken: turn by turn the first of the next queue that is not taken yet."""
+
+    def turn(taken: Column, k: Column) -> Column:
+        queue = F.get(queues, k % F.size(queues))
+        entry = F.get(F.filter(queue, lambda x: ~F.array_contains(taken, x)), 0)
+        return F.when((F.size(taken) < places) & entry.isNotNull(), F.concat(taken, F.array(entry))).otherwise(taken)
+
+    # a round in which nobody has an entry is the last, so `places` rounds are enough
+    return F.aggregate(F.sequence(F.lit(0), F.size(queues) * places - 1), F.array().cast("array<bigint>"), turn)
 
 
 def candidates(links: DataFrame, members: DataFrame, background: DataFrame, origins: DataFrame, allowed: Callable[[str], Column], places: int = 5) -> DataFrame:
@@ -161,22 +160,17 @@ def candidates(links: DataFrame, members: DataFrame, background: DataFrame, orig
     prominent = F.col("ok") & (F.col("prominence") >= CANDIDATE_FROM) & (F.col("sent") > 0)
     senders = F.col("ok") & (F.col("sent") > F.col("received"))
     rows = rows.withColumns({"q2": rank(prominent, F.col("prominence").desc(), F.col("sent").desc(), "addr"), "q3": rank(senders, F.col("received") - F.col("sent"), "addr")})
-    # of every queue its first `places` entries and as many as could be skipped are enough
-    few = rows.filter(F.least(F.coalesce("rule", F.lit(999)), F.coalesce("q2", F.lit(999)), F.coalesce("q3", F.lit(999))) <= 3 * places)
-
-    def pick(pdf):
-        queue = lambda c: pdf[pdf[c].notna()].sort_values(c)["addr"].tolist()
-        chosen = interleave_queues([queue("rule"), queue("q2"), queue("q3")], places)
-        out = pdf[pdf["addr"].isin(chosen)].sort_values(["prominence", "sent", "addr"], ascending=[False, False, True])
-        return out.assign(place=range(1, len(out) + 1))[["capture", "incident", "addr", "place"]]
-
-    chosen = few.select(*INC, "addr", "prominence", "sent", "rule", "q2", "q3").groupBy(*INC).applyInPandas(pick, "capture bigint, incident bigint, addr bigint, place int")
+    # at most `places` entries of a queue are skipped and as many taken
+    queue = lambda c: F.transform(F.sort_array(F.collect_list(F.when(F.col(c) <= 3 * places, F.struct(c, "addr")))), lambda x: x["addr"].cast("long"))
+    taken = rows.groupBy(*INC).agg(F.array(queue("rule"), queue("q2"), queue("q3")).alias("queues")).select(*INC, F.explode(take_turns(F.col("queues"), places)).alias("addr"))
+    order = Window.partitionBy(*INC).orderBy(F.col("prominence").desc(), F.col("sent").desc(), "addr")
+    chosen = rows.join(taken, [*INC, "addr"], "left_semi").select(*INC, "addr", F.row_number().over(order).alias("place"))
     facts = chosen.join(source.select(*INC, "addr", "n_windows", F.round("background_share", 4).alias("background_share"), "sent", "received", "opened", "was_opened"), [*INC, "addr"])
     own = links.join(members.select(*INC, "win"), ["capture", "win"]).withColumnRenamed("src", "addr")
 
     def top(key: list[str], k: int, name: str) -> DataFrame:
         n = own.filter(F.col(key[0]).isNotNull()).groupBy(*INC, "addr", *key).agg(F.sum("frames").alias("frames"), F.min(F.struct("win", "first_no")).alias("seen")).join(chosen, [*INC, "addr"], "left_semi")
-        r = F.row_number().over(Window.partitionBy(*INC, "addr").orderBy(F.col("frames").desc(), "seen"))
+        r = F.row_number().over(Window.partitionBy(*INC, "addr").orderBy(F.col("frames").desc(), "seen", *key))
         first = n.withColumn("r", r).filter(F.col("r") <= k)
         return first.groupBy(*INC, "addr").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", *key, "frames"))), lambda x: F.struct(*(x[c].alias(c) for c in (*key, "frames")))).alias(name))
 

@@ -1,18 +1,22 @@
 """The incident policy: which attack windows open, join, close and reopen incidents of a capture.
 
 The decisions are sequential per capture, so this is a fold over its windows in order. What reaches it is small: attack
-windows with their busiest addresses, and each stretch of benign windows as one row (see `stretches`). One class serves
-the batch and the streaming operator.
+windows with their busiest addresses, and each stretch of benign windows as one row (see `stretches`). Rows come sorted and in
+batches, so a capture of any length passes with the fold's state in memory only. One class serves the batch and the streaming
+operator.
 """
 
 from __future__ import annotations
 
+from collections import Counter, deque
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 BENIGN = "Benign"
 ADDRESSES = "array<struct<addr:bigint,n:bigint>>"
@@ -35,135 +39,163 @@ class Policy:
     counter_limit: int = 20_000
 
 
-@dataclass
-class Open:
+class Tally(Counter):
+    """Counts; of equal ones the first seen leads."""
+
+    def lead(self):
+        return self.most_common(1)[0][0]
+
+    def pruned(self, policy: Policy) -> Tally:
+        """Itself, or what it counts most if it has grown too large."""
+        return self if len(self) <= policy.counter_limit else Tally(dict(self.most_common(policy.keep_counters)))
+
+
+@dataclass(eq=False)
+class Seen:
+    """What windows say together; of one window or of the windows of an incident."""
+
+    categories: Tally = field(default_factory=Tally)
+    sources: Tally = field(default_factory=Tally)
+    targets: Tally = field(default_factory=Tally)
+
+    @classmethod
+    def of(cls, row) -> Seen:
+        return cls(Tally([row["category"]]), *(Tally({x["addr"]: x["n"] for x in row[side]}) for side in ("sources", "targets")))
+
+    @classmethod
+    def together(cls, many: Iterable[Seen]) -> Seen:
+        out = cls()
+        for one in many:
+            out.join(one)
+        return out
+
+    def join(self, other: Seen) -> None:
+        self.categories.update(other.categories)
+        self.sources.update(other.sources)
+        self.targets.update(other.targets)
+
+    def ends(self) -> frozenset:
+        """The leading source and the leading target."""
+        return frozenset(side.lead() for side in (self.sources, self.targets) if side)
+
+    def busiest(self, n: int) -> frozenset:
+        return frozenset(addr for addr, _ in (self.sources + self.targets).most_common(n))
+
+
+@dataclass(eq=False)
+class Incident:
     number: int
-    categories: dict = field(default_factory=dict)
-    sources: dict = field(default_factory=dict)
-    targets: dict = field(default_factory=dict)
-    windows: int = 0
-    last_end: float = 0.0
+    seen: Seen = field(default_factory=Seen)
+    size: int = 0
+    end: float = 0.0
+    #: Windows of others, and benign ones, since its last window.
     foreign: int = 0
     benign: int = 0
-    top_at: int = -1
-    top: frozenset = frozenset()
-
+    ranked: tuple[int, frozenset] | None = None
 
-def leading(counts: dict):
-    """The key with the largest count, the first seen on a tie."""
-    return max(counts, key=counts.__getitem__)
+    def known(self, policy: Policy) -> frozenset:
+        """Its busiest addresses, ranked anew only every policy.refresh windows."""
+        if self.ranked is None or self.size >= self.ranked[0] + policy.refresh:
+            self.ranked = self.size, self.seen.busiest(policy.top)
+        return self.ranked[1]
 
 
 class CapturePolicy:
-    """State of one capture; feed() takes rows of `stretches` in order and yields decisions."""
+    """State of one capture; feed() takes rows of `stretches` in order and returns decisions.
 
-    def __init__(self, policy: Policy):
-        self.policy, self.open, self.all, self.waiting, self.discarding = policy, [], [], [], False
+    A decision is (first window, last window, kind, incident, benign windows that join with it, window at which it was taken).
+    """
 
-    def feed(self, row) -> Iterator[tuple]:
+    def __init__(self, policy: Policy):
+        self.policy = policy
+        self.incidents: list[Incident] = []
+        self.active: dict[int, Incident] = {}
+        self.sequence: deque = deque(maxlen=policy.in_a_row)
+        self.muted = False
+
+    def feed(self, row) -> list[tuple]:
+        first, last = row["first_win"], row["last_win"]
+        attack = row["category"] != BENIGN
         if row["breaks"]:
-            self.waiting, self.discarding = [], False
-            self._close(self.open[:])
+            self._age(self.policy.close_after, None)
+        if row["breaks"] or not attack:
+            self.sequence.clear()
+            self.muted = False
         if row["unjudged"]:
-            yield row["first_win"], row["last_win"], "unjudged", None, 0, row["first_win"]
-        elif row["category"] == BENIGN:
-            yield from self._benign(row)
-        else:
-            yield from self._attack(row)
-
-    def _close(self, which: list) -> None:
-        for i in which:
-            i.benign = 0
-            self.open.remove(i)
-
-    def _benign(self, row) -> Iterator[tuple]:
-        n = row["last_win"] - row["first_win"] + 1
-        self.waiting, self.discarding = [], False
-        # the window on which the last open incident closes is not background yet
-        busy = min(n, max((self.policy.close_after - i.foreign for i in self.open), default=0))
-        for i in self.open:
+            return [(first, last, "unjudged", None, 0, first)]
+        if attack:
+            return self._judge(row)
+        n = last - first + 1
+        # the window on which the last incident closes is not background yet
+        busy = max((self.policy.close_after - i.foreign for i in self.active.values()), default=0)
+        for i in self.active.values():
             i.benign += n
+        self._age(n, None)
+        return [(first + busy, last, "background", None, 0, first)] if busy < n else []
+
+    def _age(self, n: int, spared: Incident | None) -> None:
+        """n windows pass that belong to none of the active incidents but the spared one."""
+        for i in [x for x in self.active.values() if x is not spared]:
             i.foreign += n
-        self._close([i for i in self.open if i.foreign >= self.policy.close_after])
-        if busy < n:
-            yield row["first_win"] + busy, row["last_win"], "background", None, 0, row["first_win"]
-
-    def _attack(self, row) -> Iterator[tuple]:
-        ends = {row["sources"][0]["addr"] if len(row["sources"]) else None, row["targets"][0]["addr"] if len(row["targets"]) else None} - {None}
-        owner = next((i for i in self.open if leading(i.categories) == row["category"]), None)
-        owner = owner or next((i for i in self.open if ends & self._top(i)), None)
-        for i in self.open:
-            if i is not owner:
-                i.foreign += 1
-        self._close([i for i in self.open if i.foreign >= self.policy.close_after])
-        if owner is not None:
-            yield self._add(owner, row, row["first_win"])
-            return
-        if self.discarding:
-            return
-        self.waiting = [*self.waiting, (row, ends)][-self.policy.in_a_row :]
-        if len(self.waiting) < self.policy.in_a_row:
-            return
-        counts: dict = {}
-        for r, _ in self.waiting:
-            counts[r["category"]] = counts.get(r["category"], 0) + 1
-        main = leading(counts)
-        shared = set().union(*(e for r, e in self.waiting if r["category"] == main))
-        chosen = [r for r, e in self.waiting if r["category"] == main or e & shared]
-        self.waiting = [(r, e) for r, e in self.waiting if not (r["category"] == main or e & shared)]
-        # the sequence's category and addresses are those of its chosen windows
-        again = self._to_reopen(chosen)
-        if again is None and len(self.all) >= self.policy.most:
-            self.discarding = True
-            yield row["first_win"], row["first_win"], "over cap", None, 0, row["first_win"]
-            return
-        new = again is None
-        incident = Open(len(self.all)) if new else again
-        if new:
-            self.all.append(incident)
-        self.open.append(incident)
-        yield chosen[0]["first_win"], row["first_win"], "open" if new else "reopen", incident.number, 0, row["first_win"]
-        for r in chosen:
-            yield self._add(incident, r, row["first_win"])
-
-    def _to_reopen(self, chosen: list):
-        counts, both_s, both_t = {}, {}, {}
-        for r in chosen:
-            counts[r["category"]] = counts.get(r["category"], 0) + 1
-            _count(both_s, r["sources"])
-            _count(both_t, r["targets"])
-        main, top = leading(counts), self._busiest(both_s, both_t)
-        fit = [i for i in self.all if i not in self.open and chosen[0]["start_ts"] - i.last_end <= self.policy.reopen_within and leading(i.categories) == main and self._top(i) & top]
-        return max(fit, key=lambda i: i.last_end, default=None)
-
-    def _busiest(self, sources: dict, targets: dict) -> frozenset:
-        both = dict(sources)
-        for k, n in targets.items():
-            both[k] = both.get(k, 0) + n
-        return frozenset(sorted(both, key=lambda k: -both[k])[: self.policy.top])
-
-    def _top(self, i: Open) -> frozenset:
-        if i.top_at < 0 or i.windows - i.top_at >= self.policy.refresh:
-            i.top, i.top_at = self._busiest(i.sources, i.targets), i.windows
-        return i.top
-
-    def _add(self, i: Open, row, at: int) -> tuple:
-        benign, i.benign, i.foreign = i.benign, 0, 0
-        i.windows += 1
-        i.last_end = row["end_ts"]
-        i.categories[row["category"]] = i.categories.get(row["category"], 0) + 1
-        for counts, more in ((i.sources, row["sources"]), (i.targets, row["targets"])):
-            _count(counts, more)
-            if len(counts) > self.policy.counter_limit:
-                kept = dict(sorted(counts.items(), key=lambda x: -x[1])[: self.policy.keep_counters])
-                counts.clear()
-                counts.update(kept)
-        return row["first_win"], row["first_win"], "attack", i.number, benign, at
-
-
-def _count(counts: dict, more: Iterable) -> None:
-    for x in more:
-        counts[x["addr"]] = counts.get(x["addr"], 0) + x["n"]
+            if i.foreign >= self.policy.close_after:
+                i.benign = 0
+                del self.active[i.number]
+
+    def _judge(self, row) -> list[tuple]:
+        one, at = Seen.of(row), row["first_win"]
+        owner = self._owner(one)
+        self._age(1, owner)
+        if owner:
+            return [self._append(owner, row, one, at)]
+        if self.muted:
+            return []
+        self.sequence.append((row, one))
+        if len(self.sequence) < self.policy.in_a_row:
+            return []
+        kin = self._kin()
+        began, all_ = kin[0][0], Seen.together(one for _, one in kin)
+        incident, kind = self._former(all_, began["start_ts"]), "reopen"
+        if incident is None:
+            if len(self.incidents) >= self.policy.most:
+                self.muted = True
+                return [(at, at, "over cap", None, 0, at)]
+            incident, kind = Incident(len(self.incidents)), "open"
+            self.incidents.append(incident)
+        self.active[incident.number] = incident
+        return [(began["first_win"], at, kind, incident.number, 0, at), *(self._append(incident, r, one, at) for r, one in kin)]
+
+    def _owner(self, one: Seen) -> Incident | None:
+        """Of the active incidents in order: one with this category leading, or else one that knows the window's ends."""
+        ends = one.ends()
+        by_category = (i for i in self.active.values() if i.seen.categories.lead() in one.categories)
+        by_address = (i for i in self.active.values() if ends & i.known(self.policy))
+        return next(by_category, None) or next(by_address, None)
+
+    def _kin(self) -> list[tuple]:
+        """Taken out of the sequence: its windows of the leading category, and those that share an end with one of these."""
+        lead = Tally(one.categories.lead() for _, one in self.sequence).lead()
+        same = {id(one) for _, one in self.sequence if lead in one.categories}
+        ends = frozenset().union(*(one.ends() for _, one in self.sequence if id(one) in same))
+        kin = [x for x in self.sequence if id(x[1]) in same or ends & x[1].ends()]
+        left = [x for x in self.sequence if x not in kin]
+        self.sequence.clear()
+        self.sequence.extend(left)
+        return kin
+
+    def _former(self, all_: Seen, began: float) -> Incident | None:
+        """The closed incident that ended last, not long before, with the same leading category and a busiest address in common."""
+        lead, busiest = all_.categories.lead(), all_.busiest(self.policy.top)
+        late = sorted((i for i in self.incidents if i.number not in self.active and began - i.end <= self.policy.reopen_within), key=lambda i: -i.end)
+        fit = [i for i in late if i.seen.categories.lead() == lead and busiest & i.known(self.policy)]
+        return fit[0] if fit else None
+
+    def _append(self, incident: Incident, row, one: Seen, at: int) -> tuple:
+        incident.seen.join(one)
+        incident.seen.sources, incident.seen.targets = incident.seen.sources.pruned(self.policy), incident.seen.targets.pruned(self.policy)
+        decision = row["first_win"], row["first_win"], "attack", incident.number, incident.benign, at
+        incident.size += 1
+        incident.end, incident.foreign, incident.benign = row["end_ts"], 0, 0
+        return decision
 
 
 def stretches(windows: DataFrame, policy: Policy, by: list[str] = ("capture",)) -> DataFrame:
@@ -185,15 +217,21 @@ def stretches(windows: DataFrame, policy: Policy, by: list[str] = ("capture",))
 def decide(parts: DataFrame, policy: Policy, by: tuple[str, ...] = ("capture",)) -> DataFrame:
     """Decisions of all captures (or of all keys in `by`, the first of which is the capture)."""
     extra = list(by[1:])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state = CapturePolicy(policy)
-        keys = tuple(pdf[k].iloc[0] for k in by)
-        rows = [(*keys, *d) for r in pdf.sort_values("first_win").to_dict("records") for d in state.feed(r)]
-        return pd.DataFrame(rows, columns=[*by, "first_win", "last_win", "kind", "incident", "benign_before", "at_win"]).astype({"incident": "Int64"})
-
     schema = DECISIONS if not extra else DECISIONS.replace("first_win", "".join(f"{k} {parts.schema[k].dataType.simpleString()}, " for k in extra) + "first_win", 1)
-    return parts.groupBy(*by).applyInPandas(run, schema)
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
+        for batch in batches:
+            found = []
+            for row in batch.to_pylist():
+                key = tuple(row[k] for k in by)
+                if key != now:
+                    now, state = key, CapturePolicy(policy)
+                found += [(*key, *d) for d in state.feed(row)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), arrow, strict=True)] if found else [pa.array([], f.type) for f in arrow], schema=arrow)
+
+    return parts.repartition(*by).sortWithinPartitions(*by, "first_win").mapInArrow(run, schema)
 
 
 def background_windows(decisions: DataFrame) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +16,39 @@ def window_no(size: int | Column) -> Column:
     return F.floor(F.col("frame_no") / size).cast("long")
 
 
+def pieces(frames: DataFrame, limit: int, file_header: int = 24, record_header: int = 16, capture: str = "capture") -> DataFrame:
+    """(capture, frame_no, piece, piece_no): captures cut into files as a capturing program does that opens a new file when the
+    present one is over the limit before it writes a frame; so a file exceeds the limit by one frame. Numbers start anew in each.
+
+    frames has (capture, frame_no, length). Where the next file begins depends on where this one did, so a capture's lengths go in order
+    through one task, batch by batch; nothing else of the frames does.
+    """
+    schema = f"`{capture}` {frames.schema[capture].dataType.simpleString()}, frame_no long, piece int, piece_no long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, piece, begin, written = None, 0, 0, 0
+        for b in batches:
+            keys, numbers, lengths = b.column(0).to_pylist(), b.column(1), b.column(2).to_numpy(zero_copy_only=False)
+            out_piece, out_no = np.zeros(len(keys), np.int32), np.zeros(len(keys), np.int64)
+            at = 0
+            while at < len(keys):
+                if keys[at] != now:
+                    now, piece, begin, written = keys[at], 0, 0, file_header
+                rest = next((i for i in range(at, len(keys)) if keys[i] != now), len(keys)) if keys[-1] != now else len(keys)
+                sizes = written + np.cumsum(lengths[at:rest] + record_header)
+                end = at + int(np.searchsorted(sizes, limit, "right")) + 1  # the frame that goes over the limit is the file's last
+                full, end = end <= rest, min(end, rest)
+                out_piece[at:end], out_no[at:end] = piece, begin + np.arange(end - at)
+                begin, written = begin + end - at, int(sizes[end - at - 1])
+                if full:
+                    piece, begin, written = piece + 1, 0, file_header
+                at = end
+            yield pa.RecordBatch.from_arrays([b.column(0), numbers, pa.array(out_piece), pa.array(out_no)], [capture, "frame_no", "piece", "piece_no"])
+
+    rows = frames.select(capture, F.col("frame_no").cast("long").alias("frame_no"), F.col("length").cast("long").alias("length"))
+    return rows.repartition(capture).sortWithinPartitions(capture, "frame_no").mapInArrow(run, schema)
+
+
 def aggregate_windows(frames: DataFrame, size: int, means: list[str], capture: str = "capture", extra: list[Column] = (), digits: int = 6) -> DataFrame:
     """One row per (capture, win): means, flag counts, sizes, gap, rate and the most frequent protocol (ties: the smallest).
 

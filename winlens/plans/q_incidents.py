@@ -143,17 +143,21 @@ def i7(spark, d):
     return inc.truth_flags(w, members, o, t, F.col("addr") % 97 == 0, POLICY.silence)
 
 
-@query("a38_evaluation_summary")
-def a38(spark, d):
-    w, links, decisions, members, back = replay(spark, d)
-    o, t = stored_roles(links, members, back, w)
-    flags = inc.truth_flags(w, members, o, t, F.col("addr") % 97 == 0, POLICY.silence)
+def evaluation(w, flags):
+    """Incidents, true ones, right first origins and false ones an hour, of each capture and of all."""
     hours = w.groupBy("capture").agg(((F.max("end_ts") - F.min("start_ts")) / 3600).alias("hours"))
     per = flags.join(hours, "capture", "right").groupBy("capture").agg(F.count("incident").alias("n_incidents"), F.count_if("is_true").alias("n_true"), F.count_if("first_origin_is_attacker").alias("n_origin"), F.max("hours").alias("hours"))
     out = per.rollup("capture").agg(*(F.sum(c).alias(c) for c in ("n_incidents", "n_true", "n_origin", "hours")))
     return out.withColumn("false_per_hour", (F.col("n_incidents") - F.col("n_true")) / F.col("hours"))
 
 
+@query("a38_evaluation_summary")
+def a38(spark, d):
+    w, links, decisions, members, back = replay(spark, d)
+    o, t = stored_roles(links, members, back, w)
+    return evaluation(w, inc.truth_flags(w, members, o, t, F.col("addr") % 97 == 0, POLICY.silence))
+
+
 @query("k2_incident_ports")
 def k2(spark, d):
     w, links, _, members, back = replay(spark, d)

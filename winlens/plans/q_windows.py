@@ -78,8 +78,8 @@ def p1(spark, d):
     l4 = F.when(tcp, F.concat(ports, F.lit("00000001000000025000").substr(1, 16), F.lit("50"), h(F.col("l_partkey") % 256, 1), F.lit("0000000000000000").substr(1, 12))).otherwise(F.concat(ports, F.lit("00080000")))
     ip = F.concat(F.lit("4500001c000100"), F.lit("00"), h(32 + F.col("l_orderkey") % 200, 1), F.when(tcp, "06").otherwise("11"), F.lit("0000"), F.lit("C0A800"), h(F.col("l_partkey") % 256, 1), F.lit("0A0000"), h(F.col("l_orderkey") % 256, 1))
     frame = F.unhex(F.concat(F.lit("010000000001"), F.lit("02000000000"), F.col("l_linenumber").cast("string"), F.lit("0800"), ip, l4))
-    out = fr.decode_frames(li.withColumn("frame", frame)).filter("decoded")
-    return out.select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").cast("long").alias("l"), F.col("l_partkey").alias("p"), F.col("l_quantity").alias("q"), "protocol", "ttl", "src", "dst", "sport", "dport", "flags", F.col("header_len").cast("long").alias("header_len"), "src_mac")
+    rows = li.select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").cast("long").alias("l"), F.col("l_partkey").alias("p"), F.col("l_quantity").alias("q"), frame.alias("frame"))
+    return fr.decode_frames(rows).filter("decoded").select("o", "l", "p", "q", "protocol", "ttl", "src", "dst", "sport", "dport", "flags", "header_len", "src_mac")
 
 
 @query("p2_port_indicators", f"""{WITH} SELECT capture, {", ".join(f'CAST(sum("{c}") AS BIGINT) AS "{c}"' for c in ("HTTP", "HTTPS", "Telnet", "SMTP", "SSH", "IRC", "DNS", "DHCP"))} FROM kept GROUP BY capture""")

@@ -24,6 +24,18 @@ def read_event_log(spark: SparkSession, path: str) -> DataFrame:
     return parsed.select("log", (F.col("line") + 1).alias("line"), "raw", "e.*")
 
 
+def tail_event_log(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
+    """Live tail of a folder of JSON-line files: a stream of (log, raw, the envelope's fields, complete).
+
+    Spark reads a file once, when it appears, so a log is tailed as the pieces that its writer adds to the folder. A line that is no
+    JSON object (the last of a piece that is still being written) has complete = false and null fields: keep complete rows, and
+    read the others again when the log is closed.
+    """
+    lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path).select(F.col("_metadata.file_name").alias("log"), F.col("value").alias("raw"))
+    parsed = lines.filter(F.trim("raw") != "").withColumn("e", F.from_json("raw", EVENT))
+    return parsed.select("log", "raw", "e.*", F.col("e.id").isNotNull().alias("complete"))
+
+
 def read_runs(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON results, one document per file."""
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.query import StreamingQuery
+
+from winlens.operators.labels import LABELS, OTHER_NAMES
 
 #: The 39 columns of a window in their order.
 COLUMNS = (
@@ -17,32 +20,85 @@ FEATURES = T.StructType([T.StructField(c, T.DoubleType()) for c in COLUMNS])
 LABELLED = T.StructType([*FEATURES, T.StructField("Label", T.StringType())])
 
 
-def read_labelled(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def numbers(values: Column) -> tuple[Column, Column]:
+    """Doubles of an array of texts, empty as null; and whether one is no number."""
+    found = F.transform(values, lambda x: F.trim(x).try_cast("double"))
+    return found, F.exists(F.zip_with(values, found, lambda t, n: (F.trim(t) != "") & n.isNull()), lambda x: x)
+
+
+def file_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, raw, last, ended, header) of text files, lines from 0; \\n or \\r\\n ends a line, a byte order mark is dropped.
+
+    A file passes through one task, as only its start and its end tell what its lines are; files over 2 GB must be split first.
+    """
+    text = F.regexp_replace("value", "^\ufeff", "")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.split(text, "\r?\n").alias("lines"), F.col("value").endswith("\n").alias("ended"))
+    last = F.size("lines") - F.when(F.col("ended"), 2).otherwise(1)
+    whole = whole.select("file", "ended", last.alias("last"), F.split(F.get("lines", 0), ",").alias("header"), "lines")
+    return whole.select("file", "last", "ended", "header", F.posexplode("lines").alias("line", "raw"))
+
+
+def read_labelled(spark: SparkSession, path: str, strict_end: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rows, quarantine) of labelled CSV files with the exact 40-column header.
 
-    Lines are audited as text: blank lines are skipped, an unterminated or short last line and lines that do not parse go to the
-    quarantine (file, line, raw, reason); a file with another header has all of its lines there.
+    Lines are audited as text: blank lines are skipped, lines that do not parse and labels that are none of the set go to the
+    quarantine (file, line, raw, reason); a file with another header has all of its lines there. A last line that is not ended
+    counts if nothing is wrong with it, and else has the reason `unterminated`; with strict_end it has that in any case.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "raw"), F.col("value").rlike(r"\n$").alias("ended"), F.split(F.substring_index("value", "\n", 1), ",").alias("header"))
     names = F.array(*map(F.lit, (*COLUMNS, "Label")))
-    lines = lines.withColumn("ok_header", F.transform("header", F.trim) == names).filter("line > 0 and trim(raw) <> ''")
-    last = F.max("line").over(Window.partitionBy("file"))
-    parsed = lines.withColumn("last", last).withColumn("v", F.split("raw", ","))
-    numbers = F.transform(F.slice("v", 1, len(COLUMNS)), lambda x: F.trim(x).try_cast("double"))
-    bad_number = F.exists(F.zip_with(F.slice("v", 1, len(COLUMNS)), numbers, lambda t, n: (F.trim(t) != "") & n.isNull()), lambda x: x)
-    reason = F.when(~F.col("ok_header"), "header").when((F.col("line") == F.col("last")) & ~F.col("ended"), "unterminated").when(F.size("v") != len(COLUMNS) + 1, "columns").when(bad_number, "number")
-    parsed = parsed.withColumns({"n": numbers, "reason": reason})
+    lines = file_lines(spark, path).filter("line > 0 and trim(raw) <> ''").withColumn("v", F.split("raw", ","))
+    values, bad = numbers(F.slice("v", 1, len(COLUMNS)))
+    known = F.lower(F.trim(F.get("v", len(COLUMNS)))).isin([k.lower() for k in (*LABELS, *OTHER_NAMES)])
+    reason = F.when(F.size("v") != len(COLUMNS) + 1, "columns").when(bad, "number").when(~known, "label")
+    open_end = (F.col("line") == F.col("last")) & ~F.col("ended")
+    reason = F.when(F.transform("header", F.trim) != names, "header").when(open_end & (reason.isNotNull() | F.lit(strict_end)), "unterminated").otherwise(reason)
+    parsed = lines.withColumns({"n": values, "reason": reason})
     rows = parsed.filter("reason is null").select("file", "line", *(F.get("n", i).alias(c) for i, c in enumerate(COLUMNS)), F.trim(F.get("v", len(COLUMNS))).alias("Label"))
     return rows, parsed.filter("reason is not null").select("file", "line", "raw", "reason")
 
 
+def read_complete(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, files) of labelled CSV files: rows without a last line that is not ended, and each file's bytes, sha256 and truncated."""
+    ends = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", "([^/]*)$", 1).alias("file"), (F.substring("content", -1, 1) != F.unhex(F.lit("0A"))).alias("truncated"))
+    return read_labelled(spark, path, strict_end=True)[0], with_file_facts(spark, path).select("file", "bytes", "sha256").join(ends, "file")
+
+
+def csv_columns(spark: SparkSession, path: str) -> list[str]:
+    """Column names in the header of the first file, without a byte order mark."""
+    first = spark.read.text(path).limit(1).collect()
+    return first[0][0].lstrip("\ufeff").strip().split(",") if first else []
+
+
 def read_features(spark: SparkSession, path: str, label: str | None = None) -> DataFrame:
-    """Feature CSV (gz or not): 39 doubles, empty as null, and a label from its column or given once."""
-    schema = LABELLED if label is None else FEATURES
-    df = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").option("nullValue", "").csv(path)
+    """Feature CSV (gz or not): 39 doubles, empty as null, other columns as text, and a label from its column or given once.
+
+    The columns are those of the header, in any order, the same in all files of the path; a missing feature or label, a label given
+    twice and a value that is no number are errors.
+    """
+    columns = csv_columns(spark, path)
+    missing = [c for c in (*COLUMNS, *(["Label"] if label is None else [])) if c not in columns]
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    if label is not None and "Label" in columns:
+        raise ValueError("the file has labels of its own")
+    schema = T.StructType([T.StructField(c, T.DoubleType() if c in COLUMNS else T.StringType()) for c in columns])
+    df = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("mode", "FAILFAST").option("nullValue", "").option("positiveInf", "inf").option("negativeInf", "-inf").csv(path)
     return df if label is None else df.withColumn("Label", F.lit(label))
 
 
+def read_official(spark: SparkSession, path: str) -> DataFrame:
+    """(file, row, the 39 columns) of per-capture CSV files without label: row is the line's place from 0, empty values are null.
+
+    Other columns are left out, quarantine there is none: a value that is no number fails the read.
+    """
+    lines = file_lines(spark, path).filter("line > 0 and trim(raw) <> ''").withColumn("v", F.split("raw", ","))
+    place = F.transform(F.array(*map(F.lit, COLUMNS)), lambda c: F.array_position(F.transform("header", F.trim), c))
+    values, bad = numbers(F.transform(place, lambda p: F.coalesce(F.get("v", p - 1), F.lit(""))))
+    missing = F.exists(place, lambda p: p == 0)
+    values = F.when(missing, F.raise_error(F.concat("file", F.lit(": columns are missing"))).cast("array<double>")).when(bad, F.raise_error(F.concat("file", F.lit(": a value is no number"))).cast("array<double>")).otherwise(values)
+    return lines.withColumn("n", values).select("file", (F.row_number().over(Window.partitionBy("file").orderBy("line")) - 1).alias("row"), *(F.get("n", i).alias(c) for i, c in enumerate(COLUMNS)))
+
+
 def with_file_facts(spark: SparkSession, path: str) -> DataFrame:
     """(file, bytes, modified, sha256) of files; their contents pass a task at a time, one file each."""
     return spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", "([^/]*)$", 1).alias("file"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"))
@@ -62,9 +118,20 @@ def manifest_diff(files: DataFrame, manifest: DataFrame, key: list[str], facts:
     return a.join(b, key, "full_outer").select(*key, state.alias("state"))
 
 
+def window_texts(windows: DataFrame) -> DataFrame:
+    """The 39 columns in order, doubles; NaN as null, which is written as empty."""
+    return windows.select(*(F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")).alias(c) for c in COLUMNS))
+
+
 def write_windows(windows: DataFrame, path: str) -> None:
-    """Window CSV: the 39 columns in order, exact text of doubles, empty for null."""
-    windows.select(*(F.col(f"`{c}`").cast("double").alias(c) for c in COLUMNS)).write.option("header", True).option("nullValue", "").csv(path)
+    """Window CSV: the 39 columns in order, exact text of doubles, empty for null and NaN."""
+    window_texts(windows).write.option("header", True).option("nullValue", "").csv(path)
+
+
+def stream_windows(windows: DataFrame, path: str, checkpoint: str, every: str = "1 second") -> StreamingQuery:
+    """write_windows for a stream: a window is in a file within `every` of its end."""
+    out = window_texts(windows).writeStream.format("csv").option("header", True).option("nullValue", "").option("path", path)
+    return out.option("checkpointLocation", checkpoint).outputMode("append").trigger(processingTime=every).start()
 
 
 def write_training(windows: DataFrame, path: str) -> None:

@@ -26,10 +26,11 @@ def _save(state: GroupState, value) -> None:
     state.update((pickle.dumps(value),))
 
 
-def count_windows(frames: DataFrame, sizes: tuple[int, ...], means: list[str]) -> DataFrame:
+def count_windows(frames: DataFrame, sizes: tuple[int, ...], means: list[str], end: str | None = None) -> DataFrame:
     """Kept frames (capture, o, ts, size, protocol, means) to windows of each size as they fill; o orders a capture's frames.
 
-    Several sizes share one pass. The open window and the last instant are carried over.
+    Several sizes share one pass. The open window and the last instant are carried over. A row whose boolean column `end` is true is no
+    frame: it tells that its capture is over, and the windows that are open then come out incomplete.
     """
     columns = ["ts", "size", "protocol", *means]
 
@@ -37,19 +38,22 @@ def count_windows(frames: DataFrame, sizes: tuple[int, ...], means: list[str]) -
         ts, length, protocol = rows[:, 0], rows[:, 1], rows[:, 2]
         values, counts = np.unique(protocol, return_counts=True)
         span = ts.max() - ts.min()
-        spread = float(length.var(ddof=1)) if size > 1 else None
-        return (capture, size, win, ts.min(), ts.max(), int(values[counts.argmax()]), size / span if span else float("inf"), int(length.sum()), float(length.mean()), spread, float(rows[:, -1].mean()), *rows[:, 3:-1].mean(0).tolist())
+        spread = float(length.var(ddof=1)) if len(rows) > 1 else None
+        return (capture, size, win, len(rows), ts.min(), ts.max(), int(values[counts.argmax()]), len(rows) / span if span else float("inf"), int(length.sum()), float(length.mean()), spread, float(rows[:, -1].mean()), *rows[:, 3:-1].mean(0).tolist())
 
-    names = ["capture", "window_size", "win", "start_ts", "end_ts", "protocol_type", "rate", "tot_sum", "avg_size", "variance", "iat", *means]
-    schema = "capture bigint, window_size int, win bigint, start_ts double, end_ts double, protocol_type bigint, rate double, tot_sum bigint, avg_size double, variance double, iat double, " + ", ".join(f"`{m}` double" for m in means)
+    names = ["capture", "window_size", "win", "number", "start_ts", "end_ts", "protocol_type", "rate", "tot_sum", "avg_size", "variance", "iat", *means]
+    schema = "capture bigint, window_size int, win bigint, number bigint, start_ts double, end_ts double, protocol_type bigint, rate double, tot_sum bigint, avg_size double, variance double, iat double, " + ", ".join(f"`{m}` double" for m in means)
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = _load(state, lambda: {"last": None, **{s: (0, np.zeros((0, len(columns) + 1))) for s in sizes}})
         pdf = pd.concat(list(batches)).sort_values("o")
+        over = end is not None and bool(pdf[end].any())
+        pdf = pdf if end is None else pdf[~pdf[end].astype(bool)]
         rows = pdf[columns].to_numpy(float)
-        before = np.concatenate([[rows[0, 0] if held["last"] is None else held["last"]], rows[:-1, 0]])
-        rows = np.column_stack([rows, rows[:, 0] - before])
-        held["last"] = float(rows[-1, 0])
+        if len(rows):
+            before = np.concatenate([[rows[0, 0] if held["last"] is None else held["last"]], rows[:-1, 0]])
+            held["last"] = float(rows[-1, 0])
+        rows = np.column_stack([rows, rows[:, 0] - before]) if len(rows) else np.zeros((0, len(columns) + 1))
         out = []
         for s in sizes:
             win, left = held[s]
@@ -57,6 +61,9 @@ def count_windows(frames: DataFrame, sizes: tuple[int, ...], means: list[str]) -
             while len(left) >= s:
                 out.append(close(key[0], s, win, left[:s]))
                 win, left = win + 1, left[s:]
+            if over and len(left):
+                out.append(close(key[0], s, win, left))
+                win, left = win + 1, left[:0]
             held[s] = (win, left)
         _save(state, held)
         yield pd.DataFrame(out, columns=names)
@@ -80,6 +87,30 @@ def watch(windows: DataFrame, in_a_row: int) -> DataFrame:
     return windows.groupBy("capture").applyInPandasWithState(run, "capture bigint, win bigint, category string, opens boolean", _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def score_stream(windows: DataFrame, predict, classes: tuple[str, ...], columns: list[str], threshold: float | None = None, lot: int = 512) -> DataFrame:
+    """Windows with their category and its probability, scored as they arrive in lots of at most `lot`.
+
+    predict gives an array (rows, classes) of probabilities for an array (rows, columns); it is sent to the tasks. With a threshold
+    a window is an attack from that much probability outside the benign class, of the likeliest category of attack; else the
+    likeliest class wins. Order is that of arrival; decide_stream puts a capture's windows in their order.
+    """
+    benign = classes.index(BENIGN)
+    attacks = [i for i in range(len(classes)) if i != benign]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), lot):
+                part = pdf.iloc[at : at + lot]
+                p = np.asarray(predict(part[columns].to_numpy(np.float32)))
+                best = p.argmax(1)
+                if threshold is not None:
+                    best = np.where(1 - p[:, benign] >= threshold - 1e-12, np.array(attacks)[p[:, attacks].argmax(1)], benign)
+                yield part.assign(category=np.array(classes)[best], confidence=p[np.arange(len(part)), best])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in windows.schema)
+    return windows.mapInPandas(run, f"{schema}, category string, confidence double")
+
+
 def decide_stream(windows: DataFrame, policy: Policy) -> DataFrame:
     """The incident policy over a stream of windows (capture, win, start_ts, end_ts, category, sources, targets)."""
 
@@ -98,6 +129,26 @@ def decide_stream(windows: DataFrame, policy: Policy) -> DataFrame:
     return windows.groupBy("capture").applyInPandasWithState(run, DECISIONS, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def incident_queue(events: DataFrame) -> DataFrame:
+    """(log, incident, seq, type, windows, tokens) to the queue: after each batch a row for every incident that the batch has
+    an event of, with its first and last event, its last type as state, totals so far, and the proposals that wait for an answer."""
+
+    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        queue = _load(state, dict)
+        pdf = pd.concat(list(batches)).sort_values("seq")
+        for r in pdf.to_dict("records"):
+            row = queue.setdefault(r["incident"], {"first_seq": r["seq"], "windows": 0, "tokens": 0, "waiting": 0})
+            row |= {"last_seq": r["seq"], "state": r["type"], "windows": row["windows"] + r["windows"], "tokens": row["tokens"] + r["tokens"]}
+            row["waiting"] = max(0, row["waiting"] + {"proposed": 1, "executed": -1}.get(r["type"], 0))
+        _save(state, queue)
+        yield pd.DataFrame([{"log": key[0], "incident": i, **queue[i]} for i in pdf["incident"].unique()])[_QUEUE]
+
+    return events.groupBy("log").applyInPandasWithState(run, "log bigint, incident bigint, first_seq bigint, last_seq bigint, state string, windows bigint, tokens bigint, waiting bigint", _STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+_QUEUE = ["log", "incident", "first_seq", "last_seq", "state", "windows", "tokens", "waiting"]
+
+
 def running_log(events: DataFrame) -> DataFrame:
     """(log, seq, type, tokens) to totals after each batch: the last seq, events, tokens, proposals waiting."""
 
