@@ -1,23 +1,28 @@
 """Personal data by bootstrapped contextual extraction.
 
-A pass over the texts finds base entities (e-mail, IP, card, phone), other tokens with digits and groups of digits joined by
-blanks and marks, each with the lexical patterns around it: the two words before it, the word before and the word after it,
-and the part of its token in front of `=` or `:`. The base entities are seeds. Patterns and instances form a graph that Spark
+A pass over the texts finds base entities (e-mail, IP, card, phone), long hexadecimal strings that may be secrets, other tokens
+with digits and groups of digits joined by blanks and marks, each with the lexical patterns around it: the two words before it
+(L), the word before and the word after it (M), the word before an assignment's marks (A), and the part of its token in front of
+`=` or `:` (P). Base entities and hexadecimal strings are seeds. Patterns and instances form a graph that Spark
 scores in rounds: a pattern's confidence in a kind is the mean score of its instances, if enough different seeds or accepted
 instances of the kind stand in it; an unknown instance scores the noisy-or of its confident patterns. Rounds end when no
 score rises. Then all other tokens (without digits, short or long) that stand where a confident pattern holds, or were
 accepted, join the graph, and rounds begin anew, until every confident pattern has been looked up so. These tokens are judged
 by the confidence over all instances of a pattern, tokens with digits by that over tokens with digits. Unknown instances with
-a high score, at places where a confident pattern holds, are added to the base spans, the longest where they overlap.
+a high score, at places where a confident pattern holds, are added to the base spans, the longest where they overlap. So are
+hexadecimal strings where a confident pattern of secrets holds; elsewhere (a checksum in plain text) they are left alone.
 
-Defined cases: a null text counts as empty; rows that repeat are extracted each on its own; spans are in code points,
-end exclusive; an empty table gives an empty result; other columns are ignored.
+Defined cases: a null text counts as empty; very long texts, words and tokens are read whole (a word of over LONG characters
+stands in a pattern by its digest); rows that repeat are extracted each on its own, and count once as seeds; of kinds with equal
+scores the first in order wins; spans are in code points, end exclusive; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from itertools import accumulate, islice, takewhile
 
@@ -27,13 +32,17 @@ from pyspark.sql import functions as F
 
 from winlens.llm.common import materialize, table, text_rows
 
-KINDS = ("email", "ip", "card", "phone")
+#: Kinds of base entities, and secrets after them.
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret")
+SECRET = len(BASE_KINDS)
 #: A pattern counts from so many different seeds or accepted instances and this confidence; an instance is accepted from this score.
 #: Scores that rise by no more are the same.
 MIN_SEEDS, CONFIDENT, ACCEPT = 5, 0.8, 0.9
 SAME = 1e-6
 #: Tokens with digits of other lengths are candidates only where a confident pattern holds.
 TOKEN_CHARS = (5, 64)
+LONG = 64
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -43,9 +52,12 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]++")
 _GROUPS = re.compile(r"\(?[0-9]++(?:[ .()-]{1,3}[0-9]++)+")
 _TOKEN = re.compile(r"\S+")
-_PREFIX = re.compile(r"^[A-Za-z_]+[=:]")
+_PREFIX = re.compile(r"[A-Za-z_]+[=:]")
 _EDGE = ".,;:!?\"'()[]{}<>"
 _SPACE = re.compile(r"\s")
+_HEX = re.compile(r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![A-Za-z0-9])")
+_DIGIT = re.compile("[0-9]")
+_AFTER = re.compile("[" + re.escape(_EDGE) + r"]*+\s*+(\S++)")
 
 
 def luhn(digits: str) -> bool:
@@ -85,6 +97,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
+def secret_spans(text: str) -> list[tuple[int, int, int]]:
+    """Hexadecimal strings of 32 characters or more with letters and digits."""
+    return [(m.start(), SECRET, m.end()) for m in _HEX.finditer(text) if not m[0].isdigit() and not m[0].isalpha()]
+
+
 def other_tokens(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """Spans of tokens with a digit that touch none of the taken spans, without marks at their edges."""
     found, done, k = [], 0, 0
@@ -126,13 +143,50 @@ def digit_groups(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int
 
 
 def plain(word: str) -> str:
-    return re.sub("[0-9]", "0", word.lower())
+    """A word as it stands in patterns: lower case, every digit 0, a very long one by its digest."""
+    word = _DIGIT.sub("0", word.lower())
+    return word if len(word) <= LONG else hashlib.sha1(word.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+class Context:
+    """The words of a text, found once for all of its mentions."""
+
+    def __init__(self, text: str):
+        self.text, self.starts = text, [m.start() for m in _TOKEN.finditer(text)]
+
+    def before(self, at: int, n: int) -> list[str]:
+        """The last n words, or parts of words, that end at or before a place."""
+        k = bisect_left(self.starts, at)
+        edges = [*self.starts[max(0, k - n) : k], at]
+        return [plain(self.text[a:b].rstrip()) for a, b in zip(edges, edges[1:], strict=False)]
+
+    def patterns(self, start: int, end: int) -> list[str]:
+        before, after = self.before(start, 4), _AFTER.match(self.text, end)
+        found = []
+        if len(before) >= 2:
+            found.append("L " + " ".join(before[-2:]))
+        if before and after:
+            found.append(f"M {before[-1]} _ {plain(after[1])}")
+        marks = len(list(takewhile(lambda w: not any(map(str.isalnum, w)), reversed(before))))
+        if 0 < marks < len(before) and any(c in "".join(before[-marks:]) for c in "=:"):
+            found.append("A " + " ".join(before[-marks - 1 :]))
+        prefix = _PREFIX.match(self.text, start, end)
+        if prefix:
+            found.append("P " + prefix[0].lower())
+        return found
+
+
+def head(pattern: str) -> str | None:
+    """The word that stands directly before the instances of a pattern."""
+    words = pattern[2:].split(" ")
+    return None if pattern[0] == "P" else words[0] if pattern[0] == "M" else words[-1]
 
 
 def rare_tokens(text: str, mentions: list[dict], wanted: tuple[frozenset, frozenset, frozenset]) -> list[tuple[int, int]]:
     """Spans of tokens that touch no mention of a base entity and are no mention, but stand where a wanted pattern holds or are wanted."""
     holds, heads, instances = wanted
     known = {(m["start"], m["end"]) for m in mentions}
+    context = Context(text)
     found, prior = [], ""
     for m in _TOKEN.finditer(text):
         word = m[0]
@@ -142,26 +196,12 @@ def rare_tokens(text: str, mentions: list[dict], wanted: tuple[frozenset, frozen
         if bare and (before in heads or "=" in bare or ":" in bare or bare.lower() in instances):
             start = m.start() + len(lead)
             span = (start, start + len(bare))
-            if span not in known and (bare.lower() in instances or not holds.isdisjoint(patterns(text, *span))):
+            if span not in known and (bare.lower() in instances or not holds.isdisjoint(context.patterns(*span))):
                 found.append(span)
     taken = sorted((m["start"], m["end"]) for m in mentions if m["kind"] is not None)
     return [x for x, hit in zip(found, overlaps(found, taken), strict=True) if not hit]
 
 
-def patterns(text: str, start: int, end: int) -> list[str]:
-    before = re.sub("[0-9]", "0", text[max(0, start - 80) : start].lower()).split()[-2:]
-    after = re.sub("[0-9]", "0", text[end : end + 60].lower().lstrip(_EDGE)).split()[:1]
-    found = []
-    if len(before) == 2:
-        found.append("L " + " ".join(before))
-    if before and after:
-        found.append(f"M {before[-1]} _ {after[0]}")
-    prefix = _PREFIX.match(text[start:end])
-    if prefix:
-        found.append("P " + prefix[0].lower())
-    return found
-
-
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
@@ -170,14 +210,14 @@ _FOUND = "array<struct<kind:int,start:int,end:int,instance:string,patterns:array
 _MENTION = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("instance", pa.string()), ("patterns", pa.list_(pa.string())), ("rare", pa.bool_())])
 
 
-def mention(text: str, kind: int | None, start: int, end: int, rare: bool) -> dict:
-    return {"kind": kind, "start": start, "end": end, "instance": text[start:end].lower(), "patterns": patterns(text, start, end), "rare": rare}
+def mention(context: Context, kind: int | None, start: int, end: int, rare: bool) -> dict:
+    return {"kind": kind, "start": start, "end": end, "instance": context.text[start:end].lower(), "patterns": context.patterns(start, end), "rare": rare}
 
 
 def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) to doc_id, counts by kind, base spans, digest, text, and all mentions with their patterns (kind null: unknown)."""
     for b in batches:
-        counts: list[list[int]] = [[] for _ in KINDS]
+        counts: list[list[int]] = [[] for _ in BASE_KINDS]
         spans, digests, mentions = [], [], []
         for text in b.column(1).to_pylist():
             base = base_spans(text)
@@ -185,12 +225,14 @@ def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 column.append(sum(x[1] == k for x in base))
             spans.append(joined(base))
             digests.append(hashlib.sha256(spans[-1].encode()).hexdigest())
-            tokens = other_tokens(text, base)
+            seeds = base + secret_spans(text)
+            tokens = other_tokens(text, seeds)
             starts = {s for s, _ in tokens}
-            of = [(k, s, e, False) for s, k, e in base] + [(None, s, e, False) for s, e in tokens] + [(None, s, e, s in starts) for s, e in digit_groups(text, base)]
-            mentions.append([mention(text, *x) for x in of])
+            of = [(k, s, e, False) for s, k, e in seeds] + [(None, s, e, False) for s, e in tokens] + [(None, s, e, s in starts) for s, e in digit_groups(text, seeds)]
+            context = Context(text if of else "")
+            mentions.append([mention(context, *x) for x in of])
         arrays = [b.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(spans, pa.string()), b.column(1), pa.array(mentions, pa.list_(_MENTION))]
-        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "text", "mentions"])
+        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "base", "text", "mentions"])
 
 
 def look_up(wanted) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -198,7 +240,7 @@ def look_up(wanted) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [[mention(t, None, s, e, True) for s, e in rare_tokens(t, m, wanted.value)] for t, m in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            out = [[mention(c, None, s, e, True) for c in [Context(t)] for s, e in rare_tokens(t, m, wanted.value)] for t, m in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(_MENTION))], ["row", "mentions"])
 
     return run
@@ -233,8 +275,8 @@ def bootstrap(mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, counts of base entities, base_sha256, spans (base and added, `kind:start:end`), n_added."""
-    fields = ", ".join(f"n_{k} long" for k in KINDS)
+    """doc_id, counts of base entities, base_sha256, spans (base and added, `kind:start:end`), n_added, n_found (all spans)."""
+    fields = ", ".join(f"n_{k} long" for k in BASE_KINDS)
     found = text_rows(docs, id_col, text_col).mapInArrow(extract, f"doc_id long, {fields}, base_sha256 string, base string, text string, mentions {_FOUND}")
     found = materialize(found.withColumn("row", F.monotonically_increasing_id()), "pii-found")
     flat = lambda df: df.filter(F.size("mentions") > 0).select("row", F.explode("mentions").alias("m")).select("row", "m.*").withColumn("pattern", F.explode("patterns"))
@@ -246,12 +288,13 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if all(a <= b for a, b in zip(now, looked, strict=True)):
             break
         looked = tuple(a | b for a, b in zip(now, looked, strict=True))
-        heads = frozenset(p[2:].split(" ")[1 if p[0] == "L" else 0] for p in looked[0] if p[0] != "P")
+        heads = frozenset(map(head, looked[0])) - {None}
         wanted = docs.sparkSession.sparkContext.broadcast((looked[0], heads, looked[1]))
         rows = found.select("row", "text", "mentions").mapInArrow(look_up(wanted), f"row long, mentions {_FOUND}")
         each = flat(found).unionByName(materialize(flat(rows), "pii-rare"))
     added = each.filter("kind is null").drop("kind").join(accepted, "instance").join(confident, ["pattern", "kind", "rare"], "left_semi")
-    added = added.select("row", "kind", "start", "end").distinct().groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("added"))
+    secrets = each.filter(F.col("kind") == SECRET).join(confident, ["pattern", "kind", "rare"], "left_semi")
+    added = added.select("row", "kind", "start", "end").union(secrets.select("row", "kind", "start", "end")).distinct().groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("added"))
     inner = lambda x, y: (y["start"] <= x["start"]) & (x["end"] <= y["end"]) & (x["end"] - x["start"] < y["end"] - y["start"])
     added = added.withColumn("added", F.filter("added", lambda x: ~F.exists("added", lambda y: inner(x, y))))
     return merged(found.join(added, "row", "left"))
@@ -259,10 +302,10 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def merged(rows: DataFrame) -> DataFrame:
     name: Column = F.array(*map(F.lit, KINDS))
-    base = F.transform(F.filter("mentions", lambda m: m["kind"].isNotNull()), lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end")))
+    base = F.transform(F.filter("mentions", lambda m: m["kind"] < SECRET), lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end")))
     all_ = F.array_sort(F.concat(base, F.coalesce("added", F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
     text = F.array_join(F.transform(all_, lambda s: F.concat_ws(":", F.get(name, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
-    return rows.select("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", text.alias("spans"), F.coalesce(F.size("added"), F.lit(0)).cast("long").alias("n_added"))
+    return rows.select("doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", text.alias("spans"), F.coalesce(F.size("added"), F.lit(0)).cast("long").alias("n_added"), F.size(all_).cast("long").alias("n_found"))
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
