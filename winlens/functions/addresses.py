@@ -42,9 +42,12 @@ def canonical_addresses(rows: DataFrame, column: str) -> DataFrame:
 
 
 def in_networks(rows: DataFrame, ip: str, networks: DataFrame, name: str) -> DataFrame:
-    """Adds a flag: the address (a number) is in one of the networks (low, high). Addresses are looked up once each."""
-    own = rows.select(ip).distinct()
-    hits = own.join(F.broadcast(networks), (F.col(ip) >= F.col("low")) & (F.col(ip) <= F.col("high")), "left_semi").withColumn(name, F.lit(True))
+    """Adds a flag: the address (a number) is in one of the networks (low, high). Addresses are looked up once each, by equal blocks of
+    65,536 addresses, so that networks of any number can be joined."""
+    own = rows.select(ip).distinct().withColumn("_block", F.shiftright(ip, 16))
+    blocks = networks.select("low", "high", F.explode(F.sequence(F.shiftright("low", 16), F.shiftright("high", 16))).alias("_block"))
+    inside = (own["_block"] == blocks["_block"]) & (F.col(ip) >= F.col("low")) & (F.col(ip) <= F.col("high"))
+    hits = own.join(blocks, inside, "left_semi").select(ip, F.lit(True).alias(name))
     return rows.join(hits, ip, "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 

@@ -134,9 +134,9 @@ def target_role(target: Column, origins: Column, destinations: Column) -> Column
 
 def score_proposals(proposals: DataFrame, key: DataFrame, protected: DataFrame, catalogue: DataFrame) -> DataFrame:
     """reason: why a proposal is not acceptable (null: it is). key has category, action, role; the others one column each."""
-    out = proposals.join(F.broadcast(catalogue.withColumn("_known", F.lit(1))), "action", "left")
-    out = out.join(F.broadcast(protected.withColumn("_protected", F.lit(1))), "target", "left")
-    out = out.join(F.broadcast(key.withColumn("_ok", F.lit(1))), ["category", "action", "role"], "left")
+    out = proposals.join(catalogue.withColumn("_known", F.lit(1)), "action", "left")
+    out = out.join(protected.withColumn("_protected", F.lit(1)), "target", "left")
+    out = out.join(key.withColumn("_ok", F.lit(1)), ["category", "action", "role"], "left")
     reason = F.when(F.col("_known").isNull(), "new action").when(F.col("_protected") == 1, "protected").when(F.col("_ok").isNull(), "not in key")
     return out.withColumn("reason", reason).drop("_known", "_protected", "_ok")
 
@@ -153,6 +153,29 @@ def high_risk(proposals: DataFrame, always: list[str], protected: list[str], low
     return proposals.withColumn("reasons", reasons)
 
 
+def all_risk_reasons(proposals: DataFrame, measures: DataFrame, catalogue: DataFrame, protected: list[str], low: int, high: int) -> DataFrame:
+    """(seq, reasons): all reasons why a proposal is of high risk at its point of the log; none: it is of low risk.
+
+    proposals has (log, incident, seq, action, target, term, role, local, rejected): role is the target's in the incident (origin, destination
+    or none), rejected tells that a person has refused this proposal. measures has (log, incident, seq, delta): +1 where a measure without
+    approval starts, -1 where it ends. catalogue has (action, always, longest, targets): the longest term of low risk, and whether the
+    action may meet origins only or `both`. An action that is not in it is new, and nothing else is said of it.
+    """
+    rejected = F.max(F.col("rejected").cast("int")).over(Window.partitionBy("incident", "target").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    asked = proposals.withColumns({"rejected_before": F.coalesce(rejected, F.lit(0)) == 1, "delta": F.lit(0)})
+    both = asked.unionByName(measures.select("log", "incident", "seq", "delta", F.lit(True).alias("is_measure")), allowMissingColumns=True)
+    active = lambda by: F.coalesce(F.sum("delta").over(Window.partitionBy(*by).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = both.withColumns({"here": active(["log", "incident"]), "anywhere": active(["log"])}).filter("is_measure is null")
+    rows = rows.join(catalogue.withColumn("known", F.lit(True)), "action", "left")
+    may = ~F.col("always")
+    when = lambda c, name: F.when(c, F.lit(name))
+    reasons = F.array_compact(F.array(
+        when(F.col("always"), "always"), when(may & (F.col("term").isNull() | F.col("longest").isNull() | (F.col("term") > F.col("longest"))), "term"), when(may & (F.col("role") == "destination") & (F.col("targets") != "both"), "destination"),
+        when(may & F.col("local") & (F.col("targets") == "origins"), "local"), when(may & (F.col("here") >= low), "incident budget"), when(may & (F.col("anywhere") >= high), "global budget"),
+        when(F.col("role") == "none", "outside"), when(F.col("target").isin(*protected), "protected"), when(F.col("rejected_before"), "rejected")))
+    return rows.select("seq", F.when(F.col("known").isNull(), F.array(F.lit("new"))).otherwise(reasons).alias("reasons"))
+
+
 def over_limit(log: DataFrame, up: Column, down: Column, limit: int) -> DataFrame:
     """Events at which more than `limit` are pending in their incident."""
     return running_totals(log, {"pending": F.when(up, 1).when(down, -1).otherwise(0)}, "incident").filter(F.col("pending") > limit)
@@ -175,5 +198,5 @@ def compare_counts(a: DataFrame, b: DataFrame, key: str, cut: DataFrame | None =
     d = both.withColumn("difference", F.col("n_b") - F.col("n_a")).withColumn("share", F.try_divide(F.col("difference"), F.col("n_a")))
     if cut is None:
         return d
-    m = d.join(F.broadcast(cut.select(key).withColumn("_cut", F.lit(1))), key, "left")
+    m = d.join(cut.select(key).withColumn("_cut", F.lit(1)), key, "left")
     return m.withColumns({c: F.when(F.col("_cut").isNull(), F.col(c)) for c in ("difference", "share")}).drop("_cut")

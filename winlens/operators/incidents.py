@@ -24,14 +24,17 @@ def window_links(frames: DataFrame, size: int) -> DataFrame:
     return frames.filter("src is not null and dst is not null").groupBy("capture", F.floor(F.col("frame_no") / size).cast("long").alias("win"), "src", "dst", port.alias("dport"), "protocol").agg(F.count("*").alias("frames"), F.count_if(opened).alias("opened"), F.min("frame_no").alias("first_no"))
 
 
-def top_addresses(links: DataFrame) -> DataFrame:
-    """(capture, win, sources, targets): address counts of each window, most frequent first, ties by first seen."""
-    def side(c: str, name: str) -> DataFrame:
-        n = links.groupBy("capture", "win", F.col(c).alias("addr")).agg(F.sum("frames").alias("n"), F.min("first_no").alias("f"))
-        ordered = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "f", "addr", "n")))
-        return n.groupBy("capture", "win").agg(F.transform(ordered, lambda x: F.struct(x["addr"].cast("long").alias("addr"), x["n"].alias("n"))).alias(name))
-
-    return side("src", "sources").join(side("dst", "targets"), ["capture", "win"])
+def ends_of_frames() -> Column:
+    """An aggregate: number, source and target of a window's frames."""
+    whole = F.col("src").isNotNull() & F.col("dst").isNotNull()
+    return F.collect_list(F.when(whole, F.struct("frame_no", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))))
+
+
+def address_counts(ends: Column, side: str) -> Column:
+    """Of ends_of_frames, (addr, n) of one side: most frequent first, ties by first seen. A window has few frames, so its array is searched for each address."""
+    addrs = F.array_distinct(F.transform(F.array_sort(ends), lambda f: f[side]))
+    counted = F.transform(addrs, lambda a, i: F.struct((-F.size(F.filter(ends, lambda f: f[side] == a))).alias("k"), i.alias("i"), a.alias("addr")))
+    return F.transform(F.array_sort(counted), lambda x: F.struct(x["addr"].alias("addr"), (-x["k"]).cast("long").alias("n")))
 
 
 def presence(links: DataFrame, column: str, members: DataFrame, by: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from winlens.operators.windows import window_no
@@ -58,6 +58,20 @@ def natural_key(file_name: Column) -> Column:
     return F.struct(F.regexp_replace(F.lower(F.regexp_replace(name, r"[0-9]{1,15}$", "")), "[-_]+$", "").alias("base"), F.coalesce(F.try_to_number(F.when(digits != "", digits), F.lit("999999999999999")).cast("long"), F.lit(0)).alias("suffix"), name.alias("name"))
 
 
+def natural_order(rows: DataFrame, file_name: Column, identity: str) -> DataFrame:
+    """place: rows numbered from 1 in the order of natural_key, then of identity.
+
+    In two levels: within a base, and bases by the counts of those before them, so that only the bases themselves are in one task.
+    """
+    keyed = rows.withColumn("_k", natural_key(file_name))
+    counts = keyed.groupBy(F.col("_k.base").alias("_base")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_base").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_base", before.alias("_before"))
+    local = F.row_number().over(Window.partitionBy("_base").orderBy("_k", identity))
+    placed = keyed.withColumn("_base", F.col("_k.base")).withColumn("_local", local)
+    return placed.join(starts, "_base").withColumn("place", F.col("_before") + F.col("_local")).drop("_k", "_base", "_local", "_before")
+
+
 def window_side(benign_capture: Column, has_attacker: Column) -> Column:
     """kept or background: an attack capture keeps the windows with its attacker."""
     return F.when(benign_capture | has_attacker, "kept").otherwise("background")

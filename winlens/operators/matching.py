@@ -110,4 +110,4 @@ def row_weights(rows: DataFrame, population: DataFrame, label: str) -> DataFrame
     """weight: rows of the label in the whole set (label, total) over its rows here."""
     own = rows.groupBy(label).agg(F.count("*").alias("_own"))
     per = own.join(population, label).select(label, (F.col("total") / F.col("_own")).alias("weight"))
-    return rows.join(F.broadcast(per), label)
+    return rows.join(per, label)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def time_cut(windows: DataFrame, fraction: float, capture: str = "capture") -> DataFrame:
     """cut: the first window of a capture's test part, floor((1 - fraction) * total + 0.5), totals counted over these rows."""
     totals = windows.groupBy(capture).agg(F.count("*").alias("_total"))
-    return windows.join(F.broadcast(totals), capture).withColumn("cut", F.floor((1 - fraction) * F.col("_total") + 0.5)).drop("_total")
+    return windows.join(totals, capture).withColumn("cut", F.floor((1 - fraction) * F.col("_total") + 0.5)).drop("_total")
 
 
 def mark_sides(windows: DataFrame, cut: str = "cut", win: str = "win") -> DataFrame:
@@ -50,12 +50,13 @@ def capped_sample(rows: DataFrame, label: str, identity: list[str], cap: int, se
     Labels with many rows are thinned by the seeded draw first, to about twice the cap; the exact cut then ranks few rows.
     """
     totals = rows.groupBy(label).agg(F.count("*").alias("population"))
-    u = draw(seed, label, *identity)
-    near = rows.join(F.broadcast(totals), label).withColumn("_u", u)
-    # of n draws the cap smallest are below this bound but for a chance of about 1e-9; a label that falls short keeps all rows
-    bound = F.col("population") * F.lit(1.0)
-    share = (cap + 6 * F.sqrt(F.lit(float(cap))) + 20) / bound
-    kept = near.filter(F.col("_u") <= F.least(F.lit(1.0), share))
+    drawn = rows.join(totals, label).withColumn("_u", draw(seed, label, *identity))
+    # of n draws the cap smallest are below this bound but for a chance of about 1e-9
+    bound = (cap + 6 * F.sqrt(F.lit(float(cap))) + 20) / F.col("population")
+    near = drawn.filter(F.col("_u") <= bound)
+    # a label that falls short of them all the same is ranked whole
+    short = totals.join(near.groupBy(label).agg(F.count("*").alias("_n")), label, "left").filter(F.coalesce("_n", F.lit(0)) < F.least(F.lit(cap), F.col("population"))).select(label)
+    kept = near.join(short, label, "left_anti").unionByName(drawn.join(short, label, "left_semi"))
     r = F.row_number().over(Window.partitionBy(label).orderBy("_u", *identity))
     return kept.withColumn("_r", r).filter(F.col("_r") <= cap).drop("_r", "_u")
 

@@ -5,7 +5,7 @@ Expressions valid in both dialects are written once; `{epoch}` is the one that d
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winlens.operators import frames as fr
@@ -102,11 +102,12 @@ def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.withColumn("size", fr.wire_size("length", "cut")).selectExpr("*", *(f"{e} AS `{c}`" for c, e in MEASURES.items()))
 
 
-def windows(spark: SparkSession, sf_dir: str, size: int = 10) -> DataFrame:
+def windows(spark: SparkSession, sf_dir: str, size: int = 10, more: list[Column] = ()) -> DataFrame:
     """Complete windows with category, attacker facts and distinct addresses."""
     from winlens.operators import windows as wi
 
-    ip = lambda c: F.when(F.col("ethertype") == 2048, F.col(c))
-    extra = [F.bool_or("attacker").alias("has_attacker"), F.count_if("attacker").alias("attacker_frames"), F.count_distinct(ip("src")).alias("n_src"), F.count_distinct(ip("dst")).alias("n_dst")]
+    # sets of a window's few addresses: a distinct count would expand every frame into several rows
+    ip = lambda c: F.size(F.collect_set(F.when(F.col("ethertype") == 2048, F.col(c)))).cast("long")
+    extra = [F.bool_or("attacker").alias("has_attacker"), F.count_if("attacker").alias("attacker_frames"), ip("src").alias("n_src"), ip("dst").alias("n_dst"), *more]
     out = wi.aggregate_windows(kept(spark, sf_dir), size, list(MEASURES), extra=extra)
     return wi.complete(out, size).withColumn("category", F.expr(CATEGORY))

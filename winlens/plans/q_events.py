@@ -164,6 +164,28 @@ def l4(spark, d):
     return ev.high_risk(p, ["isolate"], ["1", "2"], 8, 150).select("seq", "reasons")
 
 
+@query("l4_all_risk_reasons", f"""{E}, p AS (SELECT *, coalesce(max(CASE WHEN k % 11 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY incident, address ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rej, CASE WHEN k % 20 < 7 THEN 'origin' WHEN k % 20 < 13 THEN 'destination' ELSE 'none' END AS role FROM log WHERE type = 'proposed'),
+a AS (SELECT seq, sum(delta) OVER (PARTITION BY log, incident ORDER BY seq) AS here, sum(delta) OVER (PARTITION BY log ORDER BY seq) AS anywhere FROM (SELECT log, incident, seq, CASE WHEN type = 'executed' AND k % 4 <> 0 THEN 1 WHEN type = 'effect' AND k % 5 = 0 THEN -1 ELSE 0 END AS delta FROM log))
+SELECT seq, CASE WHEN action = 'notify' THEN ['new'] ELSE [x FOR x IN [CASE WHEN action = 'isolate' THEN 'always' END, CASE WHEN action <> 'isolate' AND k % 40 > 30 THEN 'term' END, CASE WHEN action IN ('block', 'observe') AND role = 'destination' THEN 'destination' END,
+ CASE WHEN action IN ('block', 'observe') AND k % 3 = 0 THEN 'local' END, CASE WHEN action <> 'isolate' AND here >= 2 THEN 'incident budget' END, CASE WHEN action <> 'isolate' AND anywhere >= 20 THEN 'global budget' END, CASE WHEN role = 'none' THEN 'outside' END, CASE WHEN address IN ('1', '2') THEN 'protected' END, CASE WHEN rej = 1 THEN 'rejected' END] IF x IS NOT NULL] END AS reasons FROM p JOIN a USING (seq)""")
+def l4_all(spark, d):
+    rows = log(spark, d)
+    role = F.when(F.col("k") % 20 < 7, "origin").when(F.col("k") % 20 < 13, "destination").otherwise("none")
+    p = rows.filter("type = 'proposed'").select("log", "incident", "seq", "action", F.col("address").alias("target"), (F.col("k") % 40).alias("term"), role.alias("role"), (F.col("k") % 3 == 0).alias("local"), (F.col("k") % 11 == 0).alias("rejected"))
+    delta = F.when((F.col("type") == "executed") & (F.col("k") % 4 != 0), 1).when((F.col("type") == "effect") & (F.col("k") % 5 == 0), -1)
+    catalogue = spark.createDataFrame([("isolate", True, 30, "both"), ("block", False, 30, "origins"), ("limit", False, 30, "both"), ("observe", False, 30, "origins")], "action string, always boolean, longest long, targets string")
+    return ev.all_risk_reasons(p, rows.withColumn("delta", delta).filter("delta is not null"), catalogue, ["1", "2"], 2, 20)
+
+
+@query("x11_masked_payloads", f"""{E} SELECT seq, '{{"k": ' || k || ', "who": "[address]", "more": ["to [address] ok", 5, {{"x": "v1.2.3"}}]}}' AS payload FROM log""")
+def x11(spark, d):
+    from winlens.functions.text import mask_payload
+
+    text = lambda c: c.cast("string")
+    body = F.concat(F.lit('{"k": '), text(F.col("k")), F.lit(', "who": "10.0.'), text(F.col("k") % 7), F.lit("."), text(F.col("k") % 200), F.lit('", "more": ["to 192[.]168[.]1[.]'), text(F.col("k") % 250), F.lit(' ok", 5, {"x": "v1.2.3"}]}'))
+    return log(spark, d).select("seq", mask_payload(body).alias("payload"))
+
+
 @query("l5_s21_agent_costs", f"{E}, c AS (SELECT incident, config, agent, count(*) AS calls, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(tokens_out) AS BIGINT) AS tokens_out, sum(value) AS model_s, sum(CASE WHEN place = 'cloud' THEN (tokens_in * 3.0 + tokens_out * 15.0) / 1e6 ELSE 0 END) AS cost FROM log WHERE type = 'call' GROUP BY ALL) SELECT incident, config, agent, calls, tokens_in, tokens_out, round(model_s, 6) AS model_s, round(cost, 9) AS cost FROM c UNION ALL SELECT incident, config, NULL, CAST(sum(calls) AS BIGINT), CAST(sum(tokens_in) AS BIGINT), CAST(sum(tokens_out) AS BIGINT), round(sum(model_s), 6), round(sum(cost), 9) FROM c GROUP BY incident, config")
 def l5(spark, d):
     c = ev.agent_costs(log(spark, d).filter("type = 'call'"), ["incident", "config"], 3.0, 15.0)
@@ -257,7 +279,7 @@ def l16(spark, d):
     rows = log(spark, d).filter("type in ('proposed', 'executed', 'effect')")
     allowed = spark.createDataFrame([("triage", "windows"), ("analyst", "call"), ("responder", "proposed"), ("responder", "executed"), ("reviewer", "effect")], "agent string, type string").withColumn("ok", F.lit(True))
     bad = ev.dangling(rows, F.col("type") == "proposed", F.col("type").isin("executed", "effect"), ["incident", "proposal"]).select("seq", F.lit(True).alias("dangling"))
-    uses = rows.filter("type in ('executed', 'effect')").join(F.broadcast(allowed), ["agent", "type"], "left").join(bad, "seq", "left")
+    uses = rows.filter("type in ('executed', 'effect')").join(allowed, ["agent", "type"], "left").join(bad, "seq", "left")
     return uses.select("seq", "agent", "type", F.col("ok").isNull().alias("foreign_type"), F.coalesce("dangling", F.lit(False)).alias("dangling"))
 
 

@@ -35,15 +35,14 @@ def allowed(column: str):
     return (F.col(column) != 0) & (F.col(column) != 255)
 
 
-def replay(spark, d, policy=POLICY):
-    """windows, links, decisions, members, background of the whole table."""
-    frames = ad.kept(spark, d)
-    links = materialize(inc.window_links(frames, 10), "links")
-    w = ad.windows(spark, d, 10).withColumn("category", F.expr("CASE WHEN syn_flag_number > 0.2 THEN 'DDoS' WHEN ICMP > 0.4 THEN 'Recon' ELSE 'Benign' END"))
+def replay(spark, d, policy=POLICY, with_links=False):
+    """windows, links (if asked for), decisions, members, background of the whole table."""
+    links = materialize(inc.window_links(ad.kept(spark, d), 10), "links") if with_links else None
+    w = ad.windows(spark, d, 10, [inc.ends_of_frames().alias("ends")]).withColumn("category", F.expr("CASE WHEN syn_flag_number > 0.2 THEN 'DDoS' WHEN ICMP > 0.4 THEN 'Recon' ELSE 'Benign' END"))
     w = w.withColumn("confidence", F.when(F.col("category") == "DDoS", 0.5 + F.col("syn_flag_number") / 2).otherwise(0.6))
-    w = materialize(w, "windows")
-    full = w.join(inc.top_addresses(links), ["capture", "win"], "left")
-    decisions = materialize(po.decide(po.stretches(full, policy), policy), "decisions")
+    attack = F.col("category") != po.BENIGN
+    w = materialize(w.select("*", *(F.when(attack, inc.address_counts(F.col("ends"), c)).alias(n) for c, n in (("src", "sources"), ("dst", "targets")))).drop("ends"), "windows")
+    decisions = materialize(po.decide(po.stretches(w, policy), policy), "decisions")
     return w, links, decisions, po.incident_windows(decisions), po.background_windows(decisions)
 
 
@@ -64,7 +63,7 @@ def r4(spark, d):
 
 @query("r5_background_presence")
 def r5(spark, d):
-    _, links, _, _, back = replay(spark, d)
+    _, links, _, _, back = replay(spark, d, with_links=True)
     return inc.presence(links, "src", back, ["capture"])
 
 
@@ -75,12 +74,11 @@ def r6(spark, d):
 
 @query("r11_rules")
 def r11(spark, d):
-    w, links, *_ = replay(spark, d)
-    full = w.join(inc.top_addresses(links), ["capture", "win"], "left")
+    w = replay(spark, d)[0]
     out = None
     for n in (2, 3, 4):  # a job for each rule over the same stored windows
         p = po.Policy(n, POLICY.close_after, POLICY.silence, POLICY.longest, POLICY.reopen_within)
-        s = inc.replay_summary(w, po.decide(po.stretches(full, p), p)).withColumn("rule", F.lit(n))
+        s = inc.replay_summary(w, po.decide(po.stretches(w, p), p)).withColumn("rule", F.lit(n))
         out = s if out is None else out.unionByName(s)
     return out
 
@@ -98,27 +96,27 @@ def j13(spark, d):
 
 @query("j15_prominence")
 def j15(spark, d):
-    _, links, _, members, back = replay(spark, d)
+    _, links, _, members, back = replay(spark, d, with_links=True)
     return inc.prominence(links, "src", members, back)
 
 
 @query("i1_i2_roles")
 def i1(spark, d):
-    w, links, _, members, back = replay(spark, d)
+    w, links, _, members, back = replay(spark, d, with_links=True)
     o, t = stored_roles(links, members, back, w)
     return o.select(*inc.INC, "addr", "frames", F.lit("origin").alias("role")).unionByName(t.select(*inc.INC, "addr", "frames", F.lit("destination").alias("role")))
 
 
 @query("i3_k4_k5_candidates")
 def i3(spark, d):
-    w, links, _, members, back = replay(spark, d)
+    w, links, _, members, back = replay(spark, d, with_links=True)
     o, _ = stored_roles(links, members, back, w)
     return inc.candidates(links, members, back, o, allowed)
 
 
 @query("i4_x8_incident_records")
 def i4(spark, d):
-    w, links, _, members, back = replay(spark, d)
+    w, links, _, members, back = replay(spark, d, with_links=True)
     o, t = stored_roles(links, members, back, w)
     rec = inc.records(w, members, o, t)
     return rec.join(inc.contract_defects(rec, inc.ports(links, members, t)), inc.INC)
@@ -138,7 +136,7 @@ def i6(spark, d):
 
 @query("i7_j14_truth_flags")
 def i7(spark, d):
-    w, links, _, members, back = replay(spark, d)
+    w, links, _, members, back = replay(spark, d, with_links=True)
     o, t = stored_roles(links, members, back, w)
     return inc.truth_flags(w, members, o, t, F.col("addr") % 97 == 0, POLICY.silence)
 
@@ -153,14 +151,14 @@ def evaluation(w, flags):
 
 @query("a38_evaluation_summary")
 def a38(spark, d):
-    w, links, decisions, members, back = replay(spark, d)
+    w, links, decisions, members, back = replay(spark, d, with_links=True)
     o, t = stored_roles(links, members, back, w)
     return evaluation(w, inc.truth_flags(w, members, o, t, F.col("addr") % 97 == 0, POLICY.silence))
 
 
 @query("k2_incident_ports")
 def k2(spark, d):
-    w, links, _, members, back = replay(spark, d)
+    w, links, _, members, back = replay(spark, d, with_links=True)
     _, t = stored_roles(links, members, back, w)
     return inc.ports(links, members, t)
 

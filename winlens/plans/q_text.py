@@ -140,9 +140,7 @@ def p8(spark, d):
 @query("p9_natural_order", "SELECT page_id, row_number() OVER (ORDER BY page_id % 5, page_id // 5) AS place FROM pages")
 def p9(spark, d):
     name = F.concat(F.lit("Cap"), F.element_at(F.array(*map(F.lit, "abcde")), (F.col("page_id") % 5 + 1).cast("int")), F.lit("-"), F.floor(F.col("page_id") / 5), F.lit(".pcap"))
-    keyed = ad.table(spark, d, "pages").select("page_id", la.natural_key(name).alias("k"))
-    # a small dimension: the order of all file names
-    return keyed.select("page_id", F.row_number().over(Window.orderBy("k", "page_id")).cast("long").alias("place"))
+    return la.natural_order(ad.table(spark, d, "pages").select("page_id"), name, "page_id").select("page_id", "place")
 
 
 @query("s8_lines_per_label", "SELECT CAST(page_id % 4 AS BIGINT) AS label, count(*) AS n_files, CAST(sum(length(html) - length(replace(html, chr(10), ''))) AS BIGINT) AS n_lines, count(*) FILTER (html NOT LIKE '%' || chr(10)) AS n_open FROM pages GROUP BY 1")
@@ -184,20 +182,20 @@ def w10(spark, d):
 @query("f4_f5_membership", f"{_SIDES} SELECT w.capture, w.win, CASE WHEN w.win < s.cut THEN 'train' ELSE 'test' END AS side, w.win >= floor(0.85 * s.cut + 0.5) AND w.win < s.cut AS validation FROM win_ w JOIN sides s USING (capture)")
 def f4(spark, d):
     cuts = sp.validation_start(sp.capture_sides(captures(spark, d), 0.3)).select("capture", "cut", "validation_from")
-    w = sp.mark_sides(ad.windows(spark, d, 10).join(F.broadcast(cuts), "capture"))
+    w = sp.mark_sides(ad.windows(spark, d, 10).join(cuts, "capture"))
     return w.select("capture", "win", "side", ((F.col("win") >= F.col("validation_from")) & (F.col("win") < F.col("cut"))).alias("validation"))
 
 
 @query("j1_broadcast_dimension", f"{_SIDES} SELECT label, count(*) AS n_windows, count(*) FILTER (win < cut) AS n_train, CAST(sum(DISTINCT total) AS BIGINT) AS totals FROM win_ JOIN sides USING (capture) GROUP BY 1")
 def j1(spark, d):
     dim = sp.capture_sides(captures(spark, d), 0.3).select("capture", "label", "cut", "total")
-    return ad.windows(spark, d, 10).join(F.broadcast(dim), "capture").groupBy("label").agg(F.count("*").alias("n_windows"), F.count_if(F.col("win") < F.col("cut")).alias("n_train"), F.sum_distinct("total").alias("totals"))
+    return ad.windows(spark, d, 10).join(dim, "capture").groupBy("label").agg(F.count("*").alias("n_windows"), F.count_if(F.col("win") < F.col("cut")).alias("n_train"), F.sum_distinct("total").alias("totals"))
 
 
 @query("m7_training_membership", f"{_SIDES} SELECT label, count(*) FILTER (win < floor(0.85 * cut + 0.5)) AS reduced, count(*) FILTER (win < cut) AS whole, count(*) FILTER (win < cut AND capture % 3 <> 0) AS without_held_out, count(*) FILTER (win < cut AND (label = 'Benign' OR has_attacker)) AS kept_only FROM win_ JOIN sides USING (capture) GROUP BY 1")
 def m7(spark, d):
     dim = sp.validation_start(sp.capture_sides(captures(spark, d), 0.3)).select("capture", "label", "cut", "validation_from")
-    w = ad.windows(spark, d, 10).join(F.broadcast(dim), "capture")
+    w = ad.windows(spark, d, 10).join(dim, "capture")
     train = F.col("win") < F.col("cut")
     return w.groupBy("label").agg(F.count_if(F.col("win") < F.col("validation_from")).alias("reduced"), F.count_if(train).alias("whole"), F.count_if(train & (F.col("capture") % 3 != 0)).alias("without_held_out"), F.count_if(train & ((F.col("label") == "Benign") | F.col("has_attacker"))).alias("kept_only"))
 
