@@ -393,11 +393,13 @@ def p5(spark, d):
     return la.canonical_labels(ad.table(spark, d, "events").select("event_id", F.expr(_SPELL).alias("raw")), "raw").drop("raw")
 
 
-@query("p7_same_family", "SELECT event_id, event_id % 6 IN (0, 1, 5) OR event_id % 6 = user_id % 6 AS same FROM events WHERE event_id % 6 IN (0, 4, 5)")
+_KINDS = ("DDoS", "DoS", "Recon", "Web", "Mirai", "Benign")
+
+
+@query("p7_same_family", "SELECT event_id, event_id % 6 = user_id % 6 OR (event_id % 6 < 2 AND user_id % 6 < 2) AS same FROM events")
 def p7(spark, d):
-    a = F.element_at(F.array(*map(F.lit, ("DDoS", "DDoS", "x", "x", "Web", "DoS"))), (F.col("event_id") % 6 + 1).cast("int"))
-    b = F.when(F.col("event_id") % 6 == 4, F.when(F.col("user_id") % 6 == 4, "Web").otherwise("Recon")).otherwise(F.lit("DoS"))
-    return ad.table(spark, d, "events").filter("event_id % 6 in (0, 4, 5)").select("event_id", la.same_family(a, b).alias("same"))
+    kind = lambda c: F.element_at(F.array(*map(F.lit, _KINDS)), (F.col(c) % 6 + 1).cast("int"))
+    return ad.table(spark, d, "events").select("event_id", la.same_family(kind("event_id"), kind("user_id")).alias("same"))
 
 
 @query("x7_payload_defects", "SELECT event_id, [x FOR x IN [CASE WHEN event_id % 9 = 0 THEN 'k missing' END, CASE WHEN event_id % 9 = 1 THEN 'k negative' END, CASE WHEN event_id % 9 = 2 THEN 'not json' END] IF x IS NOT NULL] AS defects FROM events")

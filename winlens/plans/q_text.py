@@ -211,10 +211,17 @@ def k8(spark, d):
     return sp.capped_sample(ad.windows(spark, d, 10), "category", ["capture", "win"], 300, 3).groupBy("category").agg(F.count("*").alias("n"))
 
 
-@query("k9_unmatched_sample", "SELECT least(20, count(*)) AS n FROM documents WHERE doc_id % 9 = 4")
+_UNMATCHED = "SELECT doc_id FROM documents WHERE text IS NULL OR text NOT IN (SELECT text FROM documents WHERE doc_id % 3 = 0 AND text IS NOT NULL)"
+
+
+@query("k9_unmatched_sample", f"SELECT least(20, count(*)) AS n, count(*) AS population, 0 AS n_matched FROM ({_UNMATCHED})")
 def k9(spark, d):
-    rows = ad.table(spark, d, "documents").select("doc_id").filter("doc_id % 9 = 4").withColumn("all_", F.lit(1))
-    return sp.capped_sample(rows, "all_", ["doc_id"], 20, 5).agg(F.count("*").alias("n"))
+    docs = ad.table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
+    theirs = docs.filter("doc_id % 3 = 0").select("h")
+    rows = docs.join(theirs, "h", "left_anti").withColumn("all_", F.lit(1))
+    sample = sp.capped_sample(rows, "all_", ["doc_id"], 20, 5)
+    matched = sample.join(theirs.distinct().withColumn("m", F.lit(1)), "h", "left")
+    return matched.agg(F.count("*").alias("n"), F.max("population").alias("population"), F.count("m").cast("int").alias("n_matched"))
 
 
 @query("m5_stratified_split", "SELECT lang, count(*) AS n_rows, CAST(count(*) - round(count(*) * 0.2) AS BIGINT) AS n_train, CAST(round(count(*) * 0.2) AS BIGINT) AS n_test FROM documents GROUP BY 1")

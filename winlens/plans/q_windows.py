@@ -105,6 +105,15 @@ def w1(spark, d):
     return numbered.select("capture", "frame_no", "ts", "o1", "o2", "o3", wi.window_no(10).alias("win_10"), wi.window_no(100).alias("win_100"))
 
 
+@query("w3_pieces", f"""{WITH.replace("WITH", "WITH RECURSIVE", 1)}, n AS (SELECT capture, length, row_number() OVER (PARTITION BY capture ORDER BY {", ".join(ad.FRAME_ORDER)}) - 1 AS i FROM frames),
+walk AS (SELECT capture, i, 0 AS piece, 0 AS piece_no, 24 + 16 + length AS written FROM n WHERE i = 0 UNION ALL
+  SELECT n.capture, n.i, CASE WHEN written > 100000 THEN piece + 1 ELSE piece END, CASE WHEN written > 100000 THEN 0 ELSE piece_no + 1 END, CASE WHEN written > 100000 THEN 24 ELSE written END + 16 + length FROM walk JOIN n ON n.capture = walk.capture AND n.i = walk.i + 1)
+SELECT capture, piece, count(*) AS n_frames, CAST(max(piece_no) AS BIGINT) AS last_no, min(i) AS first_frame FROM walk GROUP BY ALL""")
+def w3(spark, d):
+    p = wi.pieces(fr.number_frames(ad.frames(spark, d), "capture", ad.FRAME_ORDER), 100_000)
+    return p.groupBy("capture", "piece").agg(F.count("*").alias("n_frames"), F.max("piece_no").alias("last_no"), F.min("frame_no").alias("first_frame"))
+
+
 @query("w2_inter_arrival", f"{WITH} SELECT capture, count(*) AS n, sum(iat) AS total, max(iat) AS longest, count(*) FILTER (iat = 0) AS zero FROM kept GROUP BY capture")
 def w2(spark, d):
     return ad.kept(spark, d).groupBy("capture").agg(F.count("*").alias("n"), F.sum("iat").alias("total"), F.max("iat").alias("longest"), F.count_if(F.col("iat") == 0).alias("zero"))
