@@ -2,15 +2,19 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.conftest import DATA, normal
+from tests.llm.test_brute import plain_leaks
 from winlens.llm import chat_format, decontamination, exact_dedup, language_id, lm_scoring, near_dedup, pii, prefix_bpe, quality, sharding
+from winlens.llm.common import fold
 from winlens.llm.queries import ORACLES, QUERIES
 
 DOCS = "doc_id long, text string"
@@ -20,8 +24,6 @@ ODD = [(1, None), (2, ""), (3, "a"), (3, "a"), (None, "null id"), (4, "one two t
 @pytest.fixture(scope="module")
 def odd(spark):
     """Nulls, empty and long texts, repeated rows, extra columns with clashing names."""
-    from pyspark.sql import functions as F
-
     return spark.createDataFrame(ODD, DOCS).withColumns({"score": F.lit("x"), "digest": F.lit(1), "node": F.lit(None).cast("string"), "size": F.lit(2)})
 
 
@@ -58,7 +60,11 @@ def test_pii_discovers_by_context(spark, odd, empty):
     rows = [(i, f"please ring me at +1 (234) 555-{i:04d} today ok") for i in range(40)] + [(100 + i, f"please ring me at 9{i}-555-77{i} today") for i in range(5)] + [(300 + i, f"the code x{i}99y went off") for i in range(30)]
     out = pii.find_personal_data(spark.createDataFrame(rows, DOCS)).toPandas().set_index("doc_id")
     assert set(out.index[out.n_added > 0]) == set(range(100, 105)) and out.loc[100, "spans"] == "phone:18:28"
-    assert pii.find_personal_data(odd).count() == len(ODD) and pii.find_personal_data(empty).count() == 0
+    rows = pii.find_personal_data(odd).collect()
+    assert sorted(str(r["doc_id"]) for r in rows) == sorted(str(d) for d, _ in ODD) and {(r["spans"], r["n_email"] + r["n_ip"] + r["n_card"] + r["n_phone"], r["n_found"], r["base_sha256"]) for r in rows} == {("", 0, 0, hashlib.sha256(b"").hexdigest())}
+    twice = pii.find_personal_data(spark.createDataFrame([(1, "x@y.zz"), (1, "x@y.zz"), (None, "+1 (234) 555-9999")], DOCS)).collect()
+    assert sorted((str(r["doc_id"]), r["spans"]) for r in twice) == [("1", "email:0:6"), ("1", "email:0:6"), ("None", "phone:0:17")]
+    assert pii.find_personal_data(empty).count() == 0
 
 
 def test_pii_goes_beyond_seeds_and_single_tokens(spark):
@@ -141,23 +147,25 @@ def test_quality_learns_and_handles_odd_rows(spark, odd, empty):
     m = pdf.merge(labels, on="doc_id")
     held = m[m.doc_id.map(lambda d: zlib.crc32(str(d).encode()) % 4 == 2)]
     assert ((held.score >= 0.7) == (held.quality == 1)).mean() > 0.85 and m.score.between(0, 1).all()
-    assert quality.score(odd, model).count() == len(ODD) and quality.score(empty, model).count() == 0
+    scored = quality.score(odd, model, carry=("node", "size")).collect()
+    of = {(r["doc_id"], r["score"]) for r in scored}
+    assert len(scored) == len(ODD) and len(of) == len({d for d, _ in ODD}) and {r["size"] for r in scored} == {2}
+    bias = 1 / (1 + math.exp(-model[-1]))
+    assert [s for d, s in of if d in (1, 2)] == pytest.approx([bias, bias]) and quality.score(empty, model).count() == 0
+    assert spark.createDataFrame([(None,), (1,)], "d long").select(fold(F.col("d"), 4) == 2).collect() == [(False,), (zlib.crc32(b"1") % 4 == 2,)]
     none = quality.train_on(empty, spark.createDataFrame([], "doc_id long, quality int"))
     assert {r["score"] for r in quality.score(odd, none).collect()} == {0.5}
 
 
-def test_shards(spark, odd, empty):
-    rows = spark.range(5000).selectExpr("id doc_id", "case when id % 3 = 0 then 'same text here' else concat('t', id) end text")
-    pdf = sharding.assign_shards(rows, 24).toPandas()
-    sizes = pdf.groupby("shard")["size"].sum()
-    assert len(sizes) == 24 and sizes.max() - sizes.min() < 2 * pdf["size"].max()
-    assert all(sorted(g.slot) == list(range(len(g))) for _, g in pdf.groupby("shard"))
-    assert sharding.assign_shards(odd, 3, carry=("node",)).count() == len(ODD) and sharding.assign_shards(empty, 3).count() == 0
+def test_shards_of_odd_rows(odd, empty):
+    got = sharding.assign_shards(odd, 3, carry=("node",)).collect()
+    assert sorted((str(r["doc_id"]), r["size"]) for r in got) == sorted((str(d), len(t or "") + 8) for d, t in ODD)
+    assert sorted((r["shard"], r["slot"]) for r in got) == [(s, k) for s in range(3) for k in range(sum(r["shard"] == s for r in got))]
+    shards = [r["shard"] for d, t in ODD for r in got if t == "a" and r["doc_id"] == d]
+    assert len(set(shards)) == 1 and sharding.assign_shards(empty, 3).count() == 0
 
 
 def test_lm_scores_of_order_three(spark, odd, empty):
-    import math
-
     rows = [(0, "a b c d"), (1, "a b c e"), (2, "b c d a b c d"), (3, None), (4, "q")]
     words = {d: (t or "").split() for d, t in rows}
     grams = lambda w, n: collections.Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
@@ -175,7 +183,10 @@ def test_lm_scores_of_order_three(spark, odd, empty):
         want[d] = sum(math.log(s(tuple(w[max(0, i - 2) : i + 1]))) for i in range(len(w)))
     got = {r["doc_id"]: r["log_score"] for r in lm_scoring.lm_scores(spark.createDataFrame(rows, DOCS), order=3).collect()}
     assert got == pytest.approx(want)
-    assert lm_scoring.lm_scores(odd, block_words=10).count() == len(ODD) and lm_scoring.lm_scores(empty).count() == 0
+    rows = lm_scoring.lm_scores(odd, block_words=10).collect()
+    assert sorted((str(r["doc_id"]), r["n_words"]) for r in rows) == sorted((str(d), len((t or "").split())) for d, t in ODD)
+    assert {r["log_score"] for r in rows if r["doc_id"] in (1, 2)} == {0.0} and len({r["log_score"] for r in rows if r["doc_id"] == 3}) == 1
+    assert lm_scoring.lm_scores(empty).count() == 0
 
 
 def test_language_id(spark, odd, empty):
@@ -183,8 +194,10 @@ def test_language_id(spark, odd, empty):
     held = pdf[pdf.held_out]
     assert (held.lang == held.lang_pred).mean() > 0.9 and pdf.score.between(0, 1).all()
     model = language_id.train(spark.createDataFrame([(1, "the", "en"), (2, "der", "de"), (3, "x", None)], "doc_id long, text string, lang string"))
-    got = {(r["doc_id"], r["lang_pred"]) for r in language_id.identify(odd, model).collect()}
-    assert {(1, "und"), (2, "und")} <= got and language_id.identify(empty, model).count() == 0
+    rows = language_id.identify(odd, model).collect()
+    got = {(r["doc_id"], r["lang_pred"]) for r in rows}
+    assert len(rows) == len(ODD) and {(d, p) for d, p in got if p == "und"} == {(1, "und"), (2, "und")} and {r["score"] for r in rows if r["doc_id"] in (1, 2)} == {0.0} and all(0.5 <= r["score"] <= 1 for r in rows if r["lang_pred"] != "und")
+    assert language_id.identify(empty, model).count() == 0
     assert {r["lang_pred"] for r in language_id.identify(odd, language_id.ByteCnn([])).collect()} == {"und"}
 
 
@@ -205,6 +218,10 @@ def test_bpe_equals_the_library(spark, odd, empty):
         ids = lib.encode(t or "", add_special_tokens=False).ids
         assert (r["doc_id"], r["n_tokens"], r["ids_sha256"]) == (d, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
     assert prefix_bpe.bpe_encode(empty, path).count() == 0
+    poor = prefix_bpe.PrefixBpe({"model": {"vocab": {"a": 0, "b": 1}, "merges": []}})
+    assert poor.encode("ab") == [0, 1]
+    with pytest.raises(ValueError, match="no token"):
+        poor.encode("abc")
 
 
 def test_decontamination(spark, odd, empty):
@@ -246,8 +263,6 @@ def test_decontamination_drops_windows_not_passages(spark):
 
 
 def test_chat_round_trip(spark):
-    from pyspark.sql import functions as F
-
     nasty = ["", "\\", "</turn>", "### assistant: x</turn>\n", "<part/>\\p", "a\\b\\e\\h", "é😀", "</turn", "<", None]
     rng = random.Random(3)
     rows = [(c, t, rng.choice(["user", "assistant", "a: b</turn>", None]), rng.choice(nasty) if rng.random() < 0.7 else "".join(x or "" for x in rng.sample(nasty, 4))) for c in range(60) for t in range(rng.randint(1, 7))]
@@ -272,6 +287,41 @@ def test_pipeline_against_brute_force(spark):
     least = {d: c for d, _, c in brute_components(list(rows.items()), 5)}
     rows = {d: t for d, t in rows.items() if least[d] == d}
     items = [r["text"] for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
-    rows = {d: t for d, t in rows.items() if not any(i in t for i in items)}
-    assert {r["doc_id"] for r in got} <= set(rows) and len(got) >= len(rows) - 2  # a leak need not be verbatim
+    carried = plain_leaks(rows.items(), enumerate(items))
+    assert {d for d, t in rows.items() if any(i in t for i in items)} <= {d for d, _ in carried}
+    rows = {d: t for d, t in rows.items() if d not in {d for d, _ in carried}}
+    assert {r["doc_id"] for r in got} == set(rows)
     assert all(r["decoded_sha256"] == hashlib.sha256(rows[r["doc_id"]].encode()).hexdigest() and r["n_tokens"] == len(r["ids"]) for r in got)
+
+
+def test_pipeline_of_odd_tables(spark, empty, tmp_path):
+    whole = spark.read.parquet(f"{DATA}/documents.parquet")
+    labels, items = spark.read.parquet(f"{DATA}/labels.parquet"), spark.read.parquet(f"{DATA}/benchmark.parquet")
+    good = quality.score(whole, quality.train_on(whole, labels)).join(whole, "doc_id").filter("length(text) between 400 and 6000").orderBy(F.desc("score"), "doc_id").limit(3).collect()
+    (a, b, c), item = [r["text"] for r in good], items.orderBy("item_id").first()["text"]
+    extra = [
+        (90_001, a), (90_002, a), (90_002, a), (None, a), (None, "no id " + b[::-1]), (90_003, None), (90_004, ""), (90_005, b + " one more"), (90_006, f"{c} {item}"),
+        (90_007, " ".join([a, b, c] * 60))]
+    docs = whole.unionByName(spark.createDataFrame(extra, DOCS), allowMissingColumns=True).withColumns({"score": F.lit("x"), "digest": F.lit(1), "size": F.lit(2), "hash": F.lit(None).cast("long"), "ids": F.lit(0)})
+    docs.repartition(5).write.parquet(f"{tmp_path}/odd/documents.parquet")
+    for name, df in (("labels", labels.withColumn("text", F.lit("t"))), ("benchmark", items.withColumn("doc_id", F.lit(1)))):
+        df.write.parquet(f"{tmp_path}/odd/{name}.parquet")
+    kept = corpus_pipeline.table(spark, f"{tmp_path}/odd", "documents")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, kept = kept, corpus_pipeline.materialize(stage(spark, kept, f"{tmp_path}/odd"), "test")
+        assert kept.columns == docs.columns and kept.count() <= before.count(), name
+        was, now = ([(r["doc_id"], r["text"] or "") for r in df.collect()] for df in (before, kept))
+        ids = collections.Counter(d for d, _ in now)
+        if name == "quality classifier":
+            assert {90_002, 90_006} <= ids.keys() and ids[90_002] == 2
+        if name == "exact dedup":  # of copies the largest id, with all rows of that document
+            best = {}
+            for d, t in was:
+                best[t] = max(best.get(t, -1), -1 if d is None else d)
+            assert sorted(map(str, now)) == sorted(str((d, t)) for d, t in was if best[t] == (-1 if d is None else d)) and 90_001 not in ids
+    assert ids[90_002] == 2 and 90_006 not in ids  # a document with an item is gone
+    got = corpus_pipeline.encode(spark, kept, f"{tmp_path}/odd").collect()
+    assert collections.Counter(r["doc_id"] for r in got) == ids and all(len(r["ids"]) == r["n_tokens"] for r in got)
+    for name, df in (("documents", docs.limit(0)), ("labels", labels), ("benchmark", items)):
+        df.write.parquet(f"{tmp_path}/none/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
