@@ -410,13 +410,12 @@ def x7(spark, d):
     return ad.table(spark, d, "events").select("event_id", payload_defects(body, "k bigint", {"k missing": lambda p: p["k"].isNull(), "k negative": lambda p: p["k"] < 0}).alias("defects"))
 
 
-@query("x9_incident_facts", f"{E}, t AS (SELECT incident, seq, CASE type WHEN 'windows' THEN 'classified ' || k || ' windows' WHEN 'proposed' THEN 'proposed ' || action WHEN 'executed' THEN 'executed ' || action END AS line FROM log WHERE seq % 10 = 0 AND type IN ('windows', 'proposed', 'executed')) SELECT incident, string_agg(line, chr(10) ORDER BY seq) || CASE WHEN bool_or(line LIKE 'executed%') THEN '' ELSE chr(10) || 'nothing was executed' END AS facts FROM t GROUP BY 1")
-def x9(spark, d):
-    return incident_facts(log(spark, d).filter("seq % 10 = 0"))
+_FACTS = f"{E}, t AS (SELECT incident, seq, CASE type WHEN 'windows' THEN 'classified ' || k || ' windows' WHEN 'proposed' THEN 'proposed ' || action WHEN 'executed' THEN 'executed ' || action END AS line FROM log WHERE type IN ('windows', 'proposed', 'executed')) SELECT incident, string_agg(line, chr(10) ORDER BY seq) || CASE WHEN bool_or(line LIKE 'executed%') THEN '' ELSE chr(10) || 'nothing was executed' END AS facts FROM t GROUP BY 1"
 
 
-@query("x9_incident_facts_all", f"{E}, t AS (SELECT incident, seq, CASE type WHEN 'windows' THEN 'classified ' || k || ' windows' WHEN 'proposed' THEN 'proposed ' || action WHEN 'executed' THEN 'executed ' || action END AS line FROM log WHERE type IN ('windows', 'proposed', 'executed')) SELECT incident, string_agg(line, chr(10) ORDER BY seq) || CASE WHEN bool_or(line LIKE 'executed%') THEN '' ELSE chr(10) || 'nothing was executed' END AS facts FROM t GROUP BY 1")
-def x9_all(spark, d):
+@query("x9_incident_facts", _FACTS)
+@query("x9_incident_facts_all", _FACTS)
+def x9(spark, d):
     return incident_facts(log(spark, d))
 
 

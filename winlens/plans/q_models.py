@@ -302,21 +302,15 @@ def j5(spark, d):
     return ma.best_other_label(vectors(spark, d), KEY, "truth").select(F.col("truth").cast("long").alias("truth"), F.col("other").cast("long").alias("other"), F.round("share", 9).alias("share"))
 
 
-@query("j6_nearest", f"""{V}, {_AB}, s AS (SELECT * FROM a WHERE vec_id % 5 = 1), r AS (SELECT DISTINCT q0, q1, q2, q3, q4, q5 FROM b),
+_NEAREST = f"""{V}, {_AB}, s AS (SELECT * FROM a), r AS (SELECT DISTINCT q0, q1, q2, q3, q4, q5 FROM b),
  d AS (SELECT s.vec_id, 1 AS k, min((s.q2 <> r.q2)::INT + (s.q3 <> r.q3)::INT + (s.q4 <> r.q4)::INT + (s.q5 <> r.q5)::INT) AS n FROM s JOIN r USING (q0, q1) GROUP BY 1 UNION ALL
   SELECT s.vec_id, 2, min((s.q0 <> r.q0)::INT + (s.q1 <> r.q1)::INT + (s.q4 <> r.q4)::INT + (s.q5 <> r.q5)::INT) FROM s JOIN r USING (q2, q3) GROUP BY 1)
-SELECT s.vec_id, CASE min(k) WHEN 1 THEN 'key1' WHEN 2 THEN 'key2' ELSE 'none' END AS outcome, CAST(arg_min(n, k) AS BIGINT) AS n_differ FROM s LEFT JOIN d USING (vec_id) GROUP BY 1""")
-def j6(spark, d):
-    a, b = halves(spark, d)
-    out = ma.nearest(a.filter("vec_id % 5 = 1"), b, "vec_id", [["q0", "q1"], ["q2", "q3"]], [f"q{i}" for i in range(6)])
-    return out.select("vec_id", "outcome", F.col("n_differ").cast("long").alias("n_differ"))
+SELECT s.vec_id, CASE min(k) WHEN 1 THEN 'key1' WHEN 2 THEN 'key2' ELSE 'none' END AS outcome, CAST(arg_min(n, k) AS BIGINT) AS n_differ FROM s LEFT JOIN d USING (vec_id) GROUP BY 1"""
 
 
-@query("j6_nearest_all", f"""{V}, {_AB}, s AS (SELECT * FROM a), r AS (SELECT DISTINCT q0, q1, q2, q3, q4, q5 FROM b),
- d AS (SELECT s.vec_id, 1 AS k, min((s.q2 <> r.q2)::INT + (s.q3 <> r.q3)::INT + (s.q4 <> r.q4)::INT + (s.q5 <> r.q5)::INT) AS n FROM s JOIN r USING (q0, q1) GROUP BY 1 UNION ALL
-  SELECT s.vec_id, 2, min((s.q0 <> r.q0)::INT + (s.q1 <> r.q1)::INT + (s.q4 <> r.q4)::INT + (s.q5 <> r.q5)::INT) FROM s JOIN r USING (q2, q3) GROUP BY 1)
-SELECT s.vec_id, CASE min(k) WHEN 1 THEN 'key1' WHEN 2 THEN 'key2' ELSE 'none' END AS outcome, CAST(arg_min(n, k) AS BIGINT) AS n_differ FROM s LEFT JOIN d USING (vec_id) GROUP BY 1""")
-def j6_all(spark, d):
+@query("j6_nearest", _NEAREST)
+@query("j6_nearest_all", _NEAREST)
+def j6(spark, d):
     a, b = halves(spark, d)
     out = ma.nearest(a, b, "vec_id", [["q0", "q1"], ["q2", "q3"]], [f"q{i}" for i in range(6)])
     return out.select("vec_id", "outcome", F.col("n_differ").cast("long").alias("n_differ"))
@@ -348,17 +342,12 @@ def j10(spark, d):
     return ma.positional(v, other, ["vec_id"], ["f0", "f1", "f2"]).withColumn("first", F.col("first.vec_id"))
 
 
-@query("j11_block_placement", "WITH b AS (SELECT CAST(vec_id // 50 AS BIGINT) AS block, count(*) AS votes FROM embeddings GROUP BY 1) SELECT block, ((block * 7 + 3) % 10) * 50 AS at, votes FROM b WHERE block < 10")
-def j11(spark, d):
-    # the official file has the same blocks of 50 rows in another order
-    v = vectors(spark, d).filter("vec_id < 500").select("vec_id", "f0", "f1").withColumn("block", F.floor(F.col("vec_id") / 50))
-    ours = v.withColumn("row", F.col("vec_id") % 50)
-    official = v.select("f0", "f1", (((F.col("block") * 7 + 3) % 10) * 50 + F.col("vec_id") % 50).alias("position"))
-    return ma.place_blocks(ours, official, "block", "row", "position", ["f0", "f1"])
+_BLOCKS = "WITH b AS (SELECT CAST(vec_id // 50 AS BIGINT) AS block, count(*) AS votes FROM embeddings GROUP BY 1) SELECT block, (max(block) OVER () - block) * 50 AS at, votes FROM b"
 
 
-@query("j11_block_placement_all", "WITH b AS (SELECT CAST(vec_id // 50 AS BIGINT) AS block, count(*) AS votes FROM embeddings GROUP BY 1) SELECT block, (max(block) OVER () - block) * 50 AS at, votes FROM b")
-def j11_all(spark, d):
+@query("j11_block_placement", _BLOCKS)
+@query("j11_block_placement_all", _BLOCKS)
+def j11(spark, d):
     # the official file has all blocks in reversed order
     v = vectors(spark, d).select("vec_id", "f0", "f1").withColumn("block", F.floor(F.col("vec_id") / 50)).withColumn("row", F.col("vec_id") % 50)
     last = F.broadcast(v.agg(F.max("block").alias("last")))
