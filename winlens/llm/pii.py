@@ -43,6 +43,8 @@ SAME = 1e-6
 #: Tokens with digits of other lengths are candidates only where a confident pattern holds.
 TOKEN_CHARS = (5, 64)
 LONG = 64
+#: Up to so many words before instances are searched for in a text before all of its tokens are looked at.
+PROBED = 100
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -145,7 +147,7 @@ def digit_groups(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int
 def plain(word: str) -> str:
     """A word as it stands in patterns: lower case, every digit 0, a very long one by its digest."""
     word = _DIGIT.sub("0", word.lower())
-    return word if len(word) <= LONG else hashlib.sha1(word.encode("utf-8", "surrogatepass")).hexdigest()
+    return word if len(word) <= LONG else "\0" + hashlib.sha1(word.encode("utf-8", "surrogatepass")).hexdigest()
 
 
 class Context:
@@ -182,6 +184,17 @@ def head(pattern: str) -> str | None:
     return None if pattern[0] == "P" else words[0] if pattern[0] == "M" else words[-1]
 
 
+def probe(wanted: tuple[frozenset, frozenset, frozenset]) -> Callable[[str], bool]:
+    """Whether a text can have rare tokens at all: it has none unless it holds what stands before instances. Saves time alone."""
+    holds, heads, instances = wanted
+    parts = [*heads, *(p[2:] for p in holds if p[0] == "P")]
+    if instances or len(parts) > PROBED or any(c in p for p in parts for c in "\0\u03c3\u03c2"):  # digests, and letters whose lower case depends on their neighbours
+        return lambda text: True
+    zeros = str.maketrans("123456789", "0" * 9)
+    found = re.compile("|".join(map(re.escape, parts)) or r"(?!)").search
+    return lambda text: found(text.lower().translate(zeros)) is not None
+
+
 def rare_tokens(text: str, mentions: list[dict], wanted: tuple[frozenset, frozenset, frozenset]) -> list[tuple[int, int]]:
     """Spans of tokens that touch no mention of a base entity and are no mention, but stand where a wanted pattern holds or are wanted."""
     holds, heads, instances = wanted
@@ -239,8 +252,9 @@ def look_up(wanted) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
     """(row, text, mentions) to row and the mentions of rare_tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        may = probe(wanted.value)
         for b in batches:
-            out = [[mention(c, None, s, e, True) for c in [Context(t)] for s, e in rare_tokens(t, m, wanted.value)] for t, m in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            out = [[mention(c, None, s, e, True) for c in [Context(t)] for s, e in rare_tokens(t, m, wanted.value)] if may(t) else [] for t, m in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(_MENTION))], ["row", "mentions"])
 
     return run
