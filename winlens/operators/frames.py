@@ -68,11 +68,6 @@ def number_frames(frames: DataFrame, capture: str, order: tuple[str, ...], chunk
     return placed.drop("_chunk", "_before", "_previous")
 
 
-def inter_arrival(frames: DataFrame, capture: str, ts: str) -> DataFrame:
-    """iat of frames that have their numbers: seconds since the previous kept frame of the capture, 0 for the first; may be negative."""
-    return frames.withColumn("iat", F.coalesce(F.col(ts) - F.lag(ts).over(Window.partitionBy(capture).orderBy("frame_no")), F.lit(0.0)))
-
-
 def port_indicators(protocol: str, sport: str, dport: str) -> dict[str, Column]:
     """0/1 columns by port on either side."""
     p, s, d = F.col(protocol), F.col(sport), F.col(dport)
