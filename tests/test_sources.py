@@ -94,9 +94,26 @@ def test_event_log(spark, tmp_path):
     assert got[1]["id"] is None and got[0]["dados"] == '{"k": 1}'.replace(" ", "") or got[0]["dados"] == '{"k":1}'
 
 
-def test_masking(spark):
-    from pyspark.sql import functions as F
+def test_results_of_runs(spark, tmp_path):
+    one = '{"capture": "%s", "incidents": [{"n": 1, "windows_with_attacker": 3, "windows_in_test": 0}, {"n": 2, "windows_with_attacker": 0, "windows_in_test": 5}]}'
+    (tmp_path / "a.json").write_text(one % "a")
+    (tmp_path / "b.json").write_text('{"capture": "b",\n "incidents": []}')
+    runs = logs.read_runs(spark, str(tmp_path), "capture string, incidents array<struct<n:int,windows_with_attacker:int,windows_in_test:int>>")
+    got = sorted((r["capture"], r["n"], r["is_true"], r["in_test"]) for r in logs.incident_rows(runs, ["capture"]).collect())
+    assert runs.count() == 2 and got == [("a", 1, True, False), ("a", 2, False, True)]
+    (tmp_path / "c.json").write_text("not json")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        logs.read_runs(spark, str(tmp_path), "capture string, incidents array<struct<n:int>>").collect()
+
+
+def test_training_layout(spark, tmp_path):
+    rows = spark.createDataFrame([(10, "train", "XSS", 1.0), (10, "test", "XSS", 2.0), (100, "train", "Benign", 3.0)], "window_size int, side string, label string, x double")
+    tables.write_training(rows, str(tmp_path / "t"))
+    tables.write_training(rows.filter("side = 'test'").withColumn("x", F.lit(9.0)), str(tmp_path / "t"))  # only its own partitions are written anew
+    assert sorted((r["window_size"], r["side"], r["label"], r["x"]) for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [(10, "test", "XSS", 9.0), (10, "train", "XSS", 1.0), (100, "train", "Benign", 3.0)]
 
+
+def test_masking(spark):
     cases = {
         "to 10.0.0.1.": "to [address].", "10[.]0[.]0[.]1": "[address]", "１０.0.0.1": "[address]", "aa:bb:cc:dd:ee:ff on": "[address] on", "fe80::1%eth0 x": "[address] x",
         "2001:db8:0:0:0:0:0:1": "[address]", "12:30:45": "12:30:45", "v1.2.3": "v1.2.3", "300.1.1.1": "300.1.1.1"}

@@ -65,6 +65,11 @@ def aggregate_windows(frames: DataFrame, size: int, means: list[str], capture: s
         F.mode("protocol", True).alias("Protocol Type"), *extra)
 
 
+def size_free(windows: DataFrame) -> DataFrame:
+    """Without the six columns that depend on how many frames a window has."""
+    return windows.drop(*SIZE_DEPENDENT)
+
+
 def complete(windows: DataFrame, size: int) -> DataFrame:
     return windows.filter(F.col("Number") == size)
 

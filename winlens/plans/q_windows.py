@@ -40,6 +40,14 @@ def a1(spark, d):
     return ad.windows(spark, d, SIZE).select("capture", "win", "start_ts", "end_ts", *FEATURES)
 
 
+_SIZE_FREE = [c for c in FEATURES if c not in wi.SIZE_DEPENDENT]
+
+
+@query("p11_size_free_features", f"""{WIN} SELECT capture, win, {", ".join(f'"{c}"' for c in _SIZE_FREE)} FROM win_""")
+def p11(spark, d):
+    return wi.size_free(ad.windows(spark, d, SIZE).select("capture", "win", *FEATURES))
+
+
 @query("a10_label_summary", f"""{WIN} SELECT category, count(*) AS n_windows, count(DISTINCT capture) AS n_captures, CAST(sum("Number") AS BIGINT) AS n_frames,
   round(avg("AVG"), 4) AS mean_size, round(max("Std"), 4) AS max_std, min("Min") AS min_size, max("Max") AS max_size, round(avg("IAT"), 4) AS mean_iat,
   CAST(sum(syn_count) AS BIGINT) AS syn, CAST(sum(ack_count) AS BIGINT) AS ack FROM win_ GROUP BY category""")
