@@ -137,6 +137,8 @@ def test_exact_dedup(spark, odd, empty):
     assert sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got) == sorted((d, max(g), len(g), d == max(g)) for g in groups.values() for d in g)
     assert exact_dedup.exact_dedup(odd).count() == len(ODD) and exact_dedup.exact_dedup(empty).count() == 0
     assert {r["keep_id"] for r in exact_dedup.exact_dedup(odd).collect() if r["doc_id"] in (1, 2)} == {2}
+    mixed = [(1, "a"), (1, "b"), (2, "a"), (None, "a"), (None, "c"), (3, None), (4, ""), (5, "d"), (5, "d")]
+    assert sorted(map(str, map(tuple, exact_dedup.drop_copies(spark.createDataFrame(mixed, DOCS)).collect()))) == sorted(map(str, [(1, "b"), (2, "a"), (None, "c"), (4, ""), (5, "d"), (5, "d")]))
     kept = exact_dedup.drop_copies(odd)
     assert kept.columns == odd.columns and sorted((r["doc_id"], r["text"]) for r in kept.collect() if r["doc_id"]) == sorted(x for x in ODD if x[0] and x[0] != 1)
 

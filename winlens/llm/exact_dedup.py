@@ -100,11 +100,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that are not kept. Their ids and digests are joined to docs, broadcast by Spark where they are few."""
-    gone = exact_dedup(docs, id_col, text_col).filter("not kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_gone"), "digest").distinct()
-    gone = materialize(gone.withColumnRenamed("digest", "_gone_digest"), "copies")
-    same = (F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)) == gone["_gone"]) & (digest_of(text_col) == gone["_gone_digest"])
-    return docs.join(gone, same, "left_anti")
+    """docs without the rows that are not kept.
+
+    What goes is told to docs by id alone, so that Spark can broadcast many of them; texts are shuffled only where they are too many for
+    that. The few ids that have rows of both sorts (several texts under one id, rows without id) are told by id and digest.
+    """
+    marked = exact_dedup(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), "digest", "kept")
+    marked = materialize(marked, "marked")
+    ids = materialize(marked.groupBy("_id").agg(F.bool_or("kept").alias("some"), F.bool_and("kept").alias("all_")).filter("not all_"), "copy-ids")
+    mixed = marked.filter("not kept").join(ids.filter("some").select("_id"), "_id", "left_semi").select("_id", F.col("digest").alias("_digest")).distinct()
+    gone, mixed = materialize(ids.filter("not some").select("_id"), "copies"), materialize(mixed, "mixed-copies")
+    own = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    rest = docs.join(gone, own == gone["_id"], "left_anti")
+    return rest.join(mixed, (own == mixed["_id"]) & (digest_of(text_col) == mixed["_digest"]), "left_anti")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
