@@ -36,7 +36,7 @@ LEAST_WINDOWS, LEAST_SHARE = 3, 0.25
 SIEVE_BITS = 27
 #: Hashes of items that reach the driver at once, to be put into the map.
 SLICE = 4_000_000
-CACHED_WORDS = 250_000
+CACHED_WORDS = 50_000
 
 NUMBER = re.compile(r"[+-]?[$€£]?[0-9][0-9.,:/]*%?")
 NUMBER_UNIT = re.compile(r"([+-]?[$€£]?[0-9][0-9.,]*)([a-z°µ]{1,4}[0-9²³]?)")

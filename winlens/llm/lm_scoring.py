@@ -38,7 +38,7 @@ from winlens.llm.common import materialize, table, text_rows
 ORDER, BACKOFF = 2, 0.4
 #: A block ends after so many words or different words (two bytes number these), and bytes of text for each bucket.
 BLOCK_WORDS, BLOCK_VOCABULARY, BUCKET_BYTES = 300_000, 60_000, 2 << 20
-CACHED_WORDS = 150_000
+CACHED_WORDS = 50_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 

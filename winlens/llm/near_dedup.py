@@ -38,7 +38,7 @@ SHORT_LIST, HUB_PARTS = 3, 2
 HUBS, HUB_SHINGLES, HUB_LIST = 500, 5000, 100
 #: Members of a long list that one task pairs with the hubs.
 SALTED = 400
-CACHED_WORDS = 150_000
+CACHED_WORDS = 50_000
 _RNG = np.random.default_rng(20240)
 _FLIP = _RNG.integers(0, 1 << 64, COORDINATES, np.uint64)
 _TIMES = _RNG.integers(0, 1 << 64, COORDINATES, np.uint64) | np.uint64(1)

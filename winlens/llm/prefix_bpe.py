@@ -29,7 +29,7 @@ from winlens.llm.common import table, text_rows
 #: Fixed by the tokenizer: how the library cuts texts into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces up to this length are remembered, so many at most; both bound memory only.
-CACHED_CHARS, CACHED_PIECES = 64, 150_000
+CACHED_CHARS, CACHED_PIECES = 64, 50_000
 NEVER = 1 << 60
 
 
@@ -92,7 +92,7 @@ class PrefixBpe:
                     until_a, a = born_a, self.right[a]
                 else:
                     until_b, b = born_b, self.left[b]
-            if len(self.pairs) > 300_000:
+            if len(self.pairs) > 100_000:
                 self.pairs.clear()
             self.pairs[key] = known
         return known

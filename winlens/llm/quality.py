@@ -29,7 +29,7 @@ MAX_TRAIN, TRAIN_TASKS, ROUNDS, PASSES = 20_000, 6, 3, 2
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.5
 KEEP_FROM = 0.7
 #: Words whose hashes are remembered by a task; bounds memory only.
-CACHED_WORDS = 150_000
+CACHED_WORDS = 50_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
