@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from winlens.llm import chat_format, decontamination, exact_dedup, language_id, lm_scoring, near_dedup, pii, prefix_bpe, quality, sharding
+from winlens.llm import chat_format, decontamination, exact_dedup, filter_audit, language_id, lm_scoring, merkle, near_dedup, pii, prefix_bpe, quality, sharding
 
 QUERIES = {
     "op5_lm_scoring": lm_scoring.op5_lm_scoring,
@@ -15,10 +15,14 @@ QUERIES = {
     "op7_bpe": prefix_bpe.op7_bpe,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_chat_format": chat_format.op10_chat_format,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_filter_audit": filter_audit.op12_filter_audit,
 }
 
 ORACLES = {
     "op5_lm_scoring": lm_scoring.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
     "op10_chat_format": chat_format.SQL,
+    "op11_merkle_manifest": merkle.SQL,
+    "op12_filter_audit": filter_audit.SQL,
 }
