@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from winlens.llm import chat_format, decontamination, exact_dedup, filter_audit, language_id, lm_scoring, merkle, near_dedup, pii, prefix_bpe, quality, sharding
+from winlens.llm import chat_format, decontamination, exact_dedup, filter_audit, language_id, lm_scoring, merkle, near_dedup, ngram_join, pii, prefix_bpe, quality, sharding
 
 QUERIES = {
     "op5_lm_scoring": lm_scoring.op5_lm_scoring,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_chat_format": chat_format.op10_chat_format,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
     "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_ngram_join": ngram_join.op13_ngram_join,
 }
 
 ORACLES = {
@@ -25,4 +26,5 @@ ORACLES = {
     "op10_chat_format": chat_format.SQL,
     "op11_merkle_manifest": merkle.SQL,
     "op12_filter_audit": filter_audit.SQL,
+    "op13_ngram_join": ngram_join.SQL,
 }
