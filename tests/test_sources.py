@@ -1,20 +1,21 @@
+import gzip
 import hashlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from winlens.functions.text import mask_addresses
-from winlens.sources import logs, tables
+from winlens.sources import lines, logs, tables
 
 
-def line(label="DDoS-SYN_Flood", first="1.5"):
+def csv_line(label="DDoS-SYN_Flood", first="1.5"):
     return ",".join([first, "", *["0.25"] * 37, label])
 
 
 def test_labelled_csv_is_audited(spark, tmp_path):
     head = ",".join([*tables.COLUMNS, "Label"])
-    (tmp_path / "a.csv").write_text("\n".join([head, line(), "", line("XSS"), line(first="x"), "1,2,3", line("cut off")]))
-    (tmp_path / "b.csv").write_text("\n".join(["wrong,header", line(), ""]))
+    (tmp_path / "a.csv").write_text("\n".join([head, csv_line(), "", csv_line("XSS"), csv_line(first="x"), "1,2,3", csv_line("cut off")]))
+    (tmp_path / "b.csv").write_text("\n".join(["wrong,header", csv_line(), ""]))
     rows, bad = tables.read_labelled(spark, str(tmp_path), strict_end=True)
     got = rows.orderBy("line").collect()
     assert [(r["Label"], r["Header_Length"], r["Protocol Type"]) for r in got] == [("DDoS-SYN_Flood", 1.5, None), ("XSS", 1.5, None)]
@@ -23,9 +24,9 @@ def test_labelled_csv_is_audited(spark, tmp_path):
 
 def test_labelled_csv_of_other_systems(spark, tmp_path):
     head = ",".join([*tables.COLUMNS, "Label"])
-    (tmp_path / "dos.csv").write_text("\ufeff" + "\r\n".join([head, line(), "", line("XSS"), ""]), newline="")
-    (tmp_path / "open.csv").write_text("\n".join([head, line("benign"), line("NotALabel"), line("XSS")]))
-    (tmp_path / "broken.csv").write_text("\n".join([head, line("xss"), "1,2"]))
+    (tmp_path / "dos.csv").write_text("\ufeff" + "\r\n".join([head, csv_line(), "", csv_line("XSS"), ""]), newline="")
+    (tmp_path / "open.csv").write_text("\n".join([head, csv_line("benign"), csv_line("NotALabel"), csv_line("XSS")]))
+    (tmp_path / "broken.csv").write_text("\n".join([head, csv_line("xss"), "1,2"]))
     rows, bad = tables.read_labelled(spark, str(tmp_path))
     got = sorted((r["file"], r["line"], r["Label"], r["Header_Length"]) for r in rows.collect())
     assert got == [("broken.csv", 1, "xss", 1.5), ("dos.csv", 1, "DDoS-SYN_Flood", 1.5), ("dos.csv", 3, "XSS", 1.5), ("open.csv", 1, "benign", 1.5), ("open.csv", 3, "XSS", 1.5)]
@@ -67,15 +68,57 @@ def test_window_stream_is_written(spark, tmp_path):
 
 
 def test_live_tail(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.jsonl").write_text('{"id": "1", "tipo": "x"}\n{"id": "2", "ti')
-    q = logs.tail_event_log(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("tail").option("checkpointLocation", str(tmp_path / "cp")).start()
+    """Half lines that are appended to one file, a second file, and a stream that stops and goes on."""
+    log, other = tmp_path / "in" / "a.jsonl", tmp_path / "in" / "b.jsonl"
+    log.parent.mkdir()
+    seen = {}
+
+    def rows():
+        def keep(df, batch):
+            seen.setdefault(batch, [(r["log"], r["at"], r["id"], r["tipo"], r["complete"]) for r in df.collect()])
+
+        q = logs.tail_event_log(spark, str(tmp_path / "in")).writeStream.foreachBatch(keep).option("checkpointLocation", str(tmp_path / "cp")).start()
+        return q
+
+    q = rows()
+    log.write_text('{"id": "1", "tipo": "x"}\n{"id": "2", "ti')
     q.processAllAvailable()
-    (tmp_path / "in" / "b.jsonl").write_text('{"id": "2", "tipo": "y"}\n')
+    first = [x for b in seen.values() for x in b]
+    assert first == [("a.jsonl", 0, "1", "x", True)]
+    with log.open("a") as f:
+        f.write('po": "')
+    q.processAllAvailable()
+    with log.open("a") as f:
+        f.write('é"}\nnot json\n\n{"id"')
+    other.write_text('{"id": "9", "tipo": "z"}\n')
+    q.processAllAvailable()
+    q.stop()
+    with log.open("a") as f:
+        f.write(': "3", "tipo": "w"}\n')
+    q = rows()
     q.processAllAvailable()
     q.stop()
-    got = sorted((r["log"], r["id"] or "", r["tipo"] or "", r["complete"]) for r in spark.sql("select * from tail").collect())
-    assert got == [("a.jsonl", "", "", False), ("a.jsonl", "1", "x", True), ("b.jsonl", "2", "y", True)]
+    got = sorted((log, at, id_ or "", tipo or "", ok) for b in seen.values() for log, at, id_, tipo, ok in b)
+    assert got == [("a.jsonl", 0, "1", "x", True), ("a.jsonl", 25, "2", "é", True), ("a.jsonl", 51, "", "", False), ("a.jsonl", 61, "3", "w", True), ("b.jsonl", 0, "9", "z", True)]
+
+
+@pytest.mark.parametrize("size", [1, 3, 7, 64, 1000])
+def test_lines_of_ranges(spark, tmp_path, size, monkeypatch):
+    """Any cut of a file gives the same lines with the same numbers."""
+    texts = {"a.txt": b"\xef\xbb\xbfone\r\n\r\ntwo\n\n" + b"x" * 50 + "\nä\u2028b\nlast".encode(), "b.txt": b"", "c.txt": b"\n\n", "d.txt": b"only", "e.txt.gz": gzip.compress(b"p\nq\nr")}
+    for name, data in texts.items():
+        (tmp_path / name).write_bytes(data)
+    want = {}
+    for name, data in texts.items():
+        data = (gzip.decompress(data) if name.endswith("gz") else data).removeprefix(b"\xef\xbb\xbf")
+        parts = data.split(b"\n")
+        for n, raw in enumerate(parts if parts[-1] else parts[:-1]):
+            want[name, n] = (raw.decode().removesuffix("\r") if n < len(parts) - 1 else raw.decode(), n == len(parts) - 1, parts[0].decode().removesuffix("\r"))
+    got = lines.numbered_lines(spark, str(tmp_path), size).collect()
+    assert {(r["path"].rsplit("/", 1)[1], r["line"]): (r["raw"], r["open"], r["head"]) for r in got} == want and len(got) == len(want)
+    for block in (1, 4, 1 << 20):
+        cut = [x for at in range(0, len(texts["a.txt"]), size) for x in lines.lines_within(f"file://{tmp_path}/a.txt", at, at + size, at + size >= len(texts["a.txt"]), block)]
+        assert [x[0] for x in cut] == sorted({x[0] for x in cut}) and [x[1].removeprefix(b"\xef\xbb\xbf").decode() for x in cut] == [want["a.txt", n][0] for n in range(len(cut))]
 
 
 def test_windows_written_and_read(spark, tmp_path):

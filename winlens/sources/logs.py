@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from winlens.sources.lines import follow, numbered_lines
+
 EVENT = "id string, instante string, tipo string, incidente string, dados string"
 
 
@@ -15,25 +17,21 @@ def run_key(file_name: Column) -> Column:
 
 
 def read_event_log(spark: SparkSession, path: str) -> DataFrame:
-    """(log, line, raw, and the envelope's fields; id null: not a JSON object). Lines are numbered per file by their order in it.
-
-    The order within a file comes from the order of a single non-splittable file; gz files and whole-file reads have it.
-    """
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("log"), F.posexplode(F.split("value", "\n")).alias("line", "raw"))
+    """(log, line, raw, and the envelope's fields; id null: not a JSON object). Lines are numbered from 1 by their place in their file, of any size."""
+    lines = numbered_lines(spark, path).select(F.regexp_extract("path", "([^/]*)$", 1).alias("log"), (F.col("line") + 1).alias("line"), "raw")
     parsed = lines.filter(F.trim("raw") != "").withColumn("e", F.from_json("raw", EVENT))
-    return parsed.select("log", (F.col("line") + 1).alias("line"), "raw", "e.*")
+    return parsed.select("log", "line", "raw", "e.*")
 
 
-def tail_event_log(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
-    """Live tail of a folder of JSON-line files: a stream of (log, raw, the envelope's fields, complete).
+def tail_event_log(spark: SparkSession, path: str, suffix: str = ".jsonl") -> DataFrame:
+    """Live tail of a folder of JSON-line files that grow: a stream of (log, at, raw, the envelope's fields, complete).
 
-    Spark reads a file once, when it appears, so a log is tailed as the pieces that its writer adds to the folder. A line that is no
-    JSON object (the last of a piece that is still being written) has complete = false and null fields: keep complete rows, and
-    read the others again when the log is closed.
+    A line appears once its end is written; the unfinished last line of a file is left for a later batch. complete is false for an
+    ended line that is no JSON object. at, the byte at which the line begins, orders the lines of a log.
     """
-    lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path).select(F.col("_metadata.file_name").alias("log"), F.col("value").alias("raw"))
+    lines = follow(spark, path, suffix).select(F.regexp_extract("path", "([^/]*)$", 1).alias("log"), "at", "raw")
     parsed = lines.filter(F.trim("raw") != "").withColumn("e", F.from_json("raw", EVENT))
-    return parsed.select("log", "raw", "e.*", F.col("e.id").isNotNull().alias("complete"))
+    return parsed.select("log", "at", "raw", "e.*", F.col("e.id").isNotNull().alias("complete"))
 
 
 def read_runs(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
 from winlens.operators.labels import LABELS, OTHER_NAMES
+from winlens.operators.ordered import running
+from winlens.sources.lines import digests, numbered_lines
 
 #: The 39 columns of a window in their order.
 COLUMNS = (
@@ -27,15 +29,9 @@ def numbers(values: Column) -> tuple[Column, Column]:
 
 
 def file_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, raw, last, ended, header) of text files, lines from 0; \\n or \\r\\n ends a line, a byte order mark is dropped.
-
-    A file passes through one task, as only its start and its end tell what its lines are; files over 2 GB must be split first.
-    """
-    text = F.regexp_replace("value", "^\ufeff", "")
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.split(text, "\r?\n").alias("lines"), F.col("value").endswith("\n").alias("ended"))
-    last = F.size("lines") - F.when(F.col("ended"), 2).otherwise(1)
-    whole = whole.select("file", "ended", last.alias("last"), F.split(F.get("lines", 0), ",").alias("header"), "lines")
-    return whole.select("file", "last", "ended", "header", F.posexplode("lines").alias("line", "raw"))
+    """(file, line, raw, open, header) of text files of any size, lines from 0; open: a last line without end."""
+    lines = numbered_lines(spark, path)
+    return lines.select(F.regexp_extract("path", "([^/]*)$", 1).alias("file"), "line", "raw", "open", F.split("head", ",").alias("header"))
 
 
 def read_labelled(spark: SparkSession, path: str, strict_end: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -50,8 +46,7 @@ def read_labelled(spark: SparkSession, path: str, strict_end: bool = False) -> t
     values, bad = numbers(F.slice("v", 1, len(COLUMNS)))
     known = F.lower(F.trim(F.get("v", len(COLUMNS)))).isin([k.lower() for k in (*LABELS, *OTHER_NAMES)])
     reason = F.when(F.size("v") != len(COLUMNS) + 1, "columns").when(bad, "number").when(~known, "label")
-    open_end = (F.col("line") == F.col("last")) & ~F.col("ended")
-    reason = F.when(F.transform("header", F.trim) != names, "header").when(open_end & (reason.isNotNull() | F.lit(strict_end)), "unterminated").otherwise(reason)
+    reason = F.when(F.transform("header", F.trim) != names, "header").when(F.col("open") & (reason.isNotNull() | F.lit(strict_end)), "unterminated").otherwise(reason)
     parsed = lines.withColumns({"n": values, "reason": reason})
     rows = parsed.filter("reason is null").select("file", "line", *(F.get("n", i).alias(c) for i, c in enumerate(COLUMNS)), F.trim(F.get("v", len(COLUMNS))).alias("Label"))
     return rows, parsed.filter("reason is not null").select("file", "line", "raw", "reason")
@@ -59,8 +54,9 @@ def read_labelled(spark: SparkSession, path: str, strict_end: bool = False) -> t
 
 def read_complete(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(rows, files) of labelled CSV files: rows without a last line that is not ended, and each file's bytes, sha256 and truncated."""
-    ends = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", "([^/]*)$", 1).alias("file"), (F.substring("content", -1, 1) != F.unhex(F.lit("0A"))).alias("truncated"))
-    return read_labelled(spark, path, strict_end=True)[0], with_file_facts(spark, path).select("file", "bytes", "sha256").join(ends, "file")
+    rows, _ = read_labelled(spark, path, strict_end=True)
+    cut = file_lines(spark, path).filter("open").select("file", F.lit(True).alias("truncated")).distinct()
+    return rows, with_file_facts(spark, path).select("file", "bytes", "sha256").join(cut, "file", "left").fillna(False, ["truncated"])
 
 
 def csv_columns(spark: SparkSession, path: str) -> list[str]:
@@ -96,12 +92,13 @@ def read_official(spark: SparkSession, path: str) -> DataFrame:
     values, bad = numbers(F.transform(place, lambda p: F.coalesce(F.get("v", p - 1), F.lit(""))))
     missing = F.exists(place, lambda p: p == 0)
     values = F.when(missing, F.raise_error(F.concat("file", F.lit(": columns are missing"))).cast("array<double>")).when(bad, F.raise_error(F.concat("file", F.lit(": a value is no number"))).cast("array<double>")).otherwise(values)
-    return lines.withColumn("n", values).select("file", (F.row_number().over(Window.partitionBy("file").orderBy("line")) - 1).alias("row"), *(F.get("n", i).alias(c) for i, c in enumerate(COLUMNS)))
+    rows = running(lines.withColumn("n", values).select("file", "line", "n"), ["file"], ["line"])
+    return rows.select("file", (F.col("row") - 1).alias("row"), *(F.get("n", i).alias(c) for i, c in enumerate(COLUMNS)))
 
 
 def with_file_facts(spark: SparkSession, path: str) -> DataFrame:
-    """(file, bytes, modified, sha256) of files; their contents pass a task at a time, one file each."""
-    return spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", "([^/]*)$", 1).alias("file"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"))
+    """(file, bytes, modified, sha256) of files of any size."""
+    return digests(spark, path)
 
 
 def line_counts(files: DataFrame, label: str, content: str) -> DataFrame:
