@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from winlens.operators.ordered import running
+
 
 def strict_violations(log: DataFrame, payload_incident: str | None = None) -> DataFrame:
     """(log, seq, reason): id not equal to the position, time going back, envelope and payload naming different incidents."""
@@ -44,8 +46,9 @@ def latest(log: DataFrame, by: list[str], values: list[str], until: Column | Non
 
 
 def running_totals(log: DataFrame, sums: dict[str, Column], by: str = "log") -> DataFrame:
-    w = Window.partitionBy(by).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return log.select("*", *(F.sum(c).over(w).alias(k) for k, c in sums.items()))
+    """log with the running sum of each of sums; a log of any length is summed in ranges."""
+    given = log.withColumns({f"_in_{k}": c for k, c in sums.items()})
+    return running(given, [by], ["seq"], {k: f"_in_{k}" for k in sums}, number="_at").select(*log.columns, *sums)
 
 
 def busiest_step(log: DataFrame, up: Column, down: Column, by: str = "log") -> DataFrame:
@@ -145,12 +148,11 @@ def high_risk(proposals: DataFrame, always: list[str], protected: list[str], low
     """reasons: codes of all reasons at the proposal's point of the log: always-high action, protected target, target rejected
     before in the incident, and more than `low` earlier measures in the incident or `high` in the log."""
     inc = Window.partitionBy("incident").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    log = Window.partitionBy("log").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     rejected = F.max((F.col("rejected")).cast("int")).over(Window.partitionBy("incident", "target").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
     reasons = F.array_compact(F.array(
         F.when(F.col("action").isin(*always), F.lit("always")), F.when(F.col("target").isin(*protected), F.lit("protected")), F.when(rejected == 1, F.lit("rejected")),
-        F.when(F.count(F.lit(1)).over(inc) >= low, F.lit("incident budget")), F.when(F.count(F.lit(1)).over(log) >= high, F.lit("global budget"))))
-    return proposals.withColumn("reasons", reasons)
+        F.when(F.count(F.lit(1)).over(inc) >= low, F.lit("incident budget")), F.when(F.col("_at") > high, F.lit("global budget"))))
+    return running(proposals, ["log"], ["seq"], number="_at").withColumn("reasons", reasons).drop("_at")
 
 
 def all_risk_reasons(proposals: DataFrame, measures: DataFrame, catalogue: DataFrame, protected: list[str], low: int, high: int) -> DataFrame:
@@ -164,8 +166,8 @@ def all_risk_reasons(proposals: DataFrame, measures: DataFrame, catalogue: DataF
     rejected = F.max(F.col("rejected").cast("int")).over(Window.partitionBy("incident", "target").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
     asked = proposals.withColumns({"rejected_before": F.coalesce(rejected, F.lit(0)) == 1, "delta": F.lit(0)})
     both = asked.unionByName(measures.select("log", "incident", "seq", "delta", F.lit(True).alias("is_measure")), allowMissingColumns=True)
-    active = lambda by: F.coalesce(F.sum("delta").over(Window.partitionBy(*by).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = both.withColumns({"here": active(["log", "incident"]), "anywhere": active(["log"])}).filter("is_measure is null")
+    here = F.coalesce(F.sum("delta").over(Window.partitionBy("log", "incident").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = running(both, ["log"], ["seq"], {"until": "delta"}, number="_at").withColumns({"here": here, "anywhere": F.col("until") - F.col("delta")}).filter("is_measure is null")
     rows = rows.join(catalogue.withColumn("known", F.lit(True)), "action", "left")
     may = ~F.col("always")
     when = lambda c, name: F.when(c, F.lit(name))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from winlens.operators.windows import window_no
+from winlens.operators.ordered import running
 
 #: Categories and their labels.
 GROUPS = {
@@ -59,17 +60,9 @@ def natural_key(file_name: Column) -> Column:
 
 
 def natural_order(rows: DataFrame, file_name: Column, identity: str) -> DataFrame:
-    """place: rows numbered from 1 in the order of natural_key, then of identity.
-
-    In two levels: within a base, and bases by the counts of those before them, so that only the bases themselves are in one task.
-    """
+    """place: rows numbered from 1 in the order of natural_key, then of identity; names of one base may be any number."""
     keyed = rows.withColumn("_k", natural_key(file_name))
-    counts = keyed.groupBy(F.col("_k.base").alias("_base")).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_base").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("_base", before.alias("_before"))
-    local = F.row_number().over(Window.partitionBy("_base").orderBy("_k", identity))
-    placed = keyed.withColumn("_base", F.col("_k.base")).withColumn("_local", local)
-    return placed.join(starts, "_base").withColumn("place", F.col("_before") + F.col("_local")).drop("_k", "_base", "_local", "_before")
+    return running(keyed, [], ["_k", identity], number="place").drop("_k")
 
 
 def window_side(benign_capture: Column, has_attacker: Column) -> Column:

@@ -8,6 +8,9 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from winlens.operators.ordered import running
+from winlens.sources.scratch import materialize
+
 #: A derived column and the expression it should equal.
 RELATIONS = {
     "Variance": "Std * Std", "Tot size": "AVG", "LLC": "IPv", "ARP": "1 - IPv", "Tot sum": "AVG * Number",
@@ -106,14 +109,14 @@ def favoured_errors(rows: DataFrame, key: list[str], category: str) -> DataFrame
 def ks_distances(rows: DataFrame, columns: list[str], side: Column) -> DataFrame:
     """(col, distance): two-sample Kolmogorov-Smirnov distance of each column between side true and false.
 
-    Values are counted first; the running sums then go over distinct values of one column.
+    Values are counted first; the running sums then go over the distinct values of a column, in ranges.
     """
     each = F.explode(F.array(*(F.struct(F.lit(c).alias("col"), F.col(f"`{c}`").cast("double").alias("v")) for c in columns)))
     counts = rows.select(side.alias("_s"), each.alias("x")).filter("x.v is not null").groupBy("x.col", "x.v").agg(F.count_if("_s").alias("a"), F.count_if(~F.col("_s")).alias("b"))
-    w = Window.partitionBy("col")
-    run = w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    gap = F.abs(F.try_divide(F.sum("a").over(run).cast("double"), F.sum("a").over(w)) - F.try_divide(F.sum("b").over(run).cast("double"), F.sum("b").over(w)))
-    return counts.withColumn("gap", gap).groupBy("col").agg(F.max("gap").alias("distance"))
+    summed = materialize(running(counts, ["col"], ["v"], {"run_a": "a", "run_b": "b"}), "ks")
+    totals = summed.groupBy("col").agg(F.sum("a").alias("all_a"), F.sum("b").alias("all_b"))
+    gap = F.abs(F.try_divide(F.col("run_a").cast("double"), F.col("all_a")) - F.try_divide(F.col("run_b").cast("double"), F.col("all_b")))
+    return summed.join(totals, "col").groupBy("col").agg(F.max(gap).alias("distance"))
 
 
 def any_of(conditions: list[Column]) -> Column:

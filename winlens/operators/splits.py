@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from winlens.operators.ordered import running
+
 
 def time_cut(windows: DataFrame, fraction: float, capture: str = "capture") -> DataFrame:
     """cut: the first window of a capture's test part, floor((1 - fraction) * total + 0.5), totals counted over these rows."""
@@ -40,8 +42,10 @@ def validation_start(captures: DataFrame, fraction: float = 0.15, cut: str = "cu
 
 
 def draw(seed: int, *columns: str | Column) -> Column:
-    """A uniform number in [0, 1) that depends on the seed and the columns alone."""
-    return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 52)) / float(1 << 52)
+    """A uniform number in [0, 1) that depends on the seed and the texts of the columns alone: 52 bits of an MD5, as any SQL engine has it."""
+    texts = (F.col(c) if isinstance(c, str) else c for c in columns)
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *(c.cast("string") for c in texts)))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / float(1 << 52)
 
 
 def capped_sample(rows: DataFrame, label: str, identity: list[str], cap: int, seed: int) -> DataFrame:
@@ -63,10 +67,9 @@ def capped_sample(rows: DataFrame, label: str, identity: list[str], cap: int, se
 
 def stratified_split(rows: DataFrame, label: str, identity: list[str], fraction: float, seed: int) -> DataFrame:
     """side: of each label round(fraction * n) rows are test, by seeded rank; a label with one row is an error."""
-    w = Window.partitionBy(label)
-    ranked = rows.withColumns({"_r": F.row_number().over(w.orderBy(draw(seed, label, *identity), *identity)), "_n": F.count("*").over(w)})
+    ranked = running(rows.withColumn("_u", draw(seed, label, *identity)), [label], ["_u", *identity], number="_r", total="_n")
     enough = F.when(F.col("_n") >= 2, F.round(F.col("_n") * fraction)).otherwise(F.raise_error(F.lit("a label has fewer than two rows to split")).cast("double"))
-    return ranked.withColumn("side", F.when(F.col("_r") <= enough, "test").otherwise("train")).drop("_r", "_n")
+    return ranked.withColumn("side", F.when(F.col("_r") <= enough, "test").otherwise("train")).drop("_r", "_n", "_u")
 
 
 def group_split(rows: DataFrame, group: list[str], label: str, fraction: float, seed: int) -> DataFrame:

@@ -11,6 +11,7 @@ from winlens.operators import search as se
 from winlens.operators import splits as sp
 from winlens.plans import adapters as ad
 from winlens.plans.adapters import FRAMES_CTE, windows_cte
+from winlens.sources.scratch import materialize
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -123,9 +124,7 @@ def p25(spark, d):
 
 @query("p29_conversation_size", "SELECT conv_id, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM conversations GROUP BY 1")
 def p29(spark, d):
-    # messages of one conversation as an array, then one fold over it
-    m = ad.table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("text")).alias("m"))
-    return m.select("conv_id", F.aggregate(F.transform("m", lambda x: F.length(x["text"]).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x).alias("n_chars"))
+    return ad.table(spark, d, "conversations").groupBy("conv_id").agg(F.sum(F.length("text").cast("long")).alias("n_chars"))
 
 
 _NAME = "['BenignTraffic', 'DDoS-ICMP_Flood', 'Recon-PortScan', 'XSS'][page_id % 4 + 1]"
@@ -201,48 +200,54 @@ def m7(spark, d):
     return w.groupBy("label").agg(F.count_if(F.col("win") < F.col("validation_from")).alias("reduced"), F.count_if(train).alias("whole"), F.count_if(train & (F.col("capture") % 3 != 0)).alias("without_held_out"), F.count_if(train & ((F.col("label") == "Benign") | F.col("has_attacker"))).alias("kept_only"))
 
 
-@query("s22_k7_capped_sample", "SELECT lang, least(count(*), 50) AS n, count(*) AS population FROM documents GROUP BY 1")
+def _u(seed: int, *columns: str) -> str:
+    """The draw of splits.draw in SQL, as a whole number."""
+    return f"CAST('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(f'CAST({c} AS VARCHAR)' for c in columns)})), 1, 13) AS BIGINT)"
+
+
+@query("s22_k7_capped_sample", f"SELECT lang, doc_id, population FROM (SELECT lang, doc_id, count(*) OVER (PARTITION BY lang) AS population, row_number() OVER (PARTITION BY lang ORDER BY {_u(7, 'lang', 'doc_id')}, doc_id) AS r FROM documents) WHERE r <= 50")
 def k7(spark, d):
-    s = sp.capped_sample(ad.table(spark, d, "documents").select("doc_id", "lang"), "lang", ["doc_id"], 50, 7)
-    return s.groupBy("lang").agg(F.count("*").alias("n"), F.max("population").alias("population"))
+    return sp.capped_sample(ad.table(spark, d, "documents").select("doc_id", "lang"), "lang", ["doc_id"], 50, 7).select("lang", "doc_id", "population")
 
 
-@query("k8_capped_windows", f"{WIN} SELECT category, least(count(*), 300) AS n FROM win_ GROUP BY 1")
+@query("k8_capped_windows", f"{WIN} SELECT category, capture, win FROM (SELECT category, capture, win, row_number() OVER (PARTITION BY category ORDER BY {_u(3, 'category', 'capture', 'win')}, capture, win) AS r FROM win_) WHERE r <= 300")
 def k8(spark, d):
-    return sp.capped_sample(ad.windows(spark, d, 10), "category", ["capture", "win"], 300, 3).groupBy("category").agg(F.count("*").alias("n"))
+    return sp.capped_sample(ad.windows(spark, d, 10), "category", ["capture", "win"], 300, 3).select("category", "capture", "win")
 
 
 _UNMATCHED = "SELECT doc_id FROM documents WHERE text IS NULL OR text NOT IN (SELECT text FROM documents WHERE doc_id % 3 = 0 AND text IS NOT NULL)"
 
 
-@query("k9_unmatched_sample", f"SELECT least(20, count(*)) AS n, count(*) AS population, 0 AS n_matched FROM ({_UNMATCHED})")
+@query("k9_unmatched_sample", f"SELECT doc_id, population FROM (SELECT doc_id, count(*) OVER () AS population, row_number() OVER (ORDER BY {_u(5, '1', 'doc_id')}, doc_id) AS r FROM ({_UNMATCHED})) WHERE r <= 20")
 def k9(spark, d):
     docs = ad.table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    theirs = docs.filter("doc_id % 3 = 0").select("h")
-    rows = docs.join(theirs, "h", "left_anti").withColumn("all_", F.lit(1))
-    sample = sp.capped_sample(rows, "all_", ["doc_id"], 20, 5)
-    matched = sample.join(theirs.distinct().withColumn("m", F.lit(1)), "h", "left")
-    return matched.agg(F.count("*").alias("n"), F.max("population").alias("population"), F.count("m").cast("int").alias("n_matched"))
+    rows = docs.join(docs.filter("doc_id % 3 = 0").select("h"), "h", "left_anti").withColumn("all_", F.lit(1))
+    return sp.capped_sample(rows, "all_", ["doc_id"], 20, 5).select("doc_id", "population")
+
+
+def _split(seed: int, fraction: float, rows: str, label: str, identity: str) -> str:
+    """(.., side) of splits.stratified_split over a relation, in SQL."""
+    return f"SELECT *, CASE WHEN row_number() OVER (PARTITION BY {label} ORDER BY {_u(seed, label, identity)}, {identity}) <= round(count(*) OVER (PARTITION BY {label}) * {fraction}) THEN 'test' ELSE 'train' END AS side FROM {rows}"
 
 
-@query("m5_stratified_split", "SELECT lang, count(*) AS n_rows, CAST(count(*) - round(count(*) * 0.2) AS BIGINT) AS n_train, CAST(round(count(*) * 0.2) AS BIGINT) AS n_test FROM documents GROUP BY 1")
+@query("m5_stratified_split", f"SELECT doc_id, lang, side FROM ({_split(42, 0.2, 'documents', 'lang', 'doc_id')})")
 def m5(spark, d):
-    return sp.split_report(sp.stratified_split(ad.table(spark, d, "documents").select("doc_id", "lang"), "lang", ["doc_id"], 0.2, 42), "lang")
+    return sp.stratified_split(ad.table(spark, d, "documents").select("doc_id", "lang"), "lang", ["doc_id"], 0.2, 42)
 
 
-@query("m6_group_split", "SELECT count(*) AS n_groups, 0 AS n_split FROM (SELECT DISTINCT text FROM documents)")
+@query("m6_group_split", f"WITH d AS (SELECT doc_id, sha256(text) AS h, lang FROM documents), n AS (SELECT h, lang, count(*) AS n FROM d GROUP BY ALL), m AS (SELECT h, arg_min(lang, (-n, lang)) AS main FROM n GROUP BY h), s AS ({_split(42, 0.2, 'm', 'main', 'h')}) SELECT doc_id, h, lang, side FROM d JOIN s USING (h)")
 def m6(spark, d):
-    docs = ad.table(spark, d, "documents").select(F.sha2("text", 256).alias("h"), "lang")
-    s = sp.group_split(docs, ["h"], "lang", 0.2, 42).groupBy("h").agg(F.count_distinct("side").alias("sides"))
-    return s.agg(F.count("*").alias("n_groups"), F.count_if(F.col("sides") > 1).cast("int").alias("n_split"))
+    docs = ad.table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h"), "lang")
+    return sp.group_split(docs, ["h"], "lang", 0.2, 42).select("doc_id", "h", "lang", "side")
 
 
-@query("a39_split_report", "SELECT lang, count(*) AS n_rows, CAST(count(*) - round(count(*) * 0.3) AS BIGINT) AS n_train, CAST(round(count(*) * 0.3) AS BIGINT) AS n_test, count(DISTINCT text) AS n_distinct, count(*) - count(DISTINCT text) AS n_repeats FROM documents GROUP BY 1")
+@query("a39_split_report", f"SELECT lang, count(*) AS n_rows, count(*) FILTER (side = 'train') AS n_train, count(*) FILTER (side = 'test') AS n_test, count(DISTINCT text) FILTER (side = 'train') AS n_distinct_train, count(DISTINCT text) AS n_distinct, count(*) - count(DISTINCT text) AS n_repeats FROM ({_split(1, 0.3, 'documents', 'lang', 'doc_id')}) GROUP BY 1")
 def a39(spark, d):
     docs = ad.table(spark, d, "documents").select("doc_id", "lang", F.sha2("text", 256).alias("h"))
-    rep = sp.split_report(sp.stratified_split(docs, "lang", ["doc_id"], 0.3, 1), "lang")
-    n = docs.groupBy("lang").agg(F.count_distinct("h").alias("n_distinct"), (F.count("*") - F.count_distinct("h")).alias("n_repeats"))
-    return rep.join(n, "lang")
+    split = materialize(sp.stratified_split(docs, "lang", ["doc_id"], 0.3, 1), "split")
+    each = split.groupBy("lang", "h").agg(F.count("*").alias("n"), F.bool_or(F.col("side") == "train").cast("long").alias("t"))
+    n = each.groupBy("lang").agg(F.sum("t").alias("n_distinct_train"), F.count("h").alias("n_distinct"), (F.sum("n") - F.count("h")).alias("n_repeats"))
+    return sp.split_report(split, "lang").join(n, "lang")
 
 
 @query("a41_split_fingerprint")
