@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from winlens.operators import metrics as me
@@ -10,13 +12,13 @@ from winlens.operators import splits as sp
 from winlens.operators import windows as wi
 from winlens.plans import adapters as ad
 from winlens.plans.adapters import FRAMES_CTE
-from winlens.sources.scratch import materialize
+from winlens.sources.scratch import materialize, shared_dir
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 FEATURES = ["AVG", "Std", "IAT", "Time_To_Live", "syn_flag_number", "ack_flag_number", "ICMP", "TCP", "UDP", "Variance"]
 CLASSES = ["Benign", "Flood", "Scan"]
-TREES = 10
+TREES = 100
 
 
 def query(name: str, sql: str | None = None):
@@ -56,7 +58,7 @@ def m3(spark, d):
 def m4(spark, d):
     rows = sides(spark, d).withColumn("id", F.col("capture") * 100000 + F.col("win"))
     model = ml.train(rows.filter("side = 'train'"), FEATURES, "y", TREES)
-    return ml.permutation(model, rows.filter("side = 'test'"), FEATURES, "y", "id", repeats=2, sample=500)
+    return ml.permutation(model, rows.filter("side = 'test'"), FEATURES, "y", "id")
 
 
 @query("m8_m9_grid")
@@ -64,10 +66,32 @@ def m8(spark, d):
     rows = labelled(spark, d)
     configs = [{"name": n, "features": f, "seed": s} for n, f in (("all", "all"), ("few", "few")) for s in (1, 2)]
     side = lambda df, c: sp.mark_sides(sp.time_cut(df, 0.3))
-    p = ml.grid(rows, configs, {"all": FEATURES, "few": FEATURES[:5]}, "y", side, ["capture", "win", "y"], 5)
+    p = ml.grid(rows, configs, {"all": FEATURES, "few": FEATURES[:5]}, "y", side, ["capture", "win", "y"], TREES)
     return me.overall_metrics(me.confusion(me.contingency(p.withColumn("t", F.col("y").cast("long")), "t", "predicted", ["config", "seed"]), by=["config", "seed"]), 0, ["config", "seed"])
 
 
+def round_rows(spark, d):
+    """labelled with what rounds need: the captures' label and order, and which windows are background."""
+    rows = labelled(spark, d).withColumn("label", F.expr(ad.CATEGORY)).withColumn("order", F.col("capture"))
+    return rows.withColumn("background", (F.col("label") != "Benign") & (F.col("y") == 0) & (F.col("win") % 2 == 0))
+
+
+def round_configs(seeds=(1, 2)):
+    kinds = [{"name": "cut", "kind": "cut"}, *({"name": f"rotation {r}", "kind": "rotation", "rotation": r} for r in range(2)), {"name": "held out 1", "kind": "held out", "capture": 1}, {"name": "background", "kind": "background"}]
+    return [{**k, "features": "all", "seed": s} for s in seeds for k in kinds]
+
+
+@query("m9_rounds")
+def m9(spark, d):
+    """Rounds of all kinds, stopped after some and resumed: metrics of each, and how often it was trained by either run."""
+    rows, configs, trained = materialize(round_rows(spark, d), "round-rows"), round_configs((1,)), {}
+    store = f"{shared_dir(spark)}/winlens-rounds-{uuid.uuid4().hex}"
+    for part in (configs[:2], configs):
+        p = ml.rounds(rows, part, {"all": FEATURES}, "y", ml.round_side, ["capture", "win", "y"], store, TREES, at_end=lambda c: trained.update({c["name"]: trained.get(c["name"], 0) + 1}))
+    m = me.overall_metrics(me.confusion(me.contingency(p.withColumn("t", F.col("y").cast("long")), "t", "predicted", ["config", "seed"]), by=["config", "seed"]), 0, ["config", "seed"])
+    return m.join(F.broadcast(spark.createDataFrame(list(trained.items()), "config string, n_trained int")), "config")
+
+
 @query("m10_operating_point")
 def m10(spark, d):
     cut = sp.validation_start(sp.time_cut(labelled(spark, d), 0.3))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from winlens.plans import q_events, q_incidents, q_ml, q_models, q_runs, q_text, q_windows
+from winlens.plans import q_events, q_incidents, q_ml, q_models, q_runs, q_sources, q_text, q_windows
 
-MODULES = [q_windows, q_models, q_events, q_text, q_incidents, q_runs, q_ml]
+MODULES = [q_windows, q_models, q_events, q_text, q_incidents, q_runs, q_sources, q_ml]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
