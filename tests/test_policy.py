@@ -1,3 +1,4 @@
+import collections
 import random
 
 import numpy as np
@@ -26,13 +27,93 @@ def case(seed, n=150):
     return rows
 
 
-def one_by_one(rows, policy):
-    fold, last, out = po.CapturePolicy(policy), None, []
+def fed(rows, policy):
+    """Windows one by one, as a fold gets them."""
+    last = None
     for c, win, start, end, category, s, t in rows:
         slow = end - start > policy.longest
-        row = {"first_win": win, "last_win": win, "start_ts": start, "end_ts": end, "category": category, "sources": s, "targets": t, "unjudged": slow, "breaks": slow or last is not None and start - last > policy.silence}
+        yield c, {"first_win": win, "last_win": win, "start_ts": start, "end_ts": end, "category": category, "sources": s, "targets": t, "unjudged": slow, "breaks": slow or last is not None and start - last > policy.silence}
         last = end
-        out += [(c, *d) for d in fold.feed(row)]
+
+
+def one_by_one(rows, policy):
+    fold = po.Fold(policy)
+    return [(c, *d[:6]) for c, row in fed(rows, policy) for d in fold.feed(row)]
+
+
+def ranked(votes, n):
+    return [k for k, _ in sorted(collections.Counter(votes).items(), key=lambda kv: -kv[1])][:n]
+
+
+def from_history(rows, policy):
+    """The rules of the policy with nothing carried along but what happened: every question is answered by going through the past anew.
+
+    Addresses are ranked at every window (refresh 1) and counters are never cut.
+    """
+    out, members, events = [], {}, []  # members: incident -> rows; events: ("judged" | "benign" | "break" | "own", incident)
+    said = lambda row, side: [a["addr"] for a in row[side] for _ in range(a["n"])]
+    ends = lambda row: {a for side in ("sources", "targets") for a in ranked(said(row, side), 1)}
+    top = lambda rows_: set(ranked([a for side in ("sources", "targets") for r in rows_ for a in said(r, side)], policy.top))
+    main = lambda rows_: ranked([r["category"] for r in rows_], 1)[0]
+
+    def since(i):
+        """Windows judged since the incident's last one, and benign ones among them; None after it closed."""
+        past = []
+        for kind, who in reversed(events):
+            if kind == "own" and who == i:
+                break
+            past.append(kind)
+        past.reverse()
+        n = sum(k in ("judged", "benign") for k in past)
+        return None if "break" in past or n >= policy.close_after else (n, past.count("benign"))
+
+    order = lambda: [i for i in dict.fromkeys(reversed([w for k, w in events if k == "begin"]))][::-1]
+    alive = lambda: [i for i in order() if since(i) is not None]
+    pending, deaf = [], False
+    for c, row in fed(rows, policy):
+        win = row["first_win"]
+        if row["breaks"]:
+            events.append(("break", None))
+        if row["breaks"] or row["category"] == po.BENIGN:
+            pending, deaf = [], False
+        if row["unjudged"]:
+            out.append((c, win, win, "unjudged", None, 0, win))
+            continue
+        if row["category"] == po.BENIGN:
+            if not alive():
+                out.append((c, win, win, "background", None, 0, win))
+            events.append(("benign", None))
+            continue
+        owner = next((i for i in alive() if main(members[i]) == row["category"]), None)
+        owner = next((i for i in alive() if ends(row) & top(members[i])), None) if owner is None else owner
+        if owner is not None:
+            out.append((c, win, win, "attack", owner, since(owner)[1], win))
+            members[owner].append(row)
+            events.append(("judged", None))
+            events.append(("own", owner))
+            continue
+        events.append(("judged", None))
+        if deaf:
+            continue
+        pending = [*pending, row][-policy.in_a_row :]
+        if len(pending) < policy.in_a_row:
+            continue
+        lead = main(pending)
+        near = set().union(*(ends(r) for r in pending if r["category"] == lead))
+        kin = [r for r in pending if r["category"] == lead or ends(r) & near]
+        pending = [r for r in pending if r not in kin]
+        began = kin[0]["start_ts"]
+        former = [i for i in members if i not in alive() and began - members[i][-1]["end_ts"] <= policy.reopen_within and main(members[i]) == main(kin) and top(members[i]) & top(kin)]
+        former = max(former, key=lambda i: (members[i][-1]["end_ts"], -i), default=None)
+        if former is None and len(members) >= policy.most:
+            deaf = True
+            out.append((c, win, win, "over cap", None, 0, win))
+            continue
+        i = len(members) if former is None else former
+        out.append((c, kin[0]["first_win"], win, "open" if former is None else "reopen", i, 0, win))
+        members.setdefault(i, []).extend(kin)
+        events += [("begin", i), ("own", i)]
+        out += [(c, r["first_win"], r["first_win"], "attack", i, 0, win) for r in kin]
     return out
 
 
@@ -57,6 +138,24 @@ def test_run_lengths_change_nothing(spark):
     assert {"open", "reopen", "attack", "background", "unjudged", "over cap"} == {d[3] for d in want}
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_fold_follows_the_rules(seed):
+    rng = random.Random(seed)
+    policy = po.Policy(in_a_row=rng.choice([1, 2, 3, 4]), close_after=rng.choice([1, 2, 4, 10]), most=rng.choice([2, 5, 20]), refresh=1, reopen_within=rng.choice([50.0, 300.0, 5000.0]))
+    assert spread(one_by_one(case(seed), policy)) == spread(from_history(case(seed), policy))
+
+
+@pytest.mark.parametrize(("within", "most"), [(300.0, 5), (300.0, 2), (50.0, 20), (5000.0, 4)])
+def test_segments_change_nothing(spark, within, most):
+    """Captures over many tasks, with reopenings over segments and without room, against the fold from end to end."""
+    policy = po.Policy(in_a_row=2, close_after=4, most=most, reopen_within=within)
+    rows = [r for s in range(10) for r in case(s, 200)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = [tuple(r) for r in po.decide(po.stretches(df, policy, chunk=16), policy, segment=20).collect()]
+    want = [d for s in range(10) for d in one_by_one(case(s, 200), policy)]
+    assert spread(got) == spread(want)
+
+
 def test_an_incident_opens_after_enough_windows_and_closes():
     w = lambda i, c: (1, i, i * 2.0, i * 2.0 + 1, c, [{"addr": 7, "n": 3}], [{"addr": 8, "n": 3}])
     rows = [w(0, "DDoS"), w(1, "DDoS"), w(2, "Benign"), w(3, "DDoS"), w(4, "DDoS"), w(5, "DDoS")] + [w(i, "Benign") for i in range(6, 12)]

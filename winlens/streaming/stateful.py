@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from winlens.operators.policy import BENIGN, DECISIONS, CapturePolicy, Policy
+from winlens.operators.policy import BENIGN, DECISIONS, Fold, Policy
 
 _STATE = "state binary"
 
@@ -115,14 +115,14 @@ def decide_stream(windows: DataFrame, policy: Policy) -> DataFrame:
     """The incident policy over a stream of windows (capture, win, start_ts, end_ts, category, sources, targets)."""
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        fold, last = _load(state, lambda: (CapturePolicy(policy), None))
+        fold, last = _load(state, lambda: (Fold(policy), None))
         out = []
         for r in pd.concat(list(batches)).sort_values("win").to_dict("records"):
             slow = r["end_ts"] - r["start_ts"] > policy.longest
             silent = last is not None and r["start_ts"] - last > policy.silence
             last = r["end_ts"]
             row = {**r, "first_win": r["win"], "last_win": r["win"], "unjudged": slow, "breaks": slow or silent, "sources": list(r["sources"] if r["sources"] is not None else []), "targets": list(r["targets"] if r["targets"] is not None else [])}
-            out += [(key[0], *d) for d in fold.feed(row)]
+            out += [(key[0], *d[:6]) for d in fold.feed(row)]
         _save(state, (fold, last))
         yield pd.DataFrame(out, columns=["capture", "first_win", "last_win", "kind", "incident", "benign_before", "at_win"]).astype({"incident": "Int64"})
 
