@@ -267,15 +267,15 @@ def plain_template(text):
                 kind = dc.LITERAL if opens else dc.NAMED
             elif bare[:1] in "+-$€£0123456789" and bare and dc.NUMBER_UNIT.fullmatch(low):
                 kind = dc.GLUED
-            out.append((low or w, low or w if kind == dc.LITERAL else kind, kind, low))
+            out.append((low or w, low or w if kind == dc.LITERAL else kind, kind, low, opens))
             after_number = kind == dc.NUM
             tail = w[len(w.rstrip(dc.EDGE)) :]
             opens = w[-1] in ".!?:" or any(c in ".!?" for c in tail)
     return out
 
 
-def plain_windows(words, n, exact):
-    return {at: tuple(x[0 if exact else 1] for x in words[at : at + n]) for at in range(len(words) - n + 1) if exact or sum(x[2] == dc.LITERAL for x in words[at : at + n]) >= min(n, dc.LITERALS)}
+def dense(words, at):
+    return sum(x[2] == dc.LITERAL for x in words[at : at + dc.WORDS]) < dc.POSTED
 
 
 def plain_votes(votes):
@@ -298,11 +298,13 @@ def plain_leaks(docs, items):
         n = min(dc.WORDS, len(i))
         if not n:
             continue
-        exact = not plain_windows(i, n, False)
-        ours, theirs = plain_windows(i, n, exact), plain_windows(d, n, exact)
-        pairs = [(at, k) for at, x in theirs.items() for k, y in ours.items() if x == y]
+        ours = range(len(i) - n + 1)
+        alone = lambda at: d[at][4] and (at + n == len(d) or d[at + n][4])  # noqa: E731, B023
+        part = lambda words, at, k: [x[k] for x in words[at : at + n]]  # noqa: E731, B023
+        exact = lambda k: n < dc.WORDS or dense(i, k)  # noqa: E731, B023
+        pairs = [(at, k) for at in range(len(d) - n + 1) for k in ours if (part(d, at, 0) == part(i, k, 0) and (n == dc.WORDS or alone(at)) if exact(k) else not dense(d, at) and part(d, at, 1) == part(i, k, 1))]
         kept, changed = set(), False
-        slots = lambda at, k: [] if exact else [(d[at + j][2], i[k + j][3], d[at + j][3], at + j) for j in range(n) if d[at + j][2]]  # noqa: E731, B023
+        slots = lambda at, k: [] if exact(k) else [(d[at + j][2], i[k + j][3], d[at + j][3], at + j) for j in range(n) if d[at + j][2]]  # noqa: E731, B023
         for diagonal in {at - k for at, k in pairs}:
             votes = collections.defaultdict(set)
             for at, k in (p for p in pairs if p[0] - p[1] == diagonal):
@@ -310,10 +312,13 @@ def plain_leaks(docs, items):
                     if kind in (dc.UNIT, dc.NAMED):
                         votes[kind, a, b].add(place)
             fair = plain_votes(votes)
-            for at, k in (p for p in pairs if p[0] - p[1] == diagonal):
-                if all(a == b or kind not in (dc.UNIT, dc.NAMED) or (kind, a, b) in fair for kind, a, b, _ in slots(at, k)):
-                    kept.add(k)
-                    changed |= any(a != b for _, a, b, _ in slots(at, k))
+            fit = [(at, k) for at, k in pairs if at - k == diagonal and all(a == b or kind not in (dc.UNIT, dc.NAMED) or (kind, a, b) in fair for kind, a, b, _ in slots(at, k))]
+            covered = {k + j for _, k in fit for j in range(n)}
+            other = [{place - diagonal for _, a, b, place in slots(at, k) if a != b} for at, k in fit]
+            same = {k + j for (_, k), o in zip(fit, other, strict=True) for j in range(n) if k + j not in o}
+            if len(same) >= max(min(dc.LITERALS, len(covered)), dc.EVIDENCE * len(covered)):
+                kept |= {k for _, k in fit}
+                changed |= any(other)
         if len(kept) >= min(dc.LEAST_WINDOWS, len(ours)) and len(kept) / len(ours) >= dc.LEAST_SHARE:
             found[doc, item] = len(kept), len(ours), changed
     return found
@@ -330,8 +335,8 @@ def test_leaks(spark):
             out += [rng.choice(literals)] if x < 0.7 else [rng.choice(names)] if x < 0.82 else [rng.choice(numbers), rng.choice(units)] if x < 0.9 else [rng.choice(numbers) + rng.choice(["", ".", ","])]
         return out
 
-    items = [(k, " ".join(sentence(rng.randint(4, 25)))) for k in range(25)] + [(30, "3 + 4 = 7 and 5 + 6 = 11"), (31, ""), (32, None), (33, "Anna paid Berta 5 and Carl 6"), (34, "home")]
-    docs = [(-1, None), (-2, ""), (-3, "home")]
+    items = [(k, " ".join(sentence(rng.randint(4, 25)))) for k in range(25)] + [(30, "3 + 4 = 7 and 5 + 6 = 11"), (31, ""), (32, None), (33, "Anna paid Berta 5 and Carl 6"), (34, "home"), (35, "3 4 5 6 7 8 12% gives pears to the farmer")]
+    docs = [(-1, None), (-2, ""), (-3, "home"), (-4, "so. Home!"), (-5, "home and"), (-6, "the 8 12% gives pears to the"), (-7, "1 1 1 1 1 1 1 gives pears to the farmer")]
     for k in range(150):
         words = (rng.choice(items)[1] or "").split()
         swap = dict(zip(names, rng.sample(names, 4), strict=True)) if rng.random() < 0.5 else {}
@@ -349,6 +354,41 @@ def test_leaks(spark):
     assert len(want) > 60 and any(x[2] for x in want.values()) and not all(x[2] for x in want.values())
 
 
+def test_dense_short_and_german_items(spark):
+    german = "Gestern kaufte Anna in Berlin drei Äpfel und Peter in Hamburg fünf Birnen"
+    items = [(1, "3 4 5 6 7 8 9 tell us the sum"), (2, "open the book"), (3, german), (4, "Wie viele Bücher liest Karl im Jahr, wenn er jede Woche zwei Bücher liest?")]
+    docs = [
+        (1, "For rooms 8 9 tell us the sum of the rent"), (2, "1 1 2 3 5 8 13 tell us the sum"), (3, "they open the book of rules"), (4, "Now. Open the book! Read."), (5, "x\nopen the book\ny"),
+        (6, "ja " + german.replace("Anna", "Maria").replace("Berlin", "Köln").replace("drei", "sieben").replace("Peter", "Jonas").replace("Hamburg", "Bonn").replace("fünf", "neun") + " ja"),
+        (7, "Morgen fährt Maria nach Köln und Jonas nach Bonn"), (8, "7 8 9 10 11 12 13 14 15 16 17 18 19 20"), (9, items[3][1].replace("Karl", "Emil").replace("zwei", "drei")), (10, "Gestern kaufte Maria in Köln Brot")]
+    got = {(r["doc_id"], r["item_id"]): (r["n_windows"], r["item_windows"], r["reparameterised"]) for r in dc.find_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) == {(2, 1), (4, 2), (5, 2), (6, 3), (9, 4)}
+    assert got[2, 1][1] == 6 and got[6, 3][1] == 8 and got[6, 3][2] and not got[4, 2][2]
+    assert got == plain_leaks(docs, items)
+
+
+LANGUAGES = {
+    "en": ("On {d} morning {a} drove {n} miles to {c} and bought {m} bottles of milk for the party that {b} gives in {e}", "Anna Berta Carl Dora Emil Frank".split(), "Oslo Lima Rome Bonn".split()),
+    "de": ("Am Morgen fuhr {a} {n} Kilometer nach {c} und kaufte {m} Flaschen Milch für das Fest, das {b} im Sommer in {e} gibt", "Anna Berta Karl Dora Emil Franz".split(), "Oslo Lima Rom Bonn".split()),
+    "fr": ("Le matin {a} a fait {n} kilomètres pour aller à {c} et a acheté {m} bouteilles de lait pour la fête que {b} donne à {e}", "Anne Berthe Carl Denise Emile Franck".split(), "Oslo Lima Rome Bonn".split()),
+    "es": ("Por la mañana {a} condujo {n} kilómetros hasta {c} y compró {m} botellas de leche para la fiesta que {b} da en {e}", "Ana Berta Carlos Dora Emilio Franco".split(), "Oslo Lima Roma Bonn".split())}
+
+
+def test_recall_of_reparameterised_items_by_language(spark):
+    """Items with other names, places and numbers inside other text; and texts that share no more than names with them."""
+    rng, items, docs, planted = random.Random(4), [], [], set()
+    for k, (lang, (form, names, places)) in enumerate(LANGUAGES.items()):
+        fill = lambda: form.format(d="that", a=(x := rng.sample(names, 2))[0], b=x[1], c=(y := rng.sample(places, 2))[0], e=y[1], n=rng.randint(2, 99), m=rng.randint(2, 99))  # noqa: E731, B023
+        items.append((k, fill()))
+        for j in range(30):
+            planted.add((100 * k + j, k))
+            docs.append((100 * k + j, f"vorher nachher avant antes {fill()} after all of it"))
+        docs += [(100 * k + 50 + j, " ".join(rng.sample(names, 2) + rng.sample(places, 2) + [str(rng.randint(2, 99)), "and so on with", lang, "words of their own"])) for j in range(30)]
+    got = {(r["doc_id"], r["item_id"]) for r in dc.find_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    recall = {lang: len({p for p in planted & got if p[1] == k}) / 30 for k, lang in enumerate(LANGUAGES)}
+    assert got <= planted and min(recall.values()) >= 0.9, recall
+
+
 def test_all_verbatim_items_are_found(spark):
     docs, items = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/benchmark.parquet")
     got = {(r["doc_id"], r["item_id"]) for r in dc.find_leaks(docs, items).collect()}

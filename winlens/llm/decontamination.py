@@ -1,18 +1,22 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words become a template: numbers, units after numbers and names inside a sentence turn into typed placeholders, other
-words are lower-cased and lose the marks at their edges. Windows of WORDS template words, with LITERALS real words at
-least, are hashed and joined with those of the benchmark items; an item without such a window is joined on windows of its
-words as they are. A bit map of the items' hashes, of one size whatever their number, is broadcast, so that of the documents'
-windows only those that may match are written and shuffled. Numbers may take any values. Changed names and units must be consistent over a matched passage: most of its
-places decide which value of the document stands for one of the item, and different names stay different. A window that holds
-another changed name or unit is dropped, as is every window with a changed one where places are tied. A document that matches
-enough other windows of an item carries it, verbatim or re-parameterised.
-
-Defined cases: null texts count as empty; items under WORDS words are matched by windows of their own length; an item without
-words is never matched; very long texts are read whole; repeated document rows count once, as do a document's repeats of a
-window; rows without id are left out; places that are tied decide nothing; empty tables give an empty result; other columns
-are ignored.
+Words become a template: numbers, units after numbers and capitalised words inside a sentence turn into typed placeholders, other
+words are lower-cased and lose the marks at their edges. Every window of WORDS words of an item is matched in one of two ways: by the
+hash of its template if that has POSTED real words at least, and else by the hash of its words as they are. A bit map of the
+items' hashes, of one size whatever their number, is broadcast, so that of the documents' windows only those that may match are
+written and shuffled.
+
+Numbers may take any values. Changed names and units must be consistent over a matched passage: most of its places decide which value
+of the document stands for one of the item, and different names stay different. A window that holds another changed name or unit
+is dropped, as is every window with a changed one where places are tied. What is left of a passage counts only with evidence: LITERALS
+places, and a share of EVIDENCE of all that it covers, have the same word in both, be it a real word or the unchanged value of a slot; so
+nouns that German capitalises are evidence as any word, and two tables of numbers are no match. A document that so matches
+enough of all windows of an item carries it, verbatim or re-parameterised.
+
+Defined cases: null texts count as empty; items under WORDS words are too short for templates and are matched where a document
+has them as a sentence or line of its own, word for word; an item without words is never matched; very long texts are read whole;
+repeated document rows count once, as do a document's repeats of a window; rows without id are left out; places that are tied decide
+nothing; empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +33,8 @@ from pyspark.sql import functions as F
 
 from winlens.llm.common import materialize, table
 
-WORDS, LITERALS = 6, 4
+WORDS, POSTED = 6, 2
+LITERALS, EVIDENCE = 4, 0.4
 #: A document carries an item from so many of its windows (all, if it has fewer) and this share of them.
 LEAST_WINDOWS, LEAST_SHARE = 3, 0.25
 #: Leading bits of a hash that number its bit in the map (16 MB); with more items more windows pass the map, and the join drops these.
@@ -64,10 +69,11 @@ class Canon:
     """Template words of texts."""
 
     def __init__(self):
-        self.known: dict[str, tuple[int, int]] = {}
+        self.known: dict[str, int] = {}
+        self.hashes, self.flags = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.int8)
 
-    def word(self, w: str) -> tuple[int, int]:
-        """(hash of the literal, flags: 1 number, 2 unit word, 4 may be a name, 8 number and unit, 16 ends a sentence)."""
+    def word(self, w: str) -> int:
+        """A number, from 1, for the word, under which hashes has that of its literal, and flags: 1 number, 2 unit word, 4 may be a name, 8 number and unit, 16 ends a sentence."""
         bare = w.strip(EDGE)
         low = bare.lower()
         flags = 16 if w[-1] in ".!?:" or w[-1] in EDGE and set(w[len(w.rstrip(EDGE)) :]) & set(".!?") else 0
@@ -79,25 +85,27 @@ class Canon:
             flags |= 4
         elif bare[:1] in "+-$€£0123456789" and bare and NUMBER_UNIT.fullmatch(low):
             flags |= 8
-        found = xxhash.xxh3_64_intdigest(low or w), flags
-        if len(self.known) >= CACHED_WORDS:
-            self.known.clear()
-        self.known[w] = found
-        return found
-
-    def template(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """Words, their own hashes, their template hashes, their types."""
+        at = self.known[w] = len(self.known) + 1
+        if at == len(self.flags):
+            self.hashes, self.flags = np.resize(self.hashes, 2 * at), np.resize(self.flags, 2 * at)
+        self.hashes[at], self.flags[at] = xxhash.xxh3_64_intdigest(low or w), flags
+        return at
+
+    def template(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Words, their own hashes, their template hashes, their types, and for each place (and the end) whether a sentence or line begins there."""
         words, starts = [], []
         for line in text.split("\n"):
             starts.append(len(words))
             words += line.split()
         if not words:
-            return words, np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int8)
+            return words, np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int8), np.ones(1, bool)
+        if len(self.known) > CACHED_WORDS:
+            self.known.clear()
         get, word = self.known.get, self.word
-        both = np.array([get(w) or word(w) for w in words], np.uint64)
-        hashes, flags = both[:, 0].copy(), both[:, 1].astype(np.int64)
+        at = np.array([get(w) or word(w) for w in words])
+        own, flags = self.hashes[at], self.flags[at]
         opens = np.zeros(len(words) + 1, bool)
-        opens[[s for s in starts if s < len(words)]] = True
+        opens[[*starts, len(words)]] = True
         opens[1:] |= flags & 16 > 0
         kinds = np.zeros(len(words), np.int8)
         kinds[flags & 1 > 0] = NUM
@@ -106,28 +114,33 @@ class Canon:
         kinds[(flags & 2 > 0) & after] = UNIT
         kinds[(flags & 4 > 0) & ~opens[:-1]] = NAMED
         kinds[flags & 8 > 0] = GLUED
+        hashes = own.copy()
         hashes[kinds > 0] = _TYPED[kinds[kinds > 0]]
-        return words, both[:, 0], hashes, kinds
-
-    def windows(self, text: str, lengths: list[int] | None, exact: list[int]) -> tuple[list[str], np.ndarray, list[tuple[int, bool, np.ndarray, np.ndarray]]]:
-        """Words, types, and (length, exact, places, hashes) of windows with enough real words and of all windows of words as they are.
+        return words, own, hashes, kinds, opens
 
-        lengths None: WORDS, or all words of a shorter text, and as they are if no window has enough real words."""
-        words, own, hashes, kinds = self.template(text)
+    def windows(self, text: str, lengths: list[tuple[int, bool]] | None) -> tuple[list[str], np.ndarray, list[tuple[int, bool, np.ndarray, np.ndarray]]]:
+        """Words, types, and (length, exact, places, hashes) of windows: of an item (lengths None) each place once, of a document those of the given
+        (length, exact), where exact ones under WORDS stand alone as a sentence or line."""
+        words, own, hashes, kinds, opens = self.template(text)
         literal = np.concatenate([[0], np.cumsum(kinds == LITERAL)])
-
-        def real(n: int) -> tuple[int, bool, np.ndarray, np.ndarray]:
-            at = np.flatnonzero(literal[n:] - literal[: len(words) - n + 1] >= min(n, LITERALS))
-            return n, False, at, mixed(hashes, n, n)[at]
-
-        def plain(n: int) -> tuple[int, bool, np.ndarray, np.ndarray]:
-            return n, True, np.arange(len(words) - n + 1), mixed(own, n, n + EXACT)
-
-        if lengths is None:
-            n = min(WORDS, len(words))
-            found = real(n) if n else None
-            return words, kinds, [] if found is None else [found if len(found[2]) else plain(n)]
-        return words, kinds, [real(n) for n in lengths if len(words) >= n] + [plain(n) for n in exact if len(words) >= n]
+        real = lambda n: literal[n:] - literal[: len(words) - n + 1] >= POSTED
+        n = min(WORDS, len(words))
+        if lengths is None and 0 < n < WORDS:
+            return words, kinds, [(n, True, np.zeros(1, np.int64), mixed(own, n, n + EXACT))]
+        found = []
+        for n, exact in ([(WORDS, False), (WORDS, True)] if lengths is None else lengths):
+            if len(words) < n or not n:
+                continue
+            at = np.arange(len(words) - n + 1)
+            if not exact:
+                at = at[real(n)]
+            elif n < WORDS:
+                at = at[opens[: len(words) - n + 1] & opens[n:]]
+            elif lengths is None:
+                at = at[~real(n)]
+            if len(at):
+                found.append((n, exact, at, mixed(own if exact else hashes, n, n + EXACT * exact)[at]))
+        return words, kinds, found
 
 
 def mixed(hashes: np.ndarray, n: int, seed: int) -> np.ndarray:
@@ -148,7 +161,7 @@ _SLOTS = pa.list_(pa.struct([("kind", pa.int32()), ("at", pa.int32()), ("value",
 _WINDOWS = "id long, n int, exact boolean, at int, hash long, slots array<struct<kind:int,at:int,value:string>>"
 
 
-def all_windows(rows: DataFrame, lengths: list[int] | None, exact: list[int], sift=None) -> DataFrame:
+def all_windows(rows: DataFrame, lengths: list[tuple[int, bool]] | None, sift=None) -> DataFrame:
     """rows(id, text) to windows of Canon; sift: a broadcast bit map of the hashes to keep."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +170,7 @@ def all_windows(rows: DataFrame, lengths: list[int] | None, exact: list[int], si
         for b in batches:
             out: list[list] = [[], [], [], [], [], []]
             for row_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words, kinds, found = canon.windows(text, lengths, exact)
+                words, kinds, found = canon.windows(text, lengths)
                 for n, as_is, at, hashes in found:
                     if wanted is not None:
                         hit = marked(wanted, hashes)
@@ -215,15 +228,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """(doc_id, item_id, n_windows matched, item_windows, coverage, reparameterised) of each document that carries an item."""
     spark = docs.sparkSession
     rows = lambda df, i, t: df.filter(F.col(i).isNotNull()).select(F.col(i).cast("long").alias("id"), F.coalesce(F.col(t), F.lit("")).alias("text"))
-    items = materialize(all_windows(rows(benchmark, item_col, item_text), None, []), "bench-windows")
-    kinds = items.select("n", "exact").distinct().collect()
-    lengths, exact = (sorted(r["n"] for r in kinds if r["exact"] == e) for e in (False, True))  # 1 to WORDS
+    items = materialize(all_windows(rows(benchmark, item_col, item_text), None), "bench-windows")
+    lengths = sorted((r["n"], r["exact"]) for r in items.select("n", "exact").distinct().collect())  # at most WORDS + 1
     sift = spark.sparkContext.broadcast(sieve(items, sieve_bits))
-    found = all_windows(rows(docs, id_col, text_col), lengths, exact, sift)
-    item = items.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "n", "hash", F.col("slots").alias("item_slots"))
+    found = all_windows(rows(docs, id_col, text_col), lengths, sift)
+    item = items.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "n", "exact", "hash", F.col("slots").alias("item_slots"))
     totals = items.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("at").alias("item_windows"))
-    pairs = found.withColumnRenamed("id", "doc_id").join(item, ["hash", "n"])
-    pairs = pairs.select("doc_id", "item_id", "at", "item_at", (F.col("at") - F.col("item_at")).alias("diagonal"), "slots", "item_slots").distinct()
+    pairs = found.withColumnRenamed("id", "doc_id").join(item, ["hash", "n", "exact"])
+    pairs = pairs.select("doc_id", "item_id", "n", "at", "item_at", (F.col("at") - F.col("item_at")).alias("diagonal"), "slots", "item_slots").distinct()
     pairs = materialize(pairs, "leak-pairs")
 
     # names and units on one diagonal
@@ -239,7 +251,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     changed = F.exists("values", lambda v: v["doc_value"] != v["item_value"])
     stray = F.exists(bound, lambda v: (v["doc_value"] != v["item_value"]) & ~F.array_contains(F.coalesce("voted", F.array()), pair(v)))
     kept = pairs.join(voted, on, "left").filter(~stray).withColumn("changed", changed)
-    leaks = kept.groupBy("doc_id", "item_id").agg(F.countDistinct("item_at").alias("n_windows"), F.max("changed").alias("reparameterised")).join(totals, "item_id")
+    covered = F.sequence("item_at", F.col("item_at") + F.col("n") - 1)
+    other = F.transform(F.filter("values", lambda v: v["doc_value"] != v["item_value"]), lambda v: v["at"] - F.col("diagonal"))
+    all_of = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))  # noqa: E731  a passage has at most as many windows as its item
+    kept = kept.withColumns({"covered": covered, "same": F.array_except(covered, other)})
+    passages = kept.groupBy(*on).agg(all_of("covered").alias("n_covered"), all_of("same").alias("n_same"), F.collect_set("item_at").alias("found"), F.max("changed").alias("changed"))
+    passages = passages.filter((F.col("n_same") >= F.least(F.lit(LITERALS), F.col("n_covered"))) & (F.col("n_same") >= EVIDENCE * F.col("n_covered")))
+    leaks = passages.select("doc_id", "item_id", "changed", F.explode("found").alias("item_at"))
+    leaks = leaks.groupBy("doc_id", "item_id").agg(F.countDistinct("item_at").alias("n_windows"), F.max("changed").alias("reparameterised")).join(totals, "item_id")
     leaks = leaks.withColumn("coverage", F.col("n_windows") / F.col("item_windows"))
     enough = (F.col("n_windows") >= F.least(F.lit(LEAST_WINDOWS), F.col("item_windows"))) & (F.col("coverage") >= LEAST_SHARE)
     return leaks.filter(enough).select("doc_id", "item_id", "n_windows", "item_windows", "coverage", "reparameterised")
