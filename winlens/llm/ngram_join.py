@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winlens.llm.common import materialize, table, text_rows
-from winlens.llm.near_dedup import Shingler, components, confirmed
+from winlens.llm.near_dedup import Shingler, components, confirmed, shingle_sets
 
 SAMPLE = 8
 BLOCK, FAN = 256, 8
@@ -48,12 +48,12 @@ def spare(size: int, threshold: int) -> tuple[int, int]:
 
 
 def sketch(words: int, threshold: int):
-    """(doc_id, text) to doc_id, n_shingles, two digests of the set, sampled shingles, thin ones, and how many of these come first enough for D."""
+    """(doc_id, text) to doc_id, n_shingles, two digests of the set, sampled shingles, thin ones, how many of these come first enough for D, bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for b in batches:
-            sizes, highs, lows, sampled, thin, index = [], [], [], [], [], []
+            sizes, highs, lows, sampled, thin, index, maps = [], [], [], [], [], [], []
             for text in b.column(1).to_pylist():
                 s = shingler.shingles(text)
                 digest = xxhash.xxh3_128_digest(s.tobytes())
@@ -66,10 +66,11 @@ def sketch(words: int, threshold: int):
                 sampled.append(some.view(np.int64))
                 thin.append(first.view(np.int64))
                 index.append(d + 1 if len(some) <= d else 0)
+                maps.append(bitmap(s).tobytes())
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(sizes, pa.int64()), pa.array(highs, pa.int64()), pa.array(lows, pa.int64()), pa.array(sampled, longs), pa.array(thin, longs), pa.array(index, pa.int64())],
-                ["doc_id", "n_shingles", "high", "low", "sampled", "thin", "thin_index"])
+                [b.column(0), pa.array(sizes, pa.int64()), pa.array(highs, pa.int64()), pa.array(lows, pa.int64()), pa.array(sampled, longs), pa.array(thin, longs), pa.array(index, pa.int64()), pa.array(maps, pa.binary())],
+                ["doc_id", "n_shingles", "high", "low", "sampled", "thin", "thin_index", "bitmap"])
 
     return run
 
@@ -82,18 +83,6 @@ def bitmap(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(flags, bitorder="little").view(np.uint64)
 
 
-def full_sets(words: int):
-    """(doc_id, text) to node, its full set as bytes of sorted hashes, its bitmap."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words)
-        for b in batches:
-            sets = [shingler.shingles(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary())], ["node", "shingles", "bitmap"])
-
-    return run
-
-
 class Tree:
     """Levels of nodes over leaves sorted by size; a node spans FAN of the level below."""
 
@@ -238,26 +227,25 @@ def walk_trees(threshold: int, forest: bool):
     return run
 
 
-def roots(nodes: DataFrame, threshold: int) -> DataFrame:
-    """nodes(node, low, size, sampled, thin, thin_index) to the trees' members (root, node, size, n): n members in all, two at least."""
+def roots(nodes: DataFrame, key: list[str], threshold: int) -> DataFrame:
+    """nodes(key, size, sampled, thin, thin_index) to the trees' members (root, key, size, n): n members in all, two at least."""
     spare_any, spare_index = F.expr(f"{100 - threshold} * size div 100"), F.expr(f"{100 - threshold} * size div {100 + threshold}")
-    postings = nodes.select("node", "low", "size", F.size("sampled").alias("some"), F.explode("sampled").alias("root"))
+    postings = nodes.select(*key, F.explode("sampled").alias("root"))
     shared = postings.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1")
-    own = postings.join(shared, "root").groupBy("node", "low").agg(F.first("size").alias("size"), F.first("some").alias("some"), F.sort_array(F.collect_set(F.struct("n", "root"))).alias("own"))
-    alone = F.col("some") - F.size("own")
-    own = own.withColumn("alone", alone).filter(F.col("alone") <= spare_any)
-    prefix = own.withColumn("head", F.slice("own", F.lit(1), (spare_any - F.col("alone") + 1).cast("int"))).select("node", "size", "alone", F.posexplode("head").alias("at", "x"))
-    prefix = prefix.select("x.root", "node", "size", (F.col("alone") + F.col("at") <= spare_index).alias("index"))
-    thin = nodes.filter("size(thin) > 0").select("node", "size", "thin_index", F.posexplode("thin").alias("at", "root")).select("root", "node", "size", (F.col("at") < F.col("thin_index")).alias("index"))
+    own = postings.join(shared, "root").groupBy(*key).agg(F.sort_array(F.collect_set(F.struct("n", "root"))).alias("own"))
+    own = own.join(nodes.select(*key, "size", F.size("sampled").alias("some")), key).withColumn("alone", F.col("some") - F.size("own")).filter(F.col("alone") <= spare_any)
+    prefix = own.withColumn("head", F.slice("own", F.lit(1), F.greatest(F.lit(0), spare_any - F.col("alone") + 1).cast("int"))).select(*key, "size", "alone", F.posexplode("head").alias("at", "x"))
+    prefix = prefix.select("x.root", *key, "size", (F.col("alone") + F.col("at") <= spare_index).alias("index"))
+    thin = nodes.filter("size(thin) > 0").select(*key, "size", "thin_index", F.posexplode("thin").alias("at", "root")).select("root", *key, "size", (F.col("at") < F.col("thin_index")).alias("index"))
     prefix = materialize(prefix.unionByName(thin), "roots")
-    lists = prefix.groupBy("root").agg(F.count("*").alias("n"), F.bool_or("index").alias("index"), F.bit_xor(F.xxhash64("node", "size")).alias("x"), F.bit_xor(F.xxhash64("size", "node")).alias("y")).filter("n > 1 and index")
+    lists = prefix.groupBy("root").agg(F.count("*").alias("n"), F.bool_or("index").alias("index"), F.bit_xor(F.xxhash64(*key, "size")).alias("x"), F.bit_xor(F.xxhash64("size", *key)).alias("y")).filter("n > 1 and index")
     trees = lists.groupBy("n", "x", "y").agg(F.min("root").alias("root")).select("root", "n")
-    return materialize(prefix.join(trees, "root").select("root", "node", "size", "n"), "members")
+    return materialize(prefix.join(trees, "root").select("root", *key, "size", "n"), "members")
 
 
-def grown(members: DataFrame, sets: DataFrame, threshold: int, forest: bool) -> DataFrame:
-    """members(root, node, size, n, component) to candidate pairs (a, b)."""
-    rows = members.join(sets.select("node", "bitmap"), "node")
+def grown(members: DataFrame, bitmaps: DataFrame, key: list[str], threshold: int, forest: bool) -> DataFrame:
+    """members(root, key, size, n, component) to candidate pairs (a, b) of nodes."""
+    rows = bitmaps.join(members, key)
     blocks, own = F.ceil(F.col("n") / BLOCK).cast("int"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("own", own)
     if forest:
@@ -270,25 +258,33 @@ def grown(members: DataFrame, sets: DataFrame, threshold: int, forest: bool) ->
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(walk_trees(threshold, forest), "a long, b long").distinct()
 
 
+def confirmed_pairs(pairs: DataFrame, texts: DataFrame, words: int, threshold: int, name: str) -> DataFrame:
+    """The pairs that are links. Full sets are made of the texts in pairs alone."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = materialize(texts.join(ids, "doc_id", "left_semi").mapInArrow(shingle_sets(words), "node long, shingles binary").distinct(), f"{name}-sets")
+    return confirmed(pairs, sets, threshold, name)
+
+
 def join_components(docs: DataFrame, words: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every row; links have a Jaccard similarity of threshold percent (over 50) or more."""
     texts = text_rows(docs, id_col, text_col)
-    rows = materialize(texts.mapInArrow(sketch(words, threshold), "doc_id long, n_shingles long, high long, low long, sampled array<long>, thin array<long>, thin_index long"), "join-sketches")
+    rows = materialize(texts.mapInArrow(sketch(words, threshold), "doc_id long, n_shingles long, high long, low long, sampled array<long>, thin array<long>, thin_index long, bitmap binary"), "join-sketches")
     full = rows.filter("n_shingles > 0 and doc_id is not null")
     groups = materialize(full.groupBy("high", "low").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "join-groups")
-    first = groups.select(F.col("node").alias("doc_id"), "high", "low")
-    nodes = full.join(first, ["doc_id", "high", "low"], "left_semi").select(F.col("doc_id").alias("node"), "low", F.col("n_shingles").alias("size"), "sampled", "thin", "thin_index")
-    members = roots(nodes, threshold)
-    wanted = members.select(F.col("node").alias("doc_id")).distinct()
-    sets = materialize(texts.join(wanted, "doc_id", "left_semi").mapInArrow(full_sets(words), "node long, shingles binary, bitmap binary").distinct(), "join-sets")
-    tried = materialize(grown(members.withColumn("component", F.col("node")), sets, threshold, True), "join-pairs")
-    links = confirmed(tried, sets, threshold, "join-links")
+    # a node is its first id, and its digest too where ids stand for several sets
+    key = ["node", "low"] if groups.groupBy("node").count().filter("count > 1").limit(1).count() else ["node"]
+    nodes = full.withColumnRenamed("doc_id", "node").withColumnRenamed("n_shingles", "size").join(groups.select(*key), key, "left_semi")
+    members = roots(nodes.select(*key, "size", "sampled", "thin", "thin_index"), key, threshold)
+    bitmaps = nodes.select(*key, "bitmap").join(members.select(*key).distinct(), key, "left_semi")
+    tried = materialize(grown(members.withColumn("component", F.col("node")), bitmaps, key, threshold, True), "join-pairs")
+    links = confirmed_pairs(tried, texts, words, threshold, "join-links")
     labels = components(links)
 
     placed = members.filter("n > 2").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     still = placed.groupBy("root").agg((F.min("component") < F.max("component")).alias("open")).filter("open").select("root")
-    rest = grown(placed.join(still, "root", "left_semi").select("root", "node", "size", "n", "component"), sets, threshold, False)
-    more = confirmed(materialize(rest.join(tried, ["a", "b"], "left_anti"), "join-rest"), sets, threshold, "join-more")
+    rest = grown(placed.join(still, "root", "left_semi").select("root", *key, "size", "n", "component"), bitmaps, key, threshold, False)
+    rest = materialize(rest.join(tried, ["a", "b"], "left_anti"), "join-rest")
+    more = confirmed_pairs(rest, texts, words, threshold, "join-more")
     if more.limit(1).count():
         labels = components(links.unionByName(more))
 
