@@ -296,6 +296,16 @@ def test_pipeline_against_brute_force(spark):
     assert all(r["decoded_sha256"] == hashlib.sha256(rows[r["doc_id"]].encode()).hexdigest() and r["n_tokens"] == len(r["ids"]) for r in got)
 
 
+def test_pipeline_keeps_columns_that_clash(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").selectExpr("*", "-5.0 AS score", "doc_id AS _c0", "1 AS _", "'x' AS kept")
+    out = corpus_pipeline.keep_quality(spark, docs, DATA)
+    assert out.columns == docs.columns
+    rows = out.select("score", "_c0", "doc_id", "kept").distinct().collect()
+    assert rows and all((float(r["score"]), r["_c0"], r["kept"]) == (-5.0, r["doc_id"], "x") for r in rows)
+    for stage in (corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies, corpus_pipeline.drop_leaks):
+        assert stage(spark, docs, DATA).columns == docs.columns
+
+
 def test_pipeline_of_odd_tables(spark, empty, tmp_path):
     whole = spark.read.parquet(f"{DATA}/documents.parquet")
     labels, items = spark.read.parquet(f"{DATA}/labels.parquet"), spark.read.parquet(f"{DATA}/benchmark.parquet")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winlens.llm.common import fold, materialize, table, text_rows
+from winlens.llm.common import fold, materialize, small_batches, table, text_rows
 
 BUCKETS = 1 << 17
 MAX_TRAIN, TRAIN_TASKS, ROUNDS, PASSES = 20_000, 6, 3, 2
@@ -100,9 +100,11 @@ def trainer(start, seed: int):
     """applyInArrow function: one task's rows, from the weights in the broadcast start."""
 
     def train(batch):
-        rows = batch.sort_by("doc_id").to_pylist()
+        view = lambda column, kind: [np.frombuffer(v.as_buffer(), kind) for chunk in batch.column(column).chunks for v in chunk]  # noqa: E731  no copies
+        slots, values, labels = view("slots", np.int32), view("values", np.float32), batch.column("label").to_pylist()
+        rows = [(slots[i], values[i], labels[i]) for i in np.argsort(batch.column("doc_id").to_numpy(), kind="stable").tolist()]
         z, n = (x.copy() for x in start.value)
-        ftrl([(np.frombuffer(r["slots"], np.int32).astype(np.int64), np.frombuffer(r["values"], np.float32), r["label"]) for r in rows], z, n, PASSES, seed)
+        ftrl(rows, z, n, PASSES, seed)
         return pa.table({"n": [len(rows)], "model": pa.array([np.stack([z, n]).astype(np.float32).tobytes()], pa.binary())})
 
     return train
@@ -133,8 +135,9 @@ def fit(labelled: DataFrame) -> np.ndarray:
     return weights(*state)
 
 
-def score(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, score and carry for every row."""
+def score(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), into: str = "score") -> DataFrame:
+    """doc_id, the score (in column `into`) and carry for every row."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = text_rows(docs, id_col, text_col) if not carry else docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)))
 
@@ -148,7 +151,7 @@ def score(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), *b.columns[2:]], ["doc_id", "score", *b.schema.names[2:]])
 
     extra = "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.schema[2:])
-    return rows.mapInArrow(run, f"doc_id long, score double{extra}").select("doc_id", "score", *(F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)))
+    return rows.mapInArrow(run, f"doc_id long, score double{extra}").select("doc_id", F.col("score").alias(into), *(F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)))
 
 
 def train_on(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> np.ndarray:
