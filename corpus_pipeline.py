@@ -23,8 +23,9 @@ from winlens.llm.common import materialize, table
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is 0.7 or more; the classifier learns from labelled ones among docs."""
     model = quality.train_on(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score(docs, model, carry=tuple(c for c in docs.columns if c not in ("doc_id", "score")))
-    return scored.filter(F.col("score") >= quality.KEEP_FROM).select(docs.columns)
+    own = "_" * (1 + max(map(len, docs.columns)))  # no column of docs has this name
+    scored = quality.score(docs, model, carry=tuple(c for c in docs.columns if c != "doc_id"), into=own)
+    return scored.filter(F.col(own) >= quality.KEEP_FROM).select(docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
