@@ -70,6 +70,25 @@ def test_bootstrap(spark, seed):
     assert got == plain_bootstrap(mentions) and got[0]
 
 
+def test_planted_identifiers_by_kind(spark):
+    """Recall and precision of identifiers that no base form has, in contexts taught by base ones; and groups of digits of any length, whole."""
+    form = {"phone": "please call my number {} now", "email": "write to the mailbox {} any time", "ip": "the server answers at host {} behind it", "card": "she paid with plastic {} at once"}
+    cards = ["4111111111111111", "5500005555555559", "340000000000009", "30000000000004", "6011000000000004", "4012888888881881", "5105105105105100", "378282246310005"]
+    seed = {"phone": lambda i: f"+1 (234) 555-{i:04d}", "email": lambda i: f"user{i}@mail.example.org", "ip": lambda i: f"10.0.{i}.7", "card": lambda i: cards[i % len(cards)]}
+    hidden = {"phone": ["555 12 34", "1 2", "0049-171-55", ("1234567890 " * 9).strip()], "email": ["anna(at)web.example", "berta_AT_web", "carl[at]mail"], "ip": ["fe80::17", "myhost.local", "2001:db8::5"], "card": ["41111111111x", "XXXX-4242", "4111"]}
+    rows, want = [], {}
+    for k, kind in enumerate(form):
+        rows += [(1000 * k + i, f"{form[kind].format(seed[kind](i))} and word{i}") for i in range(60)]
+        for j, x in enumerate(hidden[kind]):
+            rows.append((1000 * k + 500 + j, form[kind].format(x)))
+            at = form[kind].index("{}")
+            want[1000 * k + 500 + j] = f"{kind}:{at}:{at + len(x)}"
+    rows += [(9000 + i, f"chapter {i} has 12 34 pages and a note(at)the end of item {i}") for i in range(40)]
+    got = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(spark.createDataFrame(rows, DOCS)).filter("n_added > 0").collect()}
+    recall = {kind: sum(got.get(d) == w for d, w in want.items() if w.startswith(kind)) / len(hidden[kind]) for kind in form}
+    assert set(got) <= set(want) and min(recall.values()) == 1, (recall, got)
+
+
 def test_contexts_of_any_length(spark):
     long = "w" * 90
     number = "9" * 70

@@ -6,8 +6,8 @@ with digits and groups of digits joined by blanks and marks, each with the lexic
 `=` or `:` (P). Base entities and hexadecimal strings are seeds. Patterns and instances form a graph that Spark
 scores in rounds: a pattern's confidence in a kind is the mean score of its instances, if enough different seeds or accepted
 instances of the kind stand in it; an unknown instance scores the noisy-or of its confident patterns. Rounds end when no
-score rises. Then all other tokens (without digits, short or long) that stand where a confident pattern holds, or were
-accepted, join the graph, and rounds begin anew, until every confident pattern has been looked up so. These tokens are judged
+score rises. Then all other tokens (without digits, short or long) and groups of digits of any length that stand where a confident
+pattern holds, or were accepted, join the graph (tasks sift them by a bit map of one size, and joins tell which are meant), and rounds begin anew, until every confident pattern has been looked up so. These tokens are judged
 by the confidence over all instances of a pattern, tokens with digits by that over tokens with digits. Unknown instances with
 a high score, at places where a confident pattern holds, are added to the base spans, the longest where they overlap. So are
 hexadecimal strings where a confident pattern of secrets holds; elsewhere (a checksum in plain text) they are left alone.
@@ -26,11 +26,14 @@ from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from itertools import accumulate, islice, takewhile
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winlens.llm.common import materialize, table, text_rows
+from winlens.llm.decontamination import sieve
 
 #: Kinds of base entities, and secrets after them.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -40,11 +43,13 @@ SECRET = len(BASE_KINDS)
 #: Scores that rise by no more are the same.
 MIN_SEEDS, CONFIDENT, ACCEPT = 5, 0.8, 0.9
 SAME = 1e-6
-#: Tokens with digits of other lengths are candidates only where a confident pattern holds.
+#: Tokens with digits, and groups of digits, of other lengths are looked at only where a confident pattern holds; those found there are whole.
 TOKEN_CHARS = (5, 64)
 LONG = 64
 #: Up to so many words before instances are searched for in a text before all of its tokens are looked at.
 PROBED = 100
+#: Bits of the map of what is looked for (16 MB, whatever there is), and answers that a task remembers.
+MAP_BITS, REMEMBERED = 27, 50_000
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -122,7 +127,7 @@ def other_tokens(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int
             end -= 1
         while k < len(taken) and taken[k][1] <= start:
             k += 1
-        if TOKEN_CHARS[0] <= end - start <= TOKEN_CHARS[1] and not any(s < end and e > start for s, e in taken[k : k + 8]):
+        if usual(start, end) and not any(s < end and e > start for s, e in taken[k : k + 8]):
             found.append((start, end))
     return found
 
@@ -138,9 +143,18 @@ def overlaps(spans: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list
     return out
 
 
+def usual(start: int, end: int) -> bool:
+    return TOKEN_CHARS[0] <= end - start <= TOKEN_CHARS[1]
+
+
+def groups_of(text: str) -> list[tuple[int, int]]:
+    """Spans of two or more groups of digits, joined by blanks, dots, brackets or dashes, that hold a blank or bracket."""
+    return [m.span() for m in _GROUPS.finditer(text) if " " in m[0] or "(" in m[0]]
+
+
 def digit_groups(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Spans of two or more groups of digits, joined by blanks, dots, brackets or dashes, that hold a blank or bracket and touch none of the taken spans."""
-    found = [m.span() for m in _GROUPS.finditer(text) if TOKEN_CHARS[0] <= m.end() - m.start() <= TOKEN_CHARS[1] and any(c in m[0] for c in " (")]
+    """groups_of usual length that touch none of the taken spans."""
+    found = [x for x in groups_of(text) if usual(*x)]
     return [x for x, hit in zip(found, overlaps(found, sorted((s, e) for s, _, e in taken)), strict=True) if not hit]
 
 
@@ -178,40 +192,58 @@ class Context:
         return found
 
 
-def head(pattern: str) -> str | None:
-    """The word that stands directly before the instances of a pattern."""
-    words = pattern[2:].split(" ")
-    return None if pattern[0] == "P" else words[0] if pattern[0] == "M" else words[-1]
+class Wanted:
+    """What is looked for, as a bit map of hashes of one size: patterns, words before instances, and instances, told apart by a letter.
+
+    A hit may be another key with the same bit; what is found is joined with the tables themselves afterwards. few: all words before
+    instances, with the marks of P patterns, if they are few and no instance is looked for by itself.
+    """
 
+    def __init__(self, bits: np.ndarray, few: list[str] | None):
+        self.bits, self.few = bits, few
+        self.known: dict[str, bool] = {}
 
-def probe(wanted: tuple[frozenset, frozenset, frozenset]) -> Callable[[str], bool]:
-    """Whether a text can have rare tokens at all: it has none unless it holds what stands before instances. Saves time alone."""
-    holds, heads, instances = wanted
-    parts = [*heads, *(p[2:] for p in holds if p[0] == "P")]
-    if instances or len(parts) > PROBED or any(c in p for p in parts for c in "\0\u03c3\u03c2"):  # digests, and letters whose lower case depends on their neighbours
-        return lambda text: True
-    zeros = str.maketrans("123456789", "0" * 9)
-    found = re.compile("|".join(map(re.escape, parts)) or r"(?!)").search
-    return lambda text: found(text.lower().translate(zeros)) is not None
+    def has(self, key: str) -> bool:
+        found = self.known.get(key)
+        if found is None:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            at = xxhash.xxh64_intdigest(key.encode("utf-8", "replace"), 42) >> 64 - MAP_BITS
+            found = self.known[key] = bool(self.bits[at >> 3] >> (at & 7) & 1)
+        return found
 
+    def probe(self) -> Callable[[str], bool]:
+        """Whether a text can have rare tokens at all: it has none unless it holds what stands before instances. Saves time alone."""
+        if self.few is None or any(c in p for p in self.few for c in "\0\u03c3\u03c2"):  # digests, and letters whose lower case depends on their neighbours
+            return lambda text: True
+        zeros = str.maketrans("123456789", "0" * 9)
+        found = re.compile("|".join(map(re.escape, self.few)) or r"(?!)").search
+        return lambda text: found(text.lower().translate(zeros)) is not None
 
-def rare_tokens(text: str, mentions: list[dict], wanted: tuple[frozenset, frozenset, frozenset]) -> list[tuple[int, int]]:
-    """Spans of tokens that touch no mention of a base entity and are no mention, but stand where a wanted pattern holds or are wanted."""
-    holds, heads, instances = wanted
+
+def rare_tokens(text: str, mentions: list[dict], wanted: Wanted) -> list[tuple[int, int]]:
+    """Spans of tokens, and of digit groups of unusual length, that touch no mention of a base entity and are no mention, but stand where a wanted pattern holds or are wanted."""
     known = {(m["start"], m["end"]) for m in mentions}
     context = Context(text)
-    found, prior = [], ""
+    found, prior, has = [], "", wanted.has
+
+    def look(span: tuple[int, int], bare: str) -> None:
+        if span not in known and (has("i" + bare) or any(has("p" + p) for p in context.patterns(*span))):
+            found.append(span)
+
     for m in _TOKEN.finditer(text):
         word = m[0]
         bare = word.strip(_EDGE)
         lead = word[: len(word) - len(word.lstrip(_EDGE))]
         before, prior = plain(lead) if lead else prior, plain(word)
-        if bare and (before in heads or "=" in bare or ":" in bare or bare.lower() in instances):
+        if bare and (has("h" + before) or "=" in bare or ":" in bare or has("i" + bare.lower())):
             start = m.start() + len(lead)
-            span = (start, start + len(bare))
-            if span not in known and (bare.lower() in instances or not holds.isdisjoint(context.patterns(*span))):
-                found.append(span)
+            look((start, start + len(bare)), bare.lower())
+    for start, end in groups_of(text):
+        if not usual(start, end):
+            look((start, end), text[start:end].lower())
     taken = sorted((m["start"], m["end"]) for m in mentions if m["kind"] is not None)
+    found = sorted(set(found))
     return [x for x, hit in zip(found, overlaps(found, taken), strict=True) if not hit]
 
 
@@ -252,9 +284,10 @@ def look_up(wanted) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
     """(row, text, mentions) to row and the mentions of rare_tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        may = probe(wanted.value)
+        own = Wanted(*wanted.value)
+        may = own.probe()
         for b in batches:
-            out = [[mention(c, None, s, e, True) for c in [Context(t)] for s, e in rare_tokens(t, m, wanted.value)] if may(t) else [] for t, m in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            out = [[mention(c, None, s, e, True) for c in [Context(t)] for s, e in rare_tokens(t, m, own)] if may(t) else [] for t, m in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(_MENTION))], ["row", "mentions"])
 
     return run
@@ -294,18 +327,16 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = text_rows(docs, id_col, text_col).mapInArrow(extract, f"doc_id long, {fields}, base_sha256 string, base string, text string, mentions {_FOUND}")
     found = materialize(found.withColumn("row", F.monotonically_increasing_id()), "pii-found")
     flat = lambda df: df.filter(F.size("mentions") > 0).select("row", F.explode("mentions").alias("m")).select("row", "m.*").withColumn("pattern", F.explode("patterns"))
-    each, looked = flat(found), (frozenset(), frozenset())
+    each, looked = flat(found), None
     while True:
         confident, accepted = bootstrap(each.select("kind", "instance", "pattern", "rare"))
-        rare = each.filter("rare").join(accepted, "instance", "left_semi").select("instance").distinct()
-        now = tuple(frozenset(r[0] for r in df.toLocalIterator()) for df in (confident.select("pattern").distinct(), rare))
-        if all(a <= b for a, b in zip(now, looked, strict=True)):
+        rare = each.filter("rare").join(accepted, "instance", "left_semi").select(F.lit("i").alias("what"), F.col("instance").alias("key"))
+        now = confident.select(F.lit("p").alias("what"), F.col("pattern").alias("key")).unionByName(rare).distinct()
+        fresh = materialize(now if looked is None else now.join(looked, ["what", "key"], "left_anti"), "pii-fresh")
+        if not fresh.limit(1).count():
             break
-        looked = tuple(a | b for a, b in zip(now, looked, strict=True))
-        heads = frozenset(map(head, looked[0])) - {None}
-        wanted = docs.sparkSession.sparkContext.broadcast((looked[0], heads, looked[1]))
-        rows = found.select("row", "text", "mentions").mapInArrow(look_up(wanted), f"row long, mentions {_FOUND}")
-        each = flat(found).unionByName(materialize(flat(rows), "pii-rare"))
+        looked = materialize(fresh if looked is None else looked.unionByName(fresh), "pii-looked")
+        each = flat(found).unionByName(materialize(rare_mentions(found, flat, looked), "pii-rare"))
     added = each.filter("kind is null").drop("kind").join(accepted, "instance").join(confident, ["pattern", "kind", "rare"], "left_semi")
     secrets = each.filter(F.col("kind") == SECRET).join(confident, ["pattern", "kind", "rare"], "left_semi")
     added = added.select("row", "kind", "start", "end").union(secrets.select("row", "kind", "start", "end")).distinct().groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("added"))
@@ -314,6 +345,25 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return merged(found.join(added, "row", "left"))
 
 
+def rare_mentions(found: DataFrame, flat: Callable[[DataFrame], DataFrame], looked: DataFrame) -> DataFrame:
+    """The mentions of rare tokens of found that have a pattern among looked(what, key) or are an instance there."""
+    spark = found.sparkSession
+    text = F.when(F.col("what") == "i", F.col("key")).otherwise(F.expr("substring(key, 3)"))
+    kind = F.substring("key", 1, 1)
+    word = F.when(kind == "M", F.substring_index(text, " ", 1)).when(kind != "P", F.substring_index(text, " ", -1))
+    heads = looked.filter("what = 'p'").select(word.alias("h"), F.when(kind == "P", text).alias("mark")).distinct()
+    hashes = looked.select(F.xxhash64(F.concat("what", "key")).alias("hash")).unionByName(heads.filter("h is not null").select(F.xxhash64(F.concat(F.lit("h"), F.col("h"))).alias("hash")))
+    some = heads.limit(PROBED + 1).collect()
+    few = None if len(some) > PROBED or looked.filter("what = 'i'").limit(1).count() else [x for r in some for x in r if x is not None]
+    wanted = spark.sparkContext.broadcast((sieve(hashes, MAP_BITS), few))
+    rows = found.select("row", "text", "mentions").mapInArrow(look_up(wanted), f"row long, mentions {_FOUND}")
+    seen = materialize(flat(rows), "pii-seen")
+    place = ["row", "start", "end"]
+    by_pattern = seen.join(looked.filter("what = 'p'").select(F.col("key").alias("pattern")), "pattern", "left_semi").select(*place)
+    by_instance = seen.join(looked.filter("what = 'i'").select(F.col("key").alias("instance")), "instance", "left_semi").select(*place)
+    return seen.join(by_pattern.unionByName(by_instance).distinct(), place, "left_semi")
+
+
 def merged(rows: DataFrame) -> DataFrame:
     name: Column = F.array(*map(F.lit, KINDS))
     base = F.transform(F.filter("mentions", lambda m: m["kind"] < SECRET), lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end")))
