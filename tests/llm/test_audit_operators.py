@@ -199,3 +199,19 @@ def test_tree_bounds():
     assert {frozenset((3 * k, 3 * k + 1)) for k in range(100)} <= pairs
     both = np.array([len(np.intersect1d(sets[order[a]], sets[order[b]])) for a, b in zip(i, j, strict=True)])
     assert (both <= best).all()
+
+
+def test_chats_without_id_and_long_ones(spark):
+    from pyspark.sql import functions as F
+
+    from winlens.llm import chat_format
+
+    rng = random.Random(9)
+    long = [(1, i, rng.choice(["user", "assistant", "a:b"]), rng.choice(["x", "</turn> ### ", "\\b<part/>", "", None])) for i in range(3000)]
+    rows = long + [(None, 0, "assistant", "same")] * 5 + [(None, 1, "user", "### ")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat_format.format_chats(df).select("conv_id", chat_format.read_turns(F.col("formatted")).alias("t"), chat_format.read_loss(F.col("formatted"), F.col("loss_spans")).alias("l")).collect()
+    assert sorted((len(r["t"]), r["l"]) for r in out if r["conv_id"] is None) == [(1, "")] + [(1, "same")] * 5
+    one = next(r for r in out if r["conv_id"] == 1)
+    assert [tuple(t) for t in one["t"]] == [(role, text or "") for _, _, role, text in long]
+    assert one["l"] == "".join(text or "" for _, _, role, text in long if role == "assistant")

@@ -8,8 +8,9 @@ Control strings inside roles and texts are escaped with codes that start with a
 (\b), so that the markers above occur nowhere else and the output can be read back without loss.
 
 Defined cases: null text and null role count as empty; turns sort by (turn, role, text), a null turn first, so ties and
-repeated rows have one order; rows without conv_id form one conversation; an empty table gives an empty result; other
-columns are ignored. A conversation is one row of the output, so its turns must fit in a task.
+repeated rows have one order; a row without conv_id belongs to no other and is a conversation of its own, so such rows are never
+gathered; an empty table gives an empty result; other columns are ignored. A conversation is one row of the output, so its turns must
+fit in a task.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from winlens.llm.common import table
 #: Order matters: the backslash is escaped first and restored last.
 CODES = (("\\", "\\b"), ("</turn>", "\\e"), ("<part/>", "\\p"), ("### ", "\\h"))
 ROLE_CODE = (":", "\\c")
+#: Parts whose places are summed up by one fold. Folds append to arrays, at a cost that grows with their square.
+CHUNK = 256
 
 
 def escape(text: Column, codes=CODES) -> Column:
@@ -40,7 +43,8 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     """One row per conversation: conv_id, formatted text, loss spans (array of start, from 1, and len, in code points of it)."""
     empty = F.lit("")
     one = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), empty).alias("role"), F.coalesce(F.col(text_col), empty).alias("text"))
-    sorted_turns = turns.groupBy(F.col(conv_col).alias("conv_id")).agg(F.sort_array(F.collect_list(one)).alias("turns"))
+    named = turns.filter(F.col(conv_col).isNotNull()).groupBy(F.col(conv_col).alias("conv_id")).agg(F.sort_array(F.collect_list(one)).alias("turns"))
+    sorted_turns = named.unionByName(turns.filter(F.col(conv_col).isNull()).select(F.col(conv_col).alias("conv_id"), F.array(one).alias("turns")))
     n = F.size("turns")
     starts = sorted_turns.withColumn("starts", F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.get("turns", i - 1)["role"] != F.get("turns", i - 2)["role"])))
     block = lambda s, k: F.struct(
@@ -56,12 +60,18 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
         F.length(p).alias("len"),
         F.when(i == F.size(b["parts"]) - 1, F.lit(len("</turn>\n"))).otherwise(F.lit(0)).alias("after"),
         (b["role"] == learn_role).alias("learn")))))
-    zero = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<start:int,len:int>>").alias("spans"))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,len:int>>").alias("spans"))
     walk = lambda acc, p: F.struct(
         (acc["at"] + p["before"] + p["len"] + p["after"]).alias("at"),
         F.when(p["learn"], F.concat(acc["spans"], F.array(F.struct((acc["at"] + p["before"]).alias("start"), p["len"].alias("len"))))).otherwise(acc["spans"]).alias("spans"),
     )
-    return blocks.select("conv_id", F.array_join(full, "").alias("formatted"), F.aggregate(pieces, zero, walk)["spans"].alias("loss_spans"))
+    out = blocks.select("conv_id", F.array_join(full, "").alias("formatted"), pieces.alias("pieces"))
+    chunks = F.transform(F.sequence(F.lit(0), F.expr(f"cast((size(pieces) - 1) div {CHUNK} as int)")), lambda c: F.aggregate(F.slice("pieces", c * CHUNK + 1, F.lit(CHUNK)), zero, walk))
+    out = out.select("conv_id", "formatted", chunks.alias("chunks"))
+    begins = F.aggregate("chunks", F.array(F.lit(1)), lambda acc, c: F.concat(acc, F.array(F.element_at(acc, -1) + c["at"])))
+    out = out.select("conv_id", "formatted", "chunks", begins.alias("begins"))
+    spans = F.flatten(F.transform("chunks", lambda c, i: F.transform(c["spans"], lambda x: F.struct((x["start"] + F.get("begins", i)).alias("start"), x["len"].alias("len")))))
+    return out.select("conv_id", "formatted", spans.alias("loss_spans"))
 
 
 def read_turns(formatted: Column) -> Column:
@@ -95,17 +105,18 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ESC = "replace(replace(replace(replace({0}, '\\', '\\b'), '</turn>', '\\e'), '<part/>', '\\p'), '### ', '\\h')"
 SQL = f"""
-WITH rows_ AS (
+WITH all_ AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok'
   UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
+rows_ AS (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM all_),
 marked AS (
   SELECT *, role IS DISTINCT FROM lag(role) OVER w AS opens FROM rows_
-  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+  WINDOW w AS (PARTITION BY conv_id, alone ORDER BY turn NULLS FIRST, role, text))
 SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(length({_ESC.format('text')}) + CASE WHEN opens THEN length(replace({_ESC.format('role')}, ':', '\\c')) + 14 ELSE 7 END) AS BIGINT) AS formatted_chars
-FROM marked GROUP BY conv_id
+FROM marked GROUP BY conv_id, alone
 """
