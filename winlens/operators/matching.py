@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from winlens.operators.profile import relative_deviation, values_equal
+from winlens.sources.scratch import materialize
 
 
 def quantise(columns: list[str], digits: int = 9) -> list[Column]:
@@ -100,10 +101,48 @@ def positional(ours: DataFrame, theirs: DataFrame, keys: list[str], columns: lis
     return rows.groupBy("x.col").agg(F.count("*").alias("n"), F.count_if(~same).alias("n_differ"), F.min(F.when(~same, place)).alias("first"), F.max(F.when(same, F.coalesce(relative_deviation(F.col("x.a"), F.col("x.b")), F.lit(0.0)))).alias("worst"))
 
 
-def place_blocks(ours: DataFrame, official: DataFrame, block: str, row: str, position: str, key: list[str]) -> DataFrame:
-    """(block, at, votes): where each block starts in the official order, by vote of its rows (position - row; ties: the earliest)."""
-    votes = ours.join(official.select(*key, position), key).groupBy(block, (F.col(position) - F.col(row)).alias("at")).agg(F.count("*").alias("votes"))
-    return votes.groupBy(block).agg(F.max(F.struct("votes", (-F.col("at")).alias("neg"))).alias("x")).select(block, (-F.col("x.neg")).alias("at"), "x.votes")
+def place_blocks(ours: DataFrame, official: DataFrame, block: str, row: str, position: str, key: list[str], rare: int = 16) -> DataFrame:
+    """(block, at, votes): where each block starts in the official order, and how many of its rows stand there (ties: most votes, then the earliest).
+
+    rows are numbered from 0 in their block and positions without gaps. Rows that the official order has `rare` times at most propose
+    places. Blocks without any are looked up by chains of 2, 4, 8.. rows in a row, as these are rarer, and, once a chain is more than half of
+    the block, by the first place of each of its chains and of the whole block; a block that has none of these anywhere is not placed. Every proposed place is then judged by all rows
+    of the block. So rows that repeat often are never joined with each other, and yet count.
+    """
+    digest = F.xxhash64(*(F.col(c) for c in key))
+    mine = materialize(ours.select(F.col(block).alias("_b"), F.col(row).cast("long").alias("_i"), digest.alias("_h")), "block-rows")
+    theirs = materialize(official.select(F.col(position).cast("long").alias("_p"), digest.alias("_h")), "official-rows")
+    sizes = materialize(mine.groupBy("_b").agg(F.count("*").alias("_n")), "block-sizes")
+    chains, places, open_, length, proposals = mine, theirs, sizes, 1, None
+    while open_.limit(1).count():
+        here = chains.join(open_, "_b").filter(F.col("_i") <= F.col("_n") - length)
+        counts = places.join(here.select("_h").distinct(), "_h", "left_semi").groupBy("_h").agg(F.count("*").alias("_k"), F.min("_p").alias("_first"))
+        found = here.join(counts, "_h")
+        few = places.join(counts.filter(F.col("_k") <= rare).select("_h"), "_h", "left_semi")
+        near = found.filter(F.col("_k") <= rare).select("_b", "_i", "_h").join(few, "_h").select("_b", (F.col("_p") - F.col("_i")).alias("at"))
+        first = found.filter((F.col("_k") > rare) & (F.col("_n") < 2 * length)).select("_b", (F.col("_first") - F.col("_i")).alias("at"))
+        # a whole block is its first chain and its last one, so many rows later
+        gap = F.col("_n") - length
+        ends = found.filter((F.col("_n") < 2 * length) & (F.col("_k") > rare) & (F.col("_i") == 0)).select("_b", F.col("_h").alias("_a"), gap.alias("_gap"))
+        ends = ends.join(here.filter(F.col("_i") == gap).select("_b", F.col("_h").alias("_z")), "_b")
+        pairs = ends.select("_a", "_z", "_gap").distinct()
+        whole = places.join(pairs, F.col("_h") == F.col("_a")).select("_a", "_z", "_gap", F.col("_p").alias("at"), (F.col("_p") + F.col("_gap")).alias("_end"))
+        whole = whole.join(places.select(F.col("_p").alias("_end"), F.col("_h").alias("_z")), ["_end", "_z"]).groupBy("_a", "_z", "_gap").agg(F.min("at").alias("at"))
+        first = first.unionByName(ends.join(whole, ["_a", "_z", "_gap"]).select("_b", "at"))
+        now = materialize(near.unionByName(first).distinct(), "block-places")
+        proposals = now if proposals is None else proposals.unionByName(now)
+        open_ = materialize(open_.filter(F.col("_n") >= 2 * length).join(now.select("_b").distinct(), "_b", "left_anti"), "open-blocks")
+        # a chain of twice the length is this one and the one that begins after it
+        link = F.xxhash64("_h", "_g")
+        chains = materialize(chains.join(chains.select("_b", (F.col("_i") - length).alias("_i"), F.col("_h").alias("_g")), ["_b", "_i"], "left").select("_b", "_i", F.when(F.col("_g").isNull(), F.col("_h")).otherwise(link).alias("_h")), "chains")
+        places = materialize(places.join(places.select((F.col("_p") - length).alias("_p"), F.col("_h").alias("_g")), "_p", "left").select("_p", F.when(F.col("_g").isNull(), F.col("_h")).otherwise(link).alias("_h")), "chains")
+        length *= 2
+    if proposals is None:
+        return sizes.limit(0).select(F.col("_b").alias(block), F.lit(0).cast("long").alias("at"), F.col("_n").alias("votes"))
+    stands = mine.join(proposals, "_b").withColumn("_p", F.col("at") + F.col("_i")).join(theirs, ["_p", "_h"])
+    votes = stands.groupBy("_b", "at").agg(F.count("*").alias("votes"))
+    best = votes.groupBy("_b").agg(F.max(F.struct("votes", (-F.col("at")).alias("neg"))).alias("x"))
+    return best.select(F.col("_b").alias(block), (-F.col("x.neg")).alias("at"), "x.votes")
 
 
 def row_weights(rows: DataFrame, population: DataFrame, label: str) -> DataFrame:

@@ -413,7 +413,6 @@ def x7(spark, d):
 _FACTS = f"{E}, t AS (SELECT incident, seq, CASE type WHEN 'windows' THEN 'classified ' || k || ' windows' WHEN 'proposed' THEN 'proposed ' || action WHEN 'executed' THEN 'executed ' || action END AS line FROM log WHERE type IN ('windows', 'proposed', 'executed')) SELECT incident, string_agg(line, chr(10) ORDER BY seq) || CASE WHEN bool_or(line LIKE 'executed%') THEN '' ELSE chr(10) || 'nothing was executed' END AS facts FROM t GROUP BY 1"
 
 
-@query("x9_incident_facts", _FACTS)
 @query("x9_incident_facts_all", _FACTS)
 def x9(spark, d):
     return incident_facts(log(spark, d))

@@ -308,7 +308,6 @@ _NEAREST = f"""{V}, {_AB}, s AS (SELECT * FROM a), r AS (SELECT DISTINCT q0, q1,
 SELECT s.vec_id, CASE min(k) WHEN 1 THEN 'key1' WHEN 2 THEN 'key2' ELSE 'none' END AS outcome, CAST(arg_min(n, k) AS BIGINT) AS n_differ FROM s LEFT JOIN d USING (vec_id) GROUP BY 1"""
 
 
-@query("j6_nearest", _NEAREST)
 @query("j6_nearest_all", _NEAREST)
 def j6(spark, d):
     a, b = halves(spark, d)
@@ -345,7 +344,6 @@ def j10(spark, d):
 _BLOCKS = "WITH b AS (SELECT CAST(vec_id // 50 AS BIGINT) AS block, count(*) AS votes FROM embeddings GROUP BY 1) SELECT block, (max(block) OVER () - block) * 50 AS at, votes FROM b"
 
 
-@query("j11_block_placement", _BLOCKS)
 @query("j11_block_placement_all", _BLOCKS)
 def j11(spark, d):
     # the official file has all blocks in reversed order
@@ -355,6 +353,22 @@ def j11(spark, d):
     return ma.place_blocks(v.select("block", "row", "f0", "f1"), official, "block", "row", "position", ["f0", "f1"])
 
 
+_REPEATS = "CAST(CASE WHEN vec_id // 50 % 2 = 0 THEN 0 ELSE vec_id * vec_id % 7 END AS BIGINT)"
+
+
+@query("j11_repeated_rows", f"""{V}, k AS (SELECT vec_id // 50 AS block, vec_id % 50 AS r, {_REPEATS} + CASE WHEN vec_id % 50 = 0 THEN 100 + vec_id // 50 % 40 ELSE 0 END AS key FROM v), l AS (SELECT max(block) AS last FROM k),
+ o AS (SELECT key, (last - block) * 50 + r AS position FROM k, l), n AS (SELECT block, position - r AS "at", count(*) AS votes FROM k JOIN o USING (key) GROUP BY ALL),
+ w AS (SELECT block, "at", votes, row_number() OVER (PARTITION BY block ORDER BY votes DESC, "at") AS place FROM n) SELECT block, "at", votes FROM w WHERE place = 1""")
+def j11_repeats(spark, d):
+    """Blocks of few different rows, most of them everywhere, in a file with the blocks in reverse."""
+    v = vectors(spark, d).select("vec_id").withColumns({"block": F.floor(F.col("vec_id") / 50), "r": F.col("vec_id") % 50})
+    key = F.when(F.col("block") % 2 == 0, 0).otherwise(F.col("vec_id") * F.col("vec_id") % 7) + F.when(F.col("r") == 0, 100 + F.col("block") % 40).otherwise(0)
+    v = v.withColumn("key", key.cast("long"))
+    last = F.broadcast(v.agg(F.max("block").alias("last")))
+    official = v.join(last).select("key", ((F.col("last") - F.col("block")) * 50 + F.col("r")).alias("position"))
+    return ma.place_blocks(v, official, "block", "r", "position", ["key"]).select("block", "at", "votes")
+
+
 @query("a22_match_report", f"""{V}, {_AB}, x AS (SELECT q0, q1, q2, count(*) AS n FROM a GROUP BY ALL), y AS (SELECT q0, q1, q2, count(*) AS m FROM b GROUP BY ALL) SELECT CAST(sum(n) AS BIGINT) AS n_ours, CAST(sum(least(n, coalesce(m, 0))) AS BIGINT) AS matched, CAST(sum(n - least(n, coalesce(m, 0))) AS BIGINT) AS unmatched, count(*) FILTER (n = 1) AS unique_rows, count(*) FILTER (n = 1 AND m >= 1) AS unique_matched FROM x LEFT JOIN y USING (q0, q1, q2)""")
 def a22(spark, d):
     m = ma.multiset_match(*halves(spark, d), KEY).filter("n_ours > 0")
