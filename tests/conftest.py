@@ -13,7 +13,7 @@ def spark():
 
     s = (
         SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "4g").config("spark.ui.showConsoleProgress", "false").config("spark.sql.streaming.stateStore.stateSchemaCheck", "false").getOrCreate())
+        .config("spark.driver.memory", "4g").config("spark.ui.showConsoleProgress", "false").config("spark.sql.streaming.stateStore.stateSchemaCheck", "false").config("spark.sql.streaming.noDataMicroBatches.enabled", "false").getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     return s
 

@@ -1,5 +1,6 @@
 import collections
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -219,7 +220,60 @@ def test_scores_in_the_stream(spark, tmp_path):
         assert len(got) == len(rows)
 
 
-def test_incident_queue(spark, tmp_path):
+@pytest.fixture
+def rocks(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.unset(key)
+
+
+def two_batches(spark, tmp_path, name, first, second, f, schema):
+    """Rows that come out of a stream that gets one batch, is idle for longer than it waits, and gets another."""
+    src, seen = str(tmp_path / name), []
+    spark.createDataFrame(first, schema).coalesce(1).write.parquet(src)
+    q = f(spark.readStream.schema(schema).parquet(src)).writeStream.outputMode("update").foreachBatch(lambda df, _: seen.extend(df.collect())).option("checkpointLocation", str(tmp_path / f"{name}-cp")).start()
+    q.processAllAvailable()
+    time.sleep(3)
+    spark.createDataFrame(second, schema).coalesce(1).write.mode("append").parquet(src)
+    q.processAllAvailable()
+    time.sleep(1)
+    q.processAllAvailable()
+    q.stop()
+    return seen
+
+
+def test_idle_queues_go(spark, tmp_path, rocks):
+    schema = "log bigint, incident bigint, seq bigint, type string, windows bigint, tokens bigint"
+    first = [(1, 5, 1, "executed", 2, 3), (1, 5, 2, "proposed", 2, 3)]
+    for idle, windows in ((1.0, 9), (60.0, 13)):  # log 1 begins anew, or goes on
+        name = f"q{int(idle)}"
+        got = two_batches(spark, tmp_path, name, first, [(2, 7, 1, "call", 1, 1)], lambda s: st.incident_queue(s, idle), schema)  # noqa: B023
+        assert sorted((r["log"], r["incident"], r["windows"], r["waiting"]) for r in got) == [(1, 5, 4, 1), (2, 7, 1, 0)]
+        src = str(tmp_path / name)
+        spark.createDataFrame([(1, 5, 3, "call", 9, 1)], schema).coalesce(1).write.mode("append").parquet(src)
+        seen = []
+        q = st.incident_queue(spark.readStream.schema(schema).parquet(src), idle).writeStream.outputMode("update").foreachBatch(lambda df, _: seen.extend(df.collect())).option("checkpointLocation", str(tmp_path / f"{name}-cp")).trigger(availableNow=True).start()  # noqa: B023
+        q.awaitTermination(120)
+        assert [(r["log"], r["windows"]) for r in seen] == [(1, windows)]
+
+
+def test_idle_captures_flush(spark, tmp_path):
+    schema = "capture bigint, o bigint, ts double, size bigint, protocol bigint, syn double"
+    seen = []
+    src = str(tmp_path / "in")
+    rows = lambda c, n: spark.createDataFrame([(c, i, float(i), 40, 6, 1.0) for i in range(n)], schema).coalesce(1).write.mode("append").parquet(src)
+    rows(1, 7)
+    q = st.count_windows(spark.readStream.schema(schema).parquet(src), (5,), ["syn"], idle=1.0).writeStream.foreachBatch(lambda df, _: seen.extend(df.collect())).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    time.sleep(3)
+    rows(2, 5)
+    q.processAllAvailable()
+    q.stop()
+    assert sorted((r["capture"], r["win"], r["number"]) for r in seen) == [(1, 0, 5), (1, 1, 2), (2, 0, 5)]
+
+
+def test_incident_queue(spark, tmp_path, rocks):
     rng = random.Random(8)
     rows = [(k % 2, rng.randrange(4), k, rng.choice(["windows", "call", "proposed", "executed"]), rng.randrange(5), rng.randrange(9)) for k in range(80)]
     df = spark.createDataFrame(rows, "capture bigint, incident bigint, seq bigint, type string, windows bigint, tokens bigint")
