@@ -96,18 +96,26 @@ modes AS (SELECT capture, frame_no // {size} AS win, protocol, count(*) AS n FRO
   JOIN (SELECT capture, win, arg_min(protocol, (-n, protocol)) AS protocol_type FROM modes GROUP BY ALL) m USING (capture, win))"""
 
 
+def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of the kept types with their numbers."""
+    return fr.number_frames(fr.keep_decoded(frames(spark, sf_dir)), "capture", FRAME_ORDER, ts="ts")
+
+
+def measured(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("size", fr.wire_size("length", "cut")).selectExpr("*", *(f"{e} AS `{c}`" for c, e in MEASURES.items()))
+
+
 def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbered and measured frames of the kept types; what is measured is not shuffled."""
-    numbered = fr.number_frames(fr.keep_decoded(frames(spark, sf_dir)), "capture", FRAME_ORDER, ts="ts")
-    return numbered.withColumn("size", fr.wire_size("length", "cut")).selectExpr("*", *(f"{e} AS `{c}`" for c, e in MEASURES.items()))
+    return measured(numbered(spark, sf_dir))
 
 
-def windows(spark: SparkSession, sf_dir: str, size: int = 10, more: list[Column] = ()) -> DataFrame:
-    """Complete windows with category, attacker facts and distinct addresses."""
+def windows(spark: SparkSession, sf_dir: str, size: int = 10, more: list[Column] = (), rows: DataFrame | None = None) -> DataFrame:
+    """Complete windows with category, attacker facts and distinct addresses; rows: kept frames, where they are at hand."""
     from winlens.operators import windows as wi
 
     # sets of a window's few addresses: a distinct count would expand every frame into several rows
     ip = lambda c: F.size(F.collect_set(F.when(F.col("ethertype") == 2048, F.col(c)))).cast("long")
     extra = [F.bool_or("attacker").alias("has_attacker"), F.count_if("attacker").alias("attacker_frames"), ip("src").alias("n_src"), ip("dst").alias("n_dst"), *more]
-    out = wi.aggregate_windows(kept(spark, sf_dir), size, list(MEASURES), extra=extra)
+    out = wi.aggregate_windows(kept(spark, sf_dir) if rows is None else rows, size, list(MEASURES), extra=extra)
     return wi.complete(out, size).withColumn("category", F.expr(CATEGORY))

@@ -35,13 +35,19 @@ def allowed(column: str):
     return (F.col(column) != 0) & (F.col(column) != 255)
 
 
-def replay(spark, d, policy=POLICY, with_links=False):
-    """windows, links (if asked for), decisions, members, background of the whole table."""
-    links = materialize(inc.window_links(ad.kept(spark, d), 10), "links") if with_links else None
-    w = ad.windows(spark, d, 10, [inc.ends_of_frames().alias("ends")]).withColumn("category", F.expr("CASE WHEN syn_flag_number > 0.2 THEN 'DDoS' WHEN ICMP > 0.4 THEN 'Recon' ELSE 'Benign' END"))
+#: What the policy and its measures need of a window.
+POLICY_COLUMNS = ["capture", "win", "start_ts", "end_ts", "category", "confidence", "has_attacker", "attacker_frames", "sources", "targets"]
+
+
+def replay(spark, d, policy=POLICY, with_links=False, features=True):
+    """windows (without features: POLICY_COLUMNS), links (if asked for), decisions, members, background of the whole table."""
+    frames = materialize(ad.numbered(spark, d), "numbered") if with_links else ad.numbered(spark, d)  # numbered once for windows and links
+    links = materialize(inc.window_links(ad.measured(frames), 10), "links") if with_links else None
+    w = ad.windows(spark, d, 10, [inc.ends_of_frames().alias("ends")], ad.measured(frames)).withColumn("category", F.expr("CASE WHEN syn_flag_number > 0.2 THEN 'DDoS' WHEN ICMP > 0.4 THEN 'Recon' ELSE 'Benign' END"))
     w = w.withColumn("confidence", F.when(F.col("category") == "DDoS", 0.5 + F.col("syn_flag_number") / 2).otherwise(0.6))
     attack = F.col("category") != po.BENIGN
-    w = materialize(w.select("*", *(F.when(attack, inc.address_counts(F.col("ends"), c)).alias(n) for c, n in (("src", "sources"), ("dst", "targets")))).drop("ends"), "windows")
+    w = w.select("*", *(F.when(attack, inc.address_counts(F.col("ends"), c)).alias(n) for c, n in (("src", "sources"), ("dst", "targets")))).drop("ends")
+    w = materialize(w if features else w.select(POLICY_COLUMNS), "windows")
     decisions = materialize(po.decide(po.stretches(w, policy), policy), "decisions")
     return w, links, decisions, po.incident_windows(decisions), po.background_windows(decisions)
 
@@ -58,7 +64,7 @@ def stored_roles(links, members, back, w):
 
 @query("r4_policy_decisions")
 def r4(spark, d):
-    return replay(spark, d)[2]
+    return replay(spark, d, features=False)[2]
 
 
 @query("r5_background_presence")
@@ -69,12 +75,12 @@ def r5(spark, d):
 
 @query("r6_opening_snapshot")
 def r6(spark, d):
-    return po.snapshot(replay(spark, d)[2])
+    return po.snapshot(replay(spark, d, features=False)[2])
 
 
 @query("r11_rules")
 def r11(spark, d):
-    w = replay(spark, d)[0]
+    w = replay(spark, d, features=False)[0]
     out = None
     for n in (2, 3, 4):  # a job for each rule over the same stored windows
         p = po.Policy(n, POLICY.close_after, POLICY.silence, POLICY.longest, POLICY.reopen_within)
@@ -130,7 +136,7 @@ def i5(spark, d):
 
 @query("i6_replay_summary")
 def i6(spark, d):
-    w, _, decisions, *_ = replay(spark, d)
+    w, _, decisions, *_ = replay(spark, d, features=False)
     return inc.replay_summary(w, decisions)
 
 
