@@ -33,3 +33,25 @@ def test_a_constant_block_is_no_join_of_all_pairs(spark):
     ours = spark.range(n).selectExpr("0L as b", "id as i", "'x' as k")
     official = spark.range(3 * n).selectExpr("id as p", "'x' as k")
     assert [tuple(r) for r in ma.place_blocks(ours, official, "b", "i", "p", ["k"]).collect()] == [(0, 0, n)]
+
+
+@pytest.mark.parametrize("pairs", [0, 60, 1_000_000])
+def test_nearest_row_is_that_of_all_pairs(spark, pairs):
+    rng = random.Random(6)
+    row = lambda: [rng.choice([0, 1]), rng.choice([0, 1, None]), *(rng.choice([0, 1, 2, 3, 4, None]) for _ in range(4))]
+    names, keys = [f"q{i}" for i in range(6)], [["q0", "q1"], ["q0"]]
+    ours, theirs = [[i, *row()] for i in range(80)] + [[99, 7, 7, 0, 0, 0, 0]], [row() for _ in range(30)]
+    schema = ", ".join(f"{c} long" for c in names)
+    got = ma.nearest(spark.createDataFrame(ours, f"id long, {schema}"), spark.createDataFrame(theirs + theirs[:5], schema), "id", keys, names, pairs).collect()
+    for r in got:
+        mine = next(x[1:] for x in ours if x[0] == r["id"])
+        want = ("none", None, None)
+        for i, key in enumerate(keys):
+            at = [names.index(c) for c in key]
+            block = [t for t in theirs if all(mine[k] is not None and mine[k] == t[k] for k in at)]
+            if block:
+                d = min((sum(a != b for a, b in zip(mine, t, strict=True)), [c for c, a, b in zip(names, mine, t, strict=True) if a != b]) for t in block)
+                want = (f"key{i + 1}", d[0], d[1])
+                break
+        assert (r["outcome"], r["n_differ"], r["differing"]) == want
+    assert len(got) == len(ours) and {r["outcome"] for r in got} == {"key1", "key2", "none"}

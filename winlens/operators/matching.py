@@ -60,21 +60,55 @@ def best_other_label(rows: DataFrame, key: list[str], label: str) -> DataFrame:
     return share.groupBy(label).agg(F.max_by(F.struct("other", "share"), F.struct("share", (-F.col("other")).alias("o"))).alias("x")).select(label, "x.other", "x.share")
 
 
-def nearest(samples: DataFrame, reference: DataFrame, sample_id: str, keys: list[list[str]], columns: list[str]) -> DataFrame:
+def nearest(samples: DataFrame, reference: DataFrame, sample_id: str, keys: list[list[str]], columns: list[str], pairs: int = 4_000_000) -> DataFrame:
     """(sample_id, outcome, n_differ, differing): the reference row that shares a key (two keys are tried in order) with fewest differing columns.
 
-    Reference rows equal in all columns are one. Outcome tells which key found it; none where no key did.
+    Reference rows equal in all columns are one. Outcome tells which key found it; none where no key did. Ties: the first by differing.
+    In blocks of more than `pairs` pairs not all are compared: of columns in k + 1 groups one is equal as a whole wherever k columns differ at
+    most, so for k = 1, 2, .. samples meet the rows that share the key and a group's values, and those whose best row differs in no more than k
+    columns are settled. Joins on key and values are dealt anew by Spark where one of them is hot.
     """
-    ref = reference.select(*columns, *{c for k in keys for c in k if c not in columns}).distinct()
-    found = None
+    ref = materialize(reference.select(*columns, *{c for k in keys for c in k if c not in columns}).distinct(), "nearest-reference")
+    found = materialize(samples, "nearest-samples")
+    samples, ids = found, found.select(sample_id)
+    out = ids
     for i, key in enumerate(keys):
-        r = ref.select(*key, *(F.col(c).alias(f"_r_{c}") for c in columns))
-        names = F.array(*(F.when(~F.col(c).eqNullSafe(F.col(f"_r_{c}")), F.lit(c)) for c in columns))
-        differ = F.array_compact(names)
-        one = samples.join(r, key).groupBy(sample_id).agg(F.min(F.struct(F.size(differ).alias("n_differ"), differ.alias("differing"))).alias(f"x{i}"))
-        found = samples.select(sample_id).join(one, sample_id, "left") if found is None else found.join(one, sample_id, "left")
-    out = F.coalesce(*(F.when(F.col(f"x{i}").isNotNull(), F.struct(F.lit(f"key{i + 1}").alias("outcome"), F.col(f"x{i}.n_differ").alias("n_differ"), F.col(f"x{i}.differing").alias("differing"))) for i in range(len(keys))))
-    return found.select(sample_id, F.coalesce(out["outcome"], F.lit("none")).alias("outcome"), out["n_differ"].alias("n_differ"), out["differing"].alias("differing"))
+        best = nearest_in_blocks(samples, ref, sample_id, key, columns, pairs)
+        out = out.join(best.select(sample_id, F.struct(F.lit(f"key{i + 1}").alias("outcome"), "n_differ", "differing").alias(f"x{i}")), sample_id, "left")
+    x = F.coalesce(*(F.col(f"x{i}") for i in range(len(keys))))
+    return out.select(sample_id, F.coalesce(x["outcome"], F.lit("none")).alias("outcome"), x["n_differ"].alias("n_differ"), x["differing"].alias("differing"))
+
+
+def nearest_in_blocks(samples: DataFrame, ref: DataFrame, sample_id: str, key: list[str], columns: list[str], pairs: int) -> DataFrame:
+    """(sample_id, n_differ, differing) of the samples whose key the reference has."""
+    free = [c for c in columns if c not in key]
+    theirs = lambda c: F.col(f"_r_{c}")
+    differ = F.array_compact(F.array(*(F.when(~F.col(c).eqNullSafe(theirs(c)), F.lit(c)) for c in free)))
+    in_order = F.filter(F.array(*map(F.lit, columns)), lambda c: F.array_contains(differ, c))
+    rows = samples.select(sample_id, *dict.fromkeys([*key, *columns]))
+    named = ref.select(*key, *(F.col(c).alias(f"_r_{c}") for c in free))
+    best = F.min(F.struct(F.size(differ).alias("n_differ"), in_order.alias("differing"))).alias("x")
+    sizes = rows.groupBy(*key).agg(F.count("*").alias("_n")).join(ref.groupBy(*key).agg(F.count("*").alias("_m")), key)
+    hot = materialize(sizes.filter(F.col("_n") * F.col("_m") > pairs).select(*key), "hot-blocks")
+    if not hot.limit(1).count():
+        return rows.join(named, key).groupBy(sample_id).agg(best).select(sample_id, "x.*")
+    settled = [rows.join(hot, key, "left_anti").join(named, key).groupBy(sample_id).agg(best).select(sample_id, "x.*")]
+    open_ = materialize(rows.join(hot, key, "left_semi"), "open-samples")
+    for k in range(1, len(free)):
+        if not open_.limit(1).count():
+            break
+        value = lambda of, g: F.struct(F.lit(g).alias("g"), F.xxhash64(F.lit(g), *(F.struct(of(c)) for c in free[g :: k + 1])).alias("h"))  # noqa: E731, B023
+        groups = lambda of: F.explode(F.array(*(value(of, g) for g in range(k + 1))))  # noqa: E731, B023
+        a = open_.withColumn("_v", groups(F.col))
+        b = named.withColumn("_v", groups(theirs))
+        each = a.join(b, [*key, "_v"]).groupBy(sample_id).agg(best)
+        each = materialize(each.filter(F.col("x.n_differ") <= k).select(sample_id, "x.*"), "nearest")
+        settled.append(each)
+        open_ = materialize(open_.join(each.select(sample_id), sample_id, "left_anti"), "open-samples")
+    rest = open_.select(sample_id, F.lit(len(free)).alias("n_differ"), F.array(*(F.lit(c) for c in columns if c in free)).cast("array<string>").alias("differing"))
+    for each in settled:
+        rest = rest.unionByName(each)
+    return rest
 
 
 def coverage(ours: DataFrame, theirs: DataFrame, key: list[str], label: str) -> DataFrame:
