@@ -203,6 +203,29 @@ def test_language_id(spark, odd, empty):
     assert {r["lang_pred"] for r in language_id.identify(odd, language_id.ByteCnn([])).collect()} == {"und"}
 
 
+def test_suffix_automaton_finds_every_word_at_every_end():
+    rng = random.Random(4)
+    for _ in range(60):
+        text = lambda n: bytes(rng.choice(b"abc") for _ in range(n))
+        words = {text(rng.randint(1, 7)): 0 for _ in range(rng.randint(1, 30))}
+        words = {w: i for i, w in enumerate(words)}
+        m = prefix_bpe.SuffixAutomaton(words)
+        parts = {w[a:b] for w in words for a in range(len(w)) for b in range(a + 1, len(w) + 1)}
+        raw, state, known = text(40), 0, 0
+        for end, byte in enumerate(raw, 1):
+            while state and byte not in m.follow[state]:
+                state = m.link[state]
+                known = m.size[state]
+            if byte in m.follow[state]:
+                state, known = m.follow[state][byte], known + 1
+            assert known == max((k for k in range(end + 1) if raw[end - k : end] in parts), default=0)
+            at, found = m.first[state] if known == m.size[state] else m.shorter[state], []
+            while at:
+                found.append((m.size[at], m.word[at]))
+                at = m.shorter[at]
+            assert found == [(k, words[raw[end - k : end]]) for k in range(end, 0, -1) if raw[end - k : end] in words]
+
+
 def test_bpe_equals_the_library(spark, odd, empty):
     from tokenizers import Tokenizer
 

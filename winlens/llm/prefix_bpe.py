@@ -2,10 +2,10 @@
 
 For every prefix of a piece there is exactly one token that can end its encoding. It is the one vocabulary match ending
 there whose start is either 0 or a prefix whose own last token is compatible with it: two tokens are compatible if
-merging the bytes of both by rank leaves exactly these two. Matches ending at each position come from the suffix links
-of an automaton over the vocabulary (that of Aho and Corasick, whose links lead to the longest suffix that the vocabulary
-still knows); following the stored last tokens back from the end gives the ids. The work is linear in the piece, however
-long it is.
+merging the bytes of both by rank leaves exactly these two. Matches ending at each position come from a suffix automaton of
+the vocabulary: it follows the longest suffix that is part of any token, and its suffix links lead to the tokens among the
+suffixes, longest first; following the stored last tokens back from the end gives the ids. The work is linear in the piece,
+however long it is.
 
 Defined cases: a null text counts as empty and has no ids; a special token's string in a text becomes its id, as the
 tokenizers library does by default; a very long text, even one without blanks, is encoded whole; a vocabulary that lacks a byte
@@ -40,12 +40,67 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class SuffixAutomaton:
+    """Minimal automaton of all parts of some words, built word by word, with the words that end at a state.
+
+    follow[s] has the next state by byte; link[s] is the state of the longest suffix with other ends, size[s] the length of a state's
+    longest string. A word is always the longest string of its state, as nothing longer ends where the word itself does, so word[s]
+    is the one word of a state (-1: none), and shorter[s] the next state with a word among the suffixes (0: none).
+    """
+
+    def __init__(self, words: dict[bytes, int]):
+        self.follow: list[dict[int, int]] = [{}]
+        self.link, self.size = [-1], [0]
+        ends = {}
+        for w in words:
+            at = 0
+            for byte in w:
+                at = self._grow(at, byte)
+            ends[w] = at
+        self.word, self.shorter = [-1] * len(self.link), [0] * len(self.link)
+        for w, at in ends.items():
+            self.word[at] = words[w]
+        for at in sorted(range(1, len(self.link)), key=self.size.__getitem__):
+            up = self.link[at]
+            self.shorter[at] = up if self.word[up] >= 0 else self.shorter[up]
+        #: Where a match of a state's full length begins to look for words.
+        self.first = [at if w >= 0 else up for at, (w, up) in enumerate(zip(self.word, self.shorter, strict=True))]
+
+    def _state(self, follow: dict[int, int], link: int, size: int) -> int:
+        self.follow.append(follow)
+        self.link.append(link)
+        self.size.append(size)
+        return len(self.link) - 1
+
+    def _split(self, at: int, byte: int) -> int:
+        """The state that byte leads to from at, without the longer strings that end there too."""
+        to, size = self.follow[at][byte], self.size[at] + 1
+        if self.size[to] == size:
+            return to
+        short = self._state(dict(self.follow[to]), self.link[to], size)
+        self.link[to] = short
+        while at >= 0 and self.follow[at].get(byte) == to:
+            self.follow[at][byte] = short
+            at = self.link[at]
+        return short
+
+    def _grow(self, at: int, byte: int) -> int:
+        """The state of the word so far, one byte longer."""
+        if byte in self.follow[at]:
+            return self._split(at, byte)
+        new = self._state({}, 0, self.size[at] + 1)
+        while at >= 0 and byte not in self.follow[at]:
+            self.follow[at][byte] = new
+            at = self.link[at]
+        if at >= 0:
+            self.link[new] = self._split(at, byte)
+        return new
+
+
 class PrefixBpe:
     """Encoder and decoder over the vocabulary and merges of a byte-level tokenizer file."""
 
     def __init__(self, spec: dict):
-        import ahocorasick
-
         to_byte = byte_alphabet()
         raw = lambda s: bytes(to_byte[c] for c in s)
         vocab = spec["model"]["vocab"]
@@ -61,10 +116,7 @@ class PrefixBpe:
             self.rank[a_id << 32 | b_id] = rank
             if self.born[whole] < 0:
                 self.born[whole], self.left[whole], self.right[whole] = rank, a_id, b_id
-        self.matches = ahocorasick.Automaton()
-        for s, i in vocab.items():
-            self.matches.add_word(raw(s).decode("latin-1"), (len(raw(s)), i))
-        self.matches.make_automaton()
+        self.matches = SuffixAutomaton({raw(s): i for s, i in vocab.items()})
         self.pieces = regex.compile(PIECES).findall
         self.cuts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pairs: dict[int, bool] = {}
@@ -101,13 +153,34 @@ class PrefixBpe:
         found = self.cache.get(text)
         if found is not None:
             return found
-        raw = text.encode("utf-8", "surrogatepass").decode("latin-1")
+        raw = text.encode("utf-8", "surrogatepass")
         last: list[int] = [-1] * (len(raw) + 1)
         width = [0] * (len(raw) + 1)
-        for end, (size, token) in self.matches.iter(raw):
-            end += 1
-            if last[end] < 0 and (size == end or last[end - size] >= 0 and self.compatible(last[end - size], token)):
-                last[end], width[end] = token, size
+        m, state, known = self.matches, 0, 0  # the longest suffix of the prefix that is part of a token, and its length
+        follow, link, size, word, shorter, first, judged = m.follow, m.link, m.size, m.word, m.shorter, m.first, self.pairs.get
+        for end, byte in enumerate(raw, 1):
+            to = follow[state].get(byte)
+            while to is None and state:
+                state = link[state]
+                known = size[state]
+                to = follow[state].get(byte)
+            if to is None:
+                continue
+            state, known = to, known + 1
+            at = first[to] if known == size[to] else shorter[to]
+            while at:
+                start, token = end - size[at], word[at]
+                before = last[start]
+                if before >= 0:
+                    fits = judged(before << 32 | token)
+                    if fits is None:
+                        fits = self.compatible(before, token)
+                else:
+                    fits = not start
+                if fits:
+                    last[end], width[end] = token, size[at]
+                    break
+                at = shorter[at]
         if last[len(raw)] < 0 and raw:
             raise ValueError("the vocabulary has no token for some byte of the text")
         ids, at = [], len(raw)
