@@ -15,6 +15,8 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 CLASSES = list(range(10))
 N = 8
+#: Columns of a whole vector.
+WIDTH = 64
 #: Feature columns taken from the vectors, coarse keys that repeat, and two models' probabilities.
 FEATS = [f"f{i}" for i in range(N)]
 KEY = ["q0", "q1", "q2"]
@@ -191,12 +193,12 @@ def j16(spark, d):
     return ma.row_weights(vectors(spark, d), pop, "truth").select("vec_id", F.round("weight", 9).alias("weight"))
 
 
-@query("p10_feature_matrix", "SELECT vec_id, " + ", ".join(f"CASE WHEN vec_id % 11 = {i} THEN NULL ELSE embedding[{i + 1}] END AS f{i}" for i in range(4)) + " FROM embeddings")
+@query("p10_feature_matrix", "SELECT vec_id, " + ", ".join(f"CASE WHEN vec_id % 67 = {i} THEN NULL ELSE embedding[{i + 1}] END AS f{i}" for i in range(WIDTH)) + " FROM embeddings")
 def p10(spark, d):
     # an infinity injected by a rule becomes empty
     e = ad.table(spark, d, "embeddings")
-    val = lambda i: F.when(F.col("vec_id") % 11 == i, F.lit(float("inf"))).otherwise(F.get("embedding", i).cast("double"))
-    cols = [val(i).cast("float") for i in range(4)]
+    val = lambda i: F.when(F.col("vec_id") % 67 == i, F.lit(float("inf"))).otherwise(F.get("embedding", i).cast("double"))
+    cols = [val(i).cast("float") for i in range(WIDTH)]
     return e.select("vec_id", *(F.when(F.abs(c) != float("inf"), c).alias(f"f{i}") for i, c in enumerate(cols)))
 
 
@@ -206,10 +208,16 @@ def p13(spark, d):
     return v.groupBy("h").agg(*(F.first(k).alias(k) for k in KEY), F.count("*").alias("n")).drop("h")
 
 
-@query("p14_diverging_columns", f"""{V}, w AS (SELECT vec_id, [x FOR x IN [{", ".join(f"CASE WHEN abs(f{i} - f{i + 4}) > greatest(0.5 * greatest(abs(f{i}), abs(f{i + 4})), 1e-12) THEN 'f{i}' END" for i in range(4))}] IF x IS NOT NULL] AS cols FROM v) SELECT vec_id, cols FROM w""")
+_HALF = WIDTH // 2
+_DIVERGE = ", ".join(f"CASE WHEN abs(e[{i + 1}] - e[{i + 1 + _HALF}]) > greatest(0.5 * greatest(abs(e[{i + 1}]), abs(e[{i + 1 + _HALF}])), 1e-12) THEN 'f{i}' END" for i in range(_HALF))
+
+
+@query("p14_diverging_columns", f"""WITH v AS (SELECT vec_id, [x::DOUBLE FOR x IN embedding] AS e FROM embeddings), w AS (SELECT vec_id, [x FOR x IN [{_DIVERGE}] IF x IS NOT NULL] AS cols FROM v) SELECT vec_id, cols FROM w""")
 def p14(spark, d):
-    names = F.array_compact(F.array(*(F.when(~pr.values_equal(F.col(f"f{i}"), F.col(f"f{i + 4}"), 0.5), F.lit(f"f{i}")) for i in range(4))))
-    return vectors(spark, d).select("vec_id", names.alias("cols"))
+    # the first half of a vector against its second half
+    at = lambda i: F.get("embedding", i).cast("double")
+    names = F.array_compact(F.array(*(F.when(~pr.values_equal(at(i), at(i + _HALF), 0.5), F.lit(f"f{i}")) for i in range(_HALF))))
+    return ad.table(spark, d, "embeddings").select("vec_id", names.alias("cols"))
 
 
 @query("p23_round_finite", f"{V} SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN NULL ELSE round(f0, 6) END AS v FROM v")
@@ -266,10 +274,11 @@ def a13(spark, d):
     return pr.ceiling(vectors(spark, d), KEY, "truth").select(F.col("truth").cast("long").alias("truth"), "n", "hit")
 
 
-@query("a21_ks", f"""{V}, x AS (SELECT 'f' || i AS col, [f0, f1, f2, f3][i + 1] AS v, truth < 5 AS s FROM v, range(4) t(i)), c AS (SELECT col, v, count(*) FILTER (s) AS a, count(*) FILTER (NOT s) AS b FROM x GROUP BY ALL),
+@query("a21_ks", """WITH x AS (SELECT 'f' || (generate_subscripts(embedding, 1) - 1) AS col, CAST(unnest(embedding) AS DOUBLE) AS v, label < 5 AS s FROM embeddings), c AS (SELECT col, v, count(*) FILTER (s) AS a, count(*) FILTER (NOT s) AS b FROM x GROUP BY ALL),
  k AS (SELECT col, abs(sum(a) OVER r / sum(a) OVER (PARTITION BY col) - sum(b) OVER r / sum(b) OVER (PARTITION BY col)) AS g FROM c WINDOW r AS (PARTITION BY col ORDER BY v)) SELECT col, round(max(g), 9) AS distance FROM k GROUP BY 1""")
 def a21(spark, d):
-    return pr.ks_distances(vectors(spark, d), [f"f{i}" for i in range(4)], F.col("truth") < 5).withColumn("distance", F.round("distance", 9))
+    rows = ad.table(spark, d, "embeddings").select("label", *(F.get("embedding", i).alias(f"f{i}") for i in range(WIDTH)))
+    return pr.ks_distances(rows, [f"f{i}" for i in range(WIDTH)], F.col("label") < 5).withColumn("distance", F.round("distance", 9))
 
 
 _AB = "a AS (SELECT * FROM v WHERE vec_id % 3 <> 0), b AS (SELECT * FROM v WHERE vec_id % 3 = 0)"
