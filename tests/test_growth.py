@@ -62,3 +62,25 @@ def test_rebuild_in_shared_folders(spark, tmp_path):
     assert s.run({1: 2, 3: 1, 4: 2, 5: 1}, 2) == {"1": ("lost", 6), "3": ("unchanged", 0), "4": ("unchanged", 0), "5": ("lost", 4)}
     assert s.data() == {"1": 6, "5": 4}
     assert s.run({3: 1}, 2) == {"1": ("vanished", None), "3": ("unchanged", 0), "4": ("vanished", None), "5": ("vanished", None)} and s.data() == {} and s.folders() == []
+
+
+def test_tagged_links_give_what_links_give(spark):
+    """Presence, pairs and ports from the frames of windows, without joins, equal those of links that are joined and made distinct."""
+    from winlens.operators import incidents as inc
+
+    rows = [(c, 10 * w + i, (w + i * i) % 5, (i + c) % 3 if i % 4 else None, 80 + i % 2, (6, 17, 1)[i % 3], i % 2, 0) for c in (1, 2) for w in range(6) for i in range(10)]
+    frames = spark.createDataFrame(rows, "capture long, frame_no long, src long, dst long, dport int, protocol int, syn_flag_number int, ack_flag_number int")
+    windows = frames.groupBy("capture", F.floor(F.col("frame_no") / 10).cast("long").alias("win")).agg(inc.ends_of_frames().alias("ends"))
+    members = spark.createDataFrame([(1, 0, 0), (1, 0, 1), (1, 1, 4), (2, 0, 3)], "capture long, incident long, win long")
+    back = spark.createDataFrame([(1, 2), (1, 3), (2, 0)], "capture long, win long")
+    tagged, links = inc.tagged_links(windows, members, back), inc.window_links(frames, 10)
+    got = lambda f: sorted(map(str, (r.asDict() for r in f.collect())))
+    for column in ("src", "dst"):
+        assert got(inc.prominence(tagged, column, members, back)) == got(inc.prominence(links, column, members, back))
+        assert got(inc.presence(tagged, column, back, ["capture"])) == got(inc.presence(links, column, back, ["capture"]))
+    assert got(inc.pairs(tagged, members)) == got(inc.pairs(links, members))
+    to = inc.flows(inc.pairs(links, members)).filter("received > 0").select(*inc.INC, "addr", F.col("received").alias("frames"), "seen")
+    assert got(inc.ports(tagged, members, to)) == got(inc.ports(links, members, to))
+    # sums by capture are combined where the rows lie: no exchange below them but the one by capture
+    plan = inc.pairs(tagged, members)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan.split("Generate")[0]

@@ -1,7 +1,7 @@
 """Assembly of incidents from their windows: presence against background, roles, candidates, ports, records, summaries.
 
 Inputs are long tables. `links` has (capture, win, src, dst, dport, protocol, frames, opened, first_no), one row for each
-combination in a window; `members` has (capture, incident, win); `background` has (capture, win).
+combination in a window, or a row for each frame as `tagged_links` gives them; `members` has (capture, incident, win); `background` has (capture, win).
 """
 
 from __future__ import annotations
@@ -25,9 +25,29 @@ def window_links(frames: DataFrame, size: int) -> DataFrame:
 
 
 def ends_of_frames() -> Column:
-    """An aggregate: number, source and target of a window's frames."""
+    """An aggregate: number, source, target, port, protocol and opening of a window's frames."""
     whole = F.col("src").isNotNull() & F.col("dst").isNotNull()
-    return F.collect_list(F.when(whole, F.struct("frame_no", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))))
+    opened = F.coalesce((F.col("syn_flag_number") == 1) & (F.col("ack_flag_number") == 0), F.lit(False))
+    port = F.when(F.col("protocol").isin(*TRANSPORT), F.col("dport"))
+    return F.collect_list(F.when(whole, F.struct("frame_no", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), port.alias("dport"), "protocol", opened.cast("long").alias("opened"))))
+
+
+def tagged_links(windows: DataFrame, members: DataFrame, background: DataFrame) -> DataFrame:
+    """`links` of the windows of members and background, from `ends` of windows: with the incident (null: background) and new_src, new_dst,
+    true once for each address of a window. The functions below then need neither joins with members nor distinct rows.
+
+    Windows are joined while their frames are one row, and a capture's lie together, so sums by capture are combined before they are shuffled.
+    """
+    of = members.select("capture", "win", F.col("incident")).unionByName(background.select("capture", "win", F.lit(None).cast("long").alias("incident")))
+    rows = windows.select("capture", "win", "ends", F.col("ends.src").alias("_src"), F.col("ends.dst").alias("_dst")).join(of, ["capture", "win"]).repartition("capture")
+    new = lambda c: (F.array_position(F.col(f"_{c}"), F.col(f"f.{c}")) == F.col("i") + 1).alias(f"new_{c}")
+    each = rows.select("capture", "incident", "win", "_src", "_dst", F.posexplode("ends").alias("i", "f"))
+    return each.select("capture", "incident", "win", "f.src", "f.dst", "f.dport", "f.protocol", F.lit(1).cast("long").alias("frames"), "f.opened", F.col("f.frame_no").alias("first_no"), new("src"), new("dst"))
+
+
+def of_members(links: DataFrame, members: DataFrame) -> DataFrame:
+    """links of incidents, with their incident."""
+    return links.filter("incident is not null") if "incident" in links.columns else links.join(members.select(*INC, "win"), ["capture", "win"])
 
 
 def address_counts(ends: Column, side: str) -> Column:
@@ -40,6 +60,10 @@ def address_counts(ends: Column, side: str) -> Column:
 def presence(links: DataFrame, column: str, members: DataFrame, by: list[str]) -> DataFrame:
     """(by, addr, n_windows, share): in how many of the windows an address appears."""
     total = members.groupBy(*by).agg(F.count("*").alias("_total"))
+    if "incident" in links.columns:
+        tagged = F.col("incident").isNotNull() if "incident" in by else F.col("incident").isNull()
+        n = links.filter(tagged & F.col(f"new_{column}")).groupBy(*by, F.col(column).alias("addr")).agg(F.count("*").alias("n_windows"))
+        return n.join(total, by).withColumn("share", F.col("n_windows") / F.col("_total")).drop("_total")
     seen = links.select("capture", "win", F.col(column).alias("addr")).distinct().join(members.select(*by, *({"capture", "win"} - set(by))), ["capture", "win"])
     n = seen.groupBy(*by, "addr").agg(F.count("*").alias("n_windows"))
     return n.join(total, by).withColumn("share", F.col("n_windows") / F.col("_total")).drop("_total")
@@ -54,7 +78,7 @@ def prominence(links: DataFrame, column: str, members: DataFrame, background: Da
 
 
 def pairs(links: DataFrame, members: DataFrame) -> DataFrame:
-    return links.join(members.select(*INC, "win"), ["capture", "win"]).groupBy(*INC, "src", "dst").agg(F.sum("frames").alias("frames"), F.sum("opened").alias("opened"), F.min(F.struct("win", "first_no")).alias("seen"))
+    return of_members(links, members).groupBy(*INC, "src", "dst").agg(F.sum("frames").alias("frames"), F.sum("opened").alias("opened"), F.min(F.struct("win", "first_no")).alias("seen"))
 
 
 def flows(pair: DataFrame) -> DataFrame:
@@ -131,7 +155,7 @@ def listed(addresses: DataFrame, k: int = 10) -> DataFrame:
 
 def ports(links: DataFrame, members: DataFrame, destinations: DataFrame, k: int = 5) -> DataFrame:
     """(capture, incident, dst, dport, protocol, frames, place): the busiest ports among the listed destinations, TCP and UDP only."""
-    used = links.filter(F.col("protocol").isin(*TRANSPORT)).join(members.select(*INC, "win"), ["capture", "win"])
+    used = of_members(links.filter(F.col("protocol").isin(*TRANSPORT)), members)
     used = used.groupBy(*INC, "dst", "dport", "protocol").agg(F.sum("frames").alias("frames"), F.min(F.struct("win", "first_no")).alias("seen"))
     used = used.join(listed(destinations).select(*INC, F.col("addr").alias("dst")), [*INC, "dst"], "left_semi")
     return listed(used, k).drop("seen")
@@ -169,7 +193,7 @@ def candidates(links: DataFrame, members: DataFrame, background: DataFrame, orig
     order = Window.partitionBy(*INC).orderBy(F.col("prominence").desc(), F.col("sent").desc(), "addr")
     chosen = rows.join(taken, [*INC, "addr"], "left_semi").select(*INC, "addr", F.row_number().over(order).alias("place"))
     facts = chosen.join(source.select(*INC, "addr", "n_windows", F.round("background_share", 4).alias("background_share"), "sent", "received", "opened", "was_opened"), [*INC, "addr"])
-    own = links.join(members.select(*INC, "win"), ["capture", "win"]).withColumnRenamed("src", "addr")
+    own = of_members(links, members).withColumnRenamed("src", "addr")
 
     def top(key: list[str], k: int, name: str) -> DataFrame:
         n = own.filter(F.col(key[0]).isNotNull()).groupBy(*INC, "addr", *key).agg(F.sum("frames").alias("frames"), F.min(F.struct("win", "first_no")).alias("seen")).join(chosen, [*INC, "addr"], "left_semi")

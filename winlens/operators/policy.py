@@ -58,6 +58,8 @@ def add(votes: dict, more: dict) -> dict:
 
 def leading(votes: dict, n: int) -> list:
     """The n keys with most votes, the first seen of equal ones."""
+    if n == 1 and votes:
+        return [max(votes, key=votes.get)]
     return sorted(votes, key=votes.get, reverse=True)[:n]
 
 
@@ -89,7 +91,7 @@ class Sight:
 
     def __init__(self, row):
         self.row, self.category = row, row["category"]
-        self.sources, self.targets = ({x["addr"]: x["n"] for x in row[side]} for side in ("sources", "targets"))
+        self.sources, self.targets = (x if isinstance(x := row[side], dict) else {y["addr"]: y["n"] for y in x} for side in ("sources", "targets"))
         self.ends = frozenset(a for side in (self.sources, self.targets) for a in leading(side, 1))
 
 
@@ -219,6 +221,20 @@ def stretches(windows: DataFrame, policy: Policy, by: list[str] = ("capture",),
         {c: F.when((F.col("category") != BENIGN) & ~F.col("unjudged"), F.col(c)).otherwise(F.array().cast(ADDRESSES)) for c in ("sources", "targets")})
 
 
+def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows of `stretches` with sources and targets as counts by address; flat columns are converted, not a record for each address."""
+    columns = {}
+    for name, column in zip(batch.schema.names, batch.columns, strict=True):
+        if name in ("sources", "targets"):
+            ends, addrs, counts = column.offsets.to_pylist(), column.values.field(0).to_pylist(), column.values.field(1).to_pylist()
+            columns[name] = [dict(zip(addrs[a:b], counts[a:b], strict=True)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        else:
+            columns[name] = column.to_pylist()
+    names = list(columns)
+    for values in zip(*columns.values(), strict=True):
+        yield dict(zip(names, values, strict=True))
+
+
 def fold_all(parts: DataFrame, policy: Policy, by: list[str], group: str | None = None, told: bool = False) -> DataFrame:
     """Decisions of each key (and group, where parts have a column of it, and room); with told, all that a fold tells."""
     keys = [*by, *([group] if group else [])]
@@ -234,7 +250,7 @@ def fold_all(parts: DataFrame, policy: Policy, by: list[str], group: str | None
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), arrow, strict=True)] if found else [pa.array([], f.type) for f in arrow], schema=arrow)
 
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 key = tuple(row[k] for k in keys)
                 if key != now:
                     if told and state:

@@ -41,15 +41,17 @@ POLICY_COLUMNS = ["capture", "win", "start_ts", "end_ts", "category", "confidenc
 
 def replay(spark, d, policy=POLICY, with_links=False, features=True):
     """windows (without features: POLICY_COLUMNS), links (if asked for), decisions, members, background of the whole table."""
-    frames = materialize(ad.numbered(spark, d), "numbered") if with_links else ad.numbered(spark, d)  # numbered once for windows and links
-    links = materialize(inc.window_links(ad.measured(frames), 10), "links") if with_links else None
-    w = ad.windows(spark, d, 10, [inc.ends_of_frames().alias("ends")], ad.measured(frames)).withColumn("category", F.expr("CASE WHEN syn_flag_number > 0.2 THEN 'DDoS' WHEN ICMP > 0.4 THEN 'Recon' ELSE 'Benign' END"))
+    # windows follow numbering in the same tasks; links are taken from the windows' frames
+    w = ad.windows(spark, d, 10, [inc.ends_of_frames().alias("ends")]).withColumn("category", F.expr("CASE WHEN syn_flag_number > 0.2 THEN 'DDoS' WHEN ICMP > 0.4 THEN 'Recon' ELSE 'Benign' END"))
     w = w.withColumn("confidence", F.when(F.col("category") == "DDoS", 0.5 + F.col("syn_flag_number") / 2).otherwise(0.6))
     attack = F.col("category") != po.BENIGN
-    w = w.select("*", *(F.when(attack, inc.address_counts(F.col("ends"), c)).alias(n) for c, n in (("src", "sources"), ("dst", "targets")))).drop("ends")
-    w = materialize(w if features else w.select(POLICY_COLUMNS), "windows")
-    decisions = materialize(po.decide(po.stretches(w, policy), policy), "decisions")
-    return w, links, decisions, po.incident_windows(decisions), po.background_windows(decisions)
+    w = w.select("*", *(F.when(attack, inc.address_counts(F.col("ends"), c)).alias(n) for c, n in (("src", "sources"), ("dst", "targets"))))
+    ends = ["ends"] if with_links else []
+    w = materialize(w.select(*POLICY_COLUMNS, *ends) if not features else w if with_links else w.drop("ends"), "windows")
+    decisions = materialize(po.decide(po.stretches(w.drop("ends"), policy), policy), "decisions")
+    members, back = po.incident_windows(decisions), po.background_windows(decisions)
+    links = materialize(inc.tagged_links(w, members, back), "links") if with_links else None
+    return w.drop("ends"), links, decisions, members, back
 
 
 def scans(w, members):
@@ -62,6 +64,14 @@ def stored_roles(links, members, back, w):
     return tuple(materialize(x, "roles") for x in inc.roles(links, members, back, scans(w, members), allowed))
 
 
+def stored_origins(links, members, back, w):
+    return materialize(inc.roles(links, members, back, scans(w, members), allowed)[0], "roles")
+
+
+def stored_destinations(links, members, back, w):
+    return materialize(inc.roles(links, members, back, scans(w, members), allowed)[1], "roles")
+
+
 @query("r4_policy_decisions")
 def r4(spark, d):
     return replay(spark, d, features=False)[2]
@@ -69,7 +79,7 @@ def r4(spark, d):
 
 @query("r5_background_presence")
 def r5(spark, d):
-    _, links, _, _, back = replay(spark, d, with_links=True)
+    _, links, _, _, back = replay(spark, d, with_links=True, features=False)
     return inc.presence(links, "src", back, ["capture"])
 
 
@@ -80,11 +90,12 @@ def r6(spark, d):
 
 @query("r11_rules")
 def r11(spark, d):
-    w = replay(spark, d, features=False)[0]
+    w, _, decisions, *_ = replay(spark, d, features=False)
+    parts = materialize(po.stretches(w, POLICY), "rule-stretches")  # the rules differ in in_a_row alone, which stretches do not depend on
     out = None
     for n in (2, 3, 4):  # a job for each rule over the same stored windows
         p = po.Policy(n, POLICY.close_after, POLICY.silence, POLICY.longest, POLICY.reopen_within)
-        s = inc.replay_summary(w, po.decide(po.stretches(w, p), p)).withColumn("rule", F.lit(n))
+        s = inc.replay_summary(w, decisions if p == POLICY else po.decide(parts, p)).withColumn("rule", F.lit(n))
         out = s if out is None else out.unionByName(s)
     return out
 
@@ -96,33 +107,32 @@ def a37(spark, d):
 
 @query("j13_truth_in_incidents")
 def j13(spark, d):
-    w, _, _, members, _ = replay(spark, d)
+    w, _, _, members, _ = replay(spark, d, features=False)
     return members.join(w.select("capture", "win", "has_attacker", "attacker_frames"), ["capture", "win"]).groupBy(*inc.INC).agg(F.count("*").alias("n_windows"), F.count_if("has_attacker").alias("with_attacker"), F.sum("attacker_frames").alias("attacker_frames"))
 
 
 @query("j15_prominence")
 def j15(spark, d):
-    _, links, _, members, back = replay(spark, d, with_links=True)
+    _, links, _, members, back = replay(spark, d, with_links=True, features=False)
     return inc.prominence(links, "src", members, back)
 
 
 @query("i1_i2_roles")
 def i1(spark, d):
-    w, links, _, members, back = replay(spark, d, with_links=True)
+    w, links, _, members, back = replay(spark, d, with_links=True, features=False)
     o, t = stored_roles(links, members, back, w)
     return o.select(*inc.INC, "addr", "frames", F.lit("origin").alias("role")).unionByName(t.select(*inc.INC, "addr", "frames", F.lit("destination").alias("role")))
 
 
 @query("i3_k4_k5_candidates")
 def i3(spark, d):
-    w, links, _, members, back = replay(spark, d, with_links=True)
-    o, _ = stored_roles(links, members, back, w)
-    return inc.candidates(links, members, back, o, allowed)
+    w, links, _, members, back = replay(spark, d, with_links=True, features=False)
+    return inc.candidates(links, members, back, stored_origins(links, members, back, w), allowed)
 
 
 @query("i4_x8_incident_records")
 def i4(spark, d):
-    w, links, _, members, back = replay(spark, d, with_links=True)
+    w, links, _, members, back = replay(spark, d, with_links=True, features=False)
     o, t = stored_roles(links, members, back, w)
     rec = inc.records(w, members, o, t)
     return rec.join(inc.contract_defects(rec, inc.ports(links, members, t)), inc.INC)
@@ -142,7 +152,7 @@ def i6(spark, d):
 
 @query("i7_j14_truth_flags")
 def i7(spark, d):
-    w, links, _, members, back = replay(spark, d, with_links=True)
+    w, links, _, members, back = replay(spark, d, with_links=True, features=False)
     o, t = stored_roles(links, members, back, w)
     return inc.truth_flags(w, members, o, t, F.col("addr") % 97 == 0, POLICY.silence)
 
@@ -157,21 +167,20 @@ def evaluation(w, flags):
 
 @query("a38_evaluation_summary")
 def a38(spark, d):
-    w, links, decisions, members, back = replay(spark, d, with_links=True)
+    w, links, decisions, members, back = replay(spark, d, with_links=True, features=False)
     o, t = stored_roles(links, members, back, w)
     return evaluation(w, inc.truth_flags(w, members, o, t, F.col("addr") % 97 == 0, POLICY.silence))
 
 
 @query("k2_incident_ports")
 def k2(spark, d):
-    w, links, _, members, back = replay(spark, d, with_links=True)
-    _, t = stored_roles(links, members, back, w)
-    return inc.ports(links, members, t)
+    w, links, _, members, back = replay(spark, d, with_links=True, features=False)
+    return inc.ports(links, members, stored_destinations(links, members, back, w))
 
 
 @query("s20_log_drafts")
 def s20(spark, d):
-    w, _, decisions, members, _ = replay(spark, d)
+    w, _, decisions, members, _ = replay(spark, d, features=False)
     return inc.log_drafts(w, decisions, members)
 
 

@@ -32,20 +32,21 @@ def query(name: str, sql: str):
     return add
 
 
-def runs(spark, d):
-    """windows, links, members (capture, incident, win, at_win, benign_before) and background."""
-    frames = ad.kept(spark, d)
-    links = materialize(inc.window_links(frames, 10), "run-links")
+def runs(spark, d, features=(), with_links=False):
+    """windows (with the features asked for), links (if asked for), members (capture, incident, win, at_win, benign_before) and background."""
     category = F.expr("CASE WHEN syn_flag_number > 0.2 THEN 'DDoS' WHEN ICMP > 0.4 THEN 'Recon' ELSE 'Benign' END")
-    w = ad.windows(spark, d, 10).withColumn("category", category)
-    w = materialize(w.withColumn("confidence", F.when(F.col("category") == "DDoS", 0.5 + F.col("syn_flag_number") / 2).otherwise(0.6)), "run-windows")
+    w = ad.windows(spark, d, 10, [inc.ends_of_frames().alias("ends")] if with_links else []).withColumn("category", category)
+    w = w.withColumn("confidence", F.when(F.col("category") == "DDoS", 0.5 + F.col("syn_flag_number") / 2).otherwise(0.6))
+    whole = materialize(w.select("capture", "win", "start_ts", "end_ts", "category", "confidence", "has_attacker", "attacker_frames", *features, *(["ends"] if with_links else [])), "run-windows")
+    w = whole.drop("ends")
     order = Window.partitionBy("capture").orderBy("win")
     run = Window.partitionBy("capture", "run")
     each = w.withColumn("run", F.sum((F.col("category") == "Benign").cast("int")).over(order)).filter("category <> 'Benign'")
     each = each.withColumns({"n": F.count("*").over(run), "k": F.row_number().over(run.orderBy("win")), "at": F.min("win").over(run) + 1}).filter("n > 1")
     each = each.withColumn("incident", F.dense_rank().over(Window.partitionBy("capture").orderBy("run")).cast("long") - 1)
     members = materialize(each.select("capture", "incident", "win", F.greatest("win", "at").alias("at_win"), F.lit(0).cast("long").alias("benign_before")), "run-members")
-    return w, links, members, w.filter("category = 'Benign'").select("capture", "win")
+    back = w.filter("category = 'Benign'").select("capture", "win")
+    return w, materialize(inc.tagged_links(whole, members, back), "run-links") if with_links else None, members, back
 
 
 def run_roles(w, links, members, back):
@@ -102,7 +103,7 @@ def j13(spark, d):
 
 @query("r5_background_of_runs", f"{LINKS} SELECT capture, src AS addr, count(DISTINCT win) AS n_windows, round(count(DISTINCT win) / any_value(tb.t), 9) AS share FROM l JOIN b USING (capture, win) JOIN tb USING (capture) GROUP BY capture, src")
 def r5(spark, d):
-    _, links, _, back = runs(spark, d)
+    _, links, _, back = runs(spark, d, with_links=True)
     return inc.presence(links, "src", back, ["capture"]).withColumn("share", F.round("share", 9))
 
 
@@ -118,7 +119,7 @@ def r6(spark, d):
 
 @query("i1_roles_of_runs", f"{ROLES} SELECT capture, {_I}, addr, CAST(frames AS BIGINT) AS frames, 'origin' AS role, n_origins, distributed FROM og UNION ALL SELECT capture, {_I}, addr, CAST(frames AS BIGINT), 'destination', NULL, NULL FROM tg")
 def i1(spark, d):
-    w, links, members, back = runs(spark, d)
+    w, links, members, back = runs(spark, d, with_links=True)
     o, t = run_roles(w, links, members, back)
     origin = o.select(*inc.INC, "addr", "frames", F.lit("origin").alias("role"), "n_origins", "distributed")
     return origin.unionByName(t.select(*inc.INC, "addr", "frames", F.lit("destination").alias("role")), allowMissingColumns=True)
@@ -126,7 +127,7 @@ def i1(spark, d):
 
 @query("k2_ports_of_runs", f"{ROLES} SELECT capture, {_I}, dst, dport, protocol, CAST(frames AS BIGINT) AS frames, place FROM ports")
 def k2(spark, d):
-    w, links, members, back = runs(spark, d)
+    w, links, members, back = runs(spark, d, with_links=True)
     out = inc.ports(links, members, run_roles(w, links, members, back)[1])
     return out.withColumns({"place": F.col("place").cast("long"), "protocol": F.col("protocol").cast("int"), "dport": F.col("dport").cast("int")})
 
@@ -138,7 +139,7 @@ ol AS (SELECT {_INC}, list(addr ORDER BY place) AS origins FROM og10 GROUP BY AL
 SELECT capture, {_I}, start_ts, end_ts, n_windows, model_category, CASE WHEN model_category = 'DDoS' THEN CASE WHEN distributed THEN 'DDoS' ELSE 'DoS' END ELSE model_category END AS category, n_origins, distributed, array_to_string(windows_per_category, ',') AS windows_per_category, array_to_string(origins, ',') AS origins, array_to_string(destinations, ',') AS destinations, 0 AS n_defects
 FROM rec JOIN mc USING ({_INC}) LEFT JOIN o1 USING ({_INC}) LEFT JOIN ol USING ({_INC}) LEFT JOIN tl USING ({_INC})""")
 def i4(spark, d):
-    w, links, members, back = runs(spark, d)
+    w, links, members, back = runs(spark, d, with_links=True)
     o, t = run_roles(w, links, members, back)
     rec = inc.records(w, members, o, t)
     rec = rec.join(inc.contract_defects(rec, inc.ports(links, members, t)), inc.INC)
@@ -150,7 +151,7 @@ def i4(spark, d):
 @query("x8_defects_of_runs", f"""{ROLES}, bad AS (SELECT capture, incident, incident % 3 = 0 AS moved, incident % 4 = 1 AS renamed FROM tm), known AS (SELECT capture, incident, count(*) FILTER (place > 1) AS left_ FROM tg10 GROUP BY ALL), used AS (SELECT capture, incident, count(*) AS n, count(*) FILTER ((capture, incident, dst) NOT IN (SELECT (capture, incident, addr) FROM tg10 WHERE place > 1)) AS outside FROM ports GROUP BY ALL)
 SELECT capture, {_I}, coalesce(moved AND outside > 0, false) AS unlisted_port, renamed AS wrong_category FROM bad LEFT JOIN used USING ({_INC})""")
 def x8(spark, d):
-    w, links, members, back = runs(spark, d)
+    w, links, members, back = runs(spark, d, with_links=True)
     o, t = run_roles(w, links, members, back)
     rec = inc.records(w, members, o, t)
     # records with the first destination left out, or with a category that is none of the model's
@@ -163,7 +164,7 @@ def x8(spark, d):
 
 @query("i5_kept_of_runs", f"""{RUNS}, p AS (SELECT *, row_number() OVER (PARTITION BY {_INC} ORDER BY win) - 1 AS place, count(*) OVER (PARTITION BY {_INC}) AS n FROM m) SELECT capture, {_I}, win, "AVG" AS mean_size FROM p WHERE place % greatest(1, CAST(ceil(n / 3) AS BIGINT)) = 0""")
 def i5(spark, d):
-    w, _, members, _ = runs(spark, d)
+    w, _, members, _ = runs(spark, d, ["AVG"])
     return inc.kept_windows(w.select("capture", "win", "AVG"), members, 3).select(*inc.INC, "win", F.col("AVG").alias("mean_size"))
 
 
@@ -176,7 +177,7 @@ flags AS (SELECT ii.capture, ii.incident, is_true, o.addr % 97 = 0 AS first_orig
 
 
 def _flags(spark, d):
-    w, links, members, back = runs(spark, d)
+    w, links, members, back = runs(spark, d, with_links=True)
     o, t = run_roles(w, links, members, back)
     return w, inc.truth_flags(w, members, o, t, F.col("addr") % 97 == 0, SILENCE)
 
@@ -232,7 +233,7 @@ _MED = ", ".join(f'quantile_cont("{c}", 0.5) AS "{c}"' for c in FEATURES)
  k AS (SELECT *, list_position([{", ".join(f"'{c}'" for c in FEATURES)}], feature) AS rank_ FROM x JOIN y USING (feature)), p AS (SELECT *, row_number() OVER (PARTITION BY {_INC} ORDER BY rank_) AS place FROM k)
 SELECT capture, {_I}, feature, place, round(v, 3) AS value, round(ref_v, 3) AS reference FROM p WHERE place <= 5""")
 def k6(spark, d):
-    w, _, members, _ = runs(spark, d)
+    w, _, members, _ = runs(spark, d, FEATURES)
     w = w.withColumn("Rate", F.when(F.abs("Rate") != float("inf"), F.col("Rate")))
     order = spark.createDataFrame([(c, i) for i, c in enumerate(FEATURES)], "feature string, rank int")
     own = members.join(w, ["capture", "win"]).groupBy(*inc.INC).agg(*(F.percentile(F.col(c), 0.5).alias(c) for c in FEATURES))
@@ -249,7 +250,7 @@ SELECT capture, {_I}, addr, row_number() OVER (PARTITION BY {_INC} ORDER BY prom
  (SELECT array_to_string(list(dst ORDER BY f DESC, s, dst)[:3], ',') FROM (SELECT dst, sum(frames) AS f, min((win, first_no)) AS s FROM ml WHERE ml.capture = c.capture AND ml.incident = c.incident AND ml.src = c.addr GROUP BY dst)) AS targets
 FROM (SELECT * FROM ch JOIN src_ USING ({_INC}, addr)) c""")
 def i3(spark, d):
-    w, links, members, back = runs(spark, d)
+    w, links, members, back = runs(spark, d, with_links=True)
     o, _ = run_roles(w, links, members, back)
     out = inc.candidates(links, members, back, o, allowed)
     return out.select(*inc.INC, "addr", F.col("place").cast("long").alias("place"), "n_windows", F.round("background_share", 4).alias("background_share"), "sent", "received", "opened", "was_opened", F.array_join(F.transform("targets", lambda x: x["dst"].cast("string")), ",").alias("targets"))
