@@ -9,42 +9,39 @@ from winlens.functions.text import stem_counts, stems
 from winlens.sources.scratch import materialize
 
 
-#: Stems of more sections are frequent: they are looked up only where the rare ones leave the result open.
+#: Stems of more sections are frequent: the rare ones first give a bound, below which no section is ranked.
 FREQUENT = 1000
+#: (query, stem, section) rows that a task of the scoring takes; their sums stay in memory.
+TASK_ROWS = 2_000_000
 
 
 def search(sections: DataFrame, queries: DataFrame, k: int = 3, section: str = "section", title: str = "title", body: str = "body", document: str = "document", order: str = "order", frequent: int = FREQUENT) -> DataFrame:
     """(query, section, points, place): 3 for a stem in the title, up to 3 for it in the text, 1 in the document's title; ties by order.
 
-    The index holds one row for each stem of a section. A query's rare stems are looked up first. If its k-th best section then has more
-    points than all of its frequent stems can give together, no section without a rare stem comes in, and frequent stems are looked up
-    only for the sections that may still: those whose points and all of the frequent ones reach the k-th. Only queries for which the rare
-    stems do not settle that look up frequent ones everywhere.
+    The index holds one row for each stem of a section that some query asks for. It is dealt by section, so that a section's points for
+    all queries are summed in one task and only each task's first k of a query travel. A query's rare stems are looked up before: the
+    k-th best by these alone has no more points than the k-th best of all, so sections with less are not ranked.
     """
+    spark = sections.sparkSession
+    asked = materialize(queries.select("query", F.explode(F.array_distinct(stems(F.col("text")))).alias("stem")), "asked-stems")
     field = lambda c, name: F.transform(stem_counts(F.coalesce(F.col(c), F.lit(""))), lambda s: F.struct(F.lit(name).alias("field"), s.alias("stem")))
-    terms = sections.select(section, order, F.explode(F.concat(field(title, "title"), field(body, "text"), field(document, "document"))).alias("x"))
-    hit = lambda name: F.max((F.col("x.field") == name).cast("int"))
-    index = terms.groupBy(section, order, F.col("x.stem").alias("stem")).agg((3 * hit("title") + F.least(F.lit(3), F.count_if(F.col("x.field") == "text")) + hit("document")).alias("points"))
+    terms = sections.select(section, order, F.explode(F.concat(field(title, "title"), field(body, "text"), field(document, "document"))).alias("x")).select(section, order, "x.field", "x.stem")
+    hit = lambda name: F.max((F.col("field") == name).cast("int"))
+    index = terms.join(asked.select("stem").distinct(), "stem", "left_semi").groupBy(section, order, "stem").agg((3 * hit("title") + F.least(F.lit(3), F.count_if(F.col("field") == "text")) + hit("document")).alias("points"))
     index = materialize(index, "stem-index")
-    stats = index.groupBy("stem").agg(F.count("*").alias("n"), F.max("points").alias("most"))
-    wanted = materialize(queries.select("query", F.explode(F.array_distinct(stems(F.col("text")))).alias("stem")).join(stats, "stem"), "query-stems")
+    wanted = materialize(asked.join(index.groupBy("stem").agg(F.count("*").alias("n")), "stem"), "query-stems")
     hits = ["query", section, order]
-    score = lambda rows: rows.join(index, "stem").groupBy(*hits).agg(F.sum("points").alias("points"))
+    score = lambda rows, stems_of: rows.join(stems_of, "stem").groupBy(*hits).agg(F.sum("points").alias("points"))
     first = Window.partitionBy("query").orderBy(F.col("points").desc(), order)
-    often = wanted.filter(F.col("n") > frequent).select("query", "stem", "most")
-    if not often.limit(1).count():
-        points = score(wanted.select("query", "stem"))
-    else:
-        rare = materialize(score(wanted.filter(F.col("n") <= frequent).select("query", "stem")), "rare-points")
-        kth = rare.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") == k).select("query", F.col("points").alias("kth"))
-        rest = often.groupBy("query").agg(F.sum("most").alias("rest")).join(kth, "query", "left")
-        rest = materialize(rest.withColumn("settled", F.coalesce(F.col("kth") > F.col("rest"), F.lit(False))), "bounds")
-        alone = rare.join(rest.select("query"), "query", "left_anti")
-        near = rare.join(rest.filter("settled"), "query").filter(F.col("points") + F.col("rest") >= F.col("kth")).select(*hits, "points")
-        more = near.select("query", section).join(often.select("query", "stem"), "query").join(index.select(section, "stem", F.col("points").alias("more")), [section, "stem"]).groupBy("query", section).agg(F.sum("more").alias("more"))
-        settled = near.join(more, ["query", section], "left").select(*hits, (F.col("points") + F.coalesce("more", F.lit(0))).alias("points"))
-        whole = score(wanted.join(rest.filter("not settled").select("query"), "query", "left_semi").select("query", "stem"))
-        points = alone.unionByName(settled).unionByName(whole)
+    often = wanted.filter(F.col("n") > frequent).select("query").distinct()
+    points = rare = score(index, wanted.filter(F.col("n") <= frequent).select("query", "stem"))
+    if often.limit(1).count():
+        rare = materialize(rare, "rare-points")
+        kth = materialize(rare.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") == k).select("query", F.col("points").alias("kth")), "bounds")
+        n_tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), wanted.agg(F.sum("n")).first()[0] // TASK_ROWS + 1)
+        whole = score(index.repartition(n_tasks, section), wanted.join(often, "query", "left_semi").select("query", "stem"))
+        near = whole.join(kth, "query", "left").filter(F.col("kth").isNull() | (F.col("points") >= F.col("kth"))).select(*hits, "points")
+        points = rare.join(often, "query", "left_anti").unionByName(near)
     return points.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= k).select("query", section, "points", "place")
 
 
