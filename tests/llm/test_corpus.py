@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import json
 import math
 import random
 import re
@@ -360,3 +361,15 @@ def test_pipeline_of_odd_tables(spark, empty, tmp_path):
     for name, df in (("documents", docs.limit(0)), ("labels", labels), ("benchmark", items)):
         df.write.parquet(f"{tmp_path}/none/{name}.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_bpe_keeps_pieces_in_use_when_the_cache_is_full(monkeypatch):
+    """A piece that recurs is encoded once however many others come between, and ids stay those of an encoder without a cache."""
+    spec = prefix_bpe.read_spec(prefix_bpe.default_path())
+    plain, ours, made = prefix_bpe.encoder(spec), prefix_bpe.PrefixBpe(json.loads(spec)), []
+    monkeypatch.setattr(prefix_bpe, "CACHED_PIECES", 10)
+    ours.cache.make = lambda text: made.append(text) or ours.piece(text)
+    for i in range(200):
+        text = f" often wörd{chr(97 + i % 26)}{chr(97 + i // 26)}"
+        assert ours.encode(text) == [x for p in ours.pieces(text) for x in plain.piece(p)]
+    assert made.count(" often") == 1 and len(ours.cache) + len(ours.cache.older) <= 20

@@ -17,8 +17,9 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -28,8 +29,8 @@ from winlens.llm.common import table, text_rows
 
 #: Fixed by the tokenizer: how the library cuts texts into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces up to this length are remembered, so many at most; both bound memory only.
-CACHED_CHARS, CACHED_PIECES = 64, 50_000
+#: Pieces up to this length are remembered, so many recent ones at most and as many older ones; both bound memory only.
+CACHED_CHARS, CACHED_PIECES = 64, 300_000
 NEVER = 1 << 60
 
 
@@ -65,6 +66,12 @@ class SuffixAutomaton:
             self.shorter[at] = up if self.word[up] >= 0 else self.shorter[up]
         #: Where a match of a state's full length begins to look for words.
         self.first = [at if w >= 0 else up for at, (w, up) in enumerate(zip(self.word, self.shorter, strict=True))]
+        #: Length and number of all words that end where a state's longest string does, longest first; and of those that are shorter.
+        self.whole: list[tuple[tuple[int, int], ...]] = [()] * len(self.link)
+        for at in sorted(range(1, len(self.link)), key=self.size.__getitem__):
+            shorter = self.whole[self.shorter[at]]
+            self.whole[at] = ((self.size[at], self.word[at]), *shorter) if self.word[at] >= 0 else shorter
+        self.part = [self.whole[up] for up in self.shorter]
 
     def _state(self, follow: dict[int, int], link: int, size: int) -> int:
         self.follow.append(follow)
@@ -97,6 +104,25 @@ class SuffixAutomaton:
         return new
 
 
+class Recent(dict):
+    """Ids by piece, made when first asked for. When there are too many, those not asked for since the last time are forgotten."""
+
+    def __init__(self, make: Callable[[str], tuple[int, ...]]):
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, text: str) -> tuple[int, ...]:
+        ids = self.older.get(text)
+        if ids is None:
+            ids = self.make(text)
+        if len(text) <= CACHED_CHARS:
+            if len(self) >= CACHED_PIECES:
+                self.older = dict(self)
+                self.clear()
+            self[text] = ids
+        return ids
+
+
 class PrefixBpe:
     """Encoder and decoder over the vocabulary and merges of a byte-level tokenizer file."""
 
@@ -120,7 +146,7 @@ class PrefixBpe:
         self.pieces = regex.compile(PIECES).findall
         self.cuts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pairs: dict[int, bool] = {}
-        self.cache: dict[str, list[int]] = {}
+        self.cache = Recent(self.piece)
 
     def compatible(self, a: int, b: int) -> bool:
         """Do the bytes of a and b, merged by rank, end as these two tokens?
@@ -149,15 +175,12 @@ class PrefixBpe:
             self.pairs[key] = known
         return known
 
-    def piece(self, text: str) -> list[int]:
-        found = self.cache.get(text)
-        if found is not None:
-            return found
+    def piece(self, text: str) -> tuple[int, ...]:
         raw = text.encode("utf-8", "surrogatepass")
         last: list[int] = [-1] * (len(raw) + 1)
         width = [0] * (len(raw) + 1)
         m, state, known = self.matches, 0, 0  # the longest suffix of the prefix that is part of a token, and its length
-        follow, link, size, word, shorter, first, judged = m.follow, m.link, m.size, m.word, m.shorter, m.first, self.pairs.get
+        follow, link, size, whole, part, judged = m.follow, m.link, m.size, m.whole, m.part, self.pairs.get
         for end, byte in enumerate(raw, 1):
             to = follow[state].get(byte)
             while to is None and state:
@@ -167,20 +190,17 @@ class PrefixBpe:
             if to is None:
                 continue
             state, known = to, known + 1
-            at = first[to] if known == size[to] else shorter[to]
-            while at:
-                start, token = end - size[at], word[at]
-                before = last[start]
+            for wide, token in whole[to] if known == size[to] else part[to]:
+                before = last[end - wide]
                 if before >= 0:
                     fits = judged(before << 32 | token)
                     if fits is None:
                         fits = self.compatible(before, token)
                 else:
-                    fits = not start
+                    fits = wide == end
                 if fits:
-                    last[end], width[end] = token, size[at]
+                    last[end], width[end] = token, wide
                     break
-                at = shorter[at]
         if last[len(raw)] < 0 and raw:
             raise ValueError("the vocabulary has no token for some byte of the text")
         ids, at = [], len(raw)
@@ -188,21 +208,15 @@ class PrefixBpe:
             ids.append(last[at])
             at -= width[at]
         ids.reverse()
-        if len(text) <= CACHED_CHARS:
-            if len(self.cache) >= CACHED_PIECES:
-                self.cache.clear()
-            self.cache[text] = ids
-        return ids
+        return tuple(ids)
 
     def encode(self, text: str) -> list[int]:
         ids: list[int] = []
-        get, piece = self.cache.get, self.piece
         for part in self.cuts.split(text) if self.cuts else [text]:
             if part in self.special:
                 ids.append(self.special[part])
-                continue
-            for p in self.pieces(part):
-                ids += get(p) or piece(p)
+            else:
+                ids.extend(chain.from_iterable(map(self.cache.__getitem__, self.pieces(part))))
         return ids
 
     def decode(self, ids: list[int]) -> str:
