@@ -29,6 +29,8 @@ FRAME_COLUMNS = {
     "o1": "l_orderkey", "o2": "CAST(l_linenumber AS BIGINT)", "o3": "l_partkey", "o4": "l_extendedprice", "o5": "l_quantity",
 }
 FRAME_ORDER = ("ts", "o1", "o2", "o3", "o4", "o5")
+#: Frames that a task numbers and sums up, but for longer captures: what it holds of them stays in memory.
+TASK_FRAMES = 250_000
 #: Each capture's category: 0 is benign.
 CATEGORY = "CASE capture % 8 WHEN 0 THEN 'Benign' WHEN 1 THEN 'DDoS' WHEN 2 THEN 'DoS' WHEN 3 THEN 'Mirai' WHEN 4 THEN 'Recon' WHEN 5 THEN 'Spoofing' WHEN 6 THEN 'Web' ELSE 'BruteForce' END"
 
@@ -97,8 +99,10 @@ modes AS (SELECT capture, frame_no // {size} AS win, protocol, count(*) AS n FRO
 
 
 def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames of the kept types with their numbers."""
-    return fr.number_frames(fr.keep_decoded(frames(spark, sf_dir)), "capture", FRAME_ORDER, ts="ts")
+    """Frames of the kept types with their numbers, dealt by capture to as many tasks as the table's rows ask for."""
+    n_tasks = max(spark.sparkContext.defaultParallelism, table(spark, sf_dir, "lineitem").count() // TASK_FRAMES + 1)
+    rows = fr.keep_decoded(frames(spark, sf_dir)).repartition(n_tasks, "capture")
+    return fr.number_frames(rows, "capture", FRAME_ORDER, ts="ts")
 
 
 def measured(rows: DataFrame) -> DataFrame:
