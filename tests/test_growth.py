@@ -3,6 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import DATA
+from winlens.operators import metrics as me
+from winlens.plans import adapters as ad
 from winlens.sources import rebuild as rb
 
 
@@ -84,3 +87,24 @@ def test_tagged_links_give_what_links_give(spark):
     # sums by capture are combined where the rows lie: no exchange below them but the one by capture
     plan = inc.pairs(tagged, members)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan.split("Generate")[0]
+
+
+def test_frames_are_dealt_by_rows(spark, monkeypatch):
+    """However large the table, a task numbers and counts about so many frames; results stay."""
+    monkeypatch.setattr(ad, "TASK_FRAMES", 500)
+    numbers = lambda: sorted(map(tuple, ad.kept(spark, DATA).select("capture", "frame_no", "o1", "o2", "iat").collect()))
+    want = numbers()
+    assert ad.kept(spark, DATA).rdd.getNumPartitions() == ad.table(spark, DATA, "lineitem").count() // 500 + 1
+    monkeypatch.setattr(ad, "TASK_FRAMES", 10**9)
+    assert numbers() == want
+
+
+def test_draws_of_a_capture_are_made_in_many_tasks(spark, monkeypatch):
+    """One capture's blocks are dealt for resampling, and each replicate sums the blocks that the hash names."""
+    monkeypatch.setattr(me, "TASK_DRAWS", 50)
+    blocks = me.materialize(spark.range(100).selectExpr("7L as capture", "cast(id as int) as k", "100L as m", "cast(id * id as double) as v"), "blocks")
+    sums = me.resample(blocks, ["v"], 5, 3)
+    assert "hashpartitioning(capture" in (plan := sums._jdf.queryExecution().executedPlan().toString()) and ", 11), REPARTITION_BY_NUM" in plan
+    named = spark.sql("select r, pmod(xxhash64(3, r, 7L, k), 100L) as k from (select explode(sequence(1, 5)) as r), (select cast(id as int) as k from range(100))").collect()
+    want = {r: float(sum(x["k"] ** 2 for x in named if x["r"] == r)) for r in range(1, 6)}
+    assert {r["r"]: r["v"] for r in sums.collect()} == want

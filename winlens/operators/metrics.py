@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from winlens.sources.scratch import materialize
+
 Z = 1.959963984540054
+#: Draws of blocks that a task makes.
+TASK_DRAWS = 1_000_000
 
 
 def contingency(rows: DataFrame, truth: str = "truth", predicted: str = "predicted", by: list[str] = ()) -> DataFrame:
@@ -80,16 +84,20 @@ def block_sums(rows: DataFrame, values: dict[str, Column], block: int = 100, cap
 
 
 def resample(blocks: DataFrame, columns: list[str], replicates: int, seed: int, capture: str = "capture", by: list[str] = ()) -> DataFrame:
-    """(by, r, sums...): in each replicate every capture draws its number of blocks with replacement, by a seeded hash."""
+    """(by, r, sums...): in each replicate every capture draws its number of blocks with replacement, by a seeded hash.
+
+    blocks should be stored, as they are read three times. Their draws are dealt by block, so that a capture's are made in many tasks.
+    """
+    n_tasks = max(blocks.sparkSession.sparkContext.defaultParallelism, blocks.count() * replicates // TASK_DRAWS + 1)
     draw = F.pmod(F.xxhash64(F.lit(seed), "r", capture, "k"), F.col("m")).cast("int")
-    picks = blocks.select(*by, capture, "k", "m", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("r")).select(*by, capture, "r", draw.alias("k"))
-    drawn = picks.groupBy(*by, capture, "k", "r").agg(F.count("*").alias("times"))
-    return drawn.join(blocks, [*by, capture, "k"]).groupBy(*by, "r").agg(*(F.sum(F.col(c) * F.col("times")).alias(c) for c in columns))
+    dealt = blocks.select(*by, capture, "k", "m").repartition(n_tasks, *by, capture, "k")
+    picks = dealt.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("r")).select(*by, capture, "r", draw.alias("k"))
+    return picks.join(blocks, [*by, capture, "k"]).groupBy(*by, "r").agg(*(F.sum(c).alias(c) for c in columns))
 
 
 def block_interval(rows: DataFrame, hit: Column, replicates: int = 200, seed: int = 1, block: int = 100, by: list[str] = (), order: str = "win") -> DataFrame:
     """(by, low, high): 95 % interval of a rate by resampling blocks within captures."""
-    b = block_sums(rows, {"hits": hit}, block, by=list(by), order=order)
+    b = materialize(block_sums(rows, {"hits": hit}, block, by=list(by), order=order), "block-sums")
     rates = resample(b, ["hits", "_n"], replicates, seed, by=list(by)).withColumn("rate", F.col("hits") / F.col("_n"))
     return rates.groupBy(*by).agg(F.percentile("rate", 0.025).alias("low"), F.percentile("rate", 0.975).alias("high"))
 
@@ -97,7 +105,7 @@ def block_interval(rows: DataFrame, hit: Column, replicates: int = 200, seed: in
 def paired_difference(rows: DataFrame, a: Column, b: Column, replicates: int = 200, seed: int = 1, block: int = 100, by: list[str] = (), seed_col: str = "seed", order: str = "win") -> DataFrame:
     """(by, difference, low, high, beyond_zero) of the rate of b minus that of a, paired by blocks and averaged over seeds."""
     keys = [*by, seed_col]
-    sums = block_sums(rows, {"sa": a, "sb": b}, block, by=keys, order=order)
+    sums = materialize(block_sums(rows, {"sa": a, "sb": b}, block, by=keys, order=order), "block-sums")
     diff = (F.col("sb") - F.col("sa")) / F.col("_n")
     point = sums.groupBy(*keys).agg(F.sum("sa").alias("sa"), F.sum("sb").alias("sb"), F.sum("_n").alias("_n")).withColumn("d", diff)
     spread = resample(sums, ["sa", "sb", "_n"], replicates, seed, by=keys).withColumn("d", diff).groupBy(*keys).agg(F.var_pop("d").alias("v"))
