@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import DATA
 from winlens.operators import metrics as me
+from winlens.operators import ml
 from winlens.plans import adapters as ad
 from winlens.sources import rebuild as rb
 
@@ -108,3 +109,15 @@ def test_draws_of_a_capture_are_made_in_many_tasks(spark, monkeypatch):
     named = spark.sql("select r, pmod(xxhash64(3, r, 7L, k), 100L) as k from (select explode(sequence(1, 5)) as r), (select cast(id as int) as k from range(100))").collect()
     want = {r: float(sum(x["k"] ** 2 for x in named if x["r"] == r)) for r in range(1, 6)}
     assert {r["r"]: r["v"] for r in sums.collect()} == want
+
+
+def test_training_rows_are_dealt_evenly(spark, monkeypatch):
+    """Whatever files training rows come from, all cores take a like part of them, and columns that are not trained on stay behind."""
+    seen = []
+    matrix = ml.matrix
+    monkeypatch.setattr(ml, "matrix", lambda rows, features: seen.append(rows) or matrix(rows, features))
+    rows = spark.range(400).coalesce(1).selectExpr("id as a", "cast(id % 2 as double) as y", "'x' as other")
+    ml.train(rows, ["a"], "y", trees=2, depth=2)
+    assert seen[0].columns == ["a", "y"]
+    sizes = seen[0].rdd.glom().map(len).collect()
+    assert len(sizes) == spark.sparkContext.defaultParallelism and max(sizes) - min(sizes) <= len(sizes)

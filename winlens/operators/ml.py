@@ -29,11 +29,18 @@ def matrix(rows: DataFrame, features: list[str]) -> DataFrame:
     return rows.withColumns({f"x_{i}": F.coalesce(clean[c], F.lit(FILL)).cast("double") for i, c in enumerate(features)} | {f"e_{i}": clean[c].isNull().cast("double") for i, c in enumerate(features)})
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows in as many even parts as tasks run at once: every level of a forest is a pass over them, which ends with its slowest task,
+    and sends a table of all its nodes from each part.
+    """
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def train(rows: DataFrame, features: list[str], label: str, trees: int = 100, seed: int = 42, weight: str | None = None, depth: int = 12) -> PipelineModel:
     """Random forest on rows with a label column of class numbers."""
     columns = [f"{k}_{i}" for k in "xe" for i in range(len(features))]
     forest = RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=trees, seed=seed, maxDepth=depth, **({"weightCol": weight} if weight else {}))
-    return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features"), forest]).fit(matrix(rows, features))
+    return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features"), forest]).fit(matrix(dealt(rows.select(*dict.fromkeys([*features, label, *([weight] if weight else [])]))), features))
 
 
 def predict(model: PipelineModel, rows: DataFrame, features: list[str]) -> DataFrame:
