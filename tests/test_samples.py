@@ -1,6 +1,9 @@
 """The draws of samples and splits, held against rankings of all rows by the same seeded draw."""
 
 import collections
+import functools
+import hashlib
+import operator
 
 from pyspark.sql import functions as F
 
@@ -53,3 +56,14 @@ def test_splits_take_the_least_draws(spark):
     groups = ranked(spark.createDataFrame([(g, x) for g, x in main.items()], "g long, _label string"), 7, "_label", ["g"])
     want = {g for v in groups.values() for (g,) in v[: round(len(v) * 0.2)]}
     assert all(len(s) == 1 for s in sides.values()) and {g for g, s in sides.items() if s == {"test"}} == want
+
+
+def test_fingerprint_of_many_rows(spark):
+    """Of more rows than a long can sum up, and by Python's own sum where they are few."""
+    few = spark.range(50)
+    h = [r["h"] for r in few.select(F.xxhash64("id").alias("h")).collect()]
+    want = f"50:{functools.reduce(operator.xor, h)}:{sum(x % (1 << 40) for x in h)}"
+    assert tuple(sp.fingerprint(few, ["id"]).first()) == (50, hashlib.sha256(want.encode()).hexdigest())
+    n = 18_000_000
+    whole, part = (sp.fingerprint(spark.range(k), ["id"]).first() for k in (n, n - 1))
+    assert (whole["n"], part["n"]) == (n, n - 1) and whole["digest"] != part["digest"]

@@ -80,9 +80,9 @@ def group_split(rows: DataFrame, group: list[str], label: str, fraction: float,
 
 
 def fingerprint(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """(n, digest): depends on the set of rows and not on their order."""
+    """(n, digest): depends on the set of rows and not on their order. Summed as decimals, as 2^24 rows are too many for a long."""
     h = F.xxhash64(*columns)
-    return rows.agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(F.pmod(h, F.lit(1 << 40))).alias("s")).select("n", F.sha2(F.concat_ws(":", F.col("n").cast("string"), F.col("x").cast("string"), F.col("s").cast("string")), 256).alias("digest"))
+    return rows.agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(F.pmod(h, F.lit(1 << 40)).cast("decimal(20,0)")).alias("s")).select("n", F.sha2(F.concat_ws(":", F.col("n").cast("string"), F.col("x").cast("string"), F.col("s").cast("string")), 256).alias("digest"))
 
 
 def split_report(rows: DataFrame, label: str, side: str = "side") -> DataFrame:
