@@ -7,14 +7,14 @@ import json
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from winlens.operators import decisions as de
+from winlens.operators import forest
 from winlens.operators import metrics as me
 from winlens.operators.splits import draw, fingerprint, mark_sides, rotations, time_cut
 from winlens.sources.scratch import materialize
@@ -39,8 +39,8 @@ def dealt(rows: DataFrame) -> DataFrame:
 def train(rows: DataFrame, features: list[str], label: str, trees: int = 100, seed: int = 42, weight: str | None = None, depth: int = 12) -> PipelineModel:
     """Random forest on rows with a label column of class numbers."""
     columns = [f"{k}_{i}" for k in "xe" for i in range(len(features))]
-    forest = RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=trees, seed=seed, maxDepth=depth, **({"weightCol": weight} if weight else {}))
-    return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features"), forest]).fit(matrix(dealt(rows.select(*dict.fromkeys([*features, label, *([weight] if weight else [])]))), features))
+    rows = matrix(dealt(rows.select(*dict.fromkeys([*features, label, *([weight] if weight else [])]))), features)
+    return PipelineModel([VectorAssembler(inputCols=columns, outputCol="features"), forest.fit(rows, columns, label, trees, seed, weight, depth)])
 
 
 def predict(model: PipelineModel, rows: DataFrame, features: list[str]) -> DataFrame:

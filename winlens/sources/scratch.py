@@ -45,17 +45,17 @@ def discard(df: DataFrame) -> None:
     """Delete the table behind a result of materialize that nothing reads any more."""
     path = getattr(df, "_scratch", None)
     if path and (spark := _MADE.pop(path, None)):
-        _delete(spark, path)
+        delete(spark, path)
 
 
 def discard_all() -> None:
     while _MADE:
         path, spark = _MADE.popitem()
         with contextlib.suppress(Exception):  # the session may have ended first
-            _delete(spark, path)
+            delete(spark, path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(conf).delete(at, True)
