@@ -59,6 +59,20 @@ def test_trees_in_several_passes_are_the_same(spark, monkeypatch):
     assert len(passes) > 20 and max(map(len, passes)) < 6
 
 
+def test_settled_rows_go_on_as_from_the_root(spark, monkeypatch):
+    df, features = rows(spark, 40_000), ["f0", "f1", "f2"]
+    for weight in (None, "w"):
+        df = df.withColumn("w", F.col("id") % 4 / 2)
+        whole = answers(ml.train(df, features, "y", 5, 1, weight, 6), df, features)
+        written, real = [], forest.settled
+        with monkeypatch.context() as m:
+            m.setattr(forest, "settled", lambda table, levels, *a: written.append(len(levels)) or real(table, levels, *a))
+            m.setattr(forest, "SETTLE_ROWS", 0)
+            m.setattr(forest, "SETTLE_SHARE", 0.97)
+            assert answers(ml.train(df, features, "y", 5, 1, weight, 6), df, features) == whole
+        assert len(written) > 1 and max(written) <= 6
+
+
 def test_rows_in_leaves_are_not_visited_again(spark, monkeypatch):
     """A pass over the rows only while a node is left to split, and no column that can't split."""
     passes, real = [], forest.histograms

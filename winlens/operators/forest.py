@@ -11,7 +11,7 @@ import json
 import math
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,13 @@ POINTS, SENT_POINTS = 4096, 1024
 CELLS = 1 << 24
 #: Nodes whose histograms are added up together after the shuffle.
 CHUNK = 256
+#: The nodes that rows have reached are written down when no more than this share of those in the table, of that many rows or more, are not in
+#: leaves; others go down from where they were, which takes less time than reading where they are.
+SETTLE_SHARE, SETTLE_ROWS = 0.4, 1 << 20
+TABLE = ["block", "n", "codes", "weights", "reached"]
+TABLE_SCHEMA = "block long, n int, codes binary, weights binary, reached binary"
+#: A row of the table may have megabytes, so its writer looks at its buffers after each.
+LARGE_ROWS = {"parquet.block.size": 16 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
 #: How often a row is drawn, by 16 random bits: the Poisson distribution of mean 1.
 DRAWS = np.searchsorted(np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)]), (np.arange(1 << 16) + 0.5) / (1 << 16)).astype(np.uint8)
 
@@ -78,12 +85,12 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, np.ndarray,
                 now = part[a]
 
 
-def survey(rows: DataFrame, columns: list[str], label: str, weight: str | None) -> tuple[list[np.ndarray], int]:
-    """Thresholds of every column from sketches of all rows, and the number of classes."""
+def survey(rows: DataFrame, columns: list[str], label: str, weight: str | None) -> tuple[list[np.ndarray], int, int]:
+    """Thresholds of every column from sketches of all rows, the number of classes, and of rows."""
     names, of = ["id", *columns, label, *([weight] if weight else [])], range(len(columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, waiting, n_waiting, top = None, [], 0, -1
+        kept, waiting, n_waiting, top, n = None, [], 0, -1, 0
 
         def condense():
             nonlocal kept, waiting, n_waiting
@@ -94,12 +101,12 @@ def survey(rows: DataFrame, columns: list[str], label: str, weight: str | None)
         def told():
             condense()
             out = [condensed(*k, SENT_POINTS) for k in kept]
-            return pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array([v.tobytes() for v, _ in out], pa.binary()), pa.array([w.tobytes() for _, w in out], pa.binary()), pa.array([top] * len(columns), pa.int32())], ["column", "v", "w", "top"])
+            return pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array([v.tobytes() for v, _ in out], pa.binary()), pa.array([w.tobytes() for _, w in out], pa.binary()), pa.array([top] * len(columns), pa.int32()), pa.array([n] * len(columns))], ["column", "v", "w", "top", "n"])
 
         for begins, _, x in runs(batches):
             if begins and top >= 0:
                 yield told()
-                kept = None
+                kept, n = None, 0
             y, w = x[len(columns)], x[-1] if weight else np.ones(len(x[0]))
             if not (np.isfinite(y).all() and (y >= 0).all() and (y == np.floor(y)).all()):
                 raise ValueError("labels of a forest are numbers of classes from 0")
@@ -107,13 +114,13 @@ def survey(rows: DataFrame, columns: list[str], label: str, weight: str | None)
                 raise ValueError("weights of a forest are no less than 0")
             top = max(top, int(y.max()))
             waiting.append((x, w))
-            n_waiting += len(y)
+            n_waiting, n = n_waiting + len(y), n + len(y)
             if n_waiting >= 1 << 18:
                 condense()
         if top >= 0:
             yield told()
 
-    found = rows.select(*names).mapInArrow(run, "column int, v binary, w binary, top int").collect()
+    found = rows.select(*names).mapInArrow(run, "column int, v binary, w binary, top int, n long").collect()
     n_classes = max((r["top"] for r in found), default=-1) + 1
     if not n_classes:
         raise ValueError("a forest needs rows to train on")
@@ -121,14 +128,13 @@ def survey(rows: DataFrame, columns: list[str], label: str, weight: str | None)
     for i in of:
         mine = [r for r in found if r["column"] == i]
         cuts.append(cut_points(*condensed(*(np.concatenate([np.frombuffer(r[k]) for r in mine]) for k in "vw"), POINTS)))
-    return cuts, n_classes
+    return cuts, n_classes, sum(r["n"] for r in found if not r["column"])
 
 
 def blocks(rows: DataFrame, columns: list[str], cuts: list[np.ndarray], label: str, n_classes: int, weight: str | None) -> DataFrame:
-    """(block, n, codes, weights): of each of n rows and each column bin * n_classes + label, column by column. A block has the id of its first row."""
+    """(block, n, codes, weights, reached): of each of n rows and each column bin * n_classes + label, column by column. A block has the id
+    of its first row; reached is what `settled` fills in."""
     kind, names = code_type(cuts, n_classes), ["id", *columns, label, *([weight] if weight else [])]
-    schema = "block long, n int, codes binary, weights binary"
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n_held = [], 0
 
@@ -138,7 +144,7 @@ def blocks(rows: DataFrame, columns: list[str], cuts: list[np.ndarray], label: s
             at = 0
             while n_held - at >= least:
                 c, v = codes[:, at : at + BLOCK], w[at : at + BLOCK]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 1]), pa.array([c.shape[1]], pa.int32()), pa.array([c.tobytes()], pa.binary()), pa.array([v.tobytes() if weight else None], pa.binary())], ["block", "n", "codes", "weights"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 1]), pa.array([c.shape[1]], pa.int32()), pa.array([c.tobytes()], pa.binary()), pa.array([v.tobytes() if weight else None], pa.binary()), pa.array([None], pa.binary())], TABLE)
                 at += c.shape[1]
             held, n_held = [(ids[at:], codes[:, at:], w[at:])], n_held - at
 
@@ -156,7 +162,7 @@ def blocks(rows: DataFrame, columns: list[str], cuts: list[np.ndarray], label: s
         if n_held:
             yield from packed(1)
 
-    return rows.select(*names).mapInArrow(run, schema)
+    return rows.select(*names).mapInArrow(run, TABLE_SCHEMA)
 
 
 def code_type(cuts: list[np.ndarray], n_classes: int) -> type:
@@ -203,32 +209,67 @@ def bag(seed: int, tree: int, block: int, n: int, bagged: bool) -> tuple[np.ndar
     return rows, times.take(rows).astype(np.float64)
 
 
+def visits(batches: Iterator[pa.RecordBatch], routes: dict[int, list], seed: int, kind: type, bagged: bool) -> Iterator[tuple]:
+    """Of every block and tree of routes: the place of the block in its batch, tree, codes, the rows of the bag that are not in a leaf, how often they
+    were drawn, and their nodes. Routes begin at the root, or where the block's rows were settled.
+    """
+    for b in batches:
+        for i in range(b.num_rows):
+            block, n = b.column(0)[i].as_py(), b.column(1)[i].as_py()
+            codes = np.frombuffer(b.column(2)[i].as_buffer(), kind)
+            held = unpacked(b.column(4)[i].as_buffer()) if b.column(4)[i].is_valid else None
+            for t, route in routes.items():
+                if held:
+                    rows, times, node = held(t)
+                else:
+                    rows, times = bag(seed, t, block, n, bagged)
+                    node = np.zeros(len(rows), np.int64)
+                for column, threshold, goes_on in route:
+                    node = goes_on.take(2 * node + (codes.take((column * n).take(node) + rows) >= threshold.take(node)))
+                    on = np.flatnonzero(node >= 0)
+                    if len(on) < len(node):
+                        rows, times, node = rows.take(on), times.take(on), node.take(on)
+                yield b, i, t, n, codes, rows, times, node
+
+
+def unpacked(raw) -> Callable[[int], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Reads what `settled` packs: rows, times drawn and nodes of a tree."""
+    trees = int(np.frombuffer(raw, np.int64, 1)[0])
+    ends = np.r_[0, np.cumsum(np.frombuffer(raw, np.int64, trees, 8))]
+    at, n = 8 * (trees + 1), ends[-1]
+    row, node, times = np.frombuffer(raw, np.uint16, n, at), np.frombuffer(raw, np.uint16, n, at + 2 * n), np.frombuffer(raw, np.uint8, n, at + 4 * n)
+    return lambda t: (row[ends[t] : ends[t + 1]].astype(np.int64), times[ends[t] : ends[t + 1]].astype(np.float64), node[ends[t] : ends[t + 1]].astype(np.int64))
+
+
+def settled(table: DataFrame, levels: list[Level], trees: int, seed: int, kind: type, bagged: bool) -> DataFrame:
+    """The table with the nodes of the last level that the rows of each tree have reached."""
+    routes = {t: [x.route(t) for x in levels[:-1]] for t in range(trees)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for b, i, t, _, _, rows, times, node in visits(batches, routes, seed, kind, bagged):
+            held.append((rows.astype(np.uint16), node.astype(np.uint16), times.astype(np.uint8)))
+            if t == trees - 1:
+                raw = b"".join([np.array([trees, *(len(h[0]) for h in held)], np.int64).tobytes(), *(h[k].tobytes() for k in range(3) for h in held)])
+                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(i, 1) for k in range(4)), pa.array([raw], pa.binary())], TABLE)
+                held = []
+
+    return table.mapInArrow(run, TABLE_SCHEMA)
+
+
 def histograms(table: DataFrame, levels: list[Level], group: list[int], seed: int, cells: int, kind: type, bagged: bool) -> DataFrame:
     """(tree, chunk, at, n): weights of all that reaches the nodes of the last level, by pair of node and column, bin and class; of each task
-    those cells that are not empty. `cells` is the number of bins and classes of a pair.
+    those cells that are not empty. `cells` is the number of bins and classes of a pair; levels begin with the one at which the table is settled.
     """
     routes = {t: [x.route(t) for x in levels[:-1]] for t in group}
     tried = {t: levels[-1].tried(t) for t in group}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {t: np.zeros(len(tried[t][1]) * cells) for t in group}
-        for b in batches:
-            for i in range(b.num_rows):
-                block, n = b.column(0)[i].as_py(), b.column(1)[i].as_py()
-                codes = np.frombuffer(b.column(2)[i].as_buffer(), kind)
-                weights = np.frombuffer(b.column(3)[i].as_buffer()) if b.column(3)[i].is_valid else None
-                for t in group:
-                    rows, w = bag(seed, t, block, n, bagged)
-                    if weights is not None:
-                        w = w * weights[rows]
-                    node = np.zeros(len(rows), np.int64)
-                    for column, threshold, goes_on in routes[t]:
-                        node = goes_on.take(2 * node + (codes.take((column * n).take(node) + rows) >= threshold.take(node)))
-                        on = np.flatnonzero(node >= 0)
-                        if len(on) < len(node):
-                            rows, w, node = rows.take(on), w.take(on), node.take(on)
-                    first, columns, more = tried[t]
-                    count(sums[t], codes, rows, w, first.take(node), columns * n, more, cells)
+        for b, i, t, n, codes, rows, times, node in visits(batches, routes, seed, kind, bagged):
+            first, columns, more = tried[t]
+            w = times * np.frombuffer(b.column(3)[i].as_buffer()).take(rows) if b.column(3)[i].is_valid else times
+            count(sums[t], codes, rows, w, first.take(node), columns * n, more, cells)
         for t in group:
             first, columns, _ = tried[t]
             for chunk, a in enumerate(range(0, len(first), CHUNK)):
@@ -280,10 +321,11 @@ def best_splits(found: DataFrame, level: Level, n_bins: int, n_classes: int) ->
     return found.groupBy("tree", "chunk").applyInArrow(run, schema).toArrow().sort_by("node")
 
 
-def grow(table: DataFrame, cuts: list[np.ndarray], n_columns: int, n_classes: int, trees: int, seed: int, depth: int, bagged: bool) -> dict[str, np.ndarray]:
+def grow(table: DataFrame, cuts: list[np.ndarray], n_columns: int, n_classes: int, trees: int, seed: int, depth: int, bagged: bool, settle: bool) -> dict[str, np.ndarray]:
     """Nodes of all trees, parents before their children: tree, level, column (-1 in a leaf), cut, gain, left, right and classes.
 
     cuts are those of the columns that have any; n_columns counts those without, which are drawn for a node as well and give no split.
+    settle: whether the nodes that rows have reached are written down now and then.
     """
     n_bins, kind = max(2, max(map(len, cuts), default=0) + 1), code_type(cuts, n_classes)
     at_once = n_columns if trees == 1 else math.ceil(math.sqrt(n_columns))
@@ -307,7 +349,7 @@ def grow(table: DataFrame, cuts: list[np.ndarray], n_columns: int, n_classes: in
     if not cuts:
         chosen = np.ones((trees, 1), bool)
     chosen[barren, 0] = True  # counted for their classes alone
-    levels, places, n_nodes = [Level(trees, roots, chosen)], roots, trees
+    levels, places, n_nodes, held = [Level(trees, roots, chosen)], roots, trees, 0.0
     for level in range(max(depth, 1)):
         now = levels[-1]
         parts, at = [], 0
@@ -344,6 +386,13 @@ def grow(table: DataFrame, cuts: list[np.ndarray], n_columns: int, n_classes: in
         places, n_nodes = child[goes_on], n_nodes + len(tree)
         if not len(places):
             break
+        held, alive = held if level else made["classes"][0].sum(), classes[goes_on].sum()
+        if settle and alive <= SETTLE_SHARE * held and level + 1 <= 16:  # nodes of a tree by 16 bits
+            held = alive
+            before, table = table, materialize(settled(table, levels, trees, seed, kind, bagged), "forest-settled", **LARGE_ROWS)
+            discard(before)
+            levels = levels[-1:]
+    discard(table)
     return {k: np.concatenate(v) for k, v in made.items()}
 
 
@@ -405,12 +454,11 @@ def fit(rows: DataFrame, columns: list[str], label: str, trees: int, seed: int,
     names = {"label": label, **({"weight": weight} if weight else {})}
     stored = materialize(rows.select(F.monotonically_increasing_id().alias("id"), *(F.col(c).cast("float").alias(f"c{i}") for i, c in enumerate(columns)), *(F.col(v).cast("double").alias(k) for k, v in names.items())), "forest-rows")
     of = [f"c{i}" for i in range(len(columns))]
-    cuts, n_classes = survey(stored, of, "label", "weight" if weight else None)
+    cuts, n_classes, n_rows = survey(stored, of, "label", "weight" if weight else None)
     useful = [i for i, c in enumerate(cuts) if len(c)]
-    table = materialize(blocks(stored, [of[i] for i in useful] or of[:1], [cuts[i] for i in useful] or cuts[:1], "label", n_classes, "weight" if weight else None), "forest-blocks")
+    table = materialize(blocks(stored, [of[i] for i in useful] or of[:1], [cuts[i] for i in useful] or cuts[:1], "label", n_classes, "weight" if weight else None), "forest-blocks", **LARGE_ROWS)
     discard(stored)
     used = [cuts[i] for i in useful]
-    nodes = grow(table, used, len(columns), n_classes, trees, seed, depth, bagged)
-    discard(table)
+    nodes = grow(table, used, len(columns), n_classes, trees, seed, depth, bagged, n_rows > SETTLE_ROWS)
     forest = RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=trees, seed=seed, maxDepth=depth, bootstrap=bagged, **({"weightCol": weight} if weight else {}))
     return as_model(spark, nodes, used, useful, len(columns), forest)

@@ -25,17 +25,17 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, **options: int | str) -> DataFrame:
     """Written once and read back: cuts lineage, survives lost executors, and is not computed again by each of its users.
 
-    The tables of a process are deleted when it ends, or earlier by `discard`.
+    The tables of a process are deleted when it ends, or earlier by `discard`. Options are those of the writer.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/winlens-{name}-{uuid.uuid4().hex}"
     if not _MADE:
         atexit.register(discard_all)
     _MADE[path] = spark
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
