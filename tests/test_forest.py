@@ -103,6 +103,8 @@ def test_cuts_of_features_with_many_values():
     cuts = forest.cut_points(*forest.condensed(*(np.concatenate(p) for p in zip(*parts)), forest.POINTS))
     assert len(cuts) == 31 and np.allclose(np.searchsorted(np.sort(v), cuts) / len(v), np.arange(1, 32) / 32, atol=0.002)
     assert forest.cut_points(np.array([1.0, 2.0, 5.0]), np.ones(3)).tolist() == [1.5, 3.5]
+    heavy = forest.cut_points(np.arange(100.0), np.r_[900.0, np.ones(99)])  # one value of nine tenths: the others still have thresholds
+    assert heavy.tolist()[:3] == [0.5, 1.5, 2.5] and len(heavy) == 31
 
 
 def test_what_can_not_be_learned_is_an_error(spark):

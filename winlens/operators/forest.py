@@ -58,15 +58,20 @@ def condensed(values: np.ndarray, weights: np.ndarray, points: int) -> tuple[np.
 
 
 def cut_points(values: np.ndarray, weights: np.ndarray, bins: int = BINS) -> np.ndarray:
-    """Thresholds between bins: between all values if they are few, and else where shares of equal weight end."""
+    """Thresholds between bins: between all values if they are few, and else, as Spark ML has it, where shares of equal weight end; a value that
+    outweighs several shares leaves their thresholds to the values after it.
+    """
     n = bins - 1
     at = np.arange(len(values) - 1)
     if len(at) > n:
-        up_to = np.cumsum(weights)
-        want = up_to[-1] * np.arange(1, n + 1) / (n + 1)
-        i = np.minimum(np.searchsorted(up_to, want), len(values) - 1)
-        before = np.maximum(i - 1, 0)
-        at = np.unique(np.minimum(np.where(np.abs(want - up_to[before]) <= np.abs(up_to[i] - want), before, i), len(values) - 2))
+        up_to = np.cumsum(weights).tolist()
+        stride = up_to[-1] / (n + 1)
+        at, want = [], stride
+        for i in range(1, len(up_to)):
+            if abs(up_to[i - 1] - want) < abs(up_to[i] - want):
+                at.append(i - 1)
+                want += stride
+        at = np.array(at, np.int64)
     return (values[at] + values[at + 1]) / 2
 
 
